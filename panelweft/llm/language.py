@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: dict, gap: float = GAP) -> DataFrame:
                 if len(langs) < 2:
                     best, score, close = np.where(known & (len(langs) == 1), 0, len(langs)), (known & (len(langs) == 1)).astype(float), np.zeros(b - a, bool)
                 else:
-                    margins = np.tanh(2 * _margins(data, offsets, weights))
+                    margins = np.tanh(8 * _margins(data, offsets, weights))
                     loss = np.stack([(trust[c] * np.exp(-code[c] * margins)).sum(1) for c in range(len(langs))], 1)
                     two = np.partition(loss, 1, 1)[:, :2]
                     share = loss**-4.0

@@ -89,7 +89,6 @@ class Searcher:
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, int]] = NOTICES) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (the fuzzy spans)."""
-    to_lower = {i: i + 32 for i in range(65, 91)}
 
     def hashes(text: str) -> tuple[np.ndarray, list[bytes]]:
         data = np.frombuffer(text.encode(), np.uint8)
@@ -99,6 +98,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Searcher(notices)
         exact = [(*hashes(p), label) for p, label in phrases.items()]
+        sizes = {v[0]: len(k) for k, v in notices.items()}
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
                 low = LOWER[data]
@@ -114,12 +114,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
                         doc = int(np.searchsorted(firsts, at, "right")) - 1
                         if at + len(own) <= firsts[doc + 1] and all(low[starts[at + k] : ends[at + k]].tobytes() == w for k, w in enumerate(text)):
                             places[doc].append((at - int(firsts[doc]), label))
-                raw = data.tobytes()
+                raw = low.tobytes()
                 out: dict[str, list] = {f.name: [] for f in _OUT}
                 for i in range(b - a):
-                    fuzzy = search(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace").translate(to_lower))
+                    fuzzy = search(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace"))
                     own = places[i]
-                    sizes = {v[0]: len(k) for k, v in notices.items()}
                     base = {x for _, x in own}
                     out["n_words"].append(int(firsts[i + 1] - firsts[i]))
                     out["n_base"].append(len(own))

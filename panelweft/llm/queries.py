@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, license, quality
+from . import bpe, decontamination, fingerprint, language, license, pii, quality, tokenfile
+from .common import folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,37 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)]
+    return rows.select("doc_id", *counts, F.sha2(pii.listed(F.col("_base")), 256).alias("base_sha256"), pii.listed(F.col("_spans")).alias("spans"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = folder(spark, "token-files")
+    tokenfile.write(_table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read(spark, path)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
@@ -29,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op8_license_scan, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_byte_bpe, op4_pii, op6_fingerprint, op7_token_files, op8_license_scan, op9_language_id, op10_quality)}
 
 ORACLES = {
     "op2_decontamination": r"""

@@ -73,7 +73,8 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 def _probe(data, offsets, wanted: np.ndarray, sizes: list[int]):
     """Words of the texts and the places where a wanted shingle starts: text, word, size, hash."""
     low, starts, ends, firsts, hashes = _words(data, offsets)
-    texts, places, kinds, found = [], [], [], []
+    none = np.zeros(0, np.int64)
+    texts, places, found = [none], [none], [none.astype(np.uint64)]
     for size in sizes:
         all_ = _shingles(hashes, size)
         at = np.searchsorted(wanted, all_)
@@ -84,7 +85,6 @@ def _probe(data, offsets, wanted: np.ndarray, sizes: list[int]):
         texts.append(text[whole])
         places.append(hit[whole])
         found.append(all_[hit[whole]])
-        kinds.append(np.full(int(whole.sum()), size))
     return low, starts, ends, firsts, np.concatenate(texts), np.concatenate(places), np.concatenate(found)
 
 

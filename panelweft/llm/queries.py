@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprint, language, license, pii, quality, tokenfile
+from . import bpe, decontamination, fingerprint, language, license, pii, quality, suffix, tokenfile
 from .common import folder
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.removed(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -61,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_byte_bpe, op4_pii, op6_fingerprint, op7_token_files, op8_license_scan, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_byte_bpe, op4_pii, op6_fingerprint, op7_token_files, op8_license_scan, op9_language_id, op10_quality)}
 
 ORACLES = {
     "op2_decontamination": r"""

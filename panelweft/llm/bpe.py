@@ -24,7 +24,7 @@ from .common import only, steps
 #: Entries that the memos of one Python worker hold before they start anew (memory only; results stay the same).
 MEMO = 400_000
 _NEVER = 1 << 62
-_OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary()), ("same", pa.bool_())])
 
 
 class Codec:
@@ -167,8 +167,8 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> DataFrame:
-    """Per row: doc_id, ids array<int>, and decoded, the bytes that the ids give back (null if not asked for)."""
+def encode(docs: DataFrame, path: str, pattern: str, check: bool = False) -> DataFrame:
+    """Per row: doc_id, ids array<int>, decoded, the bytes that the ids give back; with `check`, instead of them, same: whether they are the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = codec(path, pattern)
@@ -179,12 +179,12 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> Da
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in own])])
                 ids = np.concatenate(own)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
-                if decoded:
-                    back = tokenizer.decode(ids)
-                    ends = np.concatenate([[0], np.cumsum(tokenizer.lengths[ids])])[cuts]
-                    out = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(back.tobytes())])
+                back = tokenizer.decode(ids).tobytes()
+                ends = np.concatenate([[0], np.cumsum(tokenizer.lengths[ids])])[cuts]
+                if check:
+                    texts, same = pa.nulls(b - a, pa.binary()), [back[ends[i] : ends[i + 1]] == raw[offsets[i] : offsets[i + 1]] for i in range(b - a)]
                 else:
-                    out = pa.nulls(b - a, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), lists, out], schema=_OUT)
+                    texts, same = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(back)]), [None] * (b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), lists, texts, pa.array(same, pa.bool_())], schema=_OUT)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary, same boolean")

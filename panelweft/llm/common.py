@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a written table: cuts the lineage, is computed once, and survives lost executors."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, on which Spark's cleaner removes the shuffle files of tables that are written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; a missing one is null. Extra columns, whatever their names, are left behind."""
     have = set(df.columns)
@@ -101,8 +108,8 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that `table` marks, never across texts; first word of each text (one more than texts)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that `table` marks, never across texts nor `breaks` (word starts of their own); first word of each text (one more than texts)."""
     inside = table[data]
     before = np.empty(len(data), bool)
     after = np.empty(len(data), bool)
@@ -112,11 +119,34 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
         edges = offsets[1:-1]
         before[edges[edges < len(data)]] = False
         after[edges[edges > 0] - 1] = False
+    if breaks is not None and len(breaks):
+        before[breaks] = False
+        after[breaks - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte range, equal for equal bytes, eight bytes at a time; meant for many short ranges."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(out):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    own, at = np.arange(len(out)), 0
+    while len(own) and at < 128:
+        left = np.clip(sizes[own] - at, 1, 8).astype(np.uint64)
+        part = eight[starts[own] + at] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))
+        out[own] = mix(out[own] ^ part)
+        at += 8
+        own = own[sizes[own] > at]
+    for i in own.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

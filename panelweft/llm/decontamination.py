@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, only, prefix_sums, range_hashes, steps, word_spans, written
+from .common import ALNUM, LOWER, mix, only, steps, word_hashes, word_spans, written
 
 #: Words in a window, words in a shingle, and shingle hashes that one block of the benchmark may broadcast (8 bytes each).
 WINDOW, SHINGLE, BLOCK_HASHES = 10, 3, 1_000_000
@@ -44,7 +44,7 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
 def _words(data: np.ndarray, offsets: np.ndarray):
     low = LOWER[data]
     starts, ends, firsts = word_spans(low, offsets, ALNUM)
-    return low, starts, ends, firsts, range_hashes(prefix_sums(low), starts, ends)
+    return low, starts, ends, firsts, word_hashes(low, starts, ends)
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, mix, only, prefix_sums, range_hashes, spread, steps, word_spans, written
+from .common import LOWER, SOLID, mix, only, spread, steps, word_hashes, word_spans, written
 
 #: Words in a shingle, likeness in hundredths, hash buckets of the order, sets in a block, sets that all blocks of a family share.
 SHINGLE, LIKE, BUCKETS, BLOCK, PIVOTS = 3, 90, 1 << 17, 200, 4
@@ -37,7 +37,7 @@ def shingle_lists(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     """Hashes of each text's shingles, repeats included; a text of fewer words is one shingle."""
     low = LOWER[data]
     starts, ends, firsts = word_spans(low, offsets, SOLID)
-    words = range_hashes(prefix_sums(low), starts, ends)
+    words = word_hashes(low, starts, ends)
     n = max(len(words) - size + 1, 0)
     all_ = np.zeros(n, np.uint64)
     for k in range(size if n else 0):

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, LOWER, only, prefix_sums, range_hashes, steps, word_spans
+from .common import ALNUM, LOWER, only, steps, word_hashes, word_spans
 
 #: Exact phrases and their labels.
 PHRASES = {
@@ -93,7 +93,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     def hashes(text: str) -> tuple[np.ndarray, list[bytes]]:
         data = np.frombuffer(text.encode(), np.uint8)
         starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
-        return range_hashes(prefix_sums(data), starts, ends), [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        return word_hashes(data, starts, ends), [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Searcher(notices)
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
             for a, b, data, offsets in steps(batch.column(1)):
                 low = LOWER[data]
                 starts, ends, firsts = word_spans(low, offsets, ALNUM)
-                words = range_hashes(prefix_sums(low), starts, ends)
+                words = word_hashes(low, starts, ends)
                 places: list[list[tuple[int, str]]] = [[] for _ in range(b - a)]
                 for own, text, label in exact:
                     n = len(words) - len(own) + 1

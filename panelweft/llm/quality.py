@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, only, prefix_sums, range_hashes, steps, word_spans
+from .common import LOWER, SOLID, only, steps, word_hashes, word_spans
 from .language import held_out
 
 #: Most labelled rows that the model is fitted on; feature hash size; passes of the descent; hinge cost; share of the ratios.
@@ -47,7 +47,7 @@ def _rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The distinct features of each text."""
     grams = _hashed(data) if len(data) > 3 else [np.zeros(0, np.int64)] * 3
     starts, ends, firsts = word_spans(data, offsets, SOLID)
-    hashes = range_hashes(prefix_sums(LOWER[data]), starts, ends)
+    hashes = word_hashes(LOWER[data], starts, ends)
     kinds = _KIND[data]
     shape = np.zeros(len(starts), np.int64)
     if len(starts):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folder, mix, only, powers, prefix_sums, spread, steps, written
+from .common import folder, mix, only, powers, prefix_sums, settle, spread, steps, written
 
 #: Bytes in a string that may stand once only, bytes of the first buckets' q-grams, and offsets in a range, coarse to fine.
 LENGTH, Q, RANGES = 200, 40, (161, 32, 1)
@@ -127,7 +127,8 @@ def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int,
     rows = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     name = f"suffix_texts_{uuid.uuid4().hex}"
     n = spread(spark)
-    rows.repartition(n, "row").write.option("path", folder(spark, "suffix-texts")).bucketBy(n, "row").saveAsTable(name)
+    rows.repartition(n, "row").write.options(path=folder(spark, "suffix-texts"), compression="zstd").bucketBy(n, "row").saveAsTable(name)
+    settle(spark)
     texts = spark.table(name)
 
     first = written(_first_buckets(texts.select("row", "text"), length, q), "suffix-buckets")

@@ -7,7 +7,7 @@ group offsets let a reader start in the middle of a block. Blocks are rows (shar
 Parquet files, so that any store which Spark writes to and reads from can hold them.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; repeated doc_ids keep a row each,
-ordered by text; an empty table gives no block.
+ordered by their ids; an empty table gives no block.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, only, spread, steps
+from .common import LOWER, only, settle, spread, steps, word_hashes, word_spans
 
 #: Ids after which a block is closed, words in a group, words of text that a worker's memo holds.
-BLOCK, GROUP, MEMO = 1 << 16, 128, 800_000
+BLOCK, GROUP, MEMO = 1 << 16, 128, 1_000_000
 #: Ids and bits of each selector.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _MAGIC, _ESCAPE = b"PS8B", (1 << 60) - 1
@@ -35,6 +36,7 @@ _BLOCKS = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64())]
     + [("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())]
 )
+_IDS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("ids", pa.binary())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -102,9 +104,10 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 class Words:
-    """The tokenizers library behind a memo of words; a word stands between ASCII blanks or line ends, full stops and commas apart.
+    """The tokenizers library behind a memo of words: what stands between ASCII blanks or line ends, without the marks after a letter.
 
-    The tokenizer normalises, cuts and merges between blanks only, so the ids of a text are those of its words.
+    The tokenizer normalises, cuts and merges between blanks only, and cuts between a letter and a mark that is no apostrophe, so
+    the ids of a text are those of its words. Each step of texts looks every distinct word up once.
     """
 
     def __init__(self, path: str):
@@ -113,74 +116,110 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Ids (little-endian uint32) of each text."""
-        low = LOWER[data]
-        low[low == 10] = 32
-        mark = np.flatnonzero((low == 44) | (low == 46))
-        before, after = low[np.maximum(mark - 1, 0)], low[np.minimum(mark + 1, len(low) - 1)]
-        plain = ((before >= 97) & (before <= 122) | (before >= 48) & (before <= 57)) & (mark > 0)
-        mark = mark[plain & ((after == 32) | (mark == len(low) - 1))]
-        low = np.insert(low, mark, 32)
-        offsets = offsets + np.searchsorted(mark, offsets)
-        raw, known = low.tobytes(), self.known
-        texts = [raw[a:b].split(b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        new = {w for words in texts for w in words if w not in known}
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = {w for words in texts for w in words}
+        self.known: dict[int, bytes] = {}
+
+    def ids(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, known by their 64-bit hash."""
+        keys = hashes.tolist()
+        found = [self.known.get(k) for k in keys]
+        new = [i for i, x in enumerate(found) if x is None]
+        if len(self.known) + len(new) > MEMO:
+            self.known.clear()
         if new:
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in texts]
+            raw = data.tobytes()
+            made = self.tokenizer.encode_batch([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
+            for i, e in zip(new, made, strict=True):
+                found[i] = self.known[keys[i]] = np.array(e.ids, "<u4").tobytes()
+        return found
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin."""
+        low = LOWER[data]
+        breaks = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
+        starts, ends, firsts = word_spans(low, offsets, _INSIDE, breaks)
+        which, distinct = pd.factorize(word_hashes(low, starts, ends))
+        one = np.zeros(len(distinct), np.int64)
+        one[which[::-1]] = np.arange(len(which))[::-1]
+        ids = self.ids(distinct, low, starts[one], ends[one])
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[which]
+        after = np.concatenate([[0], np.cumsum(each)])
+        return flat[np.repeat(begin[which] - after[:-1], each) + np.arange(after[-1])], after[firsts]
+
+
+_INSIDE = np.ones(256, bool)
+_INSIDE[[10, 32]] = False
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False  # apostrophes join letters: 's, 't
+_WORDS: dict[str, Words] = {}
 
 
-_WORDS: dict[str, Words] = {}
+def words_of(tokenizer: str) -> Words:
+    """One memo per file in each Python worker."""
+    if tokenizer not in _WORDS:
+        _WORDS[tokenizer] = Words(tokenizer)
+    return _WORDS[tokenizer]
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+    """Per row: doc_id and its ids with the end id, as little-endian numbers of two bytes, or four where one needs them (size says)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(tokenizer)
+        for batch in batches:
+            for a, b, data, offsets in steps(batch.column(1)):
+                ids, cuts = words.encode(data, offsets)
+                ids = np.insert(ids, cuts[1:], end_id)
+                cuts = cuts + np.arange(len(cuts))
+                size = 2 if int(ids.max()) < 1 << 16 else 4
+                raw = ids.astype(f"<u{size}").tobytes()
+                lists = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cuts * size).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(np.full(b - a, size, np.int32)), lists], schema=_IDS)
+
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, size int, ids binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: int = BLOCK) -> None:
-    """Encode all texts and write their ids in ascending doc_id order as blocks under `path`."""
+    """Encode all texts and write their ids in ascending doc_id order as blocks under `path`. Ids are shuffled, not texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.setdefault(tokenizer, None) or Words(tokenizer)
-        _WORDS[tokenizer] = words
-        shard, number, first, end = TaskContext.get().partitionId(), 0, 0, struct.pack("<I", end_id)
-        held: list[bytes] = []
+        shard, number, first = TaskContext.get().partitionId(), 0, 0
+        held: list[np.ndarray] = []
         names: list = []
-        counts: list[int] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal number, first, held, names, counts
-            ids = np.frombuffer(b"".join(held), "<u4")
-            out = [[shard], [number], [first], [len(ids)], [names], [counts], [pack(ids)]]
-            number, first, held, names, counts = number + 1, first + len(ids), [], [], []
+            nonlocal number, first, held, names
+            ids = np.concatenate(held)
+            out = [[shard], [number], [first], [len(ids)], [names], [[len(x) for x in held]], [pack(ids)]]
+            number, first, held, names = number + 1, first + len(ids), [], []
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOCKS, strict=True)], schema=_BLOCKS)
 
+        n = 0
         for batch in batches:
-            for a, b, data, offsets in steps(batch.column(1)):
-                for doc_id, ids in zip(batch.column(0)[a:b].to_pylist(), words.encode(data, offsets), strict=True):
-                    held.append(ids + end)
-                    names.append(doc_id)
-                    counts.append(len(ids) // 4 + 1)
-                    if sum(counts[-1:]) >= block or len(counts) % 16 == 0 and sum(counts) >= block:
-                        yield close()
+            for doc_id, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held.append(np.frombuffer(raw.as_buffer(), f"<u{size}").astype(np.uint32))
+                names.append(doc_id)
+                n += len(held[-1])
+                if n >= block:
+                    n = 0
+                    yield close()
         if names:
             yield close()
 
-    ordered = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    ordered = ordered.repartitionByRange(spread(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = encoded(docs, tokenizer, end_id).repartitionByRange(spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, "shard int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, payload binary").write.parquet(path)
+    settle(docs.sparkSession)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     blocks = spark.read.parquet(path)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row per written partition
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.join(shards.select("shard", before.alias("before")), "shard")
+    placed = blocks.join(F.broadcast(shards.select("shard", before.alias("before"))), "shard")  # a row per written partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

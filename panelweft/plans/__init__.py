@@ -1 +1 @@
-"""Part of the panel forecasting and evaluation library."""
+"""Registered queries over panels that are derived from the given tables."""

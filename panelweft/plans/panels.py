@@ -79,7 +79,7 @@ def forecasts(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFr
     s = s if s is not None else series(spark, d)
     o = origins(spark, d, s)
     flat = channels.naive(s, o).unionByName(channels.seasonal_naive(s, o)).crossJoin(F.broadcast(horizons(spark))).where("step <= h")
-    return flat.select("channel", "entity", "origin", "h", "step", "yhat").unionByName(channels.historical_mean(s, o, HORIZONS))
+    return flat.select("channel", "entity", "origin", "h", "step", "yhat").unionByName(channels.historical_mean(s, o, HORIZONS, 0.317))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ hs AS (SELECT CAST(unnest([4, 8, 13]) AS INT) AS h), st AS (SELECT CAST(unnest(r
 lvl AS (SELECT entity, date AS origin, avg(y) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS level FROM series),
 forecasts AS (SELECT 'naive' AS channel, entity, origin, h, step, y0 AS yhat FROM origins, hs, st WHERE step <= h
   UNION ALL SELECT 'snaive', o.entity, origin, h, step, s.y FROM origins o, hs, st JOIN series s ON s.entity = o.entity AND s.widx = o.widx + step - 52 WHERE step <= h
-  UNION ALL SELECT 'histmean', o.entity, o.origin, h, step, greatest(round(y0 + 0.3 * pow(step / h, 2) * (level - y0), 2), 0.0)
+  UNION ALL SELECT 'histmean', o.entity, o.origin, h, step, greatest(round(y0 + 0.317 * pow(step / h, 2) * (level - y0), 2), 0.0)
   FROM origins o JOIN lvl USING (entity, origin), hs, st WHERE step <= h)""",
     "cells": """
 act AS (SELECT o.entity, o.origin, h, step, s.date AS target_date, s.y, count(*) OVER (PARTITION BY o.entity, o.origin, h) AS n

@@ -1,4 +1,294 @@
 """The registered queries of the panel operators and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.draws import draw_sql
+from ..operators import backtest as bt
+from ..operators import channels as ch
+from ..operators import fusion as fu
+from ..operators import graph as gr
+from ..operators import guards as gu
+from ..operators import joins as jo
+from ..operators import losses as lo
+from ..operators import stats as stt
+from ..operators import windows as wi
+from ..sources import ingest as ing
+from . import panels as pa
+from .panels import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, floats: str = ""):
+    """Registers a query under its function's name; the named columns are rounded to six places on both sides."""
+    names = floats.split()
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            out = f(spark, d)
+            return out.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in names})
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            fixed = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in names)
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({fixed}) FROM ({oracle})" if names else oracle
+        return f
+
+    return register
+
+
+# Ingestion
+
+
+@query(sql("SELECT entity, date, y FROM weekly WHERE y IS NOT NULL AND date <= DATE '1999-12-27'", "weekly"))
+def s1_unpivot_weekly(spark, d):
+    """Weekly counts pivoted wide, read back long; S2's cap drops the later date columns."""
+    wide = pa.weekly(spark, d).withColumn("d", F.col("date").cast("string"))
+    dates = [str(r[0]) for r in ing.week_grid(spark, pa.FIRST, pa.LAST).collect()]  # one name per week of the grid
+    wide = wide.groupBy("entity").pivot("d", dates).agg(F.first("y"))
+    return ing.unpivot_weekly(wide, "entity", cap="1999-12-27").where("y IS NOT NULL")
+
+
+@query(sql("""SELECT entity, date, last_value(n IGNORE NULLS) OVER w AS n_orders, last_value(p IGNORE NULLS) OVER w AS price FROM (
+  SELECT c_mktsegment AS entity, CAST(date_trunc('week', o_orderdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS n, CASE WHEN count(*) % 2 = 0 THEN CAST(count(DISTINCT o_custkey) AS DOUBLE) END AS p
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)""", "weekly"))
+def s3_merge_metrics(spark, d):
+    """Two metrics merged on (entity, date) and carried forward within the entity."""
+    o, c = pa.table(spark, d, "orders"), pa.table(spark, d, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("entity"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("date"))
+    both = j.agg(F.count("*").cast("double").alias("n"), F.count_distinct("o_custkey").cast("double").alias("k"))
+    return ing.merge_metrics({"n_orders": both.select("entity", "date", F.col("n").alias("y")), "price": both.where("n % 2 = 0").select("entity", "date", F.col("k").alias("y"))})
+
+
+@query(sql("""SELECT entity, 'y' AS metric, min(CASE WHEN y IS NOT NULL THEN date END) AS first_valid,
+  CAST(sum(CASE WHEN y IS NULL AND date > f THEN 1 ELSE 0 END) AS BIGINT) AS interior_gaps
+  FROM (SELECT *, min(CASE WHEN y IS NOT NULL THEN date END) OVER (PARTITION BY entity) AS f FROM weekly) GROUP BY entity""", "weekly"))
+def s3_gap_report(spark, d):
+    """First valid date and interior gaps per entity and metric."""
+    return ing.gap_report(pa.weekly(spark, d), ["y"])
+
+
+@query(sql("SELECT series, obs_date, value, available_date FROM monthly", "weekly", "monthly"), "value")
+def s4_availability(spark, d):
+    """Publication lags as available_date."""
+    return ing.with_availability(pa.monthly(spark, d), pa.LAGS)
+
+
+@query("SELECT CAST(t.d AS DATE) AS date, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN CAST(t.d AS DATE) AND CAST(t.d AS DATE) + 6) AS n_orders FROM generate_series(TIMESTAMP '1995-01-07', TIMESTAMP '1996-12-28', INTERVAL 7 DAY) t(d)")
+def s5_week_grid(spark, d):
+    """A Saturday grid, and the orders of each of its weeks."""
+    grid = ing.week_grid(spark, "1995-01-02", "1996-12-31", "Sat")
+    o = pa.table(spark, d, "orders").select(F.date_sub(F.next_day(F.to_date("o_orderdate"), "Sat"), 7).alias("date")).groupBy("date").agg(F.count("*").alias("n"))
+    return grid.join(o, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS entity, c AS population, s AS area, CAST(c AS DOUBLE) / nullif(s, 0) AS density FROM (SELECT DISTINCT c_nationkey AS n_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer)
+  LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""", "density")
+def s6_build_static(spark, d):
+    """Static attributes of nations with a density."""
+    c = pa.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("entity")).agg(F.count("*").alias("population"))
+    s = pa.table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("entity")).agg(F.count("*").alias("area"))
+    return ing.build_static(c, s).select("entity", "population", "area", "density")
+
+
+_XW = "SELECT DISTINCT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS code, c_mktsegment AS entity FROM customer"
+
+
+@query(_XW)
+def s7_crosswalk(spark, d):
+    """Zero-padded codes of two parts, mapped to entities."""
+    c = pa.table(spark, d, "customer").withColumn("part", F.col("c_custkey") % 1000)
+    return ing.crosswalk(c, "c_nationkey", "part", "c_mktsegment")
+
+
+@query(f"""WITH x AS ({_XW}), e AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS code, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT m.entity, CAST(coalesce(n, 0) AS BIGINT) AS n_events FROM (SELECT DISTINCT c_mktsegment AS entity FROM customer) m
+LEFT JOIN (SELECT entity, count(*) AS n FROM e JOIN x USING (code) WHERE o_totalprice > 200000 GROUP BY 1) USING (entity)""")
+def s8_impact_counts(spark, d):
+    """Orders over a price as damaging events, counted per entity with zeros kept."""
+    o, c = pa.table(spark, d, "orders"), pa.table(spark, d, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    code = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
+    events = j.select(code.alias("code"), (F.col("o_totalprice") > 200000).cast("int").alias("damage"))
+    return ing.impact_counts(events, s7_crosswalk(spark, d), c.select(F.col("c_mktsegment").alias("entity")), ["damage"])
+
+
+@query(sql("SELECT DISTINCT entity, event, week FROM evw", "weekly", "events"))
+def s9_expand_active_weeks(spark, d):
+    """Events on every Monday on which they were active."""
+    return ing.expand_active_weeks(pa.events(spark, d))
+
+
+@query(sql("SELECT entity, event, week, impact, confidence FROM evw", "weekly", "events"), "impact confidence")
+def s10_attach_interpretation(spark, d):
+    """One interpretation per event on all of its weeks."""
+    e = pa.events(spark, d)
+    return ing.attach_interpretation(ing.expand_active_weeks(e), e.select("entity", "event", "impact", "confidence"))
+
+
+@query(sql("""SELECT entity, origin, h, step, 'ext' AS channel, CASE WHEN count(v) OVER (PARTITION BY entity, origin, h) = h THEN v END AS yhat FROM (
+  SELECT c.entity, c.origin, c.h, c.step, CASE WHEN NOT (extract(day FROM c.origin) % 5 = 0 AND c.step = 6) THEN o.y0 END AS v FROM cells c JOIN origins o USING (entity, origin) WHERE c.channel = 'naive')""", "cells"), "yhat")
+def s11_import_external(spark, d):
+    """External forecasts with steps missing: only complete cells keep them."""
+    s = pa.series(spark, d)
+    ext = ch.naive(s, pa.origins(spark, d, s)).where(~((F.dayofmonth("origin") % 5 == 0) & (F.col("step") == 6)))
+    return ing.import_external(pa.cells(spark, d).where("channel = 'naive'"), ext, "ext")
+
+
+@query(sql("""SELECT DISTINCT entity, origin, channel FROM (SELECT entity, origin, unnest(['naive', 'snaive', 'flow']) AS channel FROM origins)
+  WHERE (entity, origin, channel) NOT IN (SELECT (entity, origin, channel) FROM (SELECT DISTINCT entity, origin, channel FROM forecasts WHERE channel = 'naive' AND extract(day FROM origin) > 7))""", "forecasts"))
+def s12_missing_cells(spark, d):
+    """(entity, origin, channel) that a partly filled store still lacks."""
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    need = o.select("entity", "origin", F.explode(F.array(*[F.lit(c) for c in ("naive", "snaive", "flow")])).alias("channel"))
+    store = ch.naive(s, o).where(F.dayofmonth("origin") > 7)
+    return ing.missing_cells(store, need, ["entity", "origin", "channel"])
+
+
+@query(sql("SELECT channel, entity, origin, h, step, yhat FROM forecasts WHERE h = 4 AND channel = 'naive'", "forecasts"), "yhat")
+def s13_read_cells(spark, d):
+    """Strict lookup of stored forecasts."""
+    f = pa.forecasts(spark, d)
+    keys = ["channel", "entity", "origin", "h"]
+    return ing.read_cells(f, f.where("h = 4 AND channel = 'naive'").select(*keys), keys).select("channel", "entity", "origin", "h", "step", "yhat")
+
+
+_REV = sql("""SELECT entity, date, CASE WHEN b.y2 IS NULL AND NOT b.has THEN 'removed' ELSE 'changed' END AS change, CASE WHEN NOT b.has THEN '' ELSE 'y' END AS "column",
+  CASE WHEN b.has THEN y END AS old_value, y2 AS new_value FROM (SELECT *, widx % 50 <> 0 AS has, CASE WHEN widx % 50 <> 0 THEN CASE WHEN widx % 7 = 0 THEN y * 1.01 ELSE y END END AS y2 FROM series) b
+  WHERE NOT has OR y <> y2""", "series")
+
+
+def _revised(spark, d):
+    s = pa.series(spark, d)
+    return s, s.where("widx % 50 <> 0").withColumn("y", F.when(F.col("widx") % 7 == 0, F.col("y") * 1.01).otherwise(F.col("y")))
+
+
+@query(_REV, "old_value new_value")
+def s15_revision_diff(spark, d):
+    """A vintage against its revision: rows gone and values changed."""
+    return ing.revision_diff(*_revised(spark, d), ["entity", "date"], ["y"])
+
+
+@query(f"""SELECT CAST(sum(CASE WHEN abs(new_value / old_value - 1) > 0.005 THEN 1 ELSE 0 END) AS DOUBLE) / any_value(n) AS share_large,
+ CAST(sum(CASE WHEN abs(new_value / old_value - 1) > 0.005 THEN 1 ELSE 0 END) AS DOUBLE) / any_value(n) > 0.01 AS material, median(abs((new_value - old_value) / old_value)) AS median_change, max(abs((new_value - old_value) / old_value)) AS max_change
+ FROM ({_REV}) r, ({sql('SELECT count(*) AS n FROM series', 'series')}) t WHERE change = 'changed'""", "share_large median_change max_change")
+def s16_revision_materiality(spark, d):
+    """How much of the panel a revision moved."""
+    old, new = _revised(spark, d)
+    return ing.revision_materiality(ing.revision_diff(old, new, ["entity", "date"], ["y"]), old)
+
+
+@query(sql("""SELECT entity, count(*) AS n_rows, CAST(sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, min(date) AS first_date, max(date) AS last_date,
+  CAST(sum(CASE WHEN y IS NULL AND (f IS NULL OR date < f) THEN 1 ELSE 0 END) AS BIGINT) AS leading_gaps, CAST(sum(CASE WHEN y IS NULL AND date > f THEN 1 ELSE 0 END) AS BIGINT) AS interior_gaps
+  FROM (SELECT *, min(CASE WHEN y IS NOT NULL THEN date END) OVER (PARTITION BY entity) AS f FROM (SELECT CAST(e.k AS VARCHAR) AS entity, CAST(t.d AS DATE) AS date, w.y FROM (SELECT DISTINCT c_nationkey AS k FROM customer) e
+  CROSS JOIN generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '2001-07-23', INTERVAL 7 DAY) t(d) LEFT JOIN (SELECT c_nationkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS wd, count(*) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) w ON w.c_nationkey = e.k AND w.wd = CAST(t.d AS DATE))) GROUP BY entity""", "weekly"))
+def s17_coverage(spark, d):
+    """Coverage of the weekly panel of nations."""
+    return ing.coverage(pa.weekly(spark, d, "c_nationkey"))
+
+
+# Joins
+
+
+@query(sql("SELECT entity, date, y, widx, disc, tax, qty FROM aligned", "aligned"), "y disc tax qty")
+def j1_asof_join(spark, d):
+    """The panel with the latest published factors."""
+    return pa.aligned(spark, d)
+
+
+@query("""WITH wk AS (SELECT CAST(c_nationkey AS VARCHAR) AS entity, CAST(date_trunc('week', o_orderdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+g AS (SELECT CAST(e.k AS VARCHAR) AS entity, CAST(t.d AS DATE) AS date FROM (SELECT DISTINCT c_nationkey AS k FROM customer) e, generate_series(TIMESTAMP '1995-01-02', TIMESTAMP '2001-07-23', INTERVAL 7 DAY) t(d)),
+f AS (SELECT g.entity, g.date, wk.y, last_value(wk.y IGNORE NULLS) OVER (PARTITION BY g.entity ORDER BY g.date ROWS UNBOUNDED PRECEDING) AS filled_value FROM g LEFT JOIN wk ON wk.entity = g.entity AND wk.date = g.date)
+SELECT date, entity, filled_value FROM f WHERE y IS NULL AND filled_value IS NOT NULL""")
+def j2_ffill_log(spark, d):
+    """Every filled gap of the panel of nations."""
+    return jo.ffill_log(pa.weekly(spark, d, "c_nationkey"))[1]
+
+
+@query(sql("SELECT a.entity, a.date, a.y, b.y AS lagged FROM series a LEFT JOIN series b ON b.entity = a.entity AND b.date = a.date - 42"))
+def j3_calendar_lag(spark, d):
+    """The value exactly six weeks before."""
+    return jo.calendar_lag(pa.series(spark, d), "y", 6, "lagged").select("entity", "date", "y", "lagged")
+
+
+@query(sql("SELECT entity, date, lag(y, 4) OVER w AS before, lead(y, 2) OVER w AS after FROM series WINDOW w AS (PARTITION BY entity ORDER BY date)"))
+def j4_positional(spark, d):
+    """Values four rows before and two after."""
+    s = pa.series(spark, d)
+    return jo.positional(jo.positional(s, "y", 4, "before"), "y", -2, "after").select("entity", "date", "before", "after")
+
+
+@query(sql("SELECT entity, origin, h, step, target_date, y FROM act WHERE n = h", "cells"))
+def j5_forward_actuals(spark, d):
+    """The next rows after each origin, complete cells only."""
+    s = pa.series(spark, d)
+    return jo.forward_actuals(s, pa.origins(spark, d, s), pa.horizons(spark))
+
+
+@query(sql("SELECT o.entity, o.origin, h, CAST(o.origin + 7 * h AS DATE) AS target_date, s.y FROM origins o, hs JOIN series s ON s.entity = o.entity AND s.date = o.origin + 7 * h", "forecasts"))
+def j6_calendar_targets(spark, d):
+    """Values a fixed number of weeks after each origin."""
+    s = pa.series(spark, d)
+    return jo.calendar_targets(s, pa.origins(spark, d, s), pa.horizons(spark)).select("entity", "origin", "h", "target_date", "y")
+
+
+_ONE = "one AS (SELECT entity, week AS event_week, (min({'b': begin_date, 'e': event, 'i': impact, 'c': confidence})) AS x FROM evw GROUP BY ALL)"
+
+
+@query(sql(f"""SELECT s.entity, s.date AS week, a.x.e AS event, a.x.i AS impact, CAST((s.date - a.event_week) // 7 AS INT) AS age_weeks, coalesce((s.date - a.event_week) / 7.0 <= 8, false) AS live
+  FROM series s ASOF LEFT JOIN (WITH {_ONE} SELECT * FROM one) a ON a.entity = s.entity AND s.date >= a.event_week""", "series", "events"), "impact")
+def j7_active_event(spark, d):
+    """The latest event at each week, its age, and whether it is live."""
+    asks = pa.series(spark, d).select("entity", F.col("date").alias("week"))
+    return jo.active_event(asks, pa.event_weeks(spark, d)).select("entity", "week", "event", "impact", "age_weeks", "live")
+
+
+@query(sql("SELECT s.entity, s.date AS origin, f.fold, coalesce(f.fold, 4) AS fold_or_last FROM series s LEFT JOIN folds f ON s.date BETWEEN f.test_start AND f.test_end", "folds"))
+def j8_fold_of(spark, d):
+    """The fold of each date, with and without the fallback to the last one."""
+    rows = pa.series(spark, d).select("entity", F.col("date").alias("origin"))
+    both = jo.fold_of(rows, pa.folds(spark)).join(jo.fold_of(rows, pa.folds(spark), fallback=True).withColumnRenamed("fold", "fold_or_last"), ["entity", "origin"])
+    return both.select("entity", "origin", "fold", "fold_or_last")
+
+
+@query("SELECT a.k AS source, b.k AS target FROM (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS k FROM customer) a, (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS k FROM customer) b WHERE a.k <> b.k")
+def j9_ordered_pairs(spark, d):
+    """All ordered pairs of nations."""
+    return jo.ordered_pairs(pa.table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("entity")))
+
+
+@query(sql("""SELECT channel, entity, origin, h, step, yhat FROM forecasts WHERE NOT (channel = 'snaive' AND extract(day FROM origin) < 5)
+  AND (entity, origin, h) IN (SELECT (entity, origin, h) FROM forecasts WHERE NOT (channel = 'snaive' AND extract(day FROM origin) < 5) GROUP BY entity, origin, h HAVING count(*) = 3 * h)""", "forecasts"), "yhat")
+def j10_complete_cells(spark, d):
+    """Cells for which every channel is there."""
+    f = pa.forecasts(spark, d).where(~((F.col("channel") == "snaive") & (F.dayofmonth("origin") < 5)))
+    return jo.complete_cells(f, pa.CHANNELS).select("channel", "entity", "origin", "h", "step", "yhat")
+
+
+@query(sql("""SELECT h, origin, entity, channel, mape FROM losses l WHERE NOT (channel = 'snaive' AND entity = 'BUILDING' AND extract(day FROM origin) < 10)
+  AND NOT EXISTS (SELECT 1 FROM losses b WHERE b.h = l.h AND b.origin = l.origin AND b.channel = 'snaive' AND b.entity = 'BUILDING' AND extract(day FROM b.origin) < 10)""", "losses"), "mape")
+def j11_complete_weeks(spark, d):
+    """Weeks in which no entity lacks a method."""
+    raw = pa.cell_losses(spark, d).where(~((F.col("channel") == "snaive") & (F.col("entity") == "BUILDING") & (F.dayofmonth("origin") < 10)))
+    return jo.complete_weeks(raw, pa.CHANNELS).select("h", "origin", "entity", "channel", "mape")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS snapped FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-02' AND DATE '2001-07-29'")
+def j12_snap_to_grid(spark, d):
+    """Every order's date snapped to the Monday grid."""
+    o = pa.table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.to_date("o_orderdate").alias("date"))
+    return jo.snap_to_grid(o.where("date BETWEEN '1995-01-02' AND '2001-07-29'"), ing.week_grid(spark, pa.FIRST, pa.LAST), "date").select("o_orderkey", "snapped")
+
+
+@query(sql("""SELECT count(*) FILTER (x IS NOT NULL) AS n_both, count(*) FILTER (x IS NULL) AS n_first_only, CAST(0 AS BIGINT) AS n_second_only, max(abs(y - x)) AS max_abs, max(abs(y - x) / abs(y)) AS max_rel,
+  quantile_cont(abs(y - x), 0.99) AS p99_abs, median(abs(y - x)) AS median_abs FROM (SELECT y, CASE WHEN widx % 50 <> 0 THEN CASE WHEN widx % 7 = 0 THEN y * 1.01 ELSE y END END AS x FROM series)"""), "max_abs max_rel p99_abs median_abs")
+def j13_parity(spark, d):
+    """Two runs over the same keys."""
+    return jo.parity(*_revised(spark, d), ["entity", "date"], "y")

@@ -23,6 +23,8 @@ from .panels import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Added before rounding, so that a value half way between two roundings goes the same way in both engines.
+NUDGE = 1.23e-08
 
 
 def query(oracle: str | None = None, floats: str = ""):
@@ -32,11 +34,11 @@ def query(oracle: str | None = None, floats: str = ""):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, d: str) -> DataFrame:
             out = f(spark, d)
-            return out.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in names})
+            return out.withColumns({c: F.round(F.col(c).cast("double") + NUDGE, 6) + F.lit(0.0) for c in names})
 
         QUERIES[f.__name__] = run
         if oracle:
-            fixed = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in names)
+            fixed = ", ".join(f"round(CAST({c} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {c}" for c in names)
             ORACLES[f.__name__] = f"SELECT * REPLACE ({fixed}) FROM ({oracle})" if names else oracle
         return f
 
@@ -292,3 +294,252 @@ def j12_snap_to_grid(spark, d):
 def j13_parity(spark, d):
     """Two runs over the same keys."""
     return jo.parity(*_revised(spark, d), ["entity", "date"], "y")
+
+
+# Guards
+
+
+@query(sql("SELECT entity, date, y FROM series WHERE date > DATE '2000-06-05' - 42"))
+def c1_lookahead(spark, d):
+    """Rows past the as-of date less a lag."""
+    return gu.lookahead_violations(pa.series(spark, d), "2000-06-05", lag_days=42).select("entity", "date", "y")
+
+
+@query(sql("""SELECT entity, origin, h, step, channel, target_date >= DATE '2001-01-01' AS bleed FROM cells WHERE target_date <= DATE '2001-02-26'""", "cells"))
+def c2_scoring_guard(spark, d):
+    """Disclosed scoring up to the cap, with the cells that bleed into the reserved window."""
+    return gu.scoring_guard(pa.cells(spark, d), pa.RESERVED, "2001-02-26", disclosed=True).select("entity", "origin", "h", "step", "channel", "bleed")
+
+
+@query(sql(""", bad AS (SELECT * REPLACE (CASE WHEN channel = 'snaive' AND widx % 40 = 0 AND step = 2 THEN NULL WHEN channel = 'histmean' AND widx % 40 = 1 AND step = 1 THEN -1.0 ELSE yhat END AS yhat)
+  FROM forecasts JOIN (SELECT entity, origin, widx FROM origins) USING (entity, origin) WHERE h = 4 AND NOT (channel = 'naive' AND widx % 40 = 2) AND NOT (channel = 'naive' AND widx % 40 = 3 AND step = 4))
+SELECT entity, origin, h, channel, 'missing' AS problem FROM bad WHERE yhat IS NULL UNION ALL SELECT entity, origin, h, channel, 'negative' FROM bad WHERE yhat < 0
+UNION ALL SELECT entity, origin, h, channel, 'length' FROM bad GROUP BY ALL HAVING count(*) <> 4
+UNION ALL SELECT entity, origin, 4, 'naive', 'absent' FROM origins WHERE widx % 40 = 2""", "forecasts"))
+def c3_contract_violations(spark, d):
+    """Forecasts with planted faults against the contract."""
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    f = pa.forecasts(spark, d, s).where("h = 4").join(o, ["entity", "origin"]).where("NOT (channel = 'naive' AND widx % 40 = 2) AND NOT (channel = 'naive' AND widx % 40 = 3 AND step = 4)")
+    bad = F.when((F.col("channel") == "snaive") & (F.col("widx") % 40 == 0) & (F.col("step") == 2), None).when((F.col("channel") == "histmean") & (F.col("widx") % 40 == 1) & (F.col("step") == 1), -1.0).otherwise(F.col("yhat"))
+    return gu.contract_violations(f.withColumn("yhat", bad), pa.CHANNELS)
+
+
+@query(sql("SELECT fold, o.origin, CAST(test_start - o.origin AS INT) AS gap_days FROM folds, (SELECT DISTINCT origin FROM origins) o WHERE o.origin <= train_end + 98 AND o.origin > train_end - 98 AND test_start - o.origin < 91", "origins"))
+def c4_embargo(spark, d):
+    """Candidate training ends too close to each fold's test window."""
+    s = pa.series(spark, d)
+    ends = pa.origins(spark, d, s).select(F.col("origin").alias("end")).distinct()
+    f = pa.folds(spark).join(ends, F.col("end").between(F.date_sub("train_end", 97), F.date_add("train_end", 98))).withColumn("train_end", F.col("end"))
+    return gu.embargo_violations(f).select("fold", F.col("end").alias("origin"), "gap_days")
+
+
+@query(sql("""SELECT entity, origin, h, step, channel FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.entity = c.entity AND x.origin = c.origin AND x.h = c.h
+  AND (x.origin BETWEEN DATE '1998-03-02' AND DATE '1998-07-06' OR x.target_date BETWEEN DATE '1998-03-02' AND DATE '1998-07-06'))""", "cells"))
+def c5_exclude_window(spark, d):
+    """Cells without an origin or target in the excluded window."""
+    return gu.exclude_window(pa.cells(spark, d), "1998-03-02", "1998-07-06").select("entity", "origin", "h", "step", "channel")
+
+
+@query(sql("""SELECT c.entity, c.origin, c.h, max(CASE WHEN s.widx % 29 = 0 THEN 1 ELSE 0 END) = 1 AS touched FROM cells c JOIN series s ON s.entity = c.entity AND (s.date = c.target_date OR s.date = c.origin)
+  WHERE c.channel = 'naive' GROUP BY ALL""", "cells"))
+def c6_touches_filled(spark, d):
+    """Cells with an imputed target or origin; every 29th row counts as imputed."""
+    log = pa.series(spark, d).where("widx % 29 = 0")
+    return gu.touches_filled(pa.cells(spark, d).where("channel = 'naive'"), log, True)
+
+
+@query(sql("SELECT entity, origin, h, channel, fold, mape FROM val", "val"), "mape")
+def c7_in_validation(spark, d):
+    """Validation cells of every fold with bounded targets."""
+    return fu.validation(pa.cell_losses(spark, d), pa.folds(spark)).select("entity", "origin", "h", "channel", "fold", "mape")
+
+
+@query("""SELECT CAST(event_id AS BIGINT) AS event_id, value AS raw_impact, c <= 0.60 AS gated, CASE WHEN c <= 0.60 THEN 0.0 ELSE v END AS impact FROM (
+  SELECT event_id, (event_id % 27 - 13) / 10.0 AS v, (event_id % 12) / 10.0 AS c, event_type, (event_id % 27 - 13) / 10.0 AS value FROM events)
+  WHERE event_type IN ('click', 'view', 'purchase') AND v BETWEEN -1 AND 1 AND c BETWEEN 0 AND 1 AND event_id % 9 <> 0""", "raw_impact impact")
+def c8_gate_events(spark, d):
+    """Accepted events, with impact 0 at or under the confidence floor."""
+    i = F.col("event_id").cast("bigint")
+    e = pa.table(spark, d, "events").select(i.alias("event_id"), "event_type", ((i % 27 - 13) / 10.0).cast("double").alias("impact"), ((i % 12) / 10.0).cast("double").alias("confidence"), F.when(i % 9 == 0, "  ").otherwise("text").alias("reasoning"))
+    return gu.gate_events(e, ["click", "view", "purchase"])[0].select("event_id", "raw_impact", "gated", "impact")
+
+
+def _flags(spark, d):
+    k = F.col("o_orderkey").cast("bigint")
+    return pa.table(spark, d, "orders").select(
+        k.alias("event"), (k % 2 == 0).alias("ih"), (k % 3 == 0).alias("ia"), (k % 5 == 0).alias("pa"), (k % 7 == 0).alias("hm"),
+        F.when(k % 4 == 0, "DR").when(k % 4 == 1, "EM").otherwise("FM").alias("declaration_type"), ((k % 21 - 10) / 10.0).cast("double").alias("impact"),
+    )
+
+
+_FL = "SELECT CAST(o_orderkey AS BIGINT) AS event, o_orderkey % 2 = 0 AS ih, o_orderkey % 3 = 0 AS ia, o_orderkey % 5 = 0 AS pa, o_orderkey % 7 = 0 AS hm, CASE o_orderkey % 4 WHEN 0 THEN 'major disaster' WHEN 1 THEN 'emergency' ELSE 'other' END AS note, (o_orderkey % 21 - 10) / 10.0 AS impact FROM orders"
+
+
+@query(f"""SELECT event, n_programs, note, programs, note || ' with ' || n_programs || ' of 4 programs: ' || CASE WHEN n_programs > 0 THEN programs ELSE 'none' END AS sentence FROM (
+  SELECT event, note, CAST(ih AS INT) + CAST(ia AS INT) + CAST(pa AS INT) + CAST(hm AS INT) AS n_programs, concat_ws(', ', CASE WHEN ih THEN 'ih' END, CASE WHEN ia THEN 'ia' END, CASE WHEN pa THEN 'pa' END, CASE WHEN hm THEN 'hm' END) AS programs FROM ({_FL}))""")
+def c9_severity(spark, d):
+    """Program counts, notes and sentences of declarations."""
+    return gu.severity(_flags(spark, d), ["ih", "ia", "pa", "hm"]).select("event", "n_programs", "note", "programs", "sentence")
+
+
+@query(f"""SELECT event, abs(impact) >= least(n, 3) * 0.2 - 1e-9 AND abs(impact) <= CASE WHEN n >= 3 THEN 1.0 ELSE (n + 1) * 0.2 END + 1e-9 AS in_band FROM (
+  SELECT *, CAST(ih AS INT) + CAST(ia AS INT) + CAST(pa AS INT) + CAST(hm AS INT) AS n FROM ({_FL}))""")
+def c10_rubric_band(spark, d):
+    """Whether the impact fits the band of the program count."""
+    return gu.rubric_band(gu.severity(_flags(spark, d), ["ih", "ia", "pa", "hm"])).select("event", "in_band")
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS event, CASE WHEN lower(o_orderpriority) LIKE '%urgent%' THEN 'urgent' WHEN lower(o_orderpriority) LIKE '%high%' THEN 'high' ELSE 'other' END AS label,
+  NOT ((o_orderkey % 3 = 0 AND o_orderkey % 5 > 2) OR (o_orderkey % 3 = 1 AND o_orderkey % 5 < 2)) AS consistent FROM orders""")
+def c11_sign_consistent(spark, d):
+    """Short titles, and whether words and sign agree."""
+    k = F.col("o_orderkey").cast("bigint")
+    words = F.when(k % 3 == 0, "Prices will FALL soon").when(k % 3 == 1, "a strong rise").otherwise("no view")
+    e = pa.table(spark, d, "orders").select(k.alias("event"), words.alias("reasoning"), (k % 5 - 2).cast("double").alias("impact"), gu.short_title("o_orderpriority", {"urgent": "urgent", "high": "high"}).alias("label"))
+    return gu.sign_consistent(e).select("event", "label", "consistent")
+
+
+@query(sql("""SELECT DISTINCT date, CAST(weekofyear(date) AS INT) AS iso_week, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, weekofyear(date) BETWEEN 13 AND 26 AS spring,
+  date >= make_date(year(date), 11, 22) + CAST((4 - isodow(make_date(year(date), 11, 22)) + 7) % 7 AS INT) OR (month(date) = 1 AND day(date) = 1) AS holiday FROM series"""))
+def c12_calendar_features(spark, d):
+    """Calendar features of every week."""
+    return gu.calendar_features(pa.series(spark, d).select("date").distinct(), "date")
+
+
+@query(sql("SELECT 'tax' AS factor, 'repeated date' AS problem UNION ALL SELECT 'qty', 'negative lag' UNION ALL SELECT 'disc', 'two lags'", "weekly"))
+def c13_exogenous_problems(spark, d):
+    """Faults of a lag-tagged factor table with planted ones."""
+    m = pa.monthly(spark, d).select(F.col("series").alias("factor"), F.col("obs_date").alias("date"), "value")
+    lag = F.when(F.col("factor") == "qty", -1).when((F.col("factor") == "disc") & (F.month("date") == 1), 7).otherwise(6)
+    return gu.exogenous_problems(m.withColumn("lag", lag).unionByName(m.where("factor = 'tax'").withColumn("lag", F.lit(6))))
+
+
+@query(sql("SELECT entity, 'negative' AS problem FROM series WHERE widx = 5"))
+def c14_payload_problems(spark, d):
+    """Array payloads with a negative value planted."""
+    s = pa.series(spark, d).groupBy("entity").agg(F.collect_list("date").alias("dates"), F.collect_list(F.when(F.col("widx") == 5, -F.col("y")).otherwise(F.col("y"))).alias("values"))
+    return gu.payload_problems(s).select("entity", "problem")
+
+
+# Windows
+
+
+@query(sql("SELECT entity, date, CASE WHEN count(y) OVER w >= 26 THEN avg(y) OVER w END AS cma FROM series WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 26 PRECEDING AND 25 FOLLOWING)"), "cma")
+def w2_centred_average(spark, d):
+    """Centred 52-row average."""
+    return wi.centred_average(pa.series(spark, d)).select("entity", "date", "cma")
+
+
+@query(sql("""SELECT o.entity, o.origin, a.date, CASE WHEN count(*) >= 26 THEN avg(b.y) END AS cma FROM origins o JOIN series a ON a.entity = o.entity AND a.widx <= o.widx
+  JOIN series b ON b.entity = o.entity AND b.widx BETWEEN a.widx - 26 AND least(a.widx + 25, o.widx) WHERE o.widx % 8 = 0 GROUP BY ALL""", "origins"), "cma")
+def w2_centred_average_at(spark, d):
+    """The same, truncated at each of the origins."""
+    s = pa.series(spark, d)
+    return wi.centred_average_at(s, pa.origins(spark, d, s).where("widx % 8 = 0")).select("entity", "origin", "date", "cma")
+
+
+@query(sql("SELECT entity, date, widx, (y - lag(y) OVER w) / nullif(lag(y) OVER w, 0) AS change FROM series WINDOW w AS (PARTITION BY entity ORDER BY date)"), "change")
+def w3_weekly_change(spark, d):
+    """Row numbers (W1) and week-on-week change."""
+    return wi.weekly_change(pa.series(spark, d)).select("entity", "date", "widx", "change")
+
+
+@query(sql("SELECT entity, date, (lead(y, 8) OVER w - y) / nullif(y, 0) AS forward, lead(y, 8) OVER w - y AS forward_diff FROM series WINDOW w AS (PARTITION BY entity ORDER BY date)"), "forward forward_diff")
+def w4_forward_change(spark, d):
+    """Change over the next eight rows."""
+    return wi.forward_change(pa.series(spark, d), 8).select("entity", "date", "forward", "forward_diff")
+
+
+@query(sql("SELECT origin, regime FROM regimes", "regimes"))
+def w5_regime(spark, d):
+    """The regime of every week."""
+    return pa.regimes(spark, d)
+
+
+@query(sql("""SELECT t.threshold, count(*) AS n_rows, CAST(sum(CASE WHEN (CASE WHEN m > t.threshold THEN 1 WHEN m < -t.threshold THEN -1 ELSE 0 END) <> (CASE WHEN m > 0.25 THEN 1 WHEN m < -0.25 THEN -1 ELSE 0 END) THEN 1 ELSE 0 END) AS BIGINT) AS n_flipped,
+  CAST(sum(CASE WHEN abs(abs(m) - 0.25) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_near FROM (SELECT disc * 1000 - lag(disc * 1000, 13) OVER (PARTITION BY entity ORDER BY date) AS m FROM aligned), (SELECT CAST(unnest([0.1, 0.2, 0.3, 0.5]) AS DOUBLE) AS threshold) t GROUP BY 1""", "aligned"))
+def w6_threshold_sensitivity(spark, d):
+    """Labels that other thresholds flip."""
+    a = pa.aligned(spark, d).withColumn("x", F.col("disc") * 1000)
+    return wi.threshold_sensitivity(a, [0.1, 0.2, 0.3, 0.5], 0.25, 0.05)
+
+
+@query(sql("""SELECT entity, factor, CASE WHEN count(*) < 10 OR stddev_pop(x) < 1e-12 OR stddev_pop(z) < 1e-12 THEN 0.0 ELSE corr(x, z) END AS corr, count(*) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity, factor ORDER BY date DESC) AS r FROM (UNPIVOT (SELECT entity, date, disc, tax, qty, (lead(y, 4) OVER (PARTITION BY entity ORDER BY date) - y) / nullif(y, 0) AS z
+  FROM aligned WHERE date <= DATE '2000-06-05' AND date > DATE '2000-06-05' - 728) ON disc, tax, qty INTO NAME factor VALUE x) WHERE x IS NOT NULL AND z IS NOT NULL) WHERE r <= 52 GROUP BY entity, factor""", "aligned"), "corr")
+def w7_factor_correlation(spark, d):
+    """Correlation of each factor with the change ahead, over the last 52 pairs."""
+    return wi.factor_correlation(pa.aligned(spark, d), ["disc", "tax", "qty"], "2000-06-05", 4)
+
+
+@query(sql("""SELECT entity, date, CASE WHEN n + 1 < 4 OR ape IS NULL THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE (ape - m) / sd END AS z FROM (SELECT entity, date, ape, count(ape) OVER w AS n, avg(ape) OVER w AS m, stddev_pop(ape) OVER w AS sd
+  FROM (SELECT entity, date, abs((y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(y, 0)) AS ape FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING))"""), "z")
+def w8_error_zscore(spark, d):
+    """Score of the last naive error against those before."""
+    return wi.error_zscore(pa.series(spark, d)).select("entity", "date", "z")
+
+
+@query(sql("""SELECT entity, date, CASE WHEN n < 12 THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE abs(mv) / sd END AS z FROM (SELECT entity, date, mv, count(mv) OVER w AS n, stddev_pop(mv) OVER w AS sd
+  FROM (SELECT entity, date, (y - lag(y, 4) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 4) OVER (PARTITION BY entity ORDER BY date), 0) AS mv FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""), "z")
+def w9_move_zscore(spark, d):
+    """Score of the last four-row move."""
+    return wi.move_zscore(pa.series(spark, d)).select("entity", "date", "z")
+
+
+@query(sql("SELECT entity, date, (lag(y, 2) OVER w - lag(y, 5) OVER w) / nullif(lag(y, 5) OVER w, 0) AS recent FROM series WINDOW w AS (PARTITION BY entity ORDER BY date)"), "recent")
+def w10_lagged_move(spark, d):
+    """A three-step move that ends two rows before."""
+    return wi.lagged_move(pa.series(spark, d), 2).select("entity", "date", "recent")
+
+
+_OWN = """own AS (SELECT entity, date, widx, exp(sum(ln(1 + o)) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)) AS own FROM (SELECT entity, date, widx, coalesce(c - avg(c) OVER (PARTITION BY date), 0.0) AS o
+  FROM (SELECT entity, date, widx, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM small)))"""
+
+
+@query(sql("SELECT entity, date, own FROM own", "series") .replace("series AS (SELECT entity, date, y, CAST", "series AS (SELECT entity, date, 100 + y AS y, CAST").replace("\nSELECT entity, date, own", ", small AS (SELECT * FROM series), " + _OWN + "\nSELECT entity, date, own"), "own")
+def w11_strip_common(spark, d):
+    """Entities' own movement beside the common one."""
+    return wi.strip_common(pa.series(spark, d).withColumn("y", F.col("y") + 100)).select("entity", "date", "own")
+
+
+@query(sql("SELECT entity, coalesce(max(abs(c)), 1.0) AS bound FROM (SELECT entity, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM series) GROUP BY 1"), "bound")
+def w12_historical_bound(spark, d):
+    """The largest weekly change of each entity."""
+    return wi.historical_bound(pa.series(spark, d))
+
+
+@query(sql("""SELECT entity, m AS mean, sd, sd / m AS cv, CAST(coalesce(sum(CASE WHEN s <> p THEN 1 ELSE 0 END), 0) AS BIGINT) AS reversals FROM (SELECT entity, m, sd, s, lag(s) OVER (PARTITION BY entity ORDER BY date) AS p FROM (
+  SELECT r.*, sign(round(r.rm - lag(r.rm) OVER (PARTITION BY entity ORDER BY date), 9)) AS s FROM (SELECT entity, date, avg(y) OVER (PARTITION BY entity) AS m, stddev_samp(y) OVER (PARTITION BY entity) AS sd,
+  CASE WHEN count(y) OVER w = 13 THEN avg(y) OVER w END AS rm FROM series WINDOW w AS (PARTITION BY entity ORDER BY date ROWS 12 PRECEDING)) r) WHERE s <> 0) GROUP BY entity, m, sd"""), "mean sd cv")
+def w13_reversals(spark, d):
+    """Turns of the 13-row mean, and spread."""
+    return wi.reversals(pa.series(spark, d)).select("entity", "mean", "sd", "cv", "reversals")
+
+
+@query(sql("SELECT entity, date, lag(qty, 6) OVER w - lag(qty, 10) OVER w AS dq FROM aligned WINDOW w AS (PARTITION BY entity ORDER BY date)", "aligned"), "dq")
+def w14_lagged_change(spark, d):
+    """A four-row change of a factor, six rows before."""
+    return wi.lagged_change(pa.aligned(spark, d), "qty", 4, 6, "dq").select("entity", "date", "dq")
+
+
+@query(sql("SELECT o.entity, o.origin, sum(s.y) AS total, count(*) AS n, min(s.date) AS first_date FROM origins o JOIN series s ON s.entity = o.entity AND s.widx BETWEEN o.widx - 51 AND o.widx GROUP BY ALL HAVING count(*) = 52", "origins"), "total")
+def w15_contexts(spark, d):
+    """Contexts of 52 values, summed up."""
+    s = pa.series(spark, d)
+    c = wi.contexts(s, pa.origins(spark, d, s))
+    return c.select("entity", "origin", F.aggregate("context", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("context").cast("bigint").alias("n"), F.date_sub("origin", 7 * 51).alias("first_date"))
+
+
+@query(sql("""SELECT regime, CAST(g AS BIGINT) AS episode, count(*) AS weeks, min(origin) AS first_date, max(origin) AS last_date FROM (SELECT *, sum(c) OVER (ORDER BY origin ROWS UNBOUNDED PRECEDING) AS g FROM (
+  SELECT *, CASE WHEN regime = lag(regime) OVER (ORDER BY origin) THEN 0 ELSE 1 END AS c FROM regimes)) GROUP BY 1, 2""", "regimes"))
+def w16_episodes(spark, d):
+    """Runs of one regime."""
+    r = pa.regimes(spark, d).select(F.lit("all").alias("entity"), F.col("origin").alias("date"), "regime")
+    return wi.episodes(r).select("regime", "episode", "weeks", "first_date", "last_date")
+
+
+@query(sql("SELECT date, count(DISTINCT y > 9) AS n_labels FROM series GROUP BY 1 HAVING count(DISTINCT y > 9) > 1"))
+def w17_label_disagreement(spark, d):
+    """Weeks in which entities carry different labels."""
+    return wi.label_disagreement(pa.series(spark, d).withColumn("regime", F.col("y") > 9))

@@ -232,7 +232,7 @@ def historical_mean(series: DataFrame, origins: DataFrame, horizons: list[int],
 
 def event_flat(series: DataFrame, origins: DataFrame, weekly: DataFrame, window: int = 8, steps: int = MAX_STEP) -> DataFrame:
     """The last value, with confidence 0 where no event is live."""
-    live = active_event(origins.select("entity", F.col("origin").alias("week")), weekly, window).select("entity", F.col("week").alias("origin"), F.when("live", F.col("confidence")).otherwise(0.0).alias("confidence"))
+    live = active_event(origins.select("entity", F.col("origin").alias("week")), weekly, window).select("entity", F.col("week").alias("origin"), F.when(F.col("live"), F.col("confidence")).otherwise(0.0).alias("confidence"))
     flat = naive(series, origins, steps).withColumn("channel", F.lit("event"))
     return flat.join(live, ["entity", "origin"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
 
@@ -250,8 +250,10 @@ def flow_regression(panel: DataFrame, origins: DataFrame, a: str, b: str, share:
     """Pooled direct regression: the k-step log change on (1, log(a / b), share) over all entities, one system per (origin, step)."""
     x1 = F.when((F.col(a) > 0) & (F.col(b) > 0), F.log(F.col(a) / F.col(b)))
     rows = panel.where("y > 0").select("entity", "date", "y", F.lag(x1, lag).over(by_date()).alias("x1"), F.lag(share, lag).over(by_date()).alias("x2"))
-    ahead = [F.struct(F.lit(k).alias("step"), F.log(F.lead("y", k).over(by_date()) / F.col("y")).alias("z"), F.lead("date", k).over(by_date()).alias("known")) for k in range(1, steps + 1)]
-    long_ = rows.select("entity", "date", "x1", "x2", F.explode(F.array(*ahead)).alias("s")).select("entity", "date", "x1", "x2", "s.*")
+    ks = range(1, steps + 1)
+    led = rows.withColumns({f"z{k}": F.log(F.lead("y", k).over(by_date()) / F.col("y")) for k in ks} | {f"k{k}": F.lead("date", k).over(by_date()) for k in ks})
+    ahead = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"z{k}").alias("z"), F.col(f"k{k}").alias("known")) for k in ks]))
+    long_ = led.select("entity", "date", "x1", "x2", ahead.alias("s")).select("entity", "date", "x1", "x2", "s.*")
     at = origins.select("origin").distinct()
     # Sums by (known, step), added up over time: every origin's fit is a difference of running sums, made once.
     ok = long_.where("x1 IS NOT NULL AND x2 IS NOT NULL AND z IS NOT NULL")

@@ -49,7 +49,7 @@ def entity_skill(losses: DataFrame, reference: str = "naive") -> DataFrame:
     means = losses.groupBy("channel", "h", "entity").agg(F.avg("mape").alias("mape"))
     ref = means.where(F.col("channel") == reference).select("h", "entity", F.col("mape").alias("ref"))
     joined = means.join(ref, ["h", "entity"])
-    return joined.select("channel", "h", "entity", "mape", (1 - F.try_divide(F.col("mape"), F.col("ref"))).alias("skill"), (F.col("mape") < F.col("ref")).alias("beats"))
+    return joined.select("channel", "h", "entity", "mape", (1 - F.try_divide(F.col("mape"), F.col("ref"))).alias("skill"), (F.round("mape", 9) < F.round("ref", 9)).alias("beats"))
 
 
 def skill_spread(skills: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def win_counts(losses: DataFrame, a: str, b: str, by: list[str] | None = None) -
     m = losses.where(F.col("channel").isin(a, b)).groupBy(*by, "entity").agg(F.avg(F.when(F.col("channel") == a, F.col("mape"))).alias("a"), F.avg(F.when(F.col("channel") == b, F.col("mape"))).alias("b"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return m.groupBy(*by).agg(
-        count(F.col("a") < F.col("b")).alias("a_wins"), count(F.col("a") > F.col("b")).alias("b_wins"), count(F.col("a") == F.col("b")).alias("ties"),
+        count(F.round("a", 9) < F.round("b", 9)).alias("a_wins"), count(F.round("a", 9) > F.round("b", 9)).alias("b_wins"), count(F.round("a", 9) == F.round("b", 9)).alias("ties"),
         F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.median("a").alias("median_a"), F.median("b").alias("median_b"),
     )
 

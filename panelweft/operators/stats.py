@@ -144,8 +144,9 @@ def pair_bundle(losses: DataFrame, pairs: list[tuple[str, str]], replicates: int
 
 def lag_correlation(df: DataFrame, feature: str, lags: list[int], target: str = "z") -> DataFrame:
     """(lag, r, n, best): correlation of the feature `lag` rows before with the target; best marks the largest |r|."""
-    cols = [F.struct(F.lit(k).alias("lag"), F.lag(feature, k).over(by_date()).alias("x")) for k in lags]
-    long = df.select(target, "entity", "date", F.explode(F.array(*cols)).alias("s")).select(target, "s.*").where(f"x IS NOT NULL AND {target} IS NOT NULL")
+    lagged = df.withColumns({f"_x{k}": F.lag(feature, k).over(by_date()) for k in lags})
+    cols = [F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x")) for k in lags]
+    long = lagged.select(target, F.explode(F.array(*cols)).alias("s")).select(target, "s.*").where(f"x IS NOT NULL AND {target} IS NOT NULL")
     out = long.groupBy("lag").agg(F.corr("x", target).alias("r"), F.count("*").alias("n"))
     top = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round(F.abs("r"), 9).desc_nulls_last(), "lag"))
     return out.withColumn("best", top == 1)
@@ -328,7 +329,8 @@ def lag_grid(df: DataFrame, y: str, features: list[str], lags: list[int], exclud
     """(feature, lag, coef, se, p_value, n, stable_sign, reject): one regression per feature and lag, all in one plan."""
     if exclude:
         df = df.where(~F.col("date").between(*[F.lit(e).cast("date") for e in exclude]))
-    cols = [F.struct(F.lit(f).alias("feature"), F.lit(k).alias("lag"), F.lag(f, k).over(by_date()).alias("x")) for f in features for k in lags]
+    df = df.withColumns({f"_{f}{k}": F.lag(f, k).over(by_date()) for f in features for k in lags})
+    cols = [F.struct(F.lit(f).alias("feature"), F.lit(k).alias("lag"), F.col(f"_{f}{k}").alias("x")) for f in features for k in lags]
     long = df.select("entity", "date", y, F.explode(F.array(*cols)).alias("s")).select("entity", "date", y, "s.*")
     out = panel_regression(long, y, ["x"], ["feature", "lag"], [["entity"]]).drop("term")
     stable = F.abs(F.sum(F.signum("coef")).over(Window.partitionBy("feature"))) == F.count("*").over(Window.partitionBy("feature"))

@@ -543,3 +543,334 @@ def w16_episodes(spark, d):
 def w17_label_disagreement(spark, d):
     """Weeks in which entities carry different labels."""
     return wi.label_disagreement(pa.series(spark, d).withColumn("regime", F.col("y") > 9))
+
+
+# Channels
+
+
+@query(sql("SELECT DISTINCT channel, entity, origin, step, yhat FROM forecasts WHERE channel = 'naive' AND h = 13", "forecasts"), "yhat")
+def f1_naive(spark, d):
+    """The last value, repeated."""
+    s = pa.series(spark, d)
+    return ch.naive(s, pa.origins(spark, d, s))
+
+
+@query(sql("SELECT channel, entity, origin, step, yhat FROM forecasts WHERE channel = 'snaive' AND h = 13", "forecasts"), "yhat")
+def f2_seasonal_naive(spark, d):
+    """The value 52 rows before the target."""
+    s = pa.series(spark, d)
+    return ch.seasonal_naive(s, pa.origins(spark, d, s))
+
+
+_FACTORS = """, chosen AS (SELECT * FROM origins WHERE widx % 8 = 0), cma AS (SELECT o.entity, o.origin, a.date, a.y, CASE WHEN count(*) >= 26 THEN avg(b.y) END AS c FROM chosen o JOIN series a ON a.entity = o.entity AND a.widx <= o.widx
+  JOIN series b ON b.entity = o.entity AND b.widx BETWEEN a.widx - 26 AND least(a.widx + 25, o.widx) GROUP BY ALL),
+med AS (SELECT entity, origin, weekofyear(date) AS week, CASE WHEN count(y / nullif(c, 0)) >= 2 THEN median(y / nullif(c, 0)) ELSE 1.0 END AS raw FROM cma GROUP BY ALL),
+fullw AS (SELECT o.entity, o.origin, o.widx, w.week, coalesce(m.raw, 1.0) AS raw FROM chosen o CROSS JOIN (SELECT CAST(unnest(range(1, 54)) AS INT) AS week) w LEFT JOIN med m ON m.entity = o.entity AND m.origin = o.origin AND m.week = w.week),
+smo AS (SELECT a.entity, a.origin, a.widx, a.week, avg(b.raw) AS s FROM fullw a JOIN fullw b ON b.entity = a.entity AND b.origin = a.origin AND (b.week = a.week OR b.week = (a.week % 53) + 1 OR a.week = (b.week % 53) + 1) GROUP BY ALL),
+factors AS (SELECT entity, origin, week, CASE WHEN widx < 53 THEN 1.0 ELSE s / avg(s) OVER (PARTITION BY entity, origin) END AS factor FROM smo)"""
+
+
+@query(sql(_FACTORS + "\nSELECT entity, origin, week, factor FROM factors", "forecasts"), "factor")
+def f3_seasonal_factors(spark, d):
+    """Week-of-year factors as known at each of the origins."""
+    s = pa.series(spark, d)
+    return ch.seasonal_factors(s, pa.origins(spark, d, s).where("widx % 8 = 0"))
+
+
+@query(sql(_FACTORS + """\nSELECT 'seasonal' AS channel, o.entity, o.origin, st.step, greatest(round(CASE WHEN a.factor > 0 THEN y0 * (b.factor / a.factor) ELSE y0 END, 2), 0.0) AS yhat FROM chosen o CROSS JOIN st
+  JOIN factors a ON a.entity = o.entity AND a.origin = o.origin AND a.week = weekofyear(o.origin) JOIN factors b ON b.entity = o.entity AND b.origin = o.origin AND b.week = (weekofyear(o.origin) - 1 + st.step) % 53 + 1""", "forecasts"), "yhat")
+def f4_seasonal(spark, d):
+    """Seasonally adjusted naive forecast."""
+    s = pa.series(spark, d)
+    return ch.seasonal(s, pa.origins(spark, d, s).where("widx % 8 = 0"))
+
+
+def _sparse(spark, d, every: int = 16):
+    s = pa.series(spark, d)
+    return s, pa.origins(spark, d, s).where(f"widx % {every} = 0")
+
+
+@query()
+def f5_holt(spark, d):
+    """Linear trend by parameter grid."""
+    return ch.holt(*_sparse(spark, d))
+
+
+@query()
+def f6_holt_damped(spark, d):
+    """Damped trend by parameter grid."""
+    return ch.holt(*_sparse(spark, d), damped=True)
+
+
+@query()
+def f7_adjusted_trend(spark, d):
+    """Factor-adjusted smoothing, undamped and damped."""
+    s, o = _sparse(spark, d)
+    return ch.adjusted_trend(s, o, damped=False).unionByName(ch.adjusted_trend(s, o))
+
+
+@query()
+def f8_adjusted_theta(spark, d):
+    """Factor-adjusted Theta."""
+    return ch.adjusted_theta(*_sparse(spark, d))
+
+
+_MOD = """, z AS (SELECT a.entity, a.date, a.y, (a.y - lag(a.y) OVER (PARTITION BY a.entity ORDER BY a.date)) / nullif(lag(a.y) OVER (PARTITION BY a.entity ORDER BY a.date), 0) AS z, b.qty / 1000 AS x FROM aligned a LEFT JOIN aligned b ON b.entity = a.entity AND b.date = a.date - 42),
+fit AS (SELECT o.entity, o.origin, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_pop(x, z) * count(*) / (var_pop(x) * count(*) + 1.0) AS b FROM origins o JOIN z ON z.entity = o.entity AND z.date <= o.origin WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)"""
+
+
+@query(sql(_MOD + "\nSELECT f.entity, f.origin, z.y AS y0, f.mz + f.b * (z.x - f.mx) AS modifier FROM fit f JOIN z ON z.entity = f.entity AND z.date = f.origin WHERE z.x IS NOT NULL", "aligned", "folds", "origins"), "y0 modifier")
+def f9_exogenous_modifier(spark, d):
+    """Ridge of the weekly change on one lagged factor."""
+    a = pa.aligned(spark, d).withColumn("qty", F.col("qty") / 1000)
+    return ch.exogenous_modifier(a, pa.origins(spark, d), {"qty": 6})
+
+
+@query()
+def f9_exogenous_modifier_all(spark, d):
+    """Ridge of the weekly change on all lagged factors."""
+    a = pa.aligned(spark, d).withColumn("qty", F.col("qty") / 1000)
+    return ch.exogenous_modifier(a, pa.origins(spark, d), {"disc": 6, "tax": 10, "qty": 5})
+
+
+@query(sql(_MOD + "\nSELECT 'macro' AS channel, f.entity, f.origin, step, greatest(round(z.y * (1 + f.mz + f.b * (z.x - f.mx)), 2), 0.0) AS yhat FROM fit f JOIN z ON z.entity = f.entity AND z.date = f.origin CROSS JOIN st WHERE z.x IS NOT NULL", "aligned", "folds", "origins", "forecasts"), "yhat")
+def f10_anchored(spark, d):
+    """The modifier applied to the level."""
+    return ch.anchored(f9_exogenous_modifier(spark, d))
+
+
+@query(sql(""", z AS (SELECT a.entity, a.date, a.y, (lead(a.y, 4) OVER (PARTITION BY a.entity ORDER BY a.date) - a.y) / nullif(a.y, 0) AS z, b.qty / 1000 AS x FROM aligned a LEFT JOIN aligned b ON b.entity = a.entity AND b.date = a.date - 42),
+fit AS (SELECT o.entity, o.origin, count(*) AS n, avg(x) AS mx, avg(z) AS mz, covar_pop(x, z) * count(*) / (var_pop(x) * count(*) + 1.0) AS b FROM origins o JOIN z ON z.entity = o.entity AND z.date + 28 <= o.origin WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY ALL HAVING count(*) >= 15)
+SELECT f.entity, f.origin, z.y AS y0, f.mz + f.b * (z.x - f.mx) AS modifier FROM fit f JOIN z ON z.entity = f.entity AND z.date = f.origin WHERE z.x IS NOT NULL""", "aligned", "folds", "origins"), "y0 modifier")
+def f11_horizon_ridge(spark, d):
+    """Ridge of the four-week change, on rows known by the origin."""
+    a = pa.aligned(spark, d).withColumn("qty", F.col("qty") / 1000)
+    return ch.exogenous_modifier(a, pa.origins(spark, d), {"qty": 6}, least=15, ahead=4)
+
+
+@query(sql(""", stat AS (SELECT c_mktsegment AS entity, CAST(count(*) AS DOUBLE) AS n_customers FROM customer GROUP BY 1),
+lv AS (SELECT o.entity, o.origin, l.level, n_customers AS x FROM origins o JOIN lvl l USING (entity, origin) JOIN stat USING (entity)),
+g AS (SELECT a.entity, a.origin, any_value(a.x) AS x0, avg(b.x) AS mx, stddev_pop(b.x) AS sx, avg(b.level) AS ml, covar_pop(b.x, b.level) AS c, count(*) AS n FROM lv a JOIN lv b ON b.origin = a.origin AND b.entity <> a.entity GROUP BY ALL HAVING count(*) >= 3)
+SELECT entity, origin, ml + CASE WHEN sx > 0 THEN (n * c / sx) / (n + 1.0) * (x0 - mx) / sx ELSE 0 END AS level FROM g""", "forecasts"), "level")
+def f12_structural_level(spark, d):
+    """Levels predicted from a static attribute, each entity left out of its own fit."""
+    s = pa.series(spark, d)
+    return ch.structural_level(s, pa.origins(spark, d, s), pa.statics(spark, d), ["n_customers"], leave_out=True)
+
+
+@query(sql("SELECT 'reversion' AS channel, entity, origin, h, step, greatest(round(y0 + 0.291 * pow(step / h, 2) * (40.0 - y0), 2), 0.0) AS yhat FROM origins, hs, st WHERE step <= h", "forecasts"), "yhat")
+def f13_reversion(spark, d):
+    """Reversion to a given level."""
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    return ch.reversion(s, o, o.select("entity", "origin", F.lit(40.0).alias("level")), pa.HORIZONS, 0.291)
+
+
+@query(sql("SELECT channel, entity, origin, h, step, yhat FROM forecasts WHERE channel = 'histmean'", "forecasts"), "yhat")
+def f14_historical_mean(spark, d):
+    """Reversion to the entity's own mean."""
+    s = pa.series(spark, d)
+    return ch.historical_mean(s, pa.origins(spark, d, s), pa.HORIZONS, 0.317)
+
+
+_LIVE = f"""(SELECT o.entity, o.origin, o.y0, a.x.i AS impact, a.x.c AS confidence, (o.origin - a.event_week) / 7.0 AS age FROM origins o ASOF LEFT JOIN (WITH {_ONE} SELECT * FROM one) a ON a.entity = o.entity AND o.origin >= a.event_week)"""
+
+
+@query(sql(f"SELECT 'event' AS channel, entity, origin, step, y0 AS yhat, coalesce(CASE WHEN age <= 8 THEN confidence END, 0.0) AS confidence FROM {_LIVE}, st", "forecasts", "events"), "yhat confidence")
+def f15_event_flat(spark, d):
+    """The last value, with the live event's confidence."""
+    s = pa.series(spark, d)
+    return ch.event_flat(s, pa.origins(spark, d, s), pa.event_weeks(spark, d))
+
+
+@query(sql(f"""SELECT scale, "window", 'event_scaled' AS channel, entity, origin, step, y0 * CASE WHEN age <= "window" THEN 1 + impact * scale ELSE 1 END AS yhat FROM {_LIVE}, st, (SELECT CAST(unnest([0.0, 0.05, 0.1]) AS DOUBLE) AS scale), (SELECT CAST(unnest([4, 8]) AS DOUBLE) AS "window")""", "forecasts", "events"), "yhat")
+def f16_event_scaled(spark, d):
+    """The event channel over a grid of scales and windows."""
+    s = pa.series(spark, d)
+    return ch.event_scaled(s, pa.origins(spark, d, s), pa.event_weeks(spark, d), bt.literal_grid(spark, scale=[0.0, 0.05, 0.1], window=[4, 8]))
+
+
+@query(sql(""", p AS (SELECT entity, date, y, ln(y / qty) AS x1, tax AS x2 FROM aligned WHERE y > 0 AND qty > 0 AND tax IS NOT NULL),
+lng AS (SELECT entity, date, y, x1, x2, st.step, ln(lead(y, 1) OVER w1 / y) AS z1, ln(lead(y, 2) OVER w1 / y) AS z2, lead(date, 1) OVER w1 AS k1, lead(date, 2) OVER w1 AS k2 FROM p, (SELECT CAST(unnest([1, 2]) AS INT) AS step) st WINDOW w1 AS (PARTITION BY entity, st.step ORDER BY date)),
+rw AS (SELECT entity, date, step, x1, x2, CASE step WHEN 1 THEN z1 ELSE z2 END AS z, CASE step WHEN 1 THEN k1 ELSE k2 END AS known FROM lng),
+fit AS (SELECT o.origin, r.step, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(z) AS mz, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, z) AS s1z, covar_pop(x2, z) AS s2z FROM (SELECT DISTINCT origin FROM origins) o JOIN rw r ON r.known <= o.origin WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)
+SELECT 'flow' AS channel, p.entity, f.origin, f.step, p.y * exp(mz + (s1z * s22 - s2z * s12) / (s11 * s22 - s12 * s12) * (x1 - m1) + (s2z * s11 - s1z * s12) / (s11 * s22 - s12 * s12) * (x2 - m2)) AS yhat FROM fit f JOIN p ON p.date = f.origin JOIN origins o ON o.origin = f.origin AND o.entity = p.entity""", "aligned", "folds", "origins"))
+def f17_flow_regression(spark, d):
+    """Pooled direct regression on a log ratio and a share; four decimals."""
+    out = ch.flow_regression(pa.aligned(spark, d), pa.origins(spark, d), "y", "qty", "tax", 2)
+    return out
+
+
+ORACLES["f17_flow_regression"] = "SELECT channel, entity, origin, step, round(yhat + 1.23e-06, 4) AS yhat FROM (" + ORACLES["f17_flow_regression"] + ")"
+_flow = QUERIES["f17_flow_regression"]
+QUERIES["f17_flow_regression"] = lambda spark, d: _flow(spark, d).withColumn("yhat", F.round(F.col("yhat") + 1.23e-06, 4))
+
+
+@query(sql("SELECT 'naive' AS channel, o.entity, o.origin, step, s.y AS yhat FROM origins o JOIN series s ON s.entity = o.entity AND s.widx = o.widx - 2, st", "forecasts"), "yhat")
+def f18_publication_lagged(spark, d):
+    """The naive channel with data two rows late."""
+    s = pa.series(spark, d)
+    return ch.publication_lagged(ch.naive, s, pa.origins(spark, d, s), 2)
+
+
+@query(sql("SELECT fold, h, CASE WHEN avg(mape) FILTER (channel = 'histmean') < avg(mape) FILTER (channel = 'naive') THEN 'histmean' ELSE 'naive' END AS channel FROM val GROUP BY 1, 2", "val"))
+def f19_choose_damping(spark, d):
+    """Of two channels the one of less validation loss, per fold and horizon."""
+    return ch.choose_damping(fu.validation(pa.cell_losses(spark, d), pa.folds(spark)), "naive", "histmean")
+
+
+@query(sql("SELECT 'blend' AS channel, entity, origin, step, avg(yhat) AS yhat FROM forecasts WHERE h = 8 GROUP BY ALL", "forecasts"), "yhat")
+def f20_blend(spark, d):
+    """Equal-weight blend."""
+    return ch.blend(pa.forecasts(spark, d).where("h = 8"))
+
+
+@query(sql("SELECT channel, f.entity, f.origin, step, yhat * (1 + 0.5 * coalesce(t, 0.0) * step / 8) AS yhat FROM forecasts f LEFT JOIN (SELECT entity, date AS origin, (y - lag(y, 3) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 3) OVER (PARTITION BY entity ORDER BY date), 0) AS t FROM series) USING (entity, origin) WHERE h = 8 AND channel = 'snaive'", "forecasts"), "yhat")
+def f21_with_spillover(spark, d):
+    """A forecast tilted by a trend signal."""
+    s = pa.series(spark, d)
+    signals = wi.lagged_move(s, 0).select("entity", F.col("date").alias("origin"), F.col("recent").alias("trend"))
+    f = pa.forecasts(spark, d, s).where("h = 8 AND channel = 'snaive'").drop("h")
+    return ch.with_spillover(f, signals, 8, 0.5).select("channel", "entity", "origin", "step", "yhat")
+
+
+@query()
+def f22_slope_disagreement(spark, d):
+    """Origins whose fitted trend and realised move disagree."""
+    return ch.slope_disagreement(*_sparse(spark, d))
+
+
+# Losses
+
+
+@query(sql("SELECT entity, origin, h, channel, mape, rmse, mae FROM losses", "losses"), "mape rmse mae")
+def a1_cell_losses(spark, d):
+    """Percentage, squared and absolute losses of every cell (A1, A2)."""
+    return pa.cell_losses(spark, d).select("entity", "origin", "h", "channel", "mape", "rmse", "mae")
+
+
+@query(sql("SELECT fold, entity, h, regime, channel, avg(mape) AS mape, avg(rmse) AS rmse, count(*) AS n_origins FROM losses WHERE fold IS NOT NULL GROUP BY ALL", "losses"), "mape rmse")
+def a3_regime_results(spark, d):
+    """Mean losses per fold, entity, horizon and regime."""
+    return lo.regime_results(pa.cell_losses(spark, d).where("fold IS NOT NULL"))
+
+
+@query(sql(""", t AS (SELECT * FROM losses WHERE fold IS NOT NULL), r AS (SELECT fold, entity, h, regime, channel, avg(mape) AS mape, count(*) AS n FROM t GROUP BY ALL)
+SELECT 'cells' AS mode, channel, h, avg(mape) AS mape FROM t GROUP BY ALL UNION ALL SELECT 'rows', channel, h, avg(mape) FROM r GROUP BY ALL UNION ALL SELECT 'weighted', channel, h, sum(mape * n) / sum(n) FROM r GROUP BY ALL""", "losses"), "mape")
+def a4_headline(spark, d):
+    """Three ways to average."""
+    t = pa.cell_losses(spark, d).where("fold IS NOT NULL")
+    parts = [lo.headline(t, m).select(F.lit(m).alias("mode"), "channel", "h", "mape") for m in ("cells", "rows", "weighted")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(sql(""", m AS (SELECT channel, h, entity, avg(mape) AS mape FROM losses GROUP BY ALL), s AS (SELECT m.channel, m.h, m.entity, 1 - m.mape / n.mape AS skill, round(m.mape, 9) < round(n.mape, 9) AS beats FROM m JOIN m n ON n.channel = 'naive' AND n.h = m.h AND n.entity = m.entity)
+SELECT channel, h, avg(skill) AS mean_skill, stddev_samp(skill) AS sd_skill, min(skill) AS min_skill, max(skill) AS max_skill, CAST(sum(CAST(beats AS INT)) AS BIGINT) AS n_beats FROM s GROUP BY ALL""", "losses"), "mean_skill sd_skill min_skill max_skill")
+def a5_skill_spread(spark, d):
+    """Skill per entity and its spread."""
+    return lo.skill_spread(lo.entity_skill(pa.cell_losses(spark, d)))
+
+
+@query(sql(""", m AS (SELECT h, entity, avg(mape) FILTER (channel = 'snaive') AS a, avg(mape) FILTER (channel = 'naive') AS b FROM losses GROUP BY ALL)
+SELECT h, count(*) FILTER (a < b) AS a_wins, count(*) FILTER (a > b) AS b_wins, count(*) FILTER (a = b) AS ties, avg(a) AS mean_a, avg(b) AS mean_b, median(a) AS median_a, median(b) AS median_b FROM m GROUP BY 1""", "losses"), "mean_a mean_b median_a median_b")
+def a6_win_counts(spark, d):
+    """Wins of one method over another."""
+    return lo.win_counts(pa.cell_losses(spark, d), "snaive", "naive")
+
+
+@query(sql(", m AS (SELECT h, entity, channel, round(avg(mape), 9) AS m FROM losses GROUP BY ALL) SELECT h, channel, count(*) AS n_best FROM (SELECT *, row_number() OVER (PARTITION BY h, entity ORDER BY m, channel) AS r FROM m) WHERE r = 1 GROUP BY ALL", "losses"))
+def a7_best_of(spark, d):
+    """How often each method is the best."""
+    return lo.best_of(pa.cell_losses(spark, d))
+
+
+_SKC = ", c AS (SELECT l.*, n.mape AS ref FROM losses l JOIN losses n ON n.channel = 'naive' AND n.entity = l.entity AND n.origin = l.origin AND n.h = l.h)"
+
+
+@query(sql(_SKC + " SELECT h, regime, channel, coalesce(median(CASE WHEN ref > 0 THEN 1 - mape / ref END), -1.0) AS skill, count(CASE WHEN ref > 0 THEN 1 END) AS n FROM c GROUP BY ALL", "losses"), "skill")
+def a8_median_skill(spark, d):
+    """Median skill per point."""
+    return lo.median_skill(pa.cell_losses(spark, d), ["h", "regime"])
+
+
+@query(sql(_SKC + " SELECT h, channel, 1 - avg(mape) / avg(ref) AS skill FROM c GROUP BY ALL", "losses"), "skill")
+def a9_pooled_skill(spark, d):
+    """Pooled skill."""
+    return lo.pooled_skill(pa.cell_losses(spark, d), ["h"])
+
+
+@query(sql(_SKC + """, w AS (SELECT h, channel, entity, origin, round(1 - mape / ref, 9) AS s, pow(0.5, (DATE '2001-01-01' - origin) / 7 / 26.0) AS w FROM c WHERE ref > 0)
+SELECT h, channel, min(s) AS skill FROM (SELECT *, sum(w) OVER (PARTITION BY h, channel ORDER BY s, entity, origin ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY h, channel) AS p FROM w) WHERE p >= 0.5 - 1e-12 GROUP BY ALL""", "losses"), "skill")
+def a10_recency_skill(spark, d):
+    """Recency-weighted median skill."""
+    return lo.recency_skill(pa.cell_losses(spark, d), ["h"], "2001-01-01")
+
+
+@query(sql(", m AS (SELECT channel, h, entity, avg(mae) AS m FROM losses GROUP BY ALL) SELECT m.channel, m.h, exp(avg(ln(m.m / n.m))) AS rel_mae FROM m JOIN m n ON n.channel = 'naive' AND n.h = m.h AND n.entity = m.entity GROUP BY ALL", "losses"), "rel_mae")
+def a11_relative_mae(spark, d):
+    """Geometric mean of relative errors."""
+    return lo.relative_mae(pa.cell_losses(spark, d))
+
+
+@query(sql("SELECT channel, h, origin, avg(mape) AS mape, count(DISTINCT entity) AS n, count(DISTINCT entity) = (SELECT count(DISTINCT entity) FROM losses) AS complete FROM losses GROUP BY ALL", "losses"), "mape")
+def a12_weekly_means(spark, d):
+    """Weekly cross-section means."""
+    return lo.weekly_means(pa.cell_losses(spark, d))
+
+
+@query(sql("SELECT channel, h, (entity, origin) IN (SELECT DISTINCT (entity, week) FROM evw) AS flag, avg(mape) AS mape, count(*) AS n FROM losses GROUP BY ALL", "losses", "events"), "mape")
+def a13_by_flag(spark, d):
+    """Losses in event weeks and in others."""
+    return lo.by_flag(pa.cell_losses(spark, d), pa.event_weeks(spark, d).select("entity", F.col("week").alias("origin")))
+
+
+@query(sql("SELECT fold, regime, h, count(DISTINCT origin) AS weeks FROM val GROUP BY ALL", "val"))
+def a14_support(spark, d):
+    """Distinct weeks per fold, regime and horizon."""
+    return lo.support(fu.validation(pa.cell_losses(spark, d), pa.folds(spark)))
+
+
+@query(sql("SELECT coalesce(CAST(fold AS VARCHAR), 'all') AS fold, coalesce(regime, 'all') AS regime, count(*) AS n FROM losses WHERE fold IS NOT NULL GROUP BY CUBE (fold, regime)", "losses"))
+def a15_crosstab(spark, d):
+    """Fold by regime with margins."""
+    return lo.crosstab(pa.cell_losses(spark, d).where("fold IS NOT NULL"), "fold", "regime")
+
+
+@query(sql("SELECT channel, avg(mape) FILTER (h = 4) AS h4, avg(mape) FILTER (h = 8) AS h8, avg(mape) FILTER (h = 13) AS h13 FROM losses GROUP BY 1", "losses"), "h4 h8 h13")
+def a15_pivoted(spark, d):
+    """Method by horizon."""
+    return lo.pivoted(pa.cell_losses(spark, d), pa.HORIZONS)
+
+
+@query(sql("SELECT fold, h, count(*) AS n_cells, count(*) FILTER (last >= DATE '2001-01-01') AS n_reserved FROM (SELECT f.fold, entity, origin, h, max(target_date) AS last FROM cells JOIN folds f ON origin BETWEEN test_start AND test_end GROUP BY ALL) GROUP BY ALL", "cells"))
+def a19_cell_counts(spark, d):
+    """Cells per fold and horizon, and those that reach the reserved window."""
+    return lo.cell_counts(jo.fold_of(pa.cells(spark, d), pa.folds(spark)).where("fold IS NOT NULL"), pa.RESERVED)
+
+
+@query(sql(", m AS (SELECT channel, h, (origin - DATE '1970-01-01') // 7 % 3 AS run, avg(mape) / 100 AS m FROM losses GROUP BY ALL) SELECT channel, h, avg(m) AS mean, stddev_pop(m) AS sd, count(*) AS n_runs FROM m GROUP BY ALL", "losses"), "mean sd")
+def a20_repeated_runs(spark, d):
+    """Mean and deviation over runs."""
+    return lo.repeated_runs(pa.runs(spark, d))
+
+
+@query(sql(_SKC + f", v AS (SELECT c.h, CASE WHEN ref > 0 THEN 1 - mape / ref END AS s, coalesce(CASE WHEN e.age <= 8 THEN e.confidence END, 0.0) AS conf FROM c JOIN {_LIVE} e USING (entity, origin) WHERE c.channel = 'snaive') SELECT h, avg(s) FILTER (conf > 0) AS skill_active, avg(s) FILTER (conf <= 0) AS skill_quiet, corr(conf, s) AS corr, count(*) FILTER (conf > 0) AS n_active FROM v GROUP BY 1", "losses", "events"), "skill_active skill_quiet corr")
+def a21_skill_by_flag(spark, d):
+    """Skill with and without a live event."""
+    s = pa.series(spark, d)
+    conf = ch.event_flat(s, pa.origins(spark, d, s), pa.event_weeks(spark, d)).where("step = 1").select("entity", "origin", "confidence")
+    return lo.skill_by_flag(pa.cell_losses(spark, d), conf, "snaive")
+
+
+@query(sql("SELECT fold, l.h, (sum(mape) FILTER (channel = 'naive') - sum(mape) FILTER (channel = 'snaive')) / any_value(n) AS effect FROM losses l JOIN (SELECT h, count(*) AS n FROM losses WHERE channel = 'naive' AND fold IS NOT NULL GROUP BY 1) k ON k.h = l.h WHERE fold IS NOT NULL GROUP BY ALL", "losses"), "effect")
+def a22_router_effect(spark, d):
+    """What one mode saves against another, by fold."""
+    t = pa.cell_losses(spark, d).where("fold IS NOT NULL AND channel IN ('naive', 'snaive')")
+    return lo.router_effect(t.withColumn("mode", F.when(F.col("channel") == "naive", "fold").otherwise("adaptive")))
+
+
+@query(sql("SELECT channel, h, avg(mape) AS with_reserved, avg(mape) FILTER (origin + 7 * h < DATE '2001-01-01') AS without_reserved FROM losses WHERE fold IS NOT NULL GROUP BY ALL", "losses"), "with_reserved without_reserved")
+def a23_headline_with_reserved(spark, d):
+    """Headlines with and without cells that reach the reserved window."""
+    t = pa.cell_losses(spark, d).where("fold IS NOT NULL")
+    return lo.headline_with_reserved(t.withColumn("bleed", F.expr("date_add(origin, 7 * h)") >= F.lit(pa.RESERVED).cast("date")))

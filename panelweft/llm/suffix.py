@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import folder, mix, only, powers, prefix_sums, settle, spread, steps, written
 
 #: Bytes in a string that may stand once only, bytes of the first buckets' q-grams, and offsets in a range, coarse to fine.
-LENGTH, Q, RANGES = 200, 40, (161, 32, 1)
+LENGTH, Q, RANGES = 200, 40, (161, 32, 8, 1)
 _SUFFIX = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int16()), ("high", pa.int16()), ("shared", pa.int64())])
-_RANGE = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("shared", pa.binary()), ("covered", pa.binary())])
+_RANGE = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("shared", pa.int64()), ("covered", pa.binary())])
 _OUT = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
 
@@ -106,7 +106,7 @@ def _ranges(texts: DataFrame, open_: DataFrame, size: int, length: int) -> DataF
                         lo, hi = max(near, x["low"]), min(far, x["high"])
                         # Shared by all strings of the range, and so inside each text that holds one of them.
                         a, b = at - near, at - far + length
-                        shared = _identifier(raw, a, b) if size > 1 else None
+                        shared = xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) if size > 1 else None
                         a, b = at - far, at - near + length
                         # A range that passes the ends of its text gets an identifier of its own, which nothing repeats.
                         covered = _identifier(raw, a, b) if a >= 0 and b <= len(raw) else struct.pack(">cqqq", b"-", row, at, k)
@@ -117,7 +117,7 @@ def _ranges(texts: DataFrame, open_: DataFrame, size: int, length: int) -> DataF
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _RANGE, strict=True)], schema=_RANGE)
 
-    return texts.join(wanted, "row").select("row", "text", "open").mapInArrow(run, "row bigint, at int, low int, high int, shared binary, covered binary")
+    return texts.join(wanted, "row").select("row", "text", "open").mapInArrow(run, "row bigint, at int, low int, high int, shared bigint, covered binary")
 
 
 def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int, ...] = RANGES) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,9 @@ def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int,
         if level and size > 1:
             state = state.join(_repeated(state, "shared"), "shared")
         twice = _repeated(state, "covered").withColumn("twice", F.lit(True))
-        state = written(state.join(twice, "covered", "left"), f"suffix-level-{size}")
+        # The identifier is of use further on only where it is repeated.
+        state = state.join(twice, "covered", "left").withColumn("covered", F.when(F.col("twice"), F.col("covered")))
+        state = written(state, f"suffix-level-{size}")
         marked.append(state.where("twice").select("row", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last")))
         left = state.where("twice IS NULL").select("row", "at", "low", "high", "shared")
         # What is left may repeat a part of a marked range: one range of each marked identifier goes on in such buckets.

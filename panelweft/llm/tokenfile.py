@@ -7,7 +7,7 @@ group offsets let a reader start in the middle of a block. Blocks are rows (shar
 Parquet files, so that any store which Spark writes to and reads from can hold them.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; repeated doc_ids keep a row each,
-ordered by their ids; an empty table gives no block.
+ordered by text; an empty table gives no block.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ _BLOCKS = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64())]
     + [("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())]
 )
-_IDS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("ids", pa.binary())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -164,52 +163,48 @@ def words_of(tokenizer: str) -> Words:
     return _WORDS[tokenizer]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Per row: doc_id and its ids with the end id, as little-endian numbers of two bytes, or four where one needs them (size says)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer)
-        for batch in batches:
-            for a, b, data, offsets in steps(batch.column(1)):
-                ids, cuts = words.encode(data, offsets)
-                ids = np.insert(ids, cuts[1:], end_id)
-                cuts = cuts + np.arange(len(cuts))
-                size = 2 if int(ids.max()) < 1 << 16 else 4
-                raw = ids.astype(f"<u{size}").tobytes()
-                lists = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((cuts * size).astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(np.full(b - a, size, np.int32)), lists], schema=_IDS)
-
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, size int, ids binary")
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: int = BLOCK) -> None:
-    """Encode all texts and write their ids in ascending doc_id order as blocks under `path`. Ids are shuffled, not texts."""
+    """Encode all texts and write their ids in ascending doc_id order as blocks under `path`.
+
+    Texts are ranged by doc_id first: the ranges are sampled from the plan below them, which is then a plain scan and no encoder.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(tokenizer)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         names: list = []
 
         def close() -> pa.RecordBatch:
-            nonlocal number, first, held, names
+            nonlocal number, first, held, sizes, names
             ids = np.concatenate(held)
-            out = [[shard], [number], [first], [len(ids)], [names], [[len(x) for x in held]], [pack(ids)]]
-            number, first, held, names = number + 1, first + len(ids), [], []
+            out = [[shard], [number], [first], [len(ids)], [names], [np.concatenate(sizes)], [pack(ids)]]
+            number, first, held, sizes, names = number + 1, first + len(ids), [], [], []
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _BLOCKS, strict=True)], schema=_BLOCKS)
 
-        n = 0
         for batch in batches:
-            for doc_id, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                held.append(np.frombuffer(raw.as_buffer(), f"<u{size}").astype(np.uint32))
-                names.append(doc_id)
-                n += len(held[-1])
-                if n >= block:
-                    n = 0
-                    yield close()
+            for a, b, data, offsets in steps(batch.column(1)):
+                ids, cuts = words.encode(data, offsets)
+                ids = np.insert(ids, cuts[1:], end_id)
+                cuts = cuts + np.arange(len(cuts))
+                doc_ids, at = batch.column(0)[a:b].to_pylist(), 0
+                # A block takes whole documents up to its size; a longer document is a block of its own.
+                while at < len(doc_ids):
+                    room = block - sum(map(len, held))
+                    to = max(int(np.searchsorted(cuts, cuts[at] + room, "right")) - 1, at + (not held))
+                    if to > at:
+                        held.append(ids[cuts[at] : cuts[to]])
+                        sizes.append(np.diff(cuts[at : to + 1]))
+                        names += doc_ids[at:to]
+                    at = to
+                    if at < len(doc_ids):
+                        yield close()
         if names:
             yield close()
 
-    ordered = encoded(docs, tokenizer, end_id).repartitionByRange(spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    ordered = ordered.repartitionByRange(spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "shard int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, payload binary").write.parquet(path)
     settle(docs.sparkSession)
 

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: sets of word shingles that are at least 0.9 alike, by prefix-tree join.
 
-Shingles have one global order, by how often their hash bucket occurs in the corpus, then by hash. Equal sets form a class and
+Shingles have one global order, in which those of a list of frequent ones come last, then by hash. Equal sets form a class and
 go on once. Two linked sets share one of their first n - ceil(0.9 n) + 1 shingles, so classes that share such a shingle,
-directly or through others, form a family, and links run within families only. A family's sets are stored in tries in the
+directly or through others, form a family (pairs that sizes or a parity sketch rule out aside), and links run within families only. A family's sets are stored in tries in the
 global order; each set walks the trie once, shares the overlap of common beginnings, and leaves a subtree as soon as the
 lengths that remain cannot reach the similarity. Large families are dealt into blocks that share a few sets; the rare
 sets that a family's main component leaves out are walked through all of its blocks, so no link is lost and no group meets in
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SOLID, mix, only, spread, steps, word_hashes, word_spans, written
 
-#: Words in a shingle, likeness in hundredths, hash buckets of the order, sets in a block, sets that all blocks of a family share.
-SHINGLE, LIKE, BUCKETS, BLOCK, PIVOTS = 3, 90, 1 << 17, 200, 4
-_COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("head", pa.list_(pa.int64())), ("whole", pa.binary())])
-_SETS_SQL = "doc_id bigint, n bigint, sig binary, head array<bigint>, whole binary"
+#: Words in a shingle, likeness in hundredths, sets in a block, sets that all blocks of a family share.
+SHINGLE, LIKE, BLOCK, PIVOTS = 3, 90, 200, 4
+#: Length of the list of frequent shingles, documents that make one frequent, classes that are paired on a shared shingle.
+FREQUENT, OFTEN, FEW = 200_000, 5, 16
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("head", pa.list_(pa.int64())), ("whole", pa.binary())])
+_SETS_SQL = "doc_id bigint, n bigint, sig binary, bits array<bigint>, head array<bigint>, whole binary"
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -54,49 +55,73 @@ def shingle_lists(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return out
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 17)).astype(np.int64)
+def frequent(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, limit: int = FREQUENT) -> np.ndarray:
+    """The shingles that most documents have among their first ones by hash: rows of (shingle, documents), by shingle.
 
+    The order of shingles needs no more than this bounded list: any order gives the same links, and this one keeps the shingles
+    that many documents share out of the prefixes.
+    """
+    heads = sets(docs, np.zeros((0, 2), np.uint64), False, like, size).select(F.explode("head").alias("token"))
+    top = heads.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    out = np.stack([top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.uint64)], 1) if top.num_rows else np.zeros((0, 2), np.uint64)
+    return out[np.argsort(out[:, 0])]
 
-def bucket_counts(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """Occurrences of shingles by hash bucket over all documents: a table of BUCKETS numbers, whatever the input."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in steps(batch.column(0)):
-                lists = shingle_lists(data, offsets, size)
-                total += np.bincount(_bucket(np.concatenate(lists)), minlength=BUCKETS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], schema=_COUNTS)
-
-    got = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out
+def _ordered(own: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Distinct hashes in the global order: by the documents of the frequent list (0 outside), then by hash."""
+    if not len(often):
+        return own
+    at = np.searchsorted(often[:, 0], own)
+    at[at == len(often)] = 0
+    times = np.where(often[at, 0] == own, often[at, 1], 0)
+    return own[np.argsort(times, kind="stable")]
 
 
-def sets(docs: DataFrame, counts: np.ndarray, whole: bool, like: int = LIKE, size: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, n, sig (of the whole set), and the first shingles (head) or all (whole) in the global order."""
+def sets(docs: DataFrame, often: np.ndarray, whole: bool, like: int = LIKE, size: int = SHINGLE) -> DataFrame:
+    """Per row: doc_id, n, sig (of the whole set), bits (parities of the hashes by their low byte), and the first shingles (head) or all (whole) in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for hashes in shingle_lists(data, offsets, size):
                     own = np.unique(hashes)
-                    out[1].append(xxhash.xxh3_128_digest(own.tobytes()))
-                    own = own[np.argsort(counts[_bucket(own)], kind="stable")]
                     n = len(own)
                     out[0].append(n)
-                    out[2].append(None if whole else own[: n + (-like * n) // 100 + 1 if n else 0].view(np.int64))
-                    out[3].append(own.tobytes() if whole else None)
+                    out[1].append(xxhash.xxh3_128_digest(own.tobytes()))
+                    out[2].append(np.packbits((np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.int64))
+                    own = _ordered(own, often)
+                    out[3].append(None if whole else own[: n + (-like * n) // 100 + 1 if n else 0].view(np.int64))
+                    out[4].append(own.tobytes() if whole else None)
                 arrays = [batch.column(0)[a:b].cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip(out, list(_SETS)[1:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_SETS)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
 
 
+def candidates(classes: DataFrame, like: int = LIKE) -> DataFrame:
+    """(a, b) of classes that may belong together.
+
+    Classes (cls, n, bits, head) that share a prefix shingle are paired, if few share it, unless their sizes or the differing bits
+    of their parities (no more than the sets differ) rule a link out; if many share it, each goes with the least of its size band.
+    """
+    heads = classes.select("cls", "n", "bits", F.explode("head").alias("token"))
+    counts = heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = written(heads.join(counts, "token"), "jaccard-shared")
+    few = shared.where(F.col("c") <= FEW)
+    one, two = few.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), few.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    differ = sum((F.bit_count(F.get("xa", F.lit(i)).bitwiseXOR(F.get("xb", F.lit(i)))) for i in range(4)), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    overlap = F.ceil(like * total / (100.0 + like) - 1e-9)  # what a link has to share
+    pairs = one.join(two, "token").where("a < b").where((F.least("na", "nb") >= overlap) & (differ <= total - 2 * overlap)).select("a", "b")
+    # Linked sizes are within one band of each other, and each class is in its own band and the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / like)))
+    many = shared.where(F.col("c") > FEW).select("token", "cls", F.explode(F.array(band, band + 1)).alias("band"))
+    least = many.groupBy("token", "band").agg(F.min("cls").alias("pivot"))
+    star = many.join(least, ["token", "band"]).where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    return pairs.unionByName(star).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of edges (a, b): the least id that it reaches. Labels spread and jump until none changes."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -222,19 +247,16 @@ def _joined(rows: DataFrame, like: int) -> DataFrame:
 def components(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = only(docs, "doc_id", "text")
-    counts = bucket_counts(docs, size)
-    rows = written(sets(docs, counts, False, like, size).drop("whole"), "jaccard-rows")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "head")).alias("x"))
+    often = frequent(docs, like, size)
+    rows = written(sets(docs, often, False, like, size).drop("whole"), "jaccard-rows")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "head", "bits")).alias("x"))
     classes = written(classes.select("sig", "x.*").withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
 
-    heads = classes.select("cls", F.explode("head").alias("token"))
-    pivot = heads.groupBy("token").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = heads.join(pivot, "token").where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    families = connected(star).select(F.col("id").alias("cls"), F.col("label").alias("family"))
+    families = connected(candidates(classes, like)).select(F.col("id").alias("cls"), F.col("label").alias("family"))
 
     wanted = families.join(classes.select("cls", "sig", "doc_id"), "cls")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id")
-    whole = sets(texts, counts, True, like, size).select("sig", "whole").join(wanted.select("sig", "cls", "family"), "sig")
+    whole = sets(texts, often, True, like, size).select("sig", "whole").join(wanted.select("sig", "cls", "family"), "sig")
     whole = written(whole.dropDuplicates(["cls"]).select("cls", "family", "whole"), "jaccard-sets")
 
     many = families.groupBy("family").agg(F.count("*").alias("n"), F.min("cls").alias("_first")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("_first")

@@ -874,3 +874,648 @@ def a23_headline_with_reserved(spark, d):
     """Headlines with and without cells that reach the reserved window."""
     t = pa.cell_losses(spark, d).where("fold IS NOT NULL")
     return lo.headline_with_reserved(t.withColumn("bleed", F.expr("date_add(origin, 7 * h)") >= F.lit(pa.RESERVED).cast("date")))
+
+
+# Weights and fusion
+
+
+def _base(spark, d):
+    """(steps, losses, validation losses, folds), the losses written once per call where the session has a folder for it."""
+    steps = pa.cells(spark, d)
+    losses = pa.cell_losses(spark, d)
+    f = pa.folds(spark)
+    return steps, losses, fu.validation(losses, f), f
+
+
+def _val_steps(steps, f):
+    return gu.in_validation(steps, f)
+
+
+def _test_steps(steps, f):
+    return jo.fold_of(steps, f).where("fold IS NOT NULL")
+
+
+_ERR = ", e AS (SELECT fold, channel, avg(mape) AS mape FROM val GROUP BY ALL)"
+
+
+@query(sql(_ERR + " SELECT fold, channel, (1 / greatest(mape, 1e-6)) / sum(1 / greatest(mape, 1e-6)) OVER (PARTITION BY fold) AS w FROM e", "val"), "w")
+def g1_inverse_loss(spark, d):
+    """Inverse-loss weights."""
+    val = _base(spark, d)[2]
+    return fu.inverse_loss(val.groupBy("fold", "channel").agg(F.avg("mape").alias("mape")), ["fold"]).select("fold", "channel", "w")
+
+
+@query(sql("SELECT fold, channel, pow(greatest(skill, 0.001), 2) / sum(pow(greatest(skill, 0.001), 2)) OVER (PARTITION BY fold) AS w FROM fsk", "skills"), "w")
+def g2_floored_skill(spark, d):
+    """Floored-skill weights."""
+    return fu.floored_skill(lo.median_skill(_base(spark, d)[2], ["fold"]), ["fold"], 2.0).select("fold", "channel", "w")
+
+
+@query(sql("SELECT fold, channel, skill, w FROM fw", "skills"), "skill w")
+def g6_fold_weights(spark, d):
+    """Softmax fold weights from validation skill (G3, G6)."""
+    return fu.fold_weights(_base(spark, d)[2]).select("fold", "channel", "skill", "w")
+
+
+_FUSED = ", ts AS (SELECT f.fold, c.*, w.w FROM cells c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end JOIN fw w ON w.fold = f.fold AND w.channel = c.channel)"
+
+
+@query(sql(_FUSED + " SELECT fold, entity, origin, h, step, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM ts GROUP BY ALL", "skills"), "yhat")
+def g4_fuse(spark, d):
+    """Weighted fusion of the test cells, two decimals."""
+    steps, _, val, f = _base(spark, d)
+    return fu.fuse(fu.weigh(_test_steps(steps, f), "fold", fu.fold_weights(val)), ["fold", "entity", "origin", "h", "step"])
+
+
+@query(sql(_FUSED + " SELECT fold, entity, origin, h, step, sum(w * yhat) / sum(w) AS yhat FROM ts WHERE channel <> 'snaive' GROUP BY ALL", "skills"), "yhat")
+def g5_fuse_present(spark, d):
+    """Fusion renormalised without one channel."""
+    steps, _, val, f = _base(spark, d)
+    return fu.fuse_present(fu.weigh(_test_steps(steps, f), "fold", fu.fold_weights(val)), ["snaive"], ["fold", "entity", "origin", "h", "step"])
+
+
+_GRID = """, rsk AS (SELECT fold, regime, h, channel, coalesce(median(s), -1) AS skill, count(s) AS n FROM sk GROUP BY ALL),
+grid AS (SELECT f.fold, r.regime, hs.h, c.channel, coalesce(k.skill, -1.0) AS skill, coalesce(k.n, 0) AS n FROM folds f CROSS JOIN (SELECT unnest(['hiking', 'cutting', 'stable']) AS regime) r CROSS JOIN hs CROSS JOIN (SELECT DISTINCT channel FROM val) c
+  LEFT JOIN rsk k ON k.fold = f.fold AND k.regime = r.regime AND k.h = hs.h AND k.channel = c.channel),
+gw AS (SELECT *, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY fold, regime, h) AS w FROM grid)"""
+
+
+@query(sql(_GRID + " SELECT fold, regime, h, channel, skill, n, w FROM gw", "skills"), "skill w")
+def g7_regime_weights(spark, d):
+    """The grid of weights by regime and horizon."""
+    _, _, val, f = _base(spark, d)
+    return fu.regime_weights(val, f, pa.REGIMES, pa.HORIZONS).select("fold", "regime", "h", "channel", "skill", "n", "w")
+
+
+@query(sql(", k AS (SELECT fold, h, channel, coalesce(median(s), -1) AS skill FROM sk GROUP BY ALL) SELECT fold, h, channel, skill, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY fold, h) AS w FROM k", "skills"), "skill w")
+def g8_horizon_weights(spark, d):
+    """Weights by horizon only."""
+    return fu.horizon_weights(_base(spark, d)[2]).select("fold", "h", "channel", "skill", "w")
+
+
+@query(sql(_GRID + ", wk2 AS (SELECT fold, regime, h, count(DISTINCT origin) AS weeks FROM val GROUP BY ALL) SELECT g.fold, g.regime, g.h, g.channel, CASE WHEN coalesce(weeks, 0) >= 13 THEN g.w ELSE fw.w END AS w, CASE WHEN coalesce(weeks, 0) >= 13 THEN 'regime' ELSE 'fold' END AS source FROM gw g JOIN fw ON fw.fold = g.fold AND fw.channel = g.channel LEFT JOIN wk2 k ON k.fold = g.fold AND k.regime = g.regime AND k.h = g.h", "skills"), "w")
+def g9_with_fallback(spark, d):
+    """Fold weights where a regime has too few weeks."""
+    _, _, val, f = _base(spark, d)
+    return fu.with_fallback(fu.regime_weights(val, f, pa.REGIMES, pa.HORIZONS), fu.fold_weights(val), val).select("fold", "regime", "h", "channel", "w", "source")
+
+
+def _router(spark, d):
+    steps, losses, val, f = _base(spark, d)
+    fold_w = fu.fold_weights(val)
+    grid = fu.with_fallback(fu.regime_weights(val, f, pa.REGIMES, pa.HORIZONS), fold_w, val)
+    return steps, losses, val, f, fold_w, grid
+
+
+_MODES = _GRID + """, wk2 AS (SELECT fold, regime, h, count(DISTINCT origin) AS weeks FROM val GROUP BY ALL),
+gf AS (SELECT g.fold, g.regime, g.h, g.channel, CASE WHEN coalesce(weeks, 0) >= 13 THEN g.w ELSE fw.w END AS w FROM gw g JOIN fw ON fw.fold = g.fold AND fw.channel = g.channel LEFT JOIN wk2 k ON k.fold = g.fold AND k.regime = g.regime AND k.h = g.h),
+vs AS (SELECT f.fold, c.* FROM cells c JOIN folds f ON c.origin BETWEEN f.train_end - 728 AND f.train_end AND c.origin + 7 * c.h <= f.train_end),
+vf AS (SELECT s.fold, s.regime, s.entity, s.origin, s.h, s.step, any_value(s.y) AS y, greatest(round(sum(w.w * yhat), 2), 0.0) AS a, greatest(round(sum(g.w * yhat), 2), 0.0) AS b FROM vs s JOIN fw w ON w.fold = s.fold AND w.channel = s.channel JOIN gf g ON g.fold = s.fold AND g.regime = s.regime AND g.h = s.h AND g.channel = s.channel GROUP BY ALL),
+vl AS (SELECT fold, regime, entity, origin, h, 100 * avg(abs((y - a) / nullif(y, 0))) AS fm, 100 * avg(abs((y - b) / nullif(y, 0))) AS rm FROM vf GROUP BY ALL),
+modes AS (SELECT fold, h, CASE WHEN round(avg(rm), 9) < round(avg(fm), 9) THEN 'regime' ELSE 'fold' END AS mode, avg(fm) AS fold_mape, avg(rm) AS regime_mape FROM vl GROUP BY ALL)"""
+
+
+@query(sql(_MODES + " SELECT fold, h, mode, fold_mape, regime_mape FROM modes", "skills"), "fold_mape regime_mape")
+def g10_select_modes(spark, d):
+    """Fold or regime weights per fold and horizon, by validation loss."""
+    steps, _, _, f, fold_w, grid = _router(spark, d)
+    return fu.select_modes(_val_steps(steps, f), fold_w, grid)
+
+
+@query(sql(_MODES + " SELECT fold, h, regime, CASE WHEN round(avg(rm), 9) < round(avg(fm), 9) THEN 'regime' ELSE 'fold' END AS mode, avg(fm) AS fold_mape, avg(rm) AS regime_mape FROM vl GROUP BY ALL", "skills"), "fold_mape regime_mape")
+def g11_granular_modes(spark, d):
+    """The same per regime."""
+    steps, _, _, f, fold_w, grid = _router(spark, d)
+    return fu.select_modes(_val_steps(steps, f), fold_w, grid, True).select("fold", "h", "regime", "mode", "fold_mape", "regime_mape")
+
+
+_ADAPT = _MODES + """, tf AS (SELECT f.fold, c.regime, c.entity, c.origin, c.h, c.step, any_value(c.y) AS y, greatest(round(sum(CASE WHEN m.mode = 'regime' THEN g.w ELSE w.w END * yhat), 2), 0.0) AS yhat FROM cells c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end
+  JOIN fw w ON w.fold = f.fold AND w.channel = c.channel JOIN gf g ON g.fold = f.fold AND g.regime = c.regime AND g.h = c.h AND g.channel = c.channel JOIN modes m ON m.fold = f.fold AND m.h = c.h GROUP BY ALL),
+tl AS (SELECT fold, regime, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM tf GROUP BY ALL)"""
+
+
+@query(sql(_ADAPT + " SELECT fold, entity, h, regime, avg(mape) AS mape, avg(rmse) AS rmse, count(*) AS n_origins FROM tl GROUP BY ALL", "skills"), "mape rmse")
+def h3_backtest(spark, d):
+    """The adaptive backtest: weights, modes, fusion and results in one plan (G12, H3)."""
+    steps, losses, _, f = _base(spark, d)
+    return bt.results(bt.backtest(steps, losses, f, pa.HORIZONS, pa.REGIMES))
+
+
+@query(sql(", r AS (SELECT fold, h, channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM (SELECT * FROM val) v JOIN (SELECT fold, entity, origin, h, mape FROM val WHERE channel = 'histmean') n USING (fold, entity, origin, h) GROUP BY ALL) SELECT fold, h, channel, skill FROM r", "val"), "skill")
+def g13_other_reference(spark, d):
+    """Skill against another channel than the naive one."""
+    return lo.median_skill(_base(spark, d)[2], ["fold", "h"], "histmean").select("fold", "h", "channel", "skill")
+
+
+@query(sql(_GRID + ", k AS (SELECT fold, h, channel, coalesce(median(s), -1) AS all_skill FROM sk GROUP BY ALL) SELECT g.fold, g.h, g.regime, g.channel, 'down-weight ' || g.channel || ' in ' || g.regime || ' at ' || g.h || ' weeks' || CASE WHEN g.n < 30 THEN ' (n=' || g.n || ')' ELSE '' END AS rule FROM grid g JOIN k USING (fold, h, channel) WHERE g.skill < 0 AND all_skill - g.skill > 0.02 AND g.n > 0", "skills"))
+def g14_gating_rules(spark, d):
+    """Channels that lose in a regime."""
+    _, _, val, f = _base(spark, d)
+    return fu.gating_rules(fu.regime_weights(val, f, pa.REGIMES, pa.HORIZONS), lo.median_skill(val, ["fold", "h"]), 0.02)
+
+
+@query(sql(_MODES + " SELECT w.fold, m.h, m.mode, string_agg(w.channel || '=' || printf('%.4f', round(w.w, 4)), ', ' ORDER BY w.channel) AS weights, CAST(0 AS BIGINT) AS n_rules, 'fold ' || w.fold || ', ' || m.h || ' weeks: ' || m.mode || ' weights' AS sentence FROM fw w JOIN modes m ON m.fold = w.fold GROUP BY w.fold, m.h, m.mode", "skills"))
+def g15_report(spark, d):
+    """Weights, mode and rules per fold and horizon, as a sentence."""
+    steps, _, val, f, fold_w, grid = _router(spark, d)
+    weights = fold_w.crossJoin(F.broadcast(pa.horizons(spark)))
+    rules = fu.gating_rules(fu.regime_weights(val, f, pa.REGIMES, pa.HORIZONS), lo.median_skill(val, ["fold", "h"]), 99.0)
+    return fu.report(weights, fu.select_modes(_val_steps(steps, f), fold_w, grid), rules)
+
+
+@query()
+def g16_tuned_router(spark, d):
+    """Temperature and shrinkage per fold and horizon, in one plan."""
+    steps, _, val, f = _base(spark, d)
+    return fu.tuned_router(lo.median_skill(val, ["fold", "h"]), _val_steps(steps, f), [0.02, 0.05, 0.2], [0.0, 0.5])
+
+
+@query(sql(""", vs AS (SELECT f.fold, c.* FROM cells c JOIN folds f ON c.origin BETWEEN f.train_end - 728 AND f.train_end AND c.origin + 7 * c.h <= f.train_end),
+r AS (SELECT fold, entity, origin, h, step, any_value(y) AS y, max(yhat) FILTER (channel = 'naive') AS f0, max(yhat) FILTER (channel = 'snaive') AS f1, max(yhat) FILTER (channel = 'histmean') AS f2 FROM vs GROUP BY ALL),
+s AS (SELECT fold, h, sum((f1/f0-1)*(f1/f0-1)) AS pp, sum((f1/f0-1)*(f2/f0-1)) AS pq, sum((f2/f0-1)*(f2/f0-1)) AS qq, sum((f1/f0-1)*(y/f0-1)) AS pz, sum((f2/f0-1)*(y/f0-1)) AS qz FROM r WHERE f0 > 0 GROUP BY ALL),
+u AS (SELECT *, (pz*qq-qz*pq)/(pp*qq-pq*pq) AS u1, (qz*pp-pz*pq)/(pp*qq-pq*pq) AS u2, greatest(pz/pp, 0) AS o1, greatest(qz/qq, 0) AS o2 FROM s)
+SELECT fold, h, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN o1*pz >= o2*qz THEN o1 ELSE 0 END AS b1, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN o1*pz >= o2*qz THEN 0 ELSE o2 END AS b2 FROM u""", "cells"), "b1 b2")
+def g17_delta_fusion(spark, d):
+    """Non-negative fusion of relative differences."""
+    steps, _, _, f = _base(spark, d)
+    return fu.delta_fusion(_val_steps(steps, f), "naive", "snaive", "histmean")
+
+
+@query(sql("SELECT fold, h, channel, mape FROM (SELECT fold, h, channel, round(avg(mape), 9) AS mape, row_number() OVER (PARTITION BY fold, h ORDER BY round(avg(mape), 9), list_position(['snaive', 'naive', 'histmean'], channel)) AS r FROM val GROUP BY ALL) WHERE r = 1", "val"), "mape")
+def g18_select_best(spark, d):
+    """The best single channel on validation."""
+    return fu.select_best(_base(spark, d)[2], ["snaive", "naive", "histmean"])
+
+
+@query(sql(""", v AS (SELECT h, channel, avg(mape) AS m FROM val GROUP BY ALL), t AS (SELECT fold, h, channel, avg(mape) AS m FROM losses WHERE fold IS NOT NULL GROUP BY ALL),
+a AS (SELECT v.h, v.channel, v.m < b.m AS val_win FROM v JOIN v b ON b.h = v.h AND b.channel = 'naive' WHERE v.channel <> 'naive'),
+b AS (SELECT t.h, t.channel, count(*) FILTER (t.m < n.m) AS folds_better FROM t JOIN t n ON n.h = t.h AND n.fold = t.fold AND n.channel = 'naive' WHERE t.channel <> 'naive' GROUP BY ALL)
+SELECT h, channel, val_win, folds_better, val_win AND folds_better >= 3 AS promoted FROM a JOIN b USING (h, channel)""", "val"))
+def g19_promote(spark, d):
+    """Channels that win in validation and in most test folds."""
+    _, losses, val, _ = _base(spark, d)
+    return fu.promote(val, losses.where("fold IS NOT NULL"), "naive", 3)
+
+
+@query(sql(_FUSED + " SELECT fold, entity, origin, h, step, channel, w * yhat AS level_part, w * (yhat - y0) AS change_part FROM ts JOIN (SELECT entity, origin, y0 FROM origins) USING (entity, origin)", "skills"), "level_part change_part")
+def g20_attribution(spark, d):
+    """Each channel's part of the level and of the change."""
+    steps, _, val, f = _base(spark, d)
+    s = pa.series(spark, d)
+    y0 = ch.last_value(s, pa.origins(spark, d, s))
+    return fu.attribution(fu.weigh(_test_steps(steps, f), "fold", fu.fold_weights(val)), y0).select("fold", "entity", "origin", "h", "step", "channel", "level_part", "change_part")
+
+
+@query(sql(_MODES + " , q AS (SELECT g.*, CASE WHEN coalesce(k.weeks, 0) >= 13 THEN 'regime' ELSE 'fold' END AS source FROM gf g LEFT JOIN wk2 k USING (fold, regime, h)), m AS (SELECT fold, regime, source, channel, avg(w) AS mean_w FROM q GROUP BY ALL) SELECT *, sum(CASE WHEN channel = 'naive' THEN mean_w ELSE 0 END) OVER (PARTITION BY fold, regime, source) AS naive_share FROM m", "skills"), "mean_w naive_share")
+def g21_weight_profile(spark, d):
+    """Mean weights by source, and the share of naive-like channels."""
+    grid = _router(spark, d)[5]
+    return fu.weight_profile(grid, ["naive"]).select("fold", "regime", "source", "channel", "mean_w", "naive_share")
+
+
+@query(sql("SELECT a.fold, a.channel, abs(a.w - b.w) AS change FROM fw a JOIN fw b ON b.fold = a.fold - 1 AND b.channel = a.channel", "skills"), "change")
+def g22_weight_changes(spark, d):
+    """How far weights move between folds."""
+    return fu.weight_changes(fu.fold_weights(_base(spark, d)[2]))
+
+
+@query()
+def g23_final_system(spark, d):
+    """The assembled system: other members at four weeks than at eight and thirteen."""
+    steps, _, val, f = _base(spark, d)
+    members = {4: ["naive", "snaive"], 8: ["snaive", "histmean"], 13: ["snaive", "histmean"]}
+    return bt.results(fu.final_system(val, _val_steps(steps, f), _test_steps(steps, f), members))
+
+
+@query(sql("SELECT entity, origin, h, step, greatest(round(0.5 * sum(yhat), 2), 0.0) AS yhat FROM cells WHERE channel IN ('naive', 'snaive') GROUP BY ALL", "cells"), "yhat")
+def g24_fixed_weights(spark, d):
+    """Equal fixed weights on two channels."""
+    return fu.fuse(fu.fixed_weights(pa.cells(spark, d), {"naive": 0.5, "snaive": 0.5}))
+
+
+# Backtest
+
+
+@query(sql("SELECT fold, train_start, train_end, test_start, test_end, (SELECT count(*) FROM series s WHERE s.date BETWEEN test_start AND test_end) AS n_rows FROM folds", "folds"))
+def h1_fold_table(spark, d):
+    """Folds, and the panel rows of their test windows."""
+    n = jo.fold_of(pa.series(spark, d).withColumnRenamed("date", "origin"), pa.folds(spark)).groupBy("fold").agg(F.count("*").alias("n_rows"))
+    return pa.folds(spark).join(n, "fold", "left").select("fold", "train_start", "train_end", "test_start", "test_end", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@query(sql("SELECT entity, origin, widx FROM origins", "origins"))
+def h2_origin_set(spark, d):
+    """Origins of all validation and test windows."""
+    return pa.origins(spark, d)
+
+
+_ABL = _FUSED + """, vr AS (SELECT unnest(['full', 'no naive', 'no snaive', 'no histmean']) AS variant), fz AS (SELECT variant, entity, origin, h, step, any_value(y) AS y, sum(w * yhat) FILTER ('no ' || channel <> variant) / sum(w) FILTER ('no ' || channel <> variant) AS yhat FROM ts, vr GROUP BY ALL),
+lz AS (SELECT variant, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM fz GROUP BY ALL), tz AS (SELECT h, variant, avg(mape) AS mape FROM lz GROUP BY ALL)"""
+
+
+def _weighted(spark, d):
+    steps, losses, val, f = _base(spark, d)
+    return fu.weigh(_test_steps(steps, f), "fold", fu.fold_weights(val)), losses, val
+
+
+@query(sql(_ABL + " SELECT t.h, t.variant, t.mape, t.mape - f.mape AS delta FROM tz t JOIN tz f ON f.h = t.h AND f.variant = 'full'", "skills"), "mape delta")
+def h4_ablation(spark, d):
+    """The fusion without each channel."""
+    return bt.ablation(_weighted(spark, d)[0], pa.CHANNELS)
+
+
+@query(sql("SELECT channel, h, avg(mape) AS mape, 'all cells' AS scope FROM losses GROUP BY ALL UNION ALL SELECT 'external', h, avg(mape) * 2, 'fold 1' FROM losses WHERE fold = 1 AND channel = 'naive' GROUP BY h", "losses"), "mape")
+def h5_append_external(spark, d):
+    """Rows of another system under their scope."""
+    losses = pa.cell_losses(spark, d)
+    ext = losses.where("fold = 1 AND channel = 'naive'").groupBy("h").agg((F.avg("mape") * 2).alias("mape")).withColumn("channel", F.lit("external"))
+    return bt.append_external(lo.headline(losses), ext, "fold 1").select("channel", "h", "mape", "scope")
+
+
+@query(sql(_ABL + ", mw AS (SELECT h, channel, avg(w) AS mean_weight FROM ts GROUP BY ALL), so AS (SELECT h, channel, avg(mape) AS solo_mape FROM losses WHERE fold IS NOT NULL GROUP BY ALL) SELECT t.h, substr(t.variant, 4) AS channel, t.mape - f.mape AS drop_delta, mean_weight, solo_mape FROM tz t JOIN tz f ON f.h = t.h AND f.variant = 'full' JOIN mw ON mw.h = t.h AND mw.channel = substr(t.variant, 4) JOIN so ON so.h = t.h AND so.channel = substr(t.variant, 4)", "skills"), "drop_delta mean_weight solo_mape")
+def h6_contribution(spark, d):
+    """What each channel is worth, alone and in the fusion."""
+    w, losses, _ = _weighted(spark, d)
+    return bt.contribution(bt.ablation(w, pa.CHANNELS), w, losses.where("fold IS NOT NULL"))
+
+
+@query()
+def h7_permutation_importance(spark, d):
+    """Loss increase when a channel is dealt to other origins."""
+    return bt.permutation_importance(_weighted(spark, d)[0], pa.CHANNELS, 3)
+
+
+_SWEEP = f""", sc AS (SELECT scale, c.entity, c.origin, c.h, 100 * avg(abs((c.y - e.y0 * CASE WHEN age <= 8 THEN 1 + impact * scale ELSE 1 END) / nullif(c.y, 0))) AS mape FROM cells c JOIN {_LIVE} e USING (entity, origin), (SELECT CAST(unnest([0.0, 0.05, 0.1, 0.2]) AS DOUBLE) AS scale) WHERE c.channel = 'naive' GROUP BY ALL),
+sw AS (SELECT scale, f.fold, avg(mape) AS mape, count(*) AS n FROM sc JOIN folds f ON origin BETWEEN f.train_end - 728 AND f.train_end AND origin + 7 * h <= f.train_end GROUP BY ALL)"""
+
+
+def _scored(spark, d):
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    made = ch.event_scaled(s, o, pa.event_weeks(spark, d), bt.literal_grid(spark, scale=[0.0, 0.05, 0.1, 0.2], window=[8]))
+    actual = jo.forward_actuals(s, o, pa.horizons(spark))
+    return actual.join(made, ["entity", "origin", "step"])
+
+
+@query(sql(_SWEEP + " SELECT scale, fold, mape, n FROM sw", "cells", "events"), "scale mape")
+def h8_sweep(spark, d):
+    """A parameter sweep on validation windows (H8, H11)."""
+    return bt.sweep(_scored(spark, d), pa.folds(spark), "scale")
+
+
+@query(sql(_SWEEP + """, dd AS (SELECT a.scale, a.mape - b.mape AS x, a.n FROM sw a JOIN sw b ON b.fold = a.fold AND b.scale = 0 WHERE a.scale <> 0), g AS (SELECT scale, count(*) FILTER (x < -0.01 AND n >= 30) AS better, count(*) FILTER (x > 0.01 AND n >= 30) AS worse, count(*) FILTER (abs(x) <= 0.01 OR n < 30) AS neutral, avg(x) AS mean_change FROM dd GROUP BY 1)
+SELECT scale, better, worse, neutral, mean_change, better >= 3 AND mean_change < 0 AND row_number() OVER (ORDER BY CASE WHEN better >= 3 AND mean_change < 0 THEN round(mean_change, 9) END NULLS LAST, scale) = 1 AS approved FROM g""", "cells", "events"), "scale mean_change")
+def h9_consistency(spark, d):
+    """The fold-consistency gate over the sweep."""
+    return bt.consistency(bt.sweep(_scored(spark, d), pa.folds(spark), "scale"), "scale", 0.0, least_folds=3)
+
+
+@query(sql(_SWEEP.replace("origin BETWEEN f.train_end - 728 AND f.train_end AND origin + 7 * h <= f.train_end", "origin BETWEEN f.test_start AND f.test_end") + " SELECT scale, fold, mape, n FROM sw WHERE scale = 0.05", "cells", "events"), "scale mape")
+def h10_sweep_test(spark, d):
+    """The chosen value on the test windows."""
+    return bt.sweep(_scored(spark, d).where("scale = 0.05"), pa.folds(spark), "scale", window="test")
+
+
+@query(sql(_SWEEP + " SELECT fold, scale, round(mape, 9) AS mape FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(mape, 9), scale) AS r FROM sw) WHERE r = 1", "cells", "events"), "scale mape")
+def h12_select_param(spark, d):
+    """The best value per fold."""
+    return bt.select_param(bt.sweep(_scored(spark, d), pa.folds(spark), "scale"), "scale")
+
+
+@query(sql("SELECT variant, channel, avg(yhat) AS yhat, count(*) AS n FROM (SELECT 'base' AS variant, channel, yhat FROM cells UNION ALL SELECT 'swapped', channel, yhat FROM cells WHERE channel <> 'naive' UNION ALL SELECT 'swapped', 'naive', yhat FROM cells WHERE channel = 'histmean') GROUP BY ALL", "cells"), "yhat")
+def h13_variants(spark, d):
+    """Cells with one channel standing in for another."""
+    v = bt.variants(pa.cells(spark, d), {"base": {}, "swapped": {"naive": "histmean"}})
+    return v.groupBy("variant", "channel").agg(F.avg("yhat").alias("yhat"), F.count("*").alias("n"))
+
+
+@query(sql("SELECT cut, h, channel, avg(mape) AS mape, count(*) AS n FROM (SELECT 'raw' AS cut, * FROM losses WHERE extract(day FROM origin) > 9 UNION ALL SELECT 'smooth', * FROM losses WHERE extract(day FROM origin) > 9) GROUP BY ALL", "losses"), "mape")
+def h14_same_cells(spark, d):
+    """Two cuts of the series over the cells that both have."""
+    losses = pa.cell_losses(spark, d)
+    return bt.same_cells(losses, losses.where(F.dayofmonth("origin") > 9)).groupBy("cut", "h", "channel").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
+
+
+@query(sql(_GRID + ", z AS (SELECT fold, regime, h FROM grid GROUP BY ALL HAVING max(n) = 0) SELECT fold, regime, h, channel AS mode, count(*) AS n_cells, avg(mape) AS mape FROM losses JOIN z USING (fold, regime, h) GROUP BY ALL", "skills"), "mape")
+def h15_zero_support(spark, d):
+    """Test cells whose regime had no validation data."""
+    _, losses, val, f = _base(spark, d)
+    return bt.zero_support(fu.regime_weights(val, f, pa.REGIMES, pa.HORIZONS), losses.where("fold IS NOT NULL").withColumn("mode", F.col("channel")))
+
+
+@query(sql("SELECT h, avg(b) AS base, round(avg(f) + 1.23e-08, 6) AS full_path, avg(CASE WHEN act THEN f ELSE b END) AS gated, avg(b - f) FILTER (act) AS gain_open, avg(b - f) FILTER (NOT act) AS gain_shut, avg(CAST(act AS DOUBLE)) AS activation FROM (SELECT entity, origin, h, max(mape) FILTER (channel = 'snaive') AS f, max(mape) FILTER (channel = 'naive') AS b, (entity, origin) IN (SELECT DISTINCT (entity, week) FROM evw) AS act FROM losses GROUP BY entity, origin, h) GROUP BY 1", "losses", "events"), "base gated gain_open gain_shut activation")
+def h16_gate_value(spark, d):
+    """What running the full path only on event weeks gives."""
+    losses = pa.cell_losses(spark, d)
+    live = pa.event_weeks(spark, d).select("entity", F.col("week").alias("origin")).distinct().withColumn("activate", F.lit(True))
+    cells = losses.select("entity", "origin").distinct().join(live, ["entity", "origin"], "left").withColumn("activate", F.coalesce("activate", F.lit(False)))
+    return bt.gate_value(losses, cells, "snaive", "naive").withColumnRenamed("full", "full_path").withColumn("full_path", F.round(F.col("full_path") + NUDGE, 6))
+
+
+@query()
+def h17_placebo(spark, d):
+    """Regime labels permuted in blocks, and how often that does better."""
+    steps, losses, _, f = _base(spark, d)
+    labels = bt.placebo_labels(pa.regimes(spark, d).select(F.col("origin").alias("date"), "regime"), 3)
+    val = fu.validation(losses, f).drop("regime").join(labels.withColumnRenamed("date", "origin"), "origin")
+    skills = lo.with_reference(val.where("channel = 'snaive' OR channel = 'naive'").withColumn("entity", F.concat_ws("|", "entity", F.col("perm").cast("string"), F.col("fold").cast("string"))))
+    best = skills.where("channel = 'snaive'").groupBy("perm", "fold", "regime", "h").agg(F.avg(F.col("mape") - F.col("ref")).alias("gain"))
+    test = losses.where("fold IS NOT NULL").drop("regime").join(labels.withColumnRenamed("date", "origin"), "origin").join(best, ["perm", "fold", "regime", "h"])
+    pick = test.where("(gain < 0 AND channel = 'snaive') OR (gain >= 0 AND channel = 'naive')")
+    return bt.placebo_share(pick)
+
+
+@query()
+def h18_single_split(spark, d):
+    """One split only."""
+    steps, losses, _, _ = _base(spark, d)
+    return bt.single_split(steps, losses, "1999-01-04").groupBy("h").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
+
+
+@query()
+def h19_backtest_excluding(spark, d):
+    """The backtest without cells that touch a window."""
+    steps, losses, _, f = _base(spark, d)
+    return bt.results(bt.backtest(steps, losses, f, pa.HORIZONS, pa.REGIMES, "fold", ("1999-06-07", "1999-10-04")))
+
+
+@query(sql("SELECT f.fold, s.entity, hs.h, c.channel, 100 * abs((t.y - c.yhat) / nullif(t.y, 0)) AS ape FROM folds f JOIN series s ON s.date = f.train_end CROSS JOIN hs JOIN series t ON t.entity = s.entity AND t.date = s.date + 7 * hs.h JOIN forecasts c ON c.entity = s.entity AND c.origin = s.date AND c.h = 13 AND c.step = hs.h AND c.channel = 'naive'", "forecasts"), "ape")
+def h21_single_origin(spark, d):
+    """Forecasts made at each training end."""
+    s = pa.series(spark, d)
+    return bt.single_origin(s, ch.naive(s, pa.origins(spark, d, s)), pa.folds(spark), pa.horizons(spark))
+
+
+# Statistics
+
+
+_WD = ", wd AS (SELECT h, origin, avg(d) AS d FROM (SELECT h, origin, entity, max(mape) FILTER (channel = 'snaive') - max(mape) FILTER (channel = 'naive') AS d FROM losses WHERE fold IS NOT NULL GROUP BY ALL) GROUP BY ALL)"
+_LRV = """, r AS (SELECT h, row_number() OVER (PARTITION BY h ORDER BY origin) AS i, count(*) OVER (PARTITION BY h) AS n, avg(d) OVER (PARTITION BY h) AS m, d - avg(d) OVER (PARTITION BY h) AS e FROM wd),
+lr AS (SELECT a.h, any_value(a.n) AS n, any_value(a.m) AS mean, sum(CASE WHEN a.i = b.i THEN 1.0 ELSE 2 * (1 - (a.i - b.i) / CAST(a.h AS DOUBLE)) END * a.e * b.e) / any_value(a.n) AS lrv FROM r a JOIN r b ON b.h = a.h AND a.i - b.i BETWEEN 0 AND a.h - 1 GROUP BY a.h)"""
+
+
+def _tested(spark, d):
+    return pa.cell_losses(spark, d).where("fold IS NOT NULL")
+
+
+def _weekly_d(spark, d):
+    diffs = stt.paired_differences(_tested(spark, d), "snaive", "naive", ["h", "origin", "entity"])
+    return diffs.groupBy("h", "origin").agg(F.avg("d").alias("d"))
+
+
+@query(sql(_WD + _LRV + " SELECT h, mean, n, lrv FROM lr", "losses"), "mean lrv")
+def t1_long_run_variance(spark, d):
+    """Newey-West variance of weekly differences."""
+    return stt.long_run_variance(_weekly_d(spark, d), ["h"], "d", F.col("h") - 1)
+
+
+@query(sql(_WD + _LRV + " SELECT h, n, mean, mean / sqrt(lrv / n) * sqrt((n + 1 - 2 * h + h * (h - 1) / CAST(n AS DOUBLE)) / n) AS stat FROM lr", "losses"), "mean stat")
+def t2_weekly_dm(spark, d):
+    """Diebold-Mariano on weekly means."""
+    return stt.weekly_dm(_tested(spark, d), "snaive", "naive").select("h", "n", "mean", "stat")
+
+
+@query()
+def t3_entity_dm(spark, d):
+    """The test per entity, after Benjamini-Hochberg."""
+    return stt.entity_dm(_tested(spark, d), "snaive", "naive")
+
+
+_PV = "(SELECT CAST(c_custkey AS BIGINT) AS id, c_nationkey % 5 AS g, ((c_custkey * 7919) % 9973 + 1) / 400000.0 AS p_value FROM customer)"
+
+
+def _pvalues(spark, d):
+    k = F.col("c_custkey").cast("bigint")
+    return pa.table(spark, d, "customer").select(k.alias("id"), (F.col("c_nationkey") % 5).alias("g"), (((k * 7919) % 9973 + 1) / 400000.0).cast("double").alias("p_value"))
+
+
+@query(f"SELECT id, coalesce(r <= max(CASE WHEN p_value <= 0.005 * r / m THEN r END) OVER (PARTITION BY g), false) AS reject FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p_value) AS r, count(*) OVER (PARTITION BY g) AS m FROM {_PV})")
+def t4_benjamini_hochberg(spark, d):
+    """The step-up procedure."""
+    return stt.benjamini_hochberg(_pvalues(spark, d), ["g"], 0.005).select("id", "reject")
+
+
+@query(f"SELECT id, max(least((m - r + 1) * p_value, 1.0)) OVER (PARTITION BY g ORDER BY r ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p_value) AS r, count(*) OVER (PARTITION BY g) AS m FROM {_PV})", "p_holm")
+def t5_holm(spark, d):
+    """Step-down adjusted values."""
+    return stt.holm(_pvalues(spark, d), ["g"]).select("id", "p_holm")
+
+
+_BOOT = _WD + f""", r AS (SELECT h, d, row_number() OVER (PARTITION BY h ORDER BY origin) - 1 AS i, count(*) OVER (PARTITION BY h) AS n FROM wd),
+pl AS (SELECT g.h, rep, b, k, {draw_sql('5', 'rep', 'b')} % greatest(g.n - 13 + 1, 1) + k AS i FROM (SELECT h, any_value(n) AS n FROM r GROUP BY 1) g, (SELECT unnest(range(100)) AS rep), (SELECT unnest(range(40)) AS b), (SELECT unnest(range(13)) AS k) WHERE b <= ceil(g.n / 13.0) - 1 AND b * 13 + k < g.n),
+ms AS (SELECT pl.h, rep, avg(r.d) AS m FROM pl JOIN r ON r.h = pl.h AND r.i = pl.i GROUP BY ALL)"""
+
+
+@query(sql(_BOOT + " SELECT h, mean, low, high FROM (SELECT h, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ms GROUP BY 1) JOIN (SELECT h, avg(d) AS mean FROM wd GROUP BY 1) USING (h)", "losses"), "mean low high")
+def t6_block_bootstrap(spark, d):
+    """Moving-block intervals of the weekly difference."""
+    return stt.block_bootstrap(_weekly_d(spark, d), ["h"], "d", 100)
+
+
+@query(sql(_BOOT + ", ci AS (SELECT h, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM ms GROUP BY 1), ref AS (SELECT h, avg(mape) AS ref FROM losses WHERE fold IS NOT NULL AND channel = 'naive' GROUP BY 1) SELECT h, low, high, low > -0.02 * ref AND high < 0.02 * ref AS equivalent FROM ci JOIN ref USING (h)", "losses"), "low high")
+def t7_equivalence(spark, d):
+    """Whether the 90 % interval lies within two per cent of the reference."""
+    ref = lo.headline(_tested(spark, d).where("channel = 'naive'"))
+    return stt.equivalence(stt.block_bootstrap(_weekly_d(spark, d), ["h"], "d", 100, level=0.9), ref, ["h"]).select("h", "low", "high", "equivalent")
+
+
+@query()
+def t8_model_confidence_set(spark, d):
+    """Methods that none of the others beats."""
+    return stt.model_confidence_set(lo.weekly_means(_tested(spark, d)), replicates=100)
+
+
+@query()
+def t9_pair_bundle(spark, d):
+    """All statistics of two pairs."""
+    return stt.pair_bundle(_tested(spark, d), [("snaive", "naive"), ("histmean", "naive")], 50)
+
+
+@query(sql(", z AS (SELECT entity, date, qty, (lead(y, 4) OVER w - y) / nullif(y, 0) AS z, lag(qty, 0) OVER w AS x0, lag(qty, 4) OVER w AS x4, lag(qty, 8) OVER w AS x8 FROM aligned WINDOW w AS (PARTITION BY entity ORDER BY date)), l AS (SELECT 0 AS lag, x0 AS x, z FROM z UNION ALL SELECT 4, x4, z FROM z UNION ALL SELECT 8, x8, z FROM z), c AS (SELECT CAST(lag AS INT) AS lag, corr(x, z) AS r, count(*) AS n FROM l WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY 1) SELECT *, row_number() OVER (ORDER BY round(abs(r), 9) DESC, lag) = 1 AS best FROM c", "aligned"), "r")
+def t10_lag_correlation(spark, d):
+    """Correlation over lags, the best one marked."""
+    a = wi.forward_change(pa.aligned(spark, d), 4, "z")
+    return stt.lag_correlation(a, "qty", [0, 4, 8])
+
+
+def _edges(spark, d):
+    s = pa.series(spark, d)
+    shifted = s.withColumn("y", F.col("y") + 100)
+    return stt.spillover_graph(jo.ordered_pairs(s), shifted, 3, 0.5)
+
+
+@query()
+def t11_granger(spark, d):
+    """Granger screen of all pairs of entities."""
+    s = pa.series(spark, d)
+    return stt.granger(jo.ordered_pairs(s), s, 4)
+
+
+@query()
+def t12_spillover_graph(spark, d):
+    """The same on the series without common movement, with significance."""
+    return _edges(spark, d)
+
+
+@query()
+def t13_factor_scores(spark, d):
+    """Factor correlations beside their Granger tests."""
+    a = pa.aligned(spark, d)
+    corr = wi.factor_correlation(a, ["disc", "tax", "qty"], "2000-06-05", 4)
+    long = a.unpivot(["date"], ["disc", "tax", "qty"], "entity", "y").where("y IS NOT NULL").distinct()
+    s = a.select("date", "entity", "y").unionByName(long.select("date", "entity", "y"))
+    names = a.select("entity").distinct().crossJoin(F.broadcast(spark.createDataFrame([("disc",), ("tax",), ("qty",)], "source string"))).select("source", F.col("entity").alias("target"))
+    return stt.factor_scores(corr, stt.granger(names, s, 2))
+
+
+@query()
+def a16_factor_summary(spark, d):
+    """Summary of the factor scores over entities."""
+    return lo.factor_summary(t13_factor_scores(spark, d))
+
+
+def _panel(spark, d):
+    a = wi.forward_change(pa.aligned(spark, d), 4, "z").withColumn("q", F.col("qty") / 1000).withColumn("x", F.col("q") * F.ascii("entity") % 7)
+    return a.withColumn("period", F.concat_ws("-", F.year("date"), F.quarter("date")))
+
+
+@query(sql(""", p AS (SELECT entity, z, x FROM (SELECT entity, (lead(y, 4) OVER (PARTITION BY entity ORDER BY date) - y) / nullif(y, 0) AS z, (qty / 1000 * ascii(entity)) % 7 AS x FROM aligned) WHERE z IS NOT NULL AND x IS NOT NULL),
+w AS (SELECT entity, z - avg(z) OVER (PARTITION BY entity) AS z, x - avg(x) OVER (PARTITION BY entity) AS x FROM p), b AS (SELECT sum(x * z) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM w),
+s AS (SELECT entity, sum((z - b * x) * x) AS s FROM w, b GROUP BY 1) SELECT 'x' AS term, b AS coef, sqrt((SELECT sum(s * s) * (count(*) / (count(*) - 1.0)) FROM s) * ((n - 1.0) / (n - 1)) ) / sxx AS se, n FROM b""", "aligned"), "coef se")
+def t14_panel_regression(spark, d):
+    """Entity effects, errors clustered by entity."""
+    return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"]]).select("term", "coef", "se", "n")
+
+
+@query()
+def t14_panel_regression_two_way(spark, d):
+    """Entity and quarter effects."""
+    return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"], ["period"]], rounds=4)
+
+
+@query(sql(""", p AS (SELECT entity, date, z, x FROM (SELECT entity, date, (lead(y, 4) OVER (PARTITION BY entity ORDER BY date) - y) / nullif(y, 0) AS z, (qty / 1000 * ascii(entity)) % 7 AS x FROM aligned) WHERE z IS NOT NULL AND x IS NOT NULL),
+w AS (SELECT date, z - avg(z) OVER (PARTITION BY entity) AS z, x - avg(x) OVER (PARTITION BY entity) AS x FROM p), b AS (SELECT sum(x * z) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM w),
+s AS (SELECT row_number() OVER (ORDER BY date) AS i, s FROM (SELECT date, sum((z - b * x) * x) AS s FROM w, b GROUP BY 1)),
+m AS (SELECT sum(CASE WHEN a.i = c.i THEN 1 ELSE 2 * (1 - (a.i - c.i) / 5.0) END * a.s * c.s) AS m FROM s a JOIN s c ON a.i - c.i BETWEEN 0 AND 4) SELECT 'x' AS term, b AS coef, sqrt(m) / sxx AS se, n FROM b, m""", "aligned"), "coef se")
+def t15_driscoll_kraay(spark, d):
+    """Kernel errors over dates."""
+    return stt.driscoll_kraay(_panel(spark, d), "z", ["x"]).select("term", "coef", "se", "n")
+
+
+@query()
+def t16_wild_cluster(spark, d):
+    """Restricted wild cluster bootstrap."""
+    return stt.wild_cluster(_panel(spark, d), "z", "x", ["q"], 99)
+
+
+@query()
+def t17_distributed_lag(spark, d):
+    """Sums of lag coefficients over ranges."""
+    return stt.lag_sums(stt.distributed_lag(_panel(spark, d), "z", "x", 8), [(0, 4), (5, 8)])
+
+
+@query()
+def t18_lag_grid(spark, d):
+    """A regression per feature and lag, with and without a window."""
+    return stt.lag_grid(_panel(spark, d), "z", ["x", "q"], [4, 8, 12], ("1999-01-04", "1999-06-28"))
+
+
+@query()
+def t19_serial_correlation(spark, d):
+    """Own lag of the residuals, pooled and by entity."""
+    p = wi.weekly_change(_panel(spark, d), "y", "e").select("entity", "date", "e")
+    pooled, own = stt.serial_correlation(p)
+    return pooled.crossJoin(F.broadcast(own.select("mean_rho", F.col("t").alias("t_rho"))))
+
+
+# Graph, gate, boundary
+
+
+@query()
+def k1_package(spark, d):
+    """Edges with strength and inbound rank."""
+    s = pa.series(spark, d)
+    return gr.package(_edges(spark, d), s)[0]
+
+
+@query()
+def k2_edge_matrix(spark, d):
+    """Weights of the significant edges by target and source."""
+    return gr.edge_weights(_edges(spark, d))
+
+
+def _fixed_edges(spark, d):
+    """Edges by rule, so that SQL can make them too: each entity to those whose name is longer or later."""
+    pairs = jo.ordered_pairs(pa.table(spark, d, "customer").select(F.col("c_mktsegment").alias("entity")))
+    p = (F.length("source") * 3 + F.length("target")) / 1000.0
+    return pairs.withColumn("p_value", p.cast("double")).withColumn("best_lag", F.length("source") % 4).withColumn("significant", F.col("source") < F.col("target"))
+
+
+_FE = """, fe AS (SELECT source, target, CAST((length(source) * 3 + length(target)) / 1000.0 AS DOUBLE) AS p, greatest(length(source) % 4, 1) AS lag FROM (SELECT DISTINCT c_mktsegment AS source FROM customer), (SELECT DISTINCT c_mktsegment AS target FROM customer) WHERE source < target),
+te AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(p, 12), source) AS r FROM fe) WHERE r <= 3),
+mv AS (SELECT o.entity, o.origin, t.source, 1 / t.p AS w, (b.y - a.y) / nullif(a.y, 0) AS m FROM origins o JOIN te t ON t.target = o.entity JOIN series n ON n.entity = t.source AND n.date = o.origin JOIN series b ON b.entity = t.source AND b.widx = n.widx - t.lag JOIN series a ON a.entity = t.source AND a.widx = n.widx - t.lag - 3),
+sg AS (SELECT entity, origin, count(*) AS n_neighbours, sum(w * m) / sum(w) AS trend, arg_max(m, {'a': round(abs(m), 12), 'b': source}) AS max_shock, arg_max(source, {'a': round(abs(m), 12), 'b': source}) AS shocked FROM mv GROUP BY ALL)"""
+
+
+@query(sql(_FE + " SELECT entity, origin, n_neighbours, trend, max_shock, shocked FROM sg", "origins"), "trend max_shock")
+def k3_spillover_signal(spark, d):
+    """Weighted neighbour moves at each origin."""
+    s = pa.series(spark, d)
+    return gr.spillover_signal(s, _fixed_edges(spark, d), pa.origins(spark, d, s)).drop("contributors")
+
+
+
+@query(sql(_FE + """, e8 AS (SELECT entity, date, CASE WHEN n + 1 < 4 OR ape IS NULL THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE (ape - m) / sd END AS z FROM (SELECT entity, date, ape, count(ape) OVER w AS n, avg(ape) OVER w AS m, stddev_pop(ape) OVER w AS sd
+  FROM (SELECT entity, date, abs((y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(y, 0)) AS ape FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING))),
+e9 AS (SELECT entity, date, CASE WHEN n < 12 THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE abs(mv) / sd END AS z FROM (SELECT entity, date, mv, count(mv) OVER w AS n, stddev_pop(mv) OVER w AS sd
+  FROM (SELECT entity, date, (y - lag(y, 4) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 4) OVER (PARTITION BY entity ORDER BY date), 0) AS mv FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)))
+SELECT o.entity, o.origin, CASE WHEN (o.entity, o.origin) IN (SELECT DISTINCT (entity, week) FROM evw) THEN 'event' WHEN a.z > 2.0 THEN 'own_error' WHEN b.z > 2.5 THEN 'neighbour_shock' ELSE 'none' END AS trigger FROM origins o
+  LEFT JOIN e8 a ON a.entity = o.entity AND a.date = o.origin LEFT JOIN sg ON sg.entity = o.entity AND sg.origin = o.origin LEFT JOIN e9 b ON b.entity = sg.shocked AND b.date = o.origin""", "origins", "events"))
+def k4_gate(spark, d):
+    """Gate decisions: event, own error, neighbour's shock, none."""
+    return _gated(spark, d).select("entity", "origin", "trigger")
+
+
+def _gated(spark, d):
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    live = pa.event_weeks(spark, d).select("entity", F.col("week").alias("origin")).distinct().withColumn("event_live", F.lit(True))
+    shocks = gr.shock_z(gr.spillover_signal(s, _fixed_edges(spark, d), o), wi.move_zscore(s))
+    return gr.gate(gr.gate_inputs(s, o, wi.error_zscore(s), live, shocks))
+
+
+@query()
+def a17_gate_report(spark, d):
+    """Gate decisions by trigger."""
+    return lo.gate_report(_gated(spark, d))
+
+
+_BD = ", bd AS (SELECT entity, 0.4 * coalesce(max(abs(c)), 1.0) AS bound FROM (SELECT entity, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM series) GROUP BY 1)"
+
+
+def _bounded(spark, d):
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    bounds = wi.historical_bound(s).withColumn("bound", F.col("bound") * 0.4)
+    return ch.seasonal_naive(s, o, 8), ch.last_value(s, o), bounds, ch.naive(s, o, 8)
+
+
+@query(sql(_BD + """ SELECT channel, entity, origin, step, yhat, previous, 'jump' AS problem FROM (SELECT f.channel, f.entity, f.origin, f.step, f.yhat, coalesce(lag(f.yhat) OVER (PARTITION BY f.entity, f.origin ORDER BY f.step), o.y0) AS previous, b.bound
+  FROM forecasts f JOIN origins o USING (entity, origin) JOIN bd b ON b.entity = f.entity WHERE f.h = 8 AND f.channel = 'snaive') WHERE abs((yhat - previous) / nullif(previous, 0)) > bound""", "forecasts"), "yhat previous")
+def k5_boundary_check(spark, d):
+    """Steps that move more than a part of the largest move on record."""
+    f, last, bounds, _ = _bounded(spark, d)
+    return gr.boundary_check(f, last, bounds)
+
+
+@query()
+def k6_enforce(spark, d):
+    """Paths clamped step by step, with the outcome."""
+    f, last, bounds, base = _bounded(spark, d)
+    return gr.enforce(f, last, bounds, base)
+
+
+@query()
+def a18_boundary_report(spark, d):
+    """Outcomes of the bounds in one row."""
+    return lo.boundary_report(k6_enforce(spark, d))

@@ -29,8 +29,8 @@ from .common import LOWER, SOLID, mix, only, spread, steps, word_hashes, word_sp
 SHINGLE, LIKE, BLOCK, PIVOTS = 3, 90, 200, 4
 #: Length of the list of frequent shingles, documents that make one frequent, classes that are paired on a shared shingle.
 FREQUENT, OFTEN, FEW = 200_000, 5, 16
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("head", pa.list_(pa.int64())), ("whole", pa.binary())])
-_SETS_SQL = "doc_id bigint, n bigint, sig binary, bits array<bigint>, head array<bigint>, whole binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
+_SETS_SQL = "doc_id bigint, n bigint, sig binary, bits array<bigint>, head array<bigint>"
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -61,7 +61,7 @@ def frequent(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, limit: int
     The order of shingles needs no more than this bounded list: any order gives the same links, and this one keeps the shingles
     that many documents share out of the prefixes.
     """
-    heads = sets(docs, np.zeros((0, 2), np.uint64), False, like, size).select(F.explode("head").alias("token"))
+    heads = sets(docs, np.zeros((0, 2), np.uint64), like, size).select(F.explode("head").alias("token"))
     top = heads.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     out = np.stack([top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.uint64)], 1) if top.num_rows else np.zeros((0, 2), np.uint64)
     return out[np.argsort(out[:, 0])]
@@ -77,13 +77,13 @@ def _ordered(own: np.ndarray, often: np.ndarray) -> np.ndarray:
     return own[np.argsort(times, kind="stable")]
 
 
-def sets(docs: DataFrame, often: np.ndarray, whole: bool, like: int = LIKE, size: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, n, sig (of the whole set), bits (parities of the hashes by their low byte), and the first shingles (head) or all (whole) in the global order."""
+def sets(docs: DataFrame, often: np.ndarray, like: int = LIKE, size: int = SHINGLE) -> DataFrame:
+    """Per row: doc_id, n, sig (of the whole set), bits (parities of the hashes by their low byte), and the first shingles (head) in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
                 for hashes in shingle_lists(data, offsets, size):
                     own = np.unique(hashes)
                     n = len(own)
@@ -91,8 +91,7 @@ def sets(docs: DataFrame, often: np.ndarray, whole: bool, like: int = LIKE, size
                     out[1].append(xxhash.xxh3_128_digest(own.tobytes()))
                     out[2].append(np.packbits((np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.int64))
                     own = _ordered(own, often)
-                    out[3].append(None if whole else own[: n + (-like * n) // 100 + 1 if n else 0].view(np.int64))
-                    out[4].append(own.tobytes() if whole else None)
+                    out[3].append(own[: n + (-like * n) // 100 + 1 if n else 0].view(np.int64))
                 arrays = [batch.column(0)[a:b].cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip(out, list(_SETS)[1:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_SETS)
 
@@ -223,24 +222,30 @@ def block_links(ids: list[int], paths: list[bytes], probes: list[bool], groups:
     return out
 
 
-def _joined(rows: DataFrame, like: int) -> DataFrame:
-    """Links within each (family, block) of rows (family, block, cls, known, probe, whole)."""
+def _joined(rows: DataFrame, often: np.ndarray, like: int, size: int) -> DataFrame:
+    """Links within each (family, block) of rows (family, block, cls, known, probe, sig, text); sets are made where they meet.
+
+    A row whose text has another set than sig (its doc_id is not unique) is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
-
-        for _, group in groupby(each(), key=lambda r: (r[0], r[1])):
-            best = {}
-            for r in group:  # a shared set may also be dealt to the block
-                best[r[2]] = r
-            own = list(best.values())
-            links = block_links([r[2] for r in own], [r[5] for r in own], [r[4] for r in own], [r[3] for r in own], like)
+                kept = batch.drop_columns(["text"]).to_pylist()
+                for a, b, data, offsets in steps(batch.column("text")):
+                    for row, hashes in zip(kept[a:b], shingle_lists(data, offsets, size), strict=True):
+                        own = np.unique(hashes)
+                        if xxhash.xxh3_128_digest(own.tobytes()) == row["sig"]:
+                            yield row | {"whole": _ordered(own, often).tobytes()}
+
+        for _, group in groupby(each(), key=lambda r: (r["family"], r["block"])):
+            # A shared set may also be dealt to the block, a copy be met twice; probes come last.
+            own = list({r["cls"]: r for r in group}.values())
+            links = block_links([r["cls"] for r in own], [r["whole"] for r in own], [r["probe"] for r in own], [r["known"] for r in own], like)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], schema=_LINKS)
 
-    rows = rows.select("family", "block", "cls", "known", "probe", "whole").repartition(spread(rows.sparkSession), "family", "block")
+    rows = rows.select("family", "block", "cls", "known", "probe", "sig", "text").repartition(spread(rows.sparkSession), "family", "block")
     return rows.sortWithinPartitions("family", "block", "probe").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -248,27 +253,25 @@ def components(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: in
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = only(docs, "doc_id", "text")
     often = frequent(docs, like, size)
-    rows = written(sets(docs, often, False, like, size).drop("whole"), "jaccard-rows")
+    rows = written(sets(docs, often, like, size), "jaccard-rows")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "head", "bits")).alias("x"))
     classes = written(classes.select("sig", "x.*").withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
 
     families = connected(candidates(classes, like)).select(F.col("id").alias("cls"), F.col("label").alias("family"))
 
     wanted = families.join(classes.select("cls", "sig", "doc_id"), "cls")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id")
-    whole = sets(texts, often, True, like, size).select("sig", "whole").join(wanted.select("sig", "cls", "family"), "sig")
-    whole = written(whole.dropDuplicates(["cls"]).select("cls", "family", "whole"), "jaccard-sets")
-
-    many = families.groupBy("family").agg(F.count("*").alias("n"), F.min("cls").alias("_first")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("_first")
-    dealt = whole.join(many, "family").withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    large = families.join(many.where("blocks > 1"), "family")
-    # Pivots of a large family: the sets that hash lowest, found with at most `pivots` rows per task and family.
-    low = large.groupBy("family").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("x0"), *[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"x{k}") for k in range(1, pivots)])
+
+    many = families.groupBy("family").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = wanted.join(many, "family").withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = written(dealt, "jaccard-dealt")
+    large = dealt.where("blocks > 1")
+    # Pivots of a large family: the sets that hash lowest, found with one row per task and family.
+    low = large.groupBy("family").agg(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"x{k}") for k in range(pivots)])
     shared = low.select(F.explode(F.array_distinct(F.array(*[F.col(f"x{k}.cls") for k in range(pivots)]))).alias("cls"))
-    everywhere = dealt.join(shared, "cls").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = dealt.withColumn("block", F.col("home")).unionByName(everywhere)
-    first = first.select("family", "block", "cls", F.col("cls").alias("known"), F.lit(True).alias("probe"), "whole")
-    links = written(_joined(first, like), "jaccard-links")
+    everywhere = large.join(shared, "cls").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["doc_id", "sig", "family", F.col("block").cast("string").alias("block"), "cls", F.col("cls").alias("known"), F.lit(True).alias("probe")]
+    first = dealt.withColumn("block", F.col("home")).select(*columns).unionByName(everywhere.select(*columns))
+    links = written(_joined(docs.join(first, "doc_id"), often, like, size), "jaccard-links")
 
     if large.take(1):
         found = connected(links)
@@ -276,15 +279,16 @@ def components(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: in
         held = written(held, "jaccard-held")
         main = held.groupBy("family", "known").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "known")).alias("x"))
         left = held.join(main.select("family", F.col("x.known").alias("main")), "family").where("known <> main").select("cls")
-        known = held.select("cls", "known")
-        placed = dealt.where("blocks > 1").join(known, "cls")
+        placed = large.join(held.select("cls", "known"), "cls")
         outside = placed.join(left, "cls").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit("chunk")), F.ceil(F.col("n") / block)).cast("int"))
-        chunks = outside.select("family", "chunk").distinct()
-        probes = outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-        members = placed.join(chunks, "family").withColumn("at", F.col("home")).withColumn("probe", F.lit(False))
-        columns = ["family", F.concat_ws("-", F.col("at").cast("string"), F.col("chunk").cast("string")).alias("block"), "cls", "known", "probe", "whole"]
-        more = written(_joined(members.select(*columns).unionByName(probes.select(*columns)), like), "jaccard-more-links")
-        links = links.unionByName(more)
+        outside = written(outside, "jaccard-outside")
+        if outside.take(1):
+            chunks = outside.select("family", "chunk").distinct()
+            probes = outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+            members = placed.join(chunks, "family").withColumn("at", F.col("home")).withColumn("probe", F.lit(False))
+            columns = ["doc_id", "sig", "family", F.concat_ws("-", F.col("at").cast("string"), F.col("chunk").cast("string")).alias("block"), "cls", "known", "probe"]
+            again = members.select(*columns).unionByName(probes.select(*columns))
+            links = links.unionByName(written(_joined(docs.join(again, "doc_id"), often, like, size), "jaccard-more-links"))
 
     found = connected(links).select(F.col("id").alias("cls"), "label")
     named = classes.select("cls", "sig", F.col("doc_id").alias("least")).join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

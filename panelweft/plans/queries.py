@@ -1041,7 +1041,7 @@ def g17_delta_fusion(spark, d):
     return fu.delta_fusion(_val_steps(steps, f), "naive", "snaive", "histmean")
 
 
-@query(sql("SELECT fold, h, channel, mape FROM (SELECT fold, h, channel, round(avg(mape), 9) AS mape, row_number() OVER (PARTITION BY fold, h ORDER BY round(avg(mape), 9), list_position(['snaive', 'naive', 'histmean'], channel)) AS r FROM val GROUP BY ALL) WHERE r = 1", "val"), "mape")
+@query(sql("SELECT fold, h, channel, mape FROM (SELECT *, row_number() OVER (PARTITION BY fold, h ORDER BY mape, list_position(['snaive', 'naive', 'histmean'], channel)) AS r FROM (SELECT fold, h, channel, round(avg(mape), 9) AS mape FROM val GROUP BY ALL)) WHERE r = 1", "val"), "mape")
 def g18_select_best(spark, d):
     """The best single channel on validation."""
     return fu.select_best(_base(spark, d)[2], ["snaive", "naive", "histmean"])
@@ -1453,7 +1453,9 @@ def _fixed_edges(spark, d):
 
 _FE = """, fe AS (SELECT source, target, CAST((length(source) * 3 + length(target)) / 1000.0 AS DOUBLE) AS p, greatest(length(source) % 4, 1) AS lag FROM (SELECT DISTINCT c_mktsegment AS source FROM customer), (SELECT DISTINCT c_mktsegment AS target FROM customer) WHERE source < target),
 te AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(p, 12), source) AS r FROM fe) WHERE r <= 3),
-mv AS (SELECT o.entity, o.origin, t.source, 1 / t.p AS w, (b.y - a.y) / nullif(a.y, 0) AS m FROM origins o JOIN te t ON t.target = o.entity JOIN series n ON n.entity = t.source AND n.date = o.origin JOIN series b ON b.entity = t.source AND b.widx = n.widx - t.lag JOIN series a ON a.entity = t.source AND a.widx = n.widx - t.lag - 3),
+ml AS (SELECT entity, date, k AS lag, CASE k WHEN 1 THEN (lag(y, 1) OVER w - lag(y, 4) OVER w) / nullif(lag(y, 4) OVER w, 0) WHEN 2 THEN (lag(y, 2) OVER w - lag(y, 5) OVER w) / nullif(lag(y, 5) OVER w, 0) ELSE (lag(y, 3) OVER w - lag(y, 6) OVER w) / nullif(lag(y, 6) OVER w, 0) END AS m
+  FROM series, (SELECT unnest([1, 2, 3]) AS k) WINDOW w AS (PARTITION BY entity, k ORDER BY date)),
+mv AS (SELECT o.entity, o.origin, t.source, 1 / t.p AS w, ml.m FROM origins o JOIN te t ON t.target = o.entity JOIN ml ON ml.entity = t.source AND ml.lag = t.lag AND ml.date = o.origin WHERE ml.m IS NOT NULL),
 sg AS (SELECT entity, origin, count(*) AS n_neighbours, sum(w * m) / sum(w) AS trend, arg_max(m, {'a': round(abs(m), 12), 'b': source}) AS max_shock, arg_max(source, {'a': round(abs(m), 12), 'b': source}) AS shocked FROM mv GROUP BY ALL)"""
 
 

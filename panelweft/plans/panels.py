@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import settled
 from ..operators import backtest, channels, joins, losses, windows
 from ..sources import ingest
 
@@ -83,17 +84,18 @@ def forecasts(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFr
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """cell_steps of the base channels, with the regime of the origin."""
-    s = series(spark, d)
+    """cell_steps of the base channels, with the regime of the origin. The series, which all parts read, is written once."""
+    s = settled(series(spark, d), "series")
     actuals = joins.forward_actuals(s, origins(spark, d, s), horizons(spark))
     steps = losses.cell_steps(actuals, forecasts(spark, d, s))
     return steps.join(regimes(spark, d), "origin")
 
 
-def cell_losses(spark: SparkSession, d: str) -> DataFrame:
+def cell_losses(spark: SparkSession, d: str, steps: DataFrame | None = None) -> DataFrame:
     """losses of the base channels with the regime and the test fold (null outside)."""
-    steps = cells(spark, d)
-    out = losses.cell_losses(steps).join(steps.select("origin", "regime").distinct(), "origin")
+    steps = steps if steps is not None else cells(spark, d)
+    out = losses.cell_losses(steps.withColumn("entity", F.struct("entity", "regime")))
+    out = out.withColumn("regime", F.col("entity.regime")).withColumn("entity", F.col("entity.entity"))
     return joins.fold_of(out, folds(spark))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
+from ..functions.tables import settled
 from ..operators import backtest as bt
 from ..operators import channels as ch
 from ..operators import fusion as fu
@@ -880,9 +881,9 @@ def a23_headline_with_reserved(spark, d):
 
 
 def _base(spark, d):
-    """(steps, losses, validation losses, folds), the losses written once per call where the session has a folder for it."""
-    steps = pa.cells(spark, d)
-    losses = pa.cell_losses(spark, d)
+    """(steps, losses, validation losses, folds); steps and losses are written once, as much reads them."""
+    steps = settled(pa.cells(spark, d), "cells")
+    losses = settled(pa.cell_losses(spark, d, steps), "losses")
     f = pa.folds(spark)
     return steps, losses, fu.validation(losses, f), f
 

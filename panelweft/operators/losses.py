@@ -78,8 +78,8 @@ def best_of(losses: DataFrame) -> DataFrame:
 
 
 def with_reference(losses: DataFrame, reference: str = "naive", column: str = "mape") -> DataFrame:
-    """losses with ref, the reference channel's loss of the same cell."""
-    ref = losses.where(F.col("channel") == reference).select("entity", "origin", "h", F.col(column).alias("ref"))
+    """losses with ref, the reference channel's loss of the same cell (one, even where the cell serves several folds)."""
+    ref = losses.where(F.col("channel") == reference).groupBy("entity", "origin", "h").agg(F.first(column).alias("ref"))
     return losses.join(ref, ["entity", "origin", "h"])
 
 

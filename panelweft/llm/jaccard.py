@@ -263,32 +263,32 @@ def components(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: in
 
     many = families.groupBy("family").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = wanted.join(many, "family").withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = written(dealt, "jaccard-dealt")
+    # The texts of candidate classes, moved once; both passes below read this table.
+    dealt = written(docs.join(dealt, "doc_id"), "jaccard-texts")
     large = dealt.where("blocks > 1")
     # Pivots of a large family: the sets that hash lowest, found with one row per task and family.
-    low = large.groupBy("family").agg(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"x{k}") for k in range(pivots)])
+    low = large.select("family", "cls").groupBy("family").agg(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"x{k}") for k in range(pivots)])
     shared = low.select(F.explode(F.array_distinct(F.array(*[F.col(f"x{k}.cls") for k in range(pivots)]))).alias("cls"))
     everywhere = large.join(shared, "cls").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["doc_id", "sig", "family", F.col("block").cast("string").alias("block"), "cls", F.col("cls").alias("known"), F.lit(True).alias("probe")]
+    columns = ["sig", "text", "family", F.col("block").cast("string").alias("block"), "cls", F.col("cls").alias("known"), F.lit(True).alias("probe")]
     first = dealt.withColumn("block", F.col("home")).select(*columns).unionByName(everywhere.select(*columns))
-    links = written(_joined(docs.join(first, "doc_id"), often, like, size), "jaccard-links")
+    links = written(_joined(first, often, like, size), "jaccard-links")
 
     if large.take(1):
         found = connected(links)
-        held = large.join(found, large["cls"] == found["id"], "left").select("cls", "family", F.coalesce("label", "cls").alias("known"))
+        held = large.select("cls", "family").distinct().join(found, F.col("cls") == F.col("id"), "left").select("cls", "family", F.coalesce("label", "cls").alias("known"))
         held = written(held, "jaccard-held")
         main = held.groupBy("family", "known").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "known")).alias("x"))
         left = held.join(main.select("family", F.col("x.known").alias("main")), "family").where("known <> main").select("cls")
         placed = large.join(held.select("cls", "known"), "cls")
         outside = placed.join(left, "cls").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit("chunk")), F.ceil(F.col("n") / block)).cast("int"))
-        outside = written(outside, "jaccard-outside")
-        if outside.take(1):
-            chunks = outside.select("family", "chunk").distinct()
+        if left.take(1):
+            chunks = written(outside.select("family", "chunk").distinct(), "jaccard-chunks")
             probes = outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
             members = placed.join(chunks, "family").withColumn("at", F.col("home")).withColumn("probe", F.lit(False))
-            columns = ["doc_id", "sig", "family", F.concat_ws("-", F.col("at").cast("string"), F.col("chunk").cast("string")).alias("block"), "cls", "known", "probe"]
+            columns = ["sig", "text", "family", F.concat_ws("-", F.col("at").cast("string"), F.col("chunk").cast("string")).alias("block"), "cls", "known", "probe"]
             again = members.select(*columns).unionByName(probes.select(*columns))
-            links = links.unionByName(written(_joined(docs.join(again, "doc_id"), often, like, size), "jaccard-more-links"))
+            links = links.unionByName(written(_joined(again, often, like, size), "jaccard-more-links"))
 
     found = connected(links).select(F.col("id").alias("cls"), "label")
     named = classes.select("cls", "sig", F.col("doc_id").alias("least")).join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

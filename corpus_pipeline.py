@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest doc_id stays."""
-    return jaccard.keep_one(docs)
+    """Of each component of near copies (sets of five-word shingles at least 0.8 alike) the document of the smallest doc_id stays."""
+    return jaccard.keep_one(docs, like=80, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,14 +11,12 @@ count; a null item_id adds hits but is not listed; repeated rows each get a row;
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, mix, only, steps, word_hashes, word_spans, written
@@ -41,6 +39,11 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Equal for rows of equal doc_id (null equals null) and text (null is empty), and for no others."""
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))), 256))
+
+
 def _words(data: np.ndarray, offsets: np.ndarray):
     low = LOWER[data]
     starts, ends, firsts = word_spans(low, offsets, ALNUM)
@@ -95,6 +98,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     block, so a benchmark of any size is joined in bounded memory.
     """
     docs = only(docs, "doc_id", "text")
+    docs = docs.select("doc_id", "text", row_key(docs["doc_id"], docs["text"]).alias("key"))
     cut = written(windows(benchmark, window, shingle), "decontamination-windows")
     tokens = cut.select("words", "n", F.posexplode("shingles").alias("at", "shingle"))
     distinct = tokens.select("shingle").distinct()
@@ -134,14 +138,13 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
                 ids = batch.column(0).to_pylist()
                 for a, b, data, offsets in steps(batch.column(1)):
                     low, starts, ends, firsts, texts, places, found = _probe(data, offsets, wanted, sizes)
-                    raw, whole = low.tobytes(), data.tobytes()
+                    raw = low.tobytes()
                     rows: list[list] = [[] for _ in range(b - a)]
                     for t, p, h in zip(texts.tolist(), places.tolist(), found.view(np.int64).tolist(), strict=True):
                         lo, hi = max(firsts[t], p - window + 1), min(firsts[t + 1], p + window)
                         near = " ".join(raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in range(lo, hi))
                         rows[t].append({"shingle": h, "pos": p - int(firsts[t]), "first": int(lo - firsts[t]), "words": near})
-                    keys = [struct.pack(">?q", ids[a + i] is None, ids[a + i] or 0) + xxhash.xxh3_128_digest(whole[offsets[i] : offsets[i + 1]]) for i in range(b - a)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids[a:b], pa.int64()), pa.array(np.diff(firsts).astype(np.int64)), pa.array(rows, pa.list_(_CANDIDATE))], schema=_DOCS)
+                    yield pa.RecordBatch.from_arrays([batch.column(2)[a:b].cast(pa.binary()), pa.array(ids[a:b], pa.int64()), pa.array(np.diff(firsts).astype(np.int64)), pa.array(rows, pa.list_(_CANDIDATE))], schema=_DOCS)
 
         return docs.mapInArrow(probe, "key binary, doc_id bigint, n_words bigint, found array<struct<shingle:bigint,pos:int,first:int,words:string>>")
 
@@ -174,6 +177,6 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a benchmark passage; doc_id must be unique or null. Rows of null doc_id are judged by their text."""
-    bad = report(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs without a benchmark passage. Each row is judged by its own text, whether its doc_id is null, repeated or unique."""
+    bad = report(docs, benchmark, **options).where("contaminated").select(F.col("key").alias("_bad")).distinct()
+    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["_bad"], "left_anti")

@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("panelweft.llm")
 
 import corpus_pipeline  # noqa: E402
+from panelweft.llm import decontamination  # noqa: E402
 
 
 def smallest_of_near_copies(rows, like=80, size=5):
@@ -44,3 +45,11 @@ def test_near_copies_at_five_words_and_four_fifths(spark, sf):
     assert kept == want
     # Rows that only the limits of the thin query would keep.
     assert smallest_of_near_copies(rows, 90, 3) - want
+
+
+def test_rows_are_decontaminated_by_their_own_text(spark):
+    item = "which of the seven bright rivers runs north past the old mill"
+    rows = [(None, f"so {item} then", 1), (None, "a clean row", 2), (None, None, 3), (5, f"{item}", 4), (5, "another clean row", 5), (5, "another clean row", 6), (0, "clean", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3)
+    benchmark = spark.createDataFrame([("q", item)], "item_id string, text string")
+    assert sorted(r["n"] for r in decontamination.clean(docs, benchmark).collect()) == [2, 3, 5, 6, 7]

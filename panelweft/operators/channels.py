@@ -75,9 +75,10 @@ def seasonal(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, smoot
     return both.select(F.lit("seasonal").alias("channel"), "entity", "origin", "step", F.greatest(F.round(value, 2), F.lit(0.0)).alias("yhat"))
 
 
-def histories(series: DataFrame, origins: DataFrame, rows: int = 260) -> DataFrame:
-    """origins with ys: the last `rows` values, oldest first."""
-    lists = series.select("entity", F.col("date").alias("origin"), F.collect_list("y").over(by_date().rowsBetween(-(rows - 1), 0)).alias("ys"))
+def histories(series: DataFrame, origins: DataFrame, rows: int | None = None) -> DataFrame:
+    """origins with ys: all values up to the origin (the last `rows` on request), oldest first."""
+    first = Window.unboundedPreceding if rows is None else -(rows - 1)
+    lists = series.select("entity", F.col("date").alias("origin"), F.collect_list("y").over(by_date().rowsBetween(first, 0)).alias("ys"))
     return origins.join(lists, ["entity", "origin"])
 
 
@@ -110,16 +111,18 @@ def _damp(phi: Column, k: Column) -> Column:
     return F.when(phi >= 1, k.cast("double")).otherwise(phi * (1 - F.pow(phi, k)) / (1 - phi))
 
 
-def holt(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = False, rows: int = 260) -> DataFrame:
+def holt(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = False, rows: int | None = None) -> DataFrame:
     """Linear trend (damped on request), not under 0."""
     fit = trend_fit(histories(series, origins, rows), damped)
     return long(fit, "holt_damped" if damped else "holt", F.col("level") + F.col("trend") * _damp(F.col("phi"), F.col("step")), steps, True)
 
 
-def adjusted_histories(series: DataFrame, origins: DataFrame, smooth: int = 3, rows: int = 260) -> tuple[DataFrame, DataFrame]:
-    """(origins with ys, each value divided by its week's factor, and factors as known at the origin)."""
+def adjusted_histories(series: DataFrame, origins: DataFrame, smooth: int = 3, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(origins with ys, each of all values up to the origin, or the last `rows`, divided by its week's factor, and factors as known at the origin)."""
     f = seasonal_factors(series, origins, smooth)
-    rows_ = origins.select("entity", "origin", F.col("widx").alias("last")).join(series, "entity").where((F.col("widx") <= F.col("last")) & (F.col("widx") > F.col("last") - rows))
+    rows_ = origins.select("entity", "origin", F.col("widx").alias("last")).join(series, "entity").where("widx <= last")
+    if rows is not None:
+        rows_ = rows_.where(F.col("widx") > F.col("last") - rows)
     rows_ = rows_.withColumn("week", F.weekofyear("date")).join(f, ["entity", "origin", "week"])
     value = F.when(F.col("factor") > 0, F.col("y") / F.col("factor")).otherwise(F.col("y"))
     lists = rows_.groupBy("entity", "origin").agg(F.array_sort(F.collect_list(F.struct("widx", value.alias("v")))).alias("z"))

@@ -106,9 +106,9 @@ def statics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """(entity, event, begin_date, end_date, impact, confidence): large urgent orders as dated events of their segment."""
+    """(entity, event, begin_date, end_date, impact, confidence): urgent orders as dated events of their segment."""
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
-    top = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 37 == 0)).join(customer, orders["o_custkey"] == customer["c_custkey"])
+    top = orders.where(F.col("o_orderpriority") == "1-URGENT").join(customer, orders["o_custkey"] == customer["c_custkey"])
     begin = F.to_date("o_orderdate")
     k = F.col("o_orderkey").cast("bigint")
     return top.select(

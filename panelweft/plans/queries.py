@@ -437,7 +437,7 @@ def w2_centred_average(spark, d):
 def w2_centred_average_at(spark, d):
     """The same, truncated at each of the origins."""
     s = pa.series(spark, d)
-    return wi.centred_average_at(s, pa.origins(spark, d, s).where("widx % 8 = 0")).select("entity", "origin", "date", "cma")
+    return wi.centred_average_at(s, pa.origins(spark, d, s)).select("entity", "origin", "date", "cma")
 
 
 @query(sql("SELECT entity, date, widx, (y - lag(y) OVER w) / nullif(lag(y) OVER w, 0) AS change FROM series WINDOW w AS (PARTITION BY entity ORDER BY date)"), "change")
@@ -575,7 +575,7 @@ factors AS (SELECT entity, origin, week, CASE WHEN widx < 53 THEN 1.0 ELSE s / a
 def f3_seasonal_factors(spark, d):
     """Week-of-year factors as known at each of the origins."""
     s = pa.series(spark, d)
-    return ch.seasonal_factors(s, pa.origins(spark, d, s).where("widx % 8 = 0"))
+    return ch.seasonal_factors(s, pa.origins(spark, d, s))
 
 
 @query(sql(_FACTORS + """\nSELECT 'seasonal' AS channel, o.entity, o.origin, st.step, greatest(round(CASE WHEN a.factor > 0 THEN y0 * (b.factor / a.factor) ELSE y0 END, 2), 0.0) AS yhat FROM chosen o CROSS JOIN st
@@ -583,37 +583,38 @@ def f3_seasonal_factors(spark, d):
 def f4_seasonal(spark, d):
     """Seasonally adjusted naive forecast."""
     s = pa.series(spark, d)
-    return ch.seasonal(s, pa.origins(spark, d, s).where("widx % 8 = 0"))
+    return ch.seasonal(s, pa.origins(spark, d, s))
 
 
-def _sparse(spark, d, every: int = 16):
+def _fitted(spark, d):
+    """The series and all origins."""
     s = pa.series(spark, d)
-    return s, pa.origins(spark, d, s).where(f"widx % {every} = 0")
+    return s, pa.origins(spark, d, s)
 
 
 @query()
 def f5_holt(spark, d):
     """Linear trend by parameter grid."""
-    return ch.holt(*_sparse(spark, d))
+    return ch.holt(*_fitted(spark, d))
 
 
 @query()
 def f6_holt_damped(spark, d):
     """Damped trend by parameter grid."""
-    return ch.holt(*_sparse(spark, d), damped=True)
+    return ch.holt(*_fitted(spark, d), damped=True)
 
 
 @query()
 def f7_adjusted_trend(spark, d):
     """Factor-adjusted smoothing, undamped and damped."""
-    s, o = _sparse(spark, d)
+    s, o = _fitted(spark, d)
     return ch.adjusted_trend(s, o, damped=False).unionByName(ch.adjusted_trend(s, o))
 
 
 @query()
 def f8_adjusted_theta(spark, d):
     """Factor-adjusted Theta."""
-    return ch.adjusted_theta(*_sparse(spark, d))
+    return ch.adjusted_theta(*_fitted(spark, d))
 
 
 _MOD = """, z AS (SELECT a.entity, a.date, a.y, (a.y - lag(a.y) OVER (PARTITION BY a.entity ORDER BY a.date)) / nullif(lag(a.y) OVER (PARTITION BY a.entity ORDER BY a.date), 0) AS z, b.qty / 1000 AS x FROM aligned a LEFT JOIN aligned b ON b.entity = a.entity AND b.date = a.date - 42),
@@ -738,7 +739,7 @@ def f21_with_spillover(spark, d):
 @query()
 def f22_slope_disagreement(spark, d):
     """Origins whose fitted trend and realised move disagree."""
-    return ch.slope_disagreement(*_sparse(spark, d))
+    return ch.slope_disagreement(*_fitted(spark, d))
 
 
 # Losses

@@ -3,10 +3,12 @@
 import datetime as dt
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
 from panelweft.operators import channels
+from panelweft.plans import panels, queries
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +49,40 @@ def test_holt_equals_the_plain_recursion_on_all_rows(long_series, damped):
     for r in channels.holt(long_series, o, damped=damped).collect():
         want = level + trend * sum(p**k for k in range(1, r["step"] + 1))
         assert math.isclose(r["yhat"], max(want, 0.0), rel_tol=1e-9)
+
+
+def cell(v):
+    return format(v, ".5f") if isinstance(v, float) else str(v)
+
+
+@pytest.mark.parametrize("name", ["w2_centred_average_at", "f3_seasonal_factors", "f4_seasonal", "s9_expand_active_weeks", "s10_attach_interpretation", "j7_active_event", "f15_event_flat", "f16_event_scaled"])
+def test_queries_equal_their_sql_over_all_origins_and_events(spark, sf, name):
+    sql = queries.ORACLES[name]
+    for cut in ("WHERE o.widx % 8 = 0", "WHERE widx % 8 = 0", "AND o_orderkey % 37 = 0"):
+        sql = sql.replace(cut, "")
+    got = queries.QUERIES[name](spark, sf)
+    with duckdb.connect() as con:
+        for t in ("orders", "customer", "lineitem"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        want = con.sql(sql)
+        columns = sorted(want.columns)
+        assert columns == sorted(got.columns)
+        want = sorted(tuple(map(cell, r)) for r in want.select(*columns).fetchall())
+    assert want == sorted(tuple(map(cell, r)) for r in got.select(*columns).collect())
+
+
+@pytest.mark.parametrize("name", ["f5_holt", "f6_holt_damped", "f7_adjusted_trend", "f8_adjusted_theta"])
+def test_fitted_channels_forecast_from_every_origin(spark, sf, name):
+    want = {(r["entity"], r["origin"]) for r in panels.origins(spark, sf).collect()}
+    got = queries.QUERIES[name](spark, sf).groupBy("entity", "origin").count().collect()
+    assert {(r["entity"], r["origin"]) for r in got} == want
+    assert {r["count"] for r in got} == {channels.MAX_STEP * (2 if name == "f7_adjusted_trend" else 1)}
+
+
+def test_slope_disagreement_counts_every_origin(spark, sf):
+    s = panels.series(spark, sf)
+    last = {r["entity"]: r["n"] for r in s.groupBy("entity").agg({"widx": "max"}).toDF("entity", "n").collect()}
+    want = {}
+    for r in panels.origins(spark, sf, s).collect():
+        want[r["entity"]] = want.get(r["entity"], 0) + (r["widx"] + 13 <= last[r["entity"]])
+    assert {r["entity"]: r["n"] for r in queries.QUERIES["f22_slope_disagreement"](spark, sf).collect()} == want

@@ -13,6 +13,7 @@ ordered by text; an empty table gives no block.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -106,7 +107,8 @@ class Words:
     """The tokenizers library behind a memo of words: what stands between ASCII blanks or line ends, without the marks after a letter.
 
     The tokenizer normalises, cuts and merges between blanks only, and cuts between a letter and a mark that is no apostrophe, so
-    the ids of a text are those of its words. Each step of texts looks every distinct word up once.
+    the ids of a text are those of its words. Each step of texts looks every distinct word up once. An added token that stands in
+    a text, letter for letter, is a word of its own.
     """
 
     def __init__(self, path: str):
@@ -116,6 +118,18 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[int, bytes] = {}
+        added = {t.content.encode(): (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or b" " in c or b"\n" in c for c, (_, t) in added.items()):
+            raise ValueError("added tokens must be matched as they stand, without blanks")
+        self.added = {c: i for c, (i, _) in added.items()}
+        self.literal = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+
+    def literals(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the added tokens in the texts."""
+        raw = data.tobytes()
+        if not any(c in raw for c in self.added):
+            return []
+        return [(*m.span(), self.added[m[0]]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.literal.finditer(raw, a, b)]
 
     def ids(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Ids of distinct words, known by their 64-bit hash."""
@@ -134,9 +148,20 @@ class Words:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
         low = LOWER[data]
-        breaks = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
-        starts, ends, firsts = word_spans(low, offsets, _INSIDE, breaks)
-        which, distinct = pd.factorize(word_hashes(low, starts, ends))
+        cut = np.zeros(len(low) + 1, bool)
+        cut[1:-1] = _LETTER[low[:-1]] & _MARK[low[1:]]
+        literals = self.literals(data, offsets)
+        for a, b, _ in literals:
+            cut[a : b + 1] = False
+        for a, b, _ in literals:
+            cut[[a, b]] = True
+        cut[[0, -1]] = False
+        starts, ends, firsts = word_spans(low, offsets, _INSIDE, np.flatnonzero(cut))
+        hashes = word_hashes(low, starts, ends)
+        for a, _, i in literals:
+            hashes[np.searchsorted(starts, a)] = _ADDED + np.uint64(i)
+            self.known[int(_ADDED) + i] = np.array([i], "<u4").tobytes()
+        which, distinct = pd.factorize(hashes)
         one = np.zeros(len(distinct), np.int64)
         one[which[::-1]] = np.arange(len(which))[::-1]
         ids = self.ids(distinct, low, starts[one], ends[one])
@@ -147,6 +172,8 @@ class Words:
         return flat[np.repeat(begin[which] - after[:-1], each) + np.arange(after[-1])], after[firsts]
 
 
+#: With its id, what stands for the hash of an added token.
+_ADDED = np.uint64(0xADDED70C << 32)
 _INSIDE = np.ones(256, bool)
 _INSIDE[[10, 32]] = False
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)

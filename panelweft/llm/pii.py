@@ -2,9 +2,8 @@
 
 Base spans are the matches of four patterns. Each matched value is a protected entity. The words around it are the terms that
 may reveal it: over all documents, a term's disclosure of an entity is their normalised pointwise mutual information, from
-the number of documents that hold the term, the entity, and the term next to the entity. Terms over the first threshold are
-generalised, over the second removed, wherever they stand in a document that shows them next to the entity. Documents without
-an entity are left as they are.
+the number of documents that hold the term, the entity, and both. Terms over the first threshold are generalised, over the second
+removed, wherever they stand in any document, with or without the entity.
 
 Defined cases: null is empty and has no spans; of overlapping spans all are reported, and the sanitised text replaces their
 union by the label of the first; repeated rows get equal results; texts may be of any length; all matching is linear.
@@ -30,6 +29,8 @@ GENERAL, REMOVED = "general", "removed"
 KINDS = [*PATTERNS, GENERAL, REMOVED]
 #: Words on either side of an entity, documents that must show a term next to it, and the two disclosure thresholds.
 NEAR, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.8, 0.95
+#: Parts into which the documents of one term are dealt.
+SALTS = 16
 _WORD = r"[\p{L}\p{N}]++"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -66,10 +67,15 @@ def _luhn(value: Column) -> Column:
     return F.when((n < 12) | (n > 19), F.lit(False)).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), add) % 10 == 0)
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """docs with _text (never null), _key (equal for equal doc_id and text) and _base, the spans of the fixed patterns."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _text (never null) and _key (equal for equal doc_id and text)."""
     docs = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_text"), 256))
+    return docs.withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_text"), 256))
+
+
+def base(docs: DataFrame) -> DataFrame:
+    """docs with _text, _key and _base, the spans of the fixed patterns."""
+    docs = keyed(docs)
     none = F.array().cast(_SPAN)
     digit = F.col("_text").rlike("[0-9]")
     when = {"email": F.col("_text").contains("@"), "ip": digit, "card": digit, "phone": F.col("_text").contains("+")}
@@ -96,24 +102,36 @@ def near(found: DataFrame, width: int = NEAR) -> DataFrame:
     start, end = F.col("s.start"), F.col("s.end")
     lead = F.concat(F.substring("_text", F.greatest(start - reach, F.lit(0)) + 1, start - F.greatest(start - reach, F.lit(0))))
     left, right = _words(lead), _words(F.substring("_text", end + 1, F.lit(reach)))
-    # A word that the reach cuts is not a term: the outermost word on a side that was cut is left out.
-    left = F.when(start > reach, F.slice(left, 2, F.greatest(F.size(left) - 1, F.lit(0)))).otherwise(left)
-    right = F.when(F.length("_text") > end + reach, F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
+    # The reach may cut the outermost word. Where too few whole words are within it, all of that side is read.
+    left = F.when(start <= reach, left).when(F.size(left) > width, F.slice(left, 2, F.size(left) - 1)).otherwise(_words(F.substring("_text", F.lit(1), start)))
+    right = F.when((F.length("_text") <= end + reach) | (F.size(right) > width), right).otherwise(_words(F.substring("_text", end + 1, F.length("_text"))))
     left = F.slice(left, F.greatest(F.size(left) - width + 1, F.lit(1)), F.lit(width))
     terms = F.concat(left, F.slice(right, 1, width))
     out = one.select("_key", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity"), F.explode(terms).alias("term"))
     return out.where(F.col("term").rlike(r"\p{L}")).distinct()
 
 
+def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct (_key, and the columns of terms) of the documents (_key, _text) that hold a term; a frequent term's are dealt into parts."""
+    words = docs.select("_key", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
+    words = words.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return words.join(salted, ["term", "_salt"]).drop("_salt").distinct()
+
+
 def disclosure(docs: DataFrame, context: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(entity, term, strength): normalised pointwise mutual information over all documents, of pairs with enough support."""
-    pairs = context.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = context.select("_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = written(context.groupBy("entity", "term").agg(F.count("*").alias("beside")).where(F.col("beside") >= support).drop("beside"), "pii-pairs")
+    own = context.select("_key", "entity").distinct()
+    entities = own.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Documents that hold an entity and a term, wherever they stand in it.
+    protected = base(docs).where(F.size("_base") > 0).select("_key", "_text")
+    both = holding(protected, pairs.select("term").distinct()).join(own, "_key").groupBy("entity", "term").agg(F.count("*").alias("both")).join(pairs, ["entity", "term"])
     # Summed in each task before it is shuffled, then joined to the terms of interest.
     terms = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
     terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("total"))
-    found = terms.join(pairs, "term").join(entities, "entity").crossJoin(F.broadcast(total))
+    found = terms.join(both, "term").join(entities, "entity").crossJoin(F.broadcast(total))
     pmi = F.log(F.col("both") * F.col("total") / (F.col("n_term") * F.col("n_entity")))
     strength = F.when(F.col("both") < F.col("total"), pmi / -F.log(F.col("both") / F.col("total"))).otherwise(F.lit(0.0))
     return found.select("entity", "term", strength.alias("strength"))
@@ -123,7 +141,8 @@ def spans(docs: DataFrame, width: int = NEAR, support: int = SUPPORT, generalise
     """docs with _text, _base and _spans (base spans and those of the method, by start and kind)."""
     context = written(near(base(docs), width), "pii-context")
     strong = disclosure(docs, context, support).where(F.col("strength") >= generalise)
-    terms = context.join(strong, ["entity", "term"]).groupBy("_key", "term").agg(F.max("strength").alias("strength"))
+    strong = written(strong.groupBy("term").agg(F.max("strength").alias("strength")), "pii-strong")
+    terms = holding(keyed(docs), strong)
     words = F.transform(F.array_sort(F.collect_list(F.struct("term", "strength"))), lambda x: x)
     terms = written(terms.groupBy("_key").agg(words.alias("_terms")), "pii-terms")
     rows = base(docs)

@@ -119,28 +119,34 @@ def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(salted, ["term", "_salt"]).drop("_salt").distinct()
 
 
-def disclosure(docs: DataFrame, context: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, strength): normalised pointwise mutual information over all documents, of pairs with enough support."""
-    pairs = written(context.groupBy("entity", "term").agg(F.count("*").alias("beside")).where(F.col("beside") >= support).drop("beside"), "pii-pairs")
+def disclosure(docs: DataFrame, context: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, strength): normalised pointwise mutual information over all documents, of pairs with enough support and at least `least`."""
+    pairs = context.groupBy("entity", "term").agg(F.count("*").alias("beside")).where(F.col("beside") >= support).drop("beside")
     own = context.select("_key", "entity").distinct()
     entities = own.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # Documents that hold an entity and a term, wherever they stand in it.
-    protected = base(docs).where(F.size("_base") > 0).select("_key", "_text")
-    both = holding(protected, pairs.select("term").distinct()).join(own, "_key").groupBy("entity", "term").agg(F.count("*").alias("both")).join(pairs, ["entity", "term"])
     # Summed in each task before it is shuffled, then joined to the terms of interest.
     terms = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
     terms = terms.groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("total"))
-    found = terms.join(both, "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("both") * F.col("total") / (F.col("n_term") * F.col("n_entity")))
-    strength = F.when(F.col("both") < F.col("total"), pmi / -F.log(F.col("both") / F.col("total"))).otherwise(F.lit(0.0))
-    return found.select("entity", "term", strength.alias("strength"))
+
+    def strength(both: Column) -> Column:
+        pmi = F.log(both * F.col("total") / (F.col("n_term") * F.col("n_entity")))
+        return F.when(both < F.col("total"), pmi / -F.log(both / F.col("total"))).otherwise(F.lit(0.0))
+
+    # Strength grows with the documents that hold both, which are no more than those of either: other pairs cannot reach `least`.
+    pairs = terms.join(pairs, "term").join(entities, "entity").crossJoin(F.broadcast(total))
+    pairs = written(pairs.where(strength(F.least("n_term", "n_entity")) >= least - 1e-9), "pii-pairs")
+    # Documents that hold an entity and a term, wherever they stand in it.
+    protected = base(docs).where(F.size("_base") > 0).select("_key", "_text")
+    both = holding(protected, pairs.select("term").distinct()).join(own, "_key").groupBy("entity", "term").agg(F.count("*").alias("both"))
+    found = both.join(pairs, ["entity", "term"]).select("entity", "term", strength(F.col("both")).alias("strength"))
+    return found.where(F.col("strength") >= least)
 
 
 def spans(docs: DataFrame, width: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with _text, _base and _spans (base spans and those of the method, by start and kind)."""
     context = written(near(base(docs), width), "pii-context")
-    strong = disclosure(docs, context, support).where(F.col("strength") >= generalise)
+    strong = disclosure(docs, context, support, generalise)
     strong = written(strong.groupBy("term").agg(F.max("strength").alias("strength")), "pii-strong")
     terms = holding(keyed(docs), strong)
     words = F.transform(F.array_sort(F.collect_list(F.struct("term", "strength"))), lambda x: x)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles at a time (a longer document is a step of its own).
@@ -22,25 +22,61 @@ _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 6
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; in a temporary folder where none is set."""
+    """A new path in the shared folder of spark.checkpoint.dir; only a session on one machine may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "panelweft-checkpoints")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a written table: cuts the lineage, is computed once, and survives lost executors."""
+    """The rows of df as a written table: cuts the lineage, is computed once, and survives lost executors; its shuffle files go."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    settle(spark)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, on which Spark's cleaner removes the shuffle files of tables that are written."""
-    spark.sparkContext._jvm.System.gc()
+#: Bits of a bitmap of keys (2 MB, whatever the number of keys).
+BITMAP = 1 << 24
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Equal for rows of equal doc_id (null equals null) and text (null is empty), and for no others."""
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))), 256))
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP) -> DataFrame:
+    """df with _maybe: false only where key is surely not among those of keys. A bitmap of at most `bits` bits is broadcast.
+
+    It spares the rows that cannot match a shuffle; with many more keys than bits it spares none, and a join behind it stays right.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    bitmap = keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bitmap"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1))
+    joined = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
+    return joined.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bitmap")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose row key is not among those of gone (key), with all their columns. Texts that surely stay are not moved."""
+    packed = docs.select(row_key(docs["doc_id"], docs["text"]).alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = marked(packed, "key", gone)
+    stay = rows.where("NOT _maybe").select("row").unionByName(rows.where("_maybe").join(gone, "key", "left_anti").select("row"))
+    return stay.select("row.*")
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -16,10 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix, only, steps, word_hashes, word_spans, written
+from .common import ALNUM, LOWER, mix, only, row_key, steps, without, word_hashes, word_spans, written
 
 #: Words in a window, words in a shingle, and shingle hashes that one block of the benchmark may broadcast (8 bytes each).
 WINDOW, SHINGLE, BLOCK_HASHES = 10, 3, 1_000_000
@@ -39,11 +39,6 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Equal for rows of equal doc_id (null equals null) and text (null is empty), and for no others."""
-    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))), 256))
-
-
 def _words(data: np.ndarray, offsets: np.ndarray):
     low = LOWER[data]
     starts, ends, firsts = word_spans(low, offsets, ALNUM)
@@ -178,5 +173,4 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs without a benchmark passage. Each row is judged by its own text, whether its doc_id is null, repeated or unique."""
-    bad = report(docs, benchmark, **options).where("contaminated").select(F.col("key").alias("_bad")).distinct()
-    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["_bad"], "left_anti")
+    return without(docs, written(report(docs, benchmark, **options).where("contaminated").select("key").distinct(), "decontamination-gone"))

@@ -1,15 +1,18 @@
 """N-gram Jaccard join: sets of word shingles that are at least 0.9 alike, by prefix-tree join.
 
-Shingles have one global order, in which those of a list of frequent ones come last, then by hash. Equal sets form a class and
-go on once. Two linked sets share one of their first n - ceil(0.9 n) + 1 shingles, so classes that share such a shingle,
-directly or through others, form a family (pairs that sizes or a parity sketch rule out aside), and links run within families only. A family's sets are stored in tries in the
-global order; each set walks the trie once, shares the overlap of common beginnings, and leaves a subtree as soon as the
-lengths that remain cannot reach the similarity. Large families are dealt into blocks that share a few sets; the rare
-sets that a family's main component leaves out are walked through all of its blocks, so no link is lost and no group meets in
-one task.
+Shingles have one global order: by hash, but those of a bounded list of frequent ones come last. Equal sets form a class and go
+on once. Two linked sets share one of their first n - ceil(0.9 n) + 1 shingles, and what is behind the shared one has to be long
+enough in both: classes that share such a shingle and pass these bounds and a parity sketch are candidates. Each candidate goes to the
+trie of the class that has most of them: the sets of a trie are paths in the global order, a probe walks it once, shares the overlap
+of common beginnings, and leaves a subtree as soon as the lengths that remain cannot reach the similarity.
+
+A shingle that many classes share does not pair all of them. Its classes are paired with one centre of their size band; a class that
+links ends up in one component with the centre, and only classes outside the shingle's main component are then compared with the
+rest, so no link between two components is missed and no group meets in one task. Sets travel as eight bytes a shingle, texts only once.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are their own component; rows without
-doc_id link with nothing and have no component; rows of equal doc_id are sets of their own; ties go to the smallest doc_id.
+doc_id link with nothing and have no component; rows of equal doc_id are sets of their own; ties go to the smallest doc_id; an empty
+table has no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -20,17 +23,21 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, mix, only, spread, steps, word_hashes, word_spans, written
-
-#: Words in a shingle, likeness in hundredths, sets in a block, sets that all blocks of a family share.
-SHINGLE, LIKE, BLOCK, PIVOTS = 3, 90, 200, 4
-#: Length of the list of frequent shingles, documents that make one frequent, classes that are paired on a shared shingle.
-FREQUENT, OFTEN, FEW = 200_000, 5, 16
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
-_SETS_SQL = "doc_id bigint, n bigint, sig binary, bits array<bigint>, head array<bigint>"
+from .common import LOWER, SOLID, marked, mix, only, row_key, spread, steps, without, word_hashes, word_spans, written
+
+#: Words in a shingle, likeness in hundredths, shingles in the sets of one trie (a longer set has a trie of its own).
+SHINGLE, LIKE, BLOCK = 3, 90, 1_000_000
+#: Length of the list of frequent shingles, documents that make one frequent, classes that are all paired on a shared shingle.
+FREQUENT, OFTEN, FEW = 500_000, 4, 8
+#: Bits of the parity sketch, hashes counted at a time.
+SKETCH, COUNTED = 1024, 2_000_000
+_COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.list_(pa.int64())), ("head", pa.list_(pa.int64()))])
+_SETS_SQL = "doc_id bigint, key binary, n bigint, sig binary, bits array<bigint>, head array<bigint>"
+_WHOLE = pa.schema([("cls", pa.int64()), ("whole", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -56,13 +63,35 @@ def shingle_lists(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 
 def frequent(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, limit: int = FREQUENT) -> np.ndarray:
-    """The shingles that most documents have among their first ones by hash: rows of (shingle, documents), by shingle.
+    """The shingles of the low part of the hash range that most documents hold: rows of (shingle, documents), by shingle.
 
-    The order of shingles needs no more than this bounded list: any order gives the same links, and this one keeps the shingles
-    that many documents share out of the prefixes.
+    Counted over all documents. The low part is two and a half times as long as a prefix: prefixes are taken from it, unless most of a
+    text is frequent. The order of shingles needs no more than this bounded list: any order gives the same links, and this one keeps
+    the shingles that many documents share out of the prefixes.
     """
-    heads = sets(docs, np.zeros((0, 2), np.uint64), like, size).select(F.explode("head").alias("token"))
-    top = heads.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    low = np.uint64(min(1.0, 0.025 * (100 - like)) * (2**64 - 2**12))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times)], schema=_COUNTS)
+
+        for batch in batches:
+            for _, _, data, offsets in steps(batch.column(0)):
+                for hashes in shingle_lists(data, offsets, size):
+                    own = np.unique(hashes[hashes < low])
+                    held.append(own)
+                    n += len(own)
+                if n > COUNTED:
+                    yield counted()
+                    held, n = [], 0
+        if n:
+            yield counted()
+
+    counts = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     out = np.stack([top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy().astype(np.uint64)], 1) if top.num_rows else np.zeros((0, 2), np.uint64)
     return out[np.argsort(out[:, 0])]
 
@@ -78,7 +107,7 @@ def _ordered(own: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, often: np.ndarray, like: int = LIKE, size: int = SHINGLE) -> DataFrame:
-    """Per row: doc_id, n, sig (of the whole set), bits (parities of the hashes by their low byte), and the first shingles (head) in the global order."""
+    """Per row (doc_id, text, key): doc_id, key, n, sig (of the whole set), bits (parities of the hashes by their low bits), and the first shingles (head) in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,36 +118,73 @@ def sets(docs: DataFrame, often: np.ndarray, like: int = LIKE, size: int = SHING
                     n = len(own)
                     out[0].append(n)
                     out[1].append(xxhash.xxh3_128_digest(own.tobytes()))
-                    out[2].append(np.packbits((np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool)).view(np.int64))
+                    out[2].append(np.packbits((np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view(np.int64))
                     own = _ordered(own, often)
                     out[3].append(own[: n + (-like * n) // 100 + 1 if n else 0].view(np.int64))
-                arrays = [batch.column(0)[a:b].cast(pa.int64()), *[pa.array(x, f.type) for x, f in zip(out, list(_SETS)[1:], strict=True)]]
+                arrays = [batch.column(0)[a:b].cast(pa.int64()), batch.column(2)[a:b].cast(pa.binary()), *[pa.array(x, f.type) for x, f in zip(out, list(_SETS)[2:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=_SETS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
+    return docs.select("doc_id", "text", "key").mapInArrow(run, _SETS_SQL)
 
 
-def candidates(classes: DataFrame, like: int = LIKE) -> DataFrame:
-    """(a, b) of classes that may belong together.
+def _long_enough(like: int, a: str, b: str) -> Column:
+    """Of two classes that share a shingle: whether the sizes behind it (n less pos, after the suffix) allow a link."""
+    behind = F.least(F.col(f"n{a}") - F.col(f"pos{a}"), F.col(f"n{b}") - F.col(f"pos{b}"))
+    return behind * (100 + like) >= like * (F.col(f"n{a}") + F.col(f"n{b}"))
 
-    Classes (cls, n, bits, head) that share a prefix shingle are paired, if few share it, unless their sizes or the differing bits
-    of their parities (no more than the sets differ) rule a link out; if many share it, each goes with the least of its size band.
-    """
-    heads = classes.select("cls", "n", "bits", F.explode("head").alias("token"))
+
+def _alike(like: int, a: str, b: str) -> Column:
+    """Whether the parities allow a link: no more bits differ than elements do."""
+    differ = F.aggregate(F.zip_with(f"bits{a}", f"bits{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col(f"n{a}") + F.col(f"n{b}")
+    return (total - differ) * (100 + like) >= 2 * like * total
+
+
+def _named(df: DataFrame, suffix: str, *keys: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{c}{suffix}") for c in df.columns])
+
+
+def shared(classes: DataFrame) -> DataFrame:
+    """(token, cls, n, pos, c) of the prefix shingles that c > 1 classes (cls, n, head) hold, at position pos of the class."""
+    heads = classes.select("cls", "n", F.posexplode("head").alias("pos", "token"))
     counts = heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = written(heads.join(counts, "token"), "jaccard-shared")
-    few = shared.where(F.col("c") <= FEW)
-    one, two = few.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), few.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    differ = sum((F.bit_count(F.get("xa", F.lit(i)).bitwiseXOR(F.get("xb", F.lit(i)))) for i in range(4)), F.lit(0))
-    total = F.col("na") + F.col("nb")
-    overlap = F.ceil(like * total / (100.0 + like) - 1e-9)  # what a link has to share
-    pairs = one.join(two, "token").where("a < b").where((F.least("na", "nb") >= overlap) & (differ <= total - 2 * overlap)).select("a", "b")
+    return heads.join(counts, "token")
+
+
+def candidates(held: DataFrame, classes: DataFrame, like: int = LIKE, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """(pairs, hot): pairs (a, b) of classes that may link, and the rows of shingles that more than `few` classes share.
+
+    All classes of a shingle that few share are paired. Of one that many share, each is paired with the centre of its size band, the
+    class in which the shingle stands first.
+    """
+    bits = classes.select("cls", "bits")
+    some = held.where(F.col("c") <= few).drop("c")
+    pairs = _named(some, "_a", "token").join(_named(some, "_b", "token"), "token").where(F.col("cls_a") < F.col("cls_b")).where(_long_enough(like, "_a", "_b"))
+    pairs = pairs.select("cls_a", "cls_b", "n_a", "n_b").distinct()
+    pairs = pairs.join(_named(bits, "_a"), "cls_a").join(_named(bits, "_b"), "cls_b").where(_alike(like, "_a", "_b"))
+
+    hot = written(held.where(F.col("c") > few).drop("c").join(bits, "cls"), "jaccard-hot")
     # Linked sizes are within one band of each other, and each class is in its own band and the next.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / like)))
-    many = shared.where(F.col("c") > FEW).select("token", "cls", F.explode(F.array(band, band + 1)).alias("band"))
-    least = many.groupBy("token", "band").agg(F.min("cls").alias("pivot"))
-    star = many.join(least, ["token", "band"]).where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-    return pairs.unionByName(star).distinct()
+    banded = hot.withColumn("band", F.explode(F.array(band, band + 1)))
+    centres = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "cls", "n", "bits")).alias("x")).select("token", "band", "x.*")
+    centres = written(centres, "jaccard-centres")
+    star = _named(banded, "_b", "token", "band").join(_named(centres, "_a", "token", "band"), ["token", "band"]).where(F.col("cls_a") != F.col("cls_b"))
+    star = star.where(_long_enough(like, "_a", "_b") & _alike(like, "_a", "_b"))
+    ends = [F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")]
+    return written(pairs.select(*ends).unionByName(star.select(*ends)).distinct(), "jaccard-pairs"), hot
+
+
+def outsiders(hot: DataFrame, labels: DataFrame, like: int = LIKE) -> DataFrame:
+    """Pairs (a, b) of different components on a shingle that many classes share: those outside its main component with all others."""
+    known = hot.join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    known = written(known, "jaccard-labelled")
+    main = known.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels"))
+    main = written(main.where("labels > 1").select("token", F.col("x.label").alias("main")), "jaccard-main")
+    placed = written(known.join(main, "token"), "jaccard-outside")
+    out = _named(placed.where("label <> main"), "_a", "token").join(_named(placed, "_b", "token"), "token")
+    out = out.where("label_a <> label_b AND (label_b = main_b OR cls_a < cls_b)").where(_long_enough(like, "_a", "_b") & _alike(like, "_a", "_b"))
+    return written(out.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct(), "jaccard-more-pairs")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -172,14 +238,12 @@ class Trie:
                 lo = end
         return top
 
-    def walk(self, member: np.ndarray, n: int, like: int, skip) -> Iterator[int]:
-        """Sets at least `like` hundredths like the probe (its tokens marked in `member`, n in number); skip(set) leaves one out."""
+    def walk(self, member: np.ndarray, n: int, like: int) -> Iterator[int]:
+        """Sets at least `like` hundredths like the probe (its tokens marked in `member`, n in number)."""
         stack = [(node, 0, 0) for node in self.roots]
         while stack:
             (tokens, lo, hi, below), depth, overlap = stack.pop()
             leaf = not below
-            if leaf and skip(self.order[lo]):
-                continue
             depth += len(tokens)
             overlap += int(member[tokens].sum())
             sizes = self.sizes[lo:hi]
@@ -195,111 +259,104 @@ class Trie:
                 stack += [(node, depth, overlap) for node in below]
 
 
-def block_links(ids: list[int], paths: list[bytes], probes: list[bool], groups: list[int], like: int = LIKE) -> list[tuple[int, int]]:
-    """Links that connect the block's components: pairs (id, id) from probes to all sets, within one group known to be connected none."""
-    raw = [np.frombuffer(p, np.uint64) for p in paths]
+def trie_links(probe: bytes, paths: list[bytes], like: int = LIKE) -> list[int]:
+    """Which of the sets link with the probe; sets are hashes in the global order."""
+    raw = [np.frombuffer(p, np.uint64) for p in [probe, *paths]]
     _, tokens = np.unique(np.concatenate(raw), return_inverse=True)
     cuts = np.cumsum([0, *[len(r) for r in raw]])
     own = [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    trie, parent, out = Trie(own), {g: g for g in groups}, []
     member = np.zeros(int(tokens.max()) + 1, bool)
-
-    def root(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
-        return g
-
-    for i, probe in enumerate(probes):
-        if not probe:
-            continue
-        member[:] = False
-        member[own[i]] = True
-        for j in trie.walk(member, len(own[i]), like, lambda j, i=i: (probes[j] and j <= i) or root(groups[j]) == root(groups[i])):
-            if root(groups[j]) != root(groups[i]):
-                parent[root(groups[j])] = root(groups[i])
-                out.append((ids[i], ids[j]))
-    return out
+    member[own[0]] = True
+    return list(Trie(own[1:]).walk(member, len(own[0]), like))
 
 
-def _joined(rows: DataFrame, often: np.ndarray, like: int, size: int) -> DataFrame:
-    """Links within each (family, block) of rows (family, block, cls, known, probe, sig, text); sets are made where they meet.
+def wholes(docs: DataFrame, wanted: DataFrame, often: np.ndarray, size: int = SHINGLE) -> DataFrame:
+    """(cls, whole): the sets, in the global order, of the wanted classes (key, cls) from the texts of docs (key, text)."""
 
-    A row whose text has another set than sig (its doc_id is not unique) is left out.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in steps(batch.column(1)):
+                own = [_ordered(np.unique(hashes), often).tobytes() for hashes in shingle_lists(data, offsets, size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(own, pa.binary())], schema=_WHOLE)
+
+    # Only texts that a bitmap of the wanted keys lets through are moved; equal keys have equal texts, one of them is taken.
+    maybe = marked(docs.select("key", "text"), "key", wanted).where("_maybe").drop("_maybe")
+    one = maybe.join(wanted, "key").groupBy("key", "cls").agg(F.first("text").alias("text"))
+    return one.select("cls", "text").mapInArrow(run, "cls bigint, whole binary")
+
+
+def links(pairs: DataFrame, held: DataFrame, sizes: DataFrame, like: int = LIKE, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) that link, by walking tries: each pair goes to the class with more pairs, whose sets make tries of about `block` shingles."""
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = written(ends.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.count("*").alias("d"), F.sum("n").alias("tokens")), "jaccard-degrees")
+    known = pairs.join(degrees.select(F.col("a"), F.col("d").alias("da"), F.col("tokens").alias("ta")), "a").join(degrees.select(F.col("a").alias("b"), F.col("d").alias("db"), F.col("tokens").alias("tb")), "b")
+    hub = F.col("da") >= F.col("db")
+    dealt = known.select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("probe"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("cls"), F.ceil(F.when(hub, F.col("ta")).otherwise(F.col("tb")) / block).alias("parts"))
+    dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts"), "jaccard-dealt")
+    probes = dealt.select("probe", "part").distinct().withColumn("cls", F.col("probe"))
+    rows = dealt.unionByName(probes).join(held, "cls").select("probe", "part", "cls", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each():
-            for batch in batches:
-                kept = batch.drop_columns(["text"]).to_pylist()
-                for a, b, data, offsets in steps(batch.column("text")):
-                    for row, hashes in zip(kept[a:b], shingle_lists(data, offsets, size), strict=True):
-                        own = np.unique(hashes)
-                        if xxhash.xxh3_128_digest(own.tobytes()) == row["sig"]:
-                            yield row | {"whole": _ordered(own, often).tobytes()}
-
-        for _, group in groupby(each(), key=lambda r: (r["family"], r["block"])):
-            # A shared set may also be dealt to the block, a copy be met twice; probes come last.
-            own = list({r["cls"]: r for r in group}.values())
-            links = block_links([r["cls"] for r in own], [r["whole"] for r in own], [r["probe"] for r in own], [r["known"] for r in own], like)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], schema=_LINKS)
-
-    rows = rows.select("family", "block", "cls", "known", "probe", "sig", "text").repartition(spread(rows.sparkSession), "family", "block")
-    return rows.sortWithinPartitions("family", "block", "probe").mapInArrow(run, "a bigint, b bigint")
-
-
-def components(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    docs = only(docs, "doc_id", "text")
+        each = (row for batch in batches for row in batch.to_pylist())
+        for (probe, _), group in groupby(each, key=lambda r: (r["probe"], r["part"])):
+            own = {r["cls"]: r["whole"] for r in group}
+            first = own.pop(probe)
+            ids = list(own)
+            if found := trie_links(first, list(own.values()), like):
+                yield pa.RecordBatch.from_arrays([pa.array([probe] * len(found)), pa.array([ids[j] for j in found])], schema=_LINKS)
+
+    rows = rows.repartition(spread(rows.sparkSession), "probe", "part").sortWithinPartitions("probe", "part")
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _components(docs: DataFrame, like: int, size: int, block: int, few: int) -> DataFrame:
+    """Per row of docs (doc_id, text, key): doc_id, key, n_shingles, component_id."""
     often = frequent(docs, like, size)
-    rows = written(sets(docs, often, like, size), "jaccard-rows")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "head", "bits")).alias("x"))
-    classes = written(classes.select("sig", "x.*").withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
-
-    families = connected(candidates(classes, like)).select(F.col("id").alias("cls"), F.col("label").alias("family"))
-
-    wanted = families.join(classes.select("cls", "sig", "doc_id"), "cls")
-
-    many = families.groupBy("family").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    dealt = wanted.join(many, "family").withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # The texts of candidate classes, moved once; both passes below read this table.
-    dealt = written(docs.join(dealt, "doc_id"), "jaccard-texts")
-    large = dealt.where("blocks > 1")
-    # Pivots of a large family: the sets that hash lowest, found with one row per task and family.
-    low = large.select("family", "cls").groupBy("family").agg(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls")).alias(f"x{k}") for k in range(pivots)])
-    shared = low.select(F.explode(F.array_distinct(F.array(*[F.col(f"x{k}.cls") for k in range(pivots)]))).alias("cls"))
-    everywhere = large.join(shared, "cls").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["sig", "text", "family", F.col("block").cast("string").alias("block"), "cls", F.col("cls").alias("known"), F.lit(True).alias("probe")]
-    first = dealt.withColumn("block", F.col("home")).select(*columns).unionByName(everywhere.select(*columns))
-    links = written(_joined(first, often, like, size), "jaccard-links")
-
-    if large.take(1):
-        found = connected(links)
-        held = large.select("cls", "family").distinct().join(found, F.col("cls") == F.col("id"), "left").select("cls", "family", F.coalesce("label", "cls").alias("known"))
-        held = written(held, "jaccard-held")
-        main = held.groupBy("family", "known").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "known")).alias("x"))
-        left = held.join(main.select("family", F.col("x.known").alias("main")), "family").where("known <> main").select("cls")
-        placed = large.join(held.select("cls", "known"), "cls")
-        outside = placed.join(left, "cls").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit("chunk")), F.ceil(F.col("n") / block)).cast("int"))
-        if left.take(1):
-            chunks = written(outside.select("family", "chunk").distinct(), "jaccard-chunks")
-            probes = outside.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-            members = placed.join(chunks, "family").withColumn("at", F.col("home")).withColumn("probe", F.lit(False))
-            columns = ["sig", "text", "family", F.concat_ws("-", F.col("at").cast("string"), F.col("chunk").cast("string")).alias("block"), "cls", "known", "probe"]
-            again = members.select(*columns).unionByName(probes.select(*columns))
-            links = links.unionByName(written(_joined(again, often, like, size), "jaccard-more-links"))
-
-    found = connected(links).select(F.col("id").alias("cls"), "label")
-    named = classes.select("cls", "sig", F.col("doc_id").alias("least")).join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "label").select("sig", "component")
-    out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("sig")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")).cast("binary")).alias("sig"))
-    out = out.join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; rows without doc_id, and repeats of a kept row, stay."""
-    gone = components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = written(sets(docs, often, like, size).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    # A class is named by the first of its rows.
+    named = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least"))
+    named = written(named, "jaccard-classes")
+    classes = rows.join(named.select(F.col("cls").alias("row")), "row", "left_semi").select(F.col("row").alias("cls"), "key", "n", "bits", "head")
+    classes = written(classes, "jaccard-heads")
+    sizes = classes.select("cls", "n")
+
+    pairs, hot = candidates(written(shared(classes), "jaccard-shared"), classes, like, few)
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(hot.select("cls")).distinct()
+    held = written(wholes(docs, classes.join(wanted, "cls").select("key", "cls"), often, size), "jaccard-sets")
+    labels = connected(written(links(pairs, held, sizes, like, block), "jaccard-links"))
+    more = outsiders(hot, labels, like)
+    if more.take(1):
+        found = written(links(more, held, sizes, like, block), "jaccard-more-links")
+        name = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        joined = found.join(name("a"), "a", "left").join(name("b"), "b", "left")
+        merged = connected(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+        merged = merged.select(F.col("id").alias("label"), F.col("label").alias("last"))
+        ends = labels.unionByName(merged.select(F.col("label").alias("id"), "label")).distinct()
+        labels = written(ends.join(merged, "label", "left").select("id", F.coalesce("last", "label").alias("label")).groupBy("id").agg(F.min("label").alias("label")), "jaccard-labels")
+    linked = written(named.join(labels.withColumnRenamed("id", "cls"), "cls").select("sig", "least", "label"), "jaccard-linked")
+    smallest = written(linked.groupBy("label").agg(F.min("least").alias("component")), "jaccard-components")
+    found = linked.join(smallest, "label").select("sig", "component")
+    named = written(named.join(found, "sig", "left").select("sig", F.coalesce("component", "least").alias("component")), "jaccard-named")
+    has = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = rows.select("doc_id", "key", "n", F.when(has, F.col("sig")).otherwise(F.concat(F.lit("-"), F.col("row").cast("string")).cast("binary")).alias("sig"))
+    return out.join(named, "sig", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    docs = only(docs, "doc_id", "text")
+    return docs.select("doc_id", "text", row_key(docs["doc_id"], docs["text"]).alias("key"))
+
+
+def components(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return _components(_keyed(docs), like, size, block, few).drop("key")
+
+
+def keep_one(docs: DataFrame, like: int = LIKE, size: int = SHINGLE, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component; rows without doc_id, and repeats of a kept row, stay.
+
+    Each row is judged by its own doc_id and text, also where its doc_id is repeated with another text.
+    """
+    gone = _components(_keyed(docs), like, size, block, few).where("component_id < doc_id").select("key").distinct()
+    gone = written(gone, "jaccard-gone")
+    return without(docs, gone)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, only, settle, spread, steps, word_hashes, word_spans
+from .common import LOWER, only, spread, steps, word_hashes, word_spans
 
 #: Ids after which a block is closed, words in a group, words of text that a worker's memo holds.
 BLOCK, GROUP, MEMO = 1 << 16, 128, 1_000_000
@@ -233,7 +233,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: in
     ordered = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     ordered = ordered.repartitionByRange(spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "shard int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, payload binary").write.parquet(path)
-    settle(docs.sparkSession)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

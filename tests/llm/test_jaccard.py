@@ -60,8 +60,8 @@ def test_copies_and_edges(spark):
     check(spark, made(np.random.default_rng(2)))
 
 
-def test_large_families_in_small_blocks(spark):
-    got = check(spark, made(np.random.default_rng(3), 90), block=6, pivots=1)
+def test_hot_shingles_in_small_tries(spark):
+    got = check(spark, made(np.random.default_rng(3), 90), block=700, few=1)
     assert len({r[3] for r in got if 100 <= r[1] < 200}) > 1
 
 

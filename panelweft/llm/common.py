@@ -48,6 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids or keys (up to some 50 bytes each) that a join may broadcast.
+SMALL = 500_000
+
+
+def small(keys: DataFrame, limit: int = SMALL) -> DataFrame:
+    """keys (a written table of ids or keys), to be broadcast if it has at most `limit` rows; Spark shuffles a longer one."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 #: Bits of a bitmap of keys (2 MB, whatever the number of keys).
 BITMAP = 1 << 24
 
@@ -183,6 +192,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each byte range equals the other one; meant for many short ranges."""
+    sizes = ends - starts
+    out = sizes == other_ends - others
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    own, at = np.flatnonzero(out & (starts != others)), 0
+    while len(own) and at < 128:
+        left = np.clip(sizes[own] - at, 1, 8).astype(np.uint64)
+        out[own] = (eight[starts[own] + at] ^ eight[others[own] + at]) & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8))) == 0
+        at += 8
+        own = own[out[own] & (sizes[own] > at)]
+    for i in own.tolist():
+        out[i] = data[starts[i] : ends[i]].tobytes() == data[others[i] : other_ends[i]].tobytes()
+    return out
+
+
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

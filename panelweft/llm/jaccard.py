@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, marked, mix, only, row_key, spread, steps, without, word_hashes, word_spans, written
+from .common import LOWER, SOLID, marked, mix, only, row_key, small, spread, steps, without, word_hashes, word_spans, written
 
 #: Words in a shingle, likeness in hundredths, shingles in the sets of one trie (a longer set has a trie of its own).
-SHINGLE, LIKE, BLOCK = 3, 90, 1_000_000
+SHINGLE, LIKE, BLOCK = 3, 90, 50_000
 #: Length of the list of frequent shingles, documents that make one frequent, classes that are all paired on a shared shingle.
 FREQUENT, OFTEN, FEW = 500_000, 4, 8
 #: Bits of the parity sketch, hashes counted at a time.
@@ -279,10 +279,11 @@ def wholes(docs: DataFrame, wanted: DataFrame, often: np.ndarray, size: int = SH
                 own = [_ordered(np.unique(hashes), often).tobytes() for hashes in shingle_lists(data, offsets, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(own, pa.binary())], schema=_WHOLE)
 
-    # Only texts that a bitmap of the wanted keys lets through are moved; equal keys have equal texts, one of them is taken.
-    maybe = marked(docs.select("key", "text"), "key", wanted).where("_maybe").drop("_maybe")
-    one = maybe.join(wanted, "key").groupBy("key", "cls").agg(F.first("text").alias("text"))
-    return one.select("cls", "text").mapInArrow(run, "cls bigint, whole binary")
+    # Few wanted keys are broadcast; of many, only texts that a bitmap of them lets through are moved. Repeated rows give a set each.
+    rows = docs.select("key", "text")
+    few = small(wanted)
+    rows = rows if few is not wanted else marked(rows, "key", wanted).where("_maybe").drop("_maybe")
+    return rows.join(few, "key").select("cls", "text").mapInArrow(run, "cls bigint, whole binary")
 
 
 def links(pairs: DataFrame, held: DataFrame, sizes: DataFrame, like: int = LIKE, block: int = BLOCK) -> DataFrame:
@@ -316,13 +317,16 @@ def _components(docs: DataFrame, like: int, size: int, block: int, few: int) ->
     # A class is named by the first of its rows.
     named = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least"))
     named = written(named, "jaccard-classes")
-    classes = rows.join(named.select(F.col("cls").alias("row")), "row", "left_semi").select(F.col("row").alias("cls"), "key", "n", "bits", "head")
+    classes = rows.join(small(named.select(F.col("cls").alias("row"))), "row", "left_semi").select(F.col("row").alias("cls"), "key", "n", "bits", "head")
     classes = written(classes, "jaccard-heads")
     sizes = classes.select("cls", "n")
 
     pairs, hot = candidates(written(shared(classes), "jaccard-shared"), classes, like, few)
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(hot.select("cls")).distinct()
-    held = written(wholes(docs, classes.join(wanted, "cls").select("key", "cls"), often, size), "jaccard-sets")
+    wanted = written(classes.select("cls", "key").join(written(wanted, "jaccard-wanted"), "cls").select("key", "cls"), "jaccard-keys")
+    held = written(wholes(docs, wanted, often, size), "jaccard-sets")
+    if held.count() > wanted.count():  # repeated rows gave their set each
+        held = written(held.groupBy("cls").agg(F.first("whole").alias("whole")), "jaccard-sets")
     labels = connected(written(links(pairs, held, sizes, like, block), "jaccard-links"))
     more = outsiders(hot, labels, like)
     if more.take(1):

@@ -1,13 +1,14 @@
 """Jaccard components against all pairs."""
 
 import re
+import uuid
 
 import numpy as np
 import pytest
 
 pytest.importorskip("panelweft.llm")
 
-from panelweft.llm import jaccard  # noqa: E402
+from panelweft.llm import common, jaccard  # noqa: E402
 
 
 def brute(rows):
@@ -75,3 +76,44 @@ def test_empty_and_kept(spark):
     assert jaccard.components(df).count() == 0
     df = spark.createDataFrame([(3, "a b c d"), (1, "A b c d"), (2, "q r s t"), (None, "a b c d")], "doc_id bigint, text string")
     assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(df).collect()) == [0, 1, 2]
+
+
+def test_a_passage_that_thousands_share_ties_nothing(spark, tmp_path, monkeypatch):
+    """2,000 different texts around one passage, and 300 near copies of one text: no work that grows with their square."""
+    draw = np.random.default_rng(6)
+    word = lambda: "".join(draw.choice(list("abcdefghijkl"), 6))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(160)]
+    rows = [(k, " ".join([word() for _ in range(70)] + passage)) for k in range(2000)]
+    for k in range(300):
+        own = list(base)
+        for _ in range(int(draw.integers(0, 3))):
+            own[int(draw.integers(0, len(own)))] = word()
+        rows.append((5000 + k, " ".join(own)))
+    monkeypatch.setattr(common, "folder", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()}
+    assert all(got[k] == k for k in range(2000))
+    assert len({got[5000 + k] for k in range(300)}) < 20
+    sizes = {}
+    for f in tmp_path.rglob("*.parquet"):
+        name = f.parent.name.rsplit("-", 1)[0]
+        sizes[name] = sizes.get(name, 0) + f.stat().st_size
+    text = sum(len(t) for _, t in rows)
+    # The sets of candidates travel once or twice; the passage makes no pairs.
+    assert sizes["jaccard-sets"] < 0.5 * text and sizes["jaccard-pairs"] < 100_000
+    assert sum(sizes.values()) < 4 * text
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (7, b, "z"), (None, a, "n"), (None, None, "m"), (9, None, "o")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string").withColumn("key", df_lit()).withColumn("_maybe", df_lit())
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r["a.b"] for r in kept.collect()) == ["m", "n", "o", "x", "z", "z"]
+
+
+def df_lit():
+    from pyspark.sql import functions as F
+
+    return F.lit("k")

@@ -5,13 +5,16 @@ length - Q + 1 q-grams; the suffix at its leftmost q-gram of least hash stands f
 equal suffixes, about one suffix in 80 bytes. The suffixes fall into buckets by their q-gram. A bucket of one is done. A
 bucket of more is refined: each suffix stands for the strings that start up to length - Q bytes before it, cut into a few
 ranges of offsets, and each range gets two bucket identifiers, of the bytes that all strings of the range share and of the
-bytes that they cover together. A single identifier of the first kind ends the range (none of its strings repeats), a repeated
+bytes that they cover together. Each width divides the one before, so that a range never passes the strings that hold its suffix's
+q-gram: two suffixes of one text then never name the same place. A single identifier of the first kind ends the range (none of its strings repeats), a repeated
 one of the second kind marks it (all repeat), and only what is left is refined again, down to single offsets, beside one
 range of each marked identifier of the same bucket.
 
 Only identifiers are shuffled, counted in each task first; texts lie bucketed by row in one written table, so that no round
-moves them again. Defined cases: null is empty; strings never cross texts; rows of equal doc_id are rows of their own; texts
-under `length` bytes stay whole; an empty table has no rows.
+moves them again; tables of repeated identifiers are written before they are joined, so that Spark may split a frequent one.
+
+Defined cases: null is empty; strings never cross texts; rows of equal doc_id are rows of their own; texts under `length` bytes
+stay whole; an empty table has no rows; other columns play no part. One text is handled by one task, in some 30 times its size.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import folder, mix, only, powers, prefix_sums, spread, steps, written
 
 #: Bytes in a string that may stand once only, bytes of the first buckets' q-grams, and offsets in a range, coarse to fine.
-LENGTH, Q, RANGES = 200, 40, (161, 32, 8, 1)
+LENGTH, Q, RANGES = 200, 41, (160, 32, 8, 1)
+#: Bits of a place in a text, which Spark holds to 2 GB.
+_PLACE = 31
 _SUFFIX = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int16()), ("high", pa.int16()), ("shared", pa.int64())])
 _RANGE = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("shared", pa.int64()), ("covered", pa.binary())])
 _OUT = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -45,16 +50,14 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int
     sums = prefix_sums(data)
     _, down = powers(len(data) + 1)
     grams = mix((sums[q:] - sums[:-q]) * down[:n])
-    order = (grams >> np.uint64(1)).astype(np.int64) & ~np.int64((1 << 28) - 1) | np.arange(n)
-    if len(data) >= 1 << 28:
-        raise ValueError("a text of 256 MB or more")
+    order = (grams >> np.uint64(1)).astype(np.int64) & ~np.int64((1 << _PLACE) - 1) | np.arange(n)
     blocks = np.full(-(-n // width) * width, np.iinfo(np.int64).max)
     blocks[:n] = order
     blocks = blocks.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     behind = np.minimum.accumulate(blocks, 1).ravel()
     m = n - width + 1
-    least = np.minimum(ahead[:m], behind[width - 1 : width - 1 + m]) & ((1 << 28) - 1)
+    least = np.minimum(ahead[:m], behind[width - 1 : width - 1 + m]) & ((1 << _PLACE) - 1)
     inside = np.arange(m) + length <= np.repeat(offsets[1:], np.diff(offsets))[:m]
     starts = np.flatnonzero(inside)
     own = least[starts]
@@ -71,7 +74,15 @@ def _identifier(raw: bytes, a: int, b: int) -> bytes:
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """The distinct identifiers that occur more than once; counted in each task before the shuffle."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    return written(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "suffix-repeated")
+
+
+def widths(length: int = LENGTH, q: int = Q, ranges: tuple[int, ...] = RANGES) -> tuple[int, ...]:
+    """The widths of ranges, from all offsets to one; each has to divide the one before."""
+    out = (length - q + 1, *[r for r in ranges if r < length - q + 1])
+    if q < 1 or out[0] < 1 or out[-1] != 1 or any(a % b for a, b in zip(out[:-1], out[1:], strict=True)):
+        raise ValueError(f"widths {out}: each has to divide the one before, down to 1")
+    return out
 
 
 def _first_buckets(docs: DataFrame, length: int, q: int) -> DataFrame:
@@ -123,12 +134,13 @@ def _ranges(texts: DataFrame, open_: DataFrame, size: int, length: int) -> DataF
 def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int, ...] = RANGES) -> tuple[DataFrame, DataFrame]:
     """(texts, marked): the bucketed texts (row, doc_id, text) and the starts (row, first, last) of repeated strings."""
     spark = docs.sparkSession
-    ranges = (length - q + 1, *[r for r in ranges[1:] if r < length - q + 1])
+    ranges = widths(length, q, ranges)
     rows = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     name = f"suffix_texts_{uuid.uuid4().hex}"
     n = spread(spark)
     rows.repartition(n, "row").write.options(path=folder(spark, "suffix-texts"), compression="zstd").bucketBy(n, "row").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files lie in the shared folder and stay
 
     first = written(_first_buckets(texts.select("row", "text"), length, q), "suffix-buckets")
     state = first.join(_repeated(first.select("shared"), "shared"), "shared")  # a bucket of one is done
@@ -136,7 +148,7 @@ def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int,
     for level, size in enumerate(ranges):
         state = written(_ranges(texts.select("row", "text"), state.select("row", "at", "low", "high"), size, length), f"suffix-ranges-{size}")
         if level and size > 1:
-            state = state.join(_repeated(state, "shared"), "shared")
+            state = written(state.join(_repeated(state, "shared"), "shared"), f"suffix-open-{size}")
         twice = _repeated(state, "covered").withColumn("twice", F.lit(True))
         # The identifier is of use further on only where it is repeated.
         state = state.join(twice, "covered", "left").withColumn("covered", F.when(F.col("twice"), F.col("covered")))
@@ -145,7 +157,8 @@ def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int,
         left = state.where("twice IS NULL").select("row", "at", "low", "high", "shared")
         # What is left may repeat a part of a marked range: one range of each marked identifier goes on in such buckets.
         one = state.where("twice").groupBy("covered").agg(F.min(F.struct("row", "at", "low", "high", "shared")).alias("x")).select("x.*")
-        state = left.unionByName(one.join(left.select("shared").distinct(), "shared", "left_semi").select(*left.columns))
+        open_ = written(left.select("shared").distinct(), "suffix-open")
+        state = left.unionByName(one.join(open_, "shared", "left_semi").select(*left.columns))
     out = marked[0]
     for more in marked[1:]:
         out = out.unionByName(more)

@@ -39,6 +39,58 @@ def test_short_strings_of_small_alphabets(spark):
     texts = ["".join(draw.choice(list("ab"), draw.integers(0, 90))) for _ in range(60)]
     check(spark, texts, length=12, q=4, ranges=(9, 3, 1))
     check(spark, texts, length=9, q=8, ranges=(2, 1))
+    check(spark, texts, length=16, q=5, ranges=(12, 6, 3, 1))
+
+
+@pytest.mark.parametrize("ranges", [(161, 32, 8, 1), (9, 4, 1), (9, 3)])
+def test_widths_have_to_divide(ranges):
+    with pytest.raises(ValueError):
+        suffix.widths(ranges[0] + 11, 12, ranges)
+    assert suffix.widths() == (160, 32, 8, 1)
+
+
+def test_one_text_does_not_repeat_itself(spark):
+    draw = np.random.default_rng(7)
+    letters = lambda n: "".join(draw.choice(list("abcdefghijklmnop"), n))
+    long = letters(3000)
+    texts = [long, letters(180) + long[700:740] + letters(180), letters(180) + long[900:940] + letters(180)]
+    texts += [letters(100) + long[k : k + 199] + letters(100) for k in range(0, 2700, 190)]
+    want = check(spark, texts)
+    assert sum(w[1] for w in want) == 0
+
+
+def hashed(texts, length=suffix.LENGTH):
+    """(bytes, removed, runs, hash of the rest) of each text, from a hash of every string of all texts."""
+    from panelweft.llm.common import prefix_sums, range_hashes
+
+    own = []
+    for t in texts:
+        n = len(t) - length + 1
+        own.append(range_hashes(prefix_sums(np.frombuffer(t, np.uint8)), np.arange(n), np.arange(n) + length) if n > 0 else np.zeros(0, np.uint64))
+    every, times = np.unique(np.concatenate(own), return_counts=True)
+    every = every[times > 1]
+    out = []
+    for t, h in zip(texts, own, strict=True):
+        at = np.searchsorted(every, h)
+        at[at == len(every)] = 0
+        edges = np.zeros(len(t) + 1, np.int64)
+        hit = np.flatnonzero(every[at] == h) if len(every) else at[:0]
+        np.add.at(edges, hit, 1)
+        np.add.at(edges, hit + length, -1)
+        gone = np.cumsum(edges[:-1]) > 0
+        runs = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+        out.append((len(t), int(gone.sum()), len(runs) // 2, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_whole_tables(spark, sf, size):
+    docs = spark.read.parquet(f"{sf}/../{size}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.removed(docs).collect()}
+    rows = docs.collect()
+    want = hashed([(r["text"] or "").encode() for r in rows])
+    assert len(got) == len(rows)
+    assert [r["doc_id"] for r, w in zip(rows, want, strict=True) if got[r["doc_id"]] != w] == []
 
 
 def test_real_rows(spark, sf):

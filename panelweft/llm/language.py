@@ -4,9 +4,12 @@ Each language gets a codeword of +1 and -1; every bit is predicted by a binary n
 byte-trigram frequencies of the languages on either side of the bit). Loss-weighted decoding picks the language whose
 codeword has the least loss, each bit weighted by how often its classifier is right for that language on the learning rows.
 
-Frequencies and bit weights come from all learning rows. Defined cases: null text or text without a letter is `und` with
-score 0 and not ambiguous; without any learning row every document is `und`; one language wins alone with score 1; rows of
-null doc_id are neither held out nor learned from; repeated rows are scored alike.
+Frequencies and bit weights come from all learning rows, as sums of whole numbers: the model is the same however the rows are
+dealt. A model holds a number for each of DIMS features and each bit, and a few for each language, of which there may be any number.
+
+Defined cases: null text or text without a letter is `und` with score 0 and not ambiguous; without any learning row every document
+is `und`; one language wins alone with score 1; rows of null doc_id are neither held out nor learned from; repeated rows are scored
+alike and each learned from; of languages at equal loss the first by name wins; other columns play no part; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, only, steps
+from .common import LOWER, only, steps, written
 
-#: Feature hash size, most languages that one model holds, and the relative loss gap under which a prediction is ambiguous.
-DIMS, MAX_LANGS, GAP = 1 << 14, 64, 0.05
+#: Feature hash size, languages whose counts a task holds at a time, and the relative loss gap under which a prediction is ambiguous.
+DIMS, HELD, GAP = 1 << 14, 64, 0.05
 _STATS = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
-_BITS = pa.schema([("lang", pa.string()), ("feature", pa.int32()), ("n", pa.int64())])
+_BITS = pa.schema([("lang", pa.int32()), ("bit", pa.int32()), ("n", pa.int64())])
+_WEIGHTS = pa.schema([("feature", pa.int32()), ("weights", pa.list_(pa.float32()))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
 _SYMBOLS = LOWER.copy()
@@ -51,13 +55,20 @@ def codewords(n: int) -> np.ndarray:
     for seed in range(64):
         code = np.random.default_rng(seed).choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
         code = code[:, np.abs(code.sum(0)) < n]
-        least = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        least = int((code.shape[1] - np.where(np.eye(n) > 0, -np.inf, code @ code.T).max()) / 2)
         if least > apart:
             best, apart = code, least
     return best
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, feature, n): trigrams of the rows (text, lang), summed in each task before they are shuffled."""
+
+    def rows(totals: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, n in totals.items():
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], schema=_STATS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -66,73 +77,98 @@ def _counted(docs: DataFrame) -> DataFrame:
                 features = _trigrams(data)
                 for i in range(b - a):
                     own = features[offsets[i] : max(offsets[i], offsets[i + 1] - 2)]
+                    if langs[a + i] not in totals and len(totals) == HELD:
+                        yield from rows(totals)
+                        totals = {}
                     totals.setdefault(langs[a + i], np.zeros(DIMS, np.int64)).__iadd__(np.bincount(own, minlength=DIMS))
-        for lang, n in totals.items():
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], schema=_STATS)
+        yield from rows(totals)
 
     return docs.mapInArrow(count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
+def bit_weights(counts: DataFrame, langs: list[str], code: np.ndarray) -> np.ndarray:
+    """Per feature and bit: the log ratio of the mean smoothed frequencies of the languages on either side."""
+    at = {x: i for i, x in enumerate(langs)}
+    sums = np.zeros(len(langs))
+    for lang, n in counts.groupBy("lang").agg(F.sum("n")).collect():  # a row per language
+        sums[at[lang]] = n
+    sums += 0.5 * DIMS
+    plus = (code > 0) / (code > 0).sum(0)
+    minus = (code < 0) / (code < 0).sum(0)
+    none = 0.5 / sums  # frequencies of a feature that no language has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column(1).to_pylist():
+                p = none.copy()
+                for x in own:
+                    p[at[x["lang"]]] += x["n"] / sums[at[x["lang"]]]
+                out.append((np.log(p @ plus) - np.log(p @ minus)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.list_(pa.float32()))], schema=_WEIGHTS)
+
+    by_feature = counts.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("own"))
+    got = by_feature.mapInArrow(run, "feature int, weights array<float>").toArrow()  # at most DIMS rows
+    out = np.tile((np.log(none @ plus) - np.log(none @ minus)).astype(np.float32), (DIMS, 1))
+    if got.num_rows:
+        out[got.column(0).to_numpy()] = got.column(1).combine_chunks().values.to_numpy().reshape(-1, code.shape[1])
+    return out
+
+
 def _margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean log ratio of each text (rows) for each bit."""
     features = _trigrams(data)
     out = np.zeros((len(offsets) - 1, weights.shape[1]))
     if not len(features):
         return out
-    summed = weights[features]
     lo = np.minimum(offsets[:-1], len(features))
     hi = np.maximum(lo, np.minimum(offsets[1:] - 2, len(features)))
     some = np.flatnonzero(hi > lo)
     if len(some):
         cuts = np.stack([lo[some], hi[some]], 1).ravel()
         cuts = cuts[:-1] if cuts[-1] == len(features) else cuts
-        out[some] = np.add.reduceat(summed, cuts, 0)[::2] / (hi[some] - lo[some])[:, None]
+        for b in range(0, weights.shape[1], 8):  # a few bits at a time, so that memory does not grow with the languages
+            out[some, b : b + 8] = np.add.reduceat(weights[features, b : b + 8], cuts, 0)[::2] / (hi[some] - lo[some])[:, None]
     return out
 
 
-def fit(docs: DataFrame, max_langs: int = MAX_LANGS) -> dict:
-    """The model of the given learning rows (text, lang): languages, codewords, trigram weights by bit, bit weights."""
-    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(max_langs + 1).collect()]
-    if len(langs) > max_langs:
-        raise ValueError(f"over {max_langs} languages")
-    code = codewords(len(langs))
-    model = {"langs": langs, "code": code, "weights": np.zeros((DIMS, code.shape[1]), np.float32), "trust": np.ones(code.shape)}
-    if len(langs) < 2:
-        return model
-    stats = _counted(docs).toArrow()  # at most languages x DIMS rows
-    n = np.zeros((len(langs), DIMS))
-    n[[langs.index(x) for x in stats.column(0).to_pylist()], stats.column(1).to_numpy()] = stats.column(2).to_numpy()
-    p = (n + 0.5) / (n + 0.5).sum(1, keepdims=True)
-    for b in range(code.shape[1]):
-        model["weights"][:, b] = np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0))
-    weights = model["weights"]
+def right_bits(docs: DataFrame, langs: list[str], code: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bit is right for each language, and the rows of each language."""
+    at = {x: i for i, x in enumerate(langs)}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, rows = np.zeros(code.shape, np.int64), np.zeros(len(langs), np.int64)
+        full = np.zeros((len(langs), code.shape[1] + 1), np.int64)  # the last column counts rows
         for batch in batches:
-            own = np.array([langs.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            own = np.array([at[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b, data, offsets in steps(batch.column(0)):
-                good = _margins(data, offsets, weights) * code[own[a:b]] > 0
-                np.add.at(right, own[a:b], good)
-                np.add.at(rows, own[a:b], 1)
-        full = np.concatenate([right, rows[:, None]], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(langs, object), full.shape[1]), pa.string()), pa.array(np.tile(np.arange(full.shape[1]), len(langs)).astype(np.int32)), pa.array(full.ravel())], schema=_BITS)
-
-    for lang, bit, n_right in docs.mapInArrow(judge, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n")).collect():
-        if bit < code.shape[1]:
-            model["trust"][langs.index(lang), bit] = n_right
-        else:
-            model["trust"][langs.index(lang)] /= max(n_right, 1) if model["trust"][langs.index(lang)].max() > 1 else 1
-    trust = np.maximum(model["trust"], 1e-6)
-    model["trust"] = trust / trust.sum(1, keepdims=True)
-    return model
+                np.add.at(full[:, :-1], own[a:b], _margins(data, offsets, weights) * code[own[a:b]] > 0)
+                np.add.at(full[:, -1], own[a:b], 1)
+        lang, bit = np.nonzero(full)
+        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bit.astype(np.int32)), pa.array(full[lang, bit])], schema=_BITS)
+
+    full = np.zeros((len(langs), code.shape[1] + 1), np.int64)
+    for lang, bit, n in docs.mapInArrow(judge, "lang int, bit int, n bigint").groupBy("lang", "bit").agg(F.sum("n")).collect():
+        full[lang, bit] = n
+    return full[:, :-1], full[:, -1]
+
+
+def fit(docs: DataFrame) -> dict:
+    """The model of the given learning rows (text, lang): languages, codewords, trigram weights by bit, bit weights."""
+    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    code = codewords(len(langs))
+    if len(langs) < 2:
+        return {"langs": langs}
+    weights = bit_weights(written(counted(docs), "language-counts"), langs, code)
+    right, rows = right_bits(docs, langs, code, weights)
+    trust = np.maximum(right / np.maximum(rows, 1)[:, None], 1e-6)
+    return {"langs": langs, "code": code, "weights": weights, "trust": trust / trust.sum(1, keepdims=True)}
 
 
 def predict(docs: DataFrame, model: dict, gap: float = GAP) -> DataFrame:
     """doc_id, lang_pred, score (share of the inverse losses), ambiguous (the next codeword is within `gap` of the nearest)."""
-    langs, code, weights, trust = model["langs"], model["code"], model["weights"], model["trust"]
+    langs = model["langs"]
+    code, weights, trust = (model.get(k) for k in ("code", "weights", "trust"))
     names = np.array([*langs, "und"], object)
     letter = np.zeros(256, bool)
     letter[65:91] = letter[97:123] = True
@@ -148,7 +184,7 @@ def predict(docs: DataFrame, model: dict, gap: float = GAP) -> DataFrame:
                     best, score, close = np.where(known & (len(langs) == 1), 0, len(langs)), (known & (len(langs) == 1)).astype(float), np.zeros(b - a, bool)
                 else:
                     margins = np.tanh(8 * _margins(data, offsets, weights))
-                    loss = np.stack([(trust[c] * np.exp(-code[c] * margins)).sum(1) for c in range(len(langs))], 1)
+                    loss = np.exp(-margins) @ (trust * (code > 0)).T + np.exp(margins) @ (trust * (code < 0)).T
                     two = np.partition(loss, 1, 1)[:, :2]
                     share = loss**-4.0
                     best = np.where(known, loss.argmin(1), len(langs))

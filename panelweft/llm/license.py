@@ -2,14 +2,18 @@
 
 Exact phrases are found as consecutive words. The fuzzy search splits every notice into one seed more than its edits
 (pigeonhole: some seed stands unedited), finds the seeds of all notices with one automaton, and lets the regex library's
-bounded-error matching verify the edits around each seed and report the span.
+bounded-error matching verify the edits in the window around each seed and report the span of the best match there. A notice may
+have one edit in TOLERANCE characters.
 
-Defined cases: null or empty text has no words, no labels and score 0; overlapping places count each; the score is 1 with an
-exact phrase, else 1 - edits / notice length of the best verified notice, else 0; a fuzzy label ends in `~`.
+Defined cases: null or empty text has no words, no labels and score 0; overlapping places of phrases count each; of overlapping
+matches of one notice the one of fewest edits stays, then the leftmost, then the shortest; the score is 1 with an exact phrase, else
+1 - edits / notice length of the best verified notice, else 0; a fuzzy label ends in `~`; rows of equal or null doc_id are searched
+each; an empty table has no rows; other columns play no part; texts may be of any length.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,17 +31,29 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Short notices of the fuzzy search, their labels and the edits that each may have.
+#: Short notices of the fuzzy search and their labels.
 NOTICES = {
-    "gnu general public license": ("gpl~", 3),
-    "gnu lesser general public license": ("lgpl~", 3),
-    "licensed under the apache license": ("apache~", 3),
-    "released under the mit license": ("mit~", 3),
-    "mozilla public license": ("mpl~", 2),
-    "creative commons attribution": ("cc-by~", 3),
-    "redistribution and use in source and binary forms": ("bsd~", 4),
-    "all rights reserved": ("copyright~", 2),
+    "gnu general public license": "gpl~",
+    "you can redistribute it and/or modify it under the terms of the gnu general public license": "gpl~",
+    "gnu lesser general public license": "lgpl~",
+    "gnu affero general public license": "agpl~",
+    "licensed under the apache license": "apache~",
+    "you may not use this file except in compliance with the license": "apache~",
+    "released under the mit license": "mit~",
+    "permission is hereby granted, free of charge, to any person obtaining a copy": "mit~",
+    "mozilla public license": "mpl~",
+    "subject to the terms of the mozilla public license": "mpl~",
+    "creative commons attribution": "cc-by~",
+    "this work is licensed under a creative commons": "cc~",
+    "redistribution and use in source and binary forms": "bsd~",
+    "permission to use, copy, modify, and/or distribute this software for any purpose": "isc~",
+    "eclipse public license": "epl~",
+    "this is free and unencumbered software released into the public domain": "unlicense~",
+    "boost software license": "boost~",
+    "all rights reserved": "copyright~",
 }
+#: Characters of a notice for each edit that it may have.
+TOLERANCE = 9
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
@@ -52,13 +68,17 @@ def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def edits_of(notice: str) -> int:
+    return len(notice) // TOLERANCE
+
+
 class Searcher:
-    """All verified notices of a lower-cased text; spans in code points, end exclusive."""
+    """All verified notices of a lower-cased text: (notice, start, end, edits), spans in code points, end exclusive."""
 
-    def __init__(self, notices: dict[str, tuple[str, int]]):
-        self.notices = [(n, *v, regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={v[1]}}}")) for n, v in notices.items()]
+    def __init__(self, notices: list[str]):
+        self.notices = [(n, edits_of(n), regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={edits_of(n)}}}")) for n in notices]
         places: dict[str, list] = {}
-        for k, (notice, _, edits, _) in enumerate(self.notices):
+        for k, (notice, edits, _) in enumerate(self.notices):
             for seed, at in seeds(notice, edits):
                 places.setdefault(seed, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
@@ -67,27 +87,28 @@ class Searcher:
         self.automaton.make_automaton()
 
     def __call__(self, text: str) -> list[tuple[str, int, int, int]]:
-        near: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for k, at in where:
-                notice, _, edits, _ = self.notices[k]
-                lo = max(0, end + 1 - size - at - edits)
-                hi = min(len(text), lo + len(notice) + 3 * edits)
-                own = near.setdefault(k, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][0], own[-1][1], own[-1][2] = min(lo, own[-1][0]), max(hi, own[-1][1]), own[-1][2] + 1
-                else:
-                    own.append([lo, hi, 1])
+                # Where the notice starts, if nothing before the seed is edited.
+                windows.setdefault(k, set()).add(end + 1 - size - at)
         found = []
-        for k, ranges in near.items():
-            _, label, _, pattern = self.notices[k]
-            for lo, hi, _ in ranges:
-                for m in pattern.finditer(text, lo, hi):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+        for k, starts in windows.items():
+            notice, edits, pattern = self.notices[k]
+            matches = set()
+            for at in starts:
+                if m := pattern.search(text, max(0, at - edits), max(0, at) + len(notice) + 2 * edits):
+                    matches.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            taken: list[tuple[int, int]] = []
+            for n, a, b in sorted(matches):
+                i = bisect.bisect(taken, (a, b))
+                if (not i or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
+                    found.append((notice, a, b, n))
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, int]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (the fuzzy spans)."""
 
     def hashes(text: str) -> tuple[np.ndarray, list[bytes]]:
@@ -96,9 +117,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         return word_hashes(data, starts, ends), [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Searcher(notices)
+        search = Searcher(list(notices))
         exact = [(*hashes(p), label) for p, label in phrases.items()]
-        sizes = {v[0]: len(k) for k, v in notices.items()}
         for batch in batches:
             for a, b, data, offsets in steps(batch.column(1)):
                 low = LOWER[data]
@@ -125,9 +145,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
                     out["first_word"].append(min((p for p, _ in own), default=None))
                     out["last_word"].append(max((p for p, _ in own), default=None))
                     out["base_labels"].append(",".join(sorted(base)))
-                    out["labels"].append(",".join(sorted(base | {x[0] for x in fuzzy})))
-                    out["score"].append(1.0 if own else max((1 - x[3] / sizes[x[0]] for x in fuzzy), default=0.0))
-                    out["matches"].append([{"label": x[0], "start": x[1], "end": x[2], "edits": x[3]} for x in fuzzy])
+                    out["labels"].append(",".join(sorted(base | {notices[x[0]] for x in fuzzy})))
+                    out["score"].append(1.0 if own else max((1 - x[3] / len(x[0]) for x in fuzzy), default=0.0))
+                    out["matches"].append([{"label": notices[x[0]], "start": x[1], "end": x[2], "edits": x[3]} for x in fuzzy])
                 out["doc_id"] = batch.column(0)[a:b].to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _OUT], schema=_OUT)
 

@@ -59,7 +59,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan(_table(spark, sf_dir, "documents")).drop("matches")
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["start"].cast("string"), m["end"].cast("string"), m["edits"].cast("string"))), ",")
+    return license.scan(_table(spark, sf_dir, "documents")).withColumn("spans", spans).drop("matches")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ group offsets let a reader start in the middle of a block. Blocks are rows (shar
 Parquet files, so that any store which Spark writes to and reads from can hold them.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; repeated doc_ids keep a row each,
-ordered by text; an empty table gives no block.
+ordered by their texts' hash and then the text; equal rows in any order, which gives the same files; texts may be of any length that
+one block's list of documents can hold whole; an empty table gives no block; other columns play no part.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, only, spread, steps, word_hashes, word_spans
+from .common import LOWER, only, same_bytes, spread, steps, word_hashes, word_spans
 
 #: Ids after which a block is closed, words in a group, words of text that a worker's memo holds.
 BLOCK, GROUP, MEMO = 1 << 16, 128, 1_000_000
@@ -103,12 +105,23 @@ def unpack(payload: bytes) -> np.ndarray:
     return out
 
 
+def cuts_between_words(path: str) -> bool:
+    """Whether the tokenizer of this file is of the kind whose ids of a text are those of its words: it lower-cases, white space only
+    parts, and letters and marks are pieces of their own."""
+    with open(path, encoding="utf-8") as f:
+        top = json.load(f)
+    flat = lambda x, key: x.get(key, [x]) if x else []
+    before = [(n["type"], n.get("pattern"), n.get("content")) for n in flat(top.get("normalizer"), "normalizers")]
+    pieces = [(p["type"], p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in flat(top.get("pre_tokenizer"), "pretokenizers")]
+    return before == _NORMALISER and pieces == _PIECES and not top.get("post_processor") and not top["model"].get("dropout")
+
+
 class Words:
     """The tokenizers library behind a memo of words: what stands between ASCII blanks or line ends, without the marks after a letter.
 
     The tokenizer normalises, cuts and merges between blanks only, and cuts between a letter and a mark that is no apostrophe, so
-    the ids of a text are those of its words. Each step of texts looks every distinct word up once. An added token that stands in
-    a text, letter for letter, is a word of its own.
+    the ids of a text are those of its words. Each step of texts looks every distinct word up once, by its bytes. An added token
+    that stands in a text, letter for letter, is a word of its own. A tokenizer of another kind encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -116,11 +129,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         added = {t.content.encode(): (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or b" " in c or b"\n" in c for c, (_, t) in added.items()):
-            raise ValueError("added tokens must be matched as they stand, without blanks")
+        self.whole = not cuts_between_words(path) or any(t.normalized or t.lstrip or t.rstrip or t.single_word or b" " in c or b"\n" in c for c, (_, t) in added.items())
+        self.tokenizer.encode_special_tokens = not self.whole
         self.added = {c: i for c, (i, _) in added.items()}
         self.literal = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
 
@@ -131,22 +143,26 @@ class Words:
             return []
         return [(*m.span(), self.added[m[0]]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.literal.finditer(raw, a, b)]
 
-    def ids(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """Ids of distinct words, known by their 64-bit hash."""
-        keys = hashes.tolist()
-        found = [self.known.get(k) for k in keys]
+    def made(self, texts: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = [self.known.get(w) for w in words]
         new = [i for i, x in enumerate(found) if x is None]
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
-        if new:
-            raw = data.tobytes()
-            made = self.tokenizer.encode_batch([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-            for i, e in zip(new, made, strict=True):
-                found[i] = self.known[keys[i]] = np.array(e.ids, "<u4").tobytes()
+        for i, made in zip(new, self.made([words[i] for i in new]) if new else [], strict=True):
+            found[i] = self.known[words[i]] = made
         return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
+        if self.whole:
+            raw = data.tobytes()
+            ids = self.made([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *[len(x) // 4 for x in ids]])
         low = LOWER[data]
         cut = np.zeros(len(low) + 1, bool)
         cut[1:-1] = _LETTER[low[:-1]] & _MARK[low[1:]]
@@ -158,13 +174,26 @@ class Words:
         cut[[0, -1]] = False
         starts, ends, firsts = word_spans(low, offsets, _INSIDE, np.flatnonzero(cut))
         hashes = word_hashes(low, starts, ends)
-        for a, _, i in literals:
-            hashes[np.searchsorted(starts, a)] = _ADDED + np.uint64(i)
-            self.known[int(_ADDED) + i] = np.array([i], "<u4").tobytes()
+        fixed = {int(np.searchsorted(starts, a)): i for a, _, i in literals}  # words that are added tokens
+        for w, i in fixed.items():
+            hashes[w] = _ADDED + np.uint64(i)
         which, distinct = pd.factorize(hashes)
         one = np.zeros(len(distinct), np.int64)
         one[which[::-1]] = np.arange(len(which))[::-1]
-        ids = self.ids(distinct, low, starts[one], ends[one])
+        # Words of one hash and other bytes stand for themselves.
+        same = same_bytes(low, starts, ends, starts[one][which], ends[one][which])
+        if fixed:
+            token = np.full(len(starts), -1, np.int64)
+            token[list(fixed)] = list(fixed.values())
+            same &= token == token[one][which]
+        other = np.flatnonzero(~same)
+        which[other] = len(one) + np.arange(len(other))
+        one = np.concatenate([one, other])
+        raw = low.tobytes()
+        ids = self.ids([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        for k, w in enumerate(one.tolist() if fixed else ()):
+            if w in fixed:
+                ids[k] = np.array([fixed[w]], "<u4").tobytes()
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         each = sizes[which]
@@ -172,6 +201,12 @@ class Words:
         return flat[np.repeat(begin[which] - after[:-1], each) + np.arange(after[-1])], after[firsts]
 
 
+#: The normaliser and the pieces of tokenizers that encode by words.
+_NORMALISER = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+_PIECES = [
+    ("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, None, None),
+    ("ByteLevel", None, None, None, False, False),
+]
 #: With its id, what stands for the hash of an added token.
 _ADDED = np.uint64(0xADDED70C << 32)
 _INSIDE = np.ones(256, bool)
@@ -231,7 +266,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block: in
             yield close()
 
     ordered = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    ordered = ordered.repartitionByRange(spread(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, or equal ones, may fall into several ranges.
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(spread(docs.sparkSession), "doc_id", "hash", "row")
+    ordered = ordered.sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     ordered.mapInArrow(run, "shard int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, payload binary").write.parquet(path)
 
 

@@ -41,3 +41,33 @@ def test_added_tokens_outlive_the_memo(monkeypatch):
         raw = (text or "").encode()
         ids, _ = words.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfile, "word_hashes", lambda data, starts, ends: np.uint64(7) * (ends - starts > 2).astype(np.uint64))
+    words, plain = tokenfile.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for text in [*TEXTS, "ab ba ab cab bac cab abc a b", "x" * 300 + " " + "x" * 299 + "y " + "x" * 300]:
+        raw = (text or "").encode()
+        ids, _ = words.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    top = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    top["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(top), encoding="utf-8")
+    words, plain = tokenfile.Words(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    assert words.whole
+    texts = ["Big and SMALL", "", *[t or "" for t in TEXTS]]
+    raw = [t.encode() for t in texts]
+    ids, cuts = words.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+        assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids

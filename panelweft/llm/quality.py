@@ -5,9 +5,12 @@ capitals, holds symbols, holds digits, is short). Indicators are scaled by their
 rows get unit length, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve, fitted on a
 quarter of the sample that the descent does not see, turns margins into scores.
 
-The model is fitted on a bounded sample of the labelled rows: at most SAMPLE, by the hash of doc_id. Every row is scored on
-its whole text. Defined cases: null text is empty; of several labels of one doc_id the largest holds; null labels and labels of null doc_id
-are skipped; with labels of one class only, or none, every score is the smoothed share of label 1.
+The model is fitted on a bounded sample of the labelled rows: at most SAMPLE, by the hash of doc_id, and of those as many, in the same
+order, as have FEATURES features together. Every row is scored on its whole text.
+
+Defined cases: null text is empty; of several labels of one doc_id the largest holds; of several texts the least;
+null labels and labels of null doc_id are skipped; with labels of one class only, or none, every score is the smoothed share of label
+1; rows of equal doc_id are scored each; an empty table has no rows; other columns play no part; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, only, steps, word_hashes, word_spans
+from .common import LOWER, SOLID, only, steps, word_hashes, word_spans, written
 from .language import held_out
 
-#: Most labelled rows that the model is fitted on; feature hash size; passes of the descent; hinge cost; share of the ratios.
-SAMPLE, DIMS, PASSES, COST, BETA = 4000, 1 << 16, 12, 1.0, 0.5
+#: Most labelled rows, and most features of all of them, that the model is fitted on (4 bytes each pass through the driver).
+SAMPLE, FEATURES = 4000, 25_000_000
+#: Feature hash size; passes of the descent; hinge cost; share of the ratios.
+DIMS, PASSES, COST, BETA = 1 << 16, 12, 1.0, 0.5
 THRESHOLD = 0.7
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("features", pa.list_(pa.int32()))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -105,12 +110,13 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(t[0]), float(t[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int = PASSES, cost: float = COST, beta: float = BETA) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_limit: int = FEATURES, passes: int = PASSES, cost: float = COST, beta: float = BETA) -> dict:
     """The model from labels (doc_id, quality) of rows outside the held-out quarter."""
     known = only(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows: fit to broadcast
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int =
                 own = [r.astype(np.int32) for r in _rows(data, offsets)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), batch.column(2)[a:b].cast(pa.int32()), pa.array(own, pa.list_(pa.int32()))], schema=_FEATURES)
 
-    # Repeated rows of one doc_id would pass the bound: one row of each is kept, before the limit that makes the bound hold.
-    got = rows.mapInArrow(features, "doc_id bigint, y int, features array<int>").groupBy("doc_id").agg(F.min(F.struct("y", "features")).alias("x"))
-    got = got.select("doc_id", "x.y", "x.features").orderBy("doc_id").limit(sample).toArrow()
+    got = written(rows.mapInArrow(features, "doc_id bigint, y int, features array<int>"), "quality-features")
+    sizes = got.select("doc_id", F.size("features").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    within = [r[0] for r, total in zip(sizes, np.cumsum([r[1] for r in sizes]), strict=True) if total <= features_limit]
+    got = got.where(F.col("doc_id").isin(within)).orderBy("doc_id").limit(sample).toArrow()
     y = np.where(got.column(1).to_numpy() > 0, 1.0, -1.0) if got.num_rows else np.zeros(0)
     size = DIMS + (1 << 15)
     prior = float(((y > 0).sum() + 1) / (len(y) + 2))

@@ -48,8 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of ids or keys (up to some 50 bytes each) that a join may broadcast.
-SMALL = 500_000
+#: Rows of ids or keys (up to some 50 bytes each) that a join may broadcast, and bitmaps of row numbers (4 kB each, 32,768 rows).
+SMALL, BITMAPS = 100_000, 4096
 
 
 def small(keys: DataFrame, limit: int = SMALL) -> DataFrame:
@@ -57,6 +57,21 @@ def small(keys: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def _bit(bits: str, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def numbered(df: DataFrame, column: str, numbers: DataFrame, limit: int = BITMAPS) -> DataFrame:
+    """The rows of df whose number is among numbers (one column of the same name): by bitmaps, a bit a row, if few enough to be broadcast, else by a join."""
+    bucket = F.bitmap_bucket_number(column)
+    bitmaps = written(numbers.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("_bitmap")), "row-bitmaps")
+    if bitmaps.count() > limit:
+        return df.join(numbers, column, "left_semi")
+    joined = df.join(F.broadcast(bitmaps), bucket == F.col("_bucket"))
+    return joined.where(_bit("_bitmap", F.bitmap_bit_position(column))).select(*df.columns)
+
+
 #: Bits of a bitmap of keys (2 MB, whatever the number of keys).
 BITMAP = 1 << 24
 
@@ -73,11 +88,8 @@ def marked(df: DataFrame, key: str, keys: DataFrame, bits: int = BITMAP) -> Data
     """
     slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     bitmap = keys.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bitmap"))
-    place = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("_bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1))
     joined = df.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot) == F.col("_bucket"), "left")
-    return joined.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bitmap")
+    return joined.withColumn("_maybe", _bit("_bitmap", F.bitmap_bit_position(slot))).drop("_bucket", "_bitmap")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

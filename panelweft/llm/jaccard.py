@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, marked, mix, only, row_key, small, spread, steps, without, word_hashes, word_spans, written
+from .common import LOWER, SOLID, marked, mix, numbered, only, row_key, small, spread, steps, without, word_hashes, word_spans, written
 
 #: Words in a shingle, likeness in hundredths, shingles in the sets of one trie (a longer set has a trie of its own).
 SHINGLE, LIKE, BLOCK = 3, 90, 50_000
@@ -317,7 +317,7 @@ def _components(docs: DataFrame, like: int, size: int, block: int, few: int) ->
     # A class is named by the first of its rows.
     named = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least"))
     named = written(named, "jaccard-classes")
-    classes = rows.join(small(named.select(F.col("cls").alias("row"))), "row", "left_semi").select(F.col("row").alias("cls"), "key", "n", "bits", "head")
+    classes = numbered(rows, "row", named.select(F.col("cls").alias("row"))).select(F.col("row").alias("cls"), "key", "n", "bits", "head")
     classes = written(classes, "jaccard-heads")
     sizes = classes.select("cls", "n")
 

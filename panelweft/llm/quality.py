@@ -134,13 +134,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_limit
     if not (y > 0).any() or not (y < 0).any():
         return {"prior": prior}
     lists = got.column(2).combine_chunks()
-    values, cuts = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+    values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
     x = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     apart = np.arange(len(y)) % 4 == 3
     if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
         apart = np.zeros(len(y), bool)
     learn = np.flatnonzero(~apart)
-    counts = {s: 1 + np.bincount(np.concatenate([x[i] for i in learn if y[i] == s]), minlength=size) for s in (1.0, -1.0)}
+    counts = {s: np.ones(size, np.int64) for s in (1.0, -1.0)}
+    for i in learn:
+        counts[y[i]][x[i]] += 1  # a row's features are distinct
     ratios = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     w = _descent([x[i] for i in learn], y[learn], ratios, passes, cost)
     w[:-1] = (1 - beta) * np.abs(w[:-1]).mean() + beta * w[:-1] if beta < 1 else w[:-1]

@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: dict, gap: float = GAP) -> DataFrame:
                     best, score, close = np.where(known & (len(langs) == 1), 0, len(langs)), (known & (len(langs) == 1)).astype(float), np.zeros(b - a, bool)
                 else:
                     margins = np.tanh(8 * _margins(data, offsets, weights))
-                    loss = np.exp(-margins) @ (trust * (code > 0)).T + np.exp(margins) @ (trust * (code < 0)).T
+                    loss = np.round(np.exp(-margins) @ (trust * (code > 0)).T + np.exp(margins) @ (trust * (code < 0)).T, 12)
                     two = np.partition(loss, 1, 1)[:, :2]
                     share = loss**-4.0
                     best = np.where(known, loss.argmin(1), len(langs))

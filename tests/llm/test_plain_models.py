@@ -147,7 +147,7 @@ def plain_language(rows):
             out.append(("und", 0.0, False))
             continue
         m = [math.tanh(8 * x) for x in margins(r[1])]
-        loss = [sum(trust[i, b] * math.exp(-code[i, b] * m[b]) for b in range(len(m))) for i in range(len(langs))]
+        loss = [round(float(sum(trust[i, b] * math.exp(-code[i, b] * m[b]) for b in range(len(m)))), 12) for i in range(len(langs))]
         share = [x**-4 for x in loss]
         one, two = sorted(loss)[:2]
         out.append((langs[loss.index(one)], max(share) / sum(share), two - one < language.GAP * one))

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns the columns of documents,
 the last one the token ids. Every stage's rows are written and read again.
+
+Defined cases, for every stage: null text counts as empty (and stays null); a null doc_id is a row of its own, never a near copy; rows of
+equal doc_id are judged by their own text, equal rows alike; texts may be of any length; further columns are kept, whatever their
+names; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -69,10 +69,10 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
 
 def _probe(data, offsets, wanted: np.ndarray, sizes: list[int]):
-    """Words of the texts and the places where a wanted shingle starts: text, word, size, hash."""
+    """Words of the texts and the places where a wanted shingle starts: text, word, words in it, hash."""
     low, starts, ends, firsts, hashes = _words(data, offsets)
     none = np.zeros(0, np.int64)
-    texts, places, found = [none], [none], [none.astype(np.uint64)]
+    texts, places, widths, found = [none], [none], [none], [none.astype(np.uint64)]
     for size in sizes:
         all_ = _shingles(hashes, size)
         at = np.searchsorted(wanted, all_)
@@ -82,8 +82,9 @@ def _probe(data, offsets, wanted: np.ndarray, sizes: list[int]):
         whole = hit + size <= firsts[text + 1]
         texts.append(text[whole])
         places.append(hit[whole])
+        widths.append(np.full(int(whole.sum()), size))
         found.append(all_[hit[whole]])
-    return low, starts, ends, firsts, np.concatenate(texts), np.concatenate(places), np.concatenate(found)
+    return low, starts, ends, firsts, np.concatenate(texts), np.concatenate(places), np.concatenate(widths), np.concatenate(found)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_hashes: int = BLOCK_HASHES) -> DataFrame:
@@ -132,11 +133,12 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for a, b, data, offsets in steps(batch.column(1)):
-                    low, starts, ends, firsts, texts, places, found = _probe(data, offsets, wanted, sizes)
+                    low, starts, ends, firsts, texts, places, widths, found = _probe(data, offsets, wanted, sizes)
                     raw = low.tobytes()
                     rows: list[list] = [[] for _ in range(b - a)]
-                    for t, p, h in zip(texts.tolist(), places.tolist(), found.view(np.int64).tolist(), strict=True):
-                        lo, hi = max(firsts[t], p - window + 1), min(firsts[t + 1], p + window)
+                    for t, p, w, h in zip(texts.tolist(), places.tolist(), widths.tolist(), found.view(np.int64).tolist(), strict=True):
+                        # A shingle of fewer words is a whole item: nothing beside it is compared.
+                        lo, hi = (max(firsts[t], p - window + 1), min(firsts[t + 1], p + window)) if w == shingle else (p, p + w)
                         near = " ".join(raw[starts[j] : ends[j]].decode("utf-8", "replace") for j in range(lo, hi))
                         rows[t].append({"shingle": h, "pos": p - int(firsts[t]), "first": int(lo - firsts[t]), "words": near})
                     yield pa.RecordBatch.from_arrays([batch.column(2)[a:b].cast(pa.binary()), pa.array(ids[a:b], pa.int64()), pa.array(np.diff(firsts).astype(np.int64)), pa.array(rows, pa.list_(_CANDIDATE))], schema=_DOCS)

@@ -5,8 +5,10 @@ may reveal it: over all documents, a term's disclosure of an entity is their nor
 the number of documents that hold the term, the entity, and both. Terms over the first threshold are generalised, over the second
 removed, wherever they stand in any document, with or without the entity.
 
-Defined cases: null is empty and has no spans; of overlapping spans all are reported, and the sanitised text replaces their
-union by the label of the first; repeated rows get equal results; texts may be of any length; all matching is linear.
+Defined cases: null is empty and has no spans, and stays null when sanitised; of overlapping spans all are reported, and the sanitised
+text replaces their union by the label of the first; equal rows count once for each row and get equal results; rows of null or repeated
+doc_id are told apart by their text; an empty table has no rows; `sanitise` keeps other columns, whatever their names; texts may be of
+any length; all matching is linear.
 """
 
 from __future__ import annotations
@@ -175,7 +177,8 @@ def listed(spans: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of text generalised to its label or removed; n_chars, where there is one, follows the text."""
     labels = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")])
-    rows = spans(docs, **options)
+    packed = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = spans(packed, **options)
 
     def add(state: Column, s: Column) -> Column:
         text, start = F.col("_text"), F.greatest(s["start"], state["at"])
@@ -185,7 +188,14 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     rest = lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text")))
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest)
-    rows = rows.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
+    rows = rows.select("row", new.alias("text"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col("row").getField(c).alias(c)
+
+    return rows.select(*[column(c) for c in docs.columns])

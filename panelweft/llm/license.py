@@ -3,7 +3,7 @@
 Exact phrases are found as consecutive words. The fuzzy search splits every notice into one seed more than its edits
 (pigeonhole: some seed stands unedited), finds the seeds of all notices with one automaton, and lets the regex library's
 bounded-error matching verify the edits in the window around each seed and report the span of the best match there. A notice may
-have one edit in TOLERANCE characters.
+have one edit in TOLERANCE characters, and at most MOST.
 
 Defined cases: null or empty text has no words, no labels and score 0; overlapping places of phrases count each; of overlapping
 matches of one notice the one of fewest edits stays, then the leftmost, then the shortest; the score is 1 with an exact phrase, else
@@ -52,8 +52,8 @@ NOTICES = {
     "boost software license": "boost~",
     "all rights reserved": "copyright~",
 }
-#: Characters of a notice for each edit that it may have.
-TOLERANCE = 9
+#: Characters of a notice for each edit that it may have, and the most edits, as the cost of verifying triples with each.
+TOLERANCE, MOST = 9, 4
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
@@ -69,7 +69,7 @@ def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
 
 
 def edits_of(notice: str) -> int:
-    return len(notice) // TOLERANCE
+    return min(len(notice) // TOLERANCE, MOST)
 
 
 class Searcher:

@@ -189,11 +189,12 @@ def outsiders(hot: DataFrame, labels: DataFrame, like: int = LIKE) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of edges (a, b): the least id that it reaches. Labels spread and jump until none changes."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(ends.unionByName(ends.select("a", F.col("a").alias("b"))).distinct(), "links")  # with a loop at every node
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")), "labels")
     while True:
-        hop = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(hop, labels["id"] == hop["a"]).select("id", F.col("label").alias("old"), F.least("label", "m").alias("via"))
+        known = both.join(labels, both["b"] == labels["id"])
+        step = known.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("via"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         far = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
         new = step.join(far, "via").select("id", F.least("via", "far").alias("label"), (F.least("via", "far") != F.col("old")).alias("moved"))
         new = written(new, "labels")

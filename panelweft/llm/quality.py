@@ -127,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_limit
     got = written(rows.mapInArrow(features, "doc_id bigint, y int, features array<int>"), "quality-features")
     sizes = got.select("doc_id", F.size("features").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     within = [r[0] for r, total in zip(sizes, np.cumsum([r[1] for r in sizes]), strict=True) if total <= features_limit]
-    got = got.where(F.col("doc_id").isin(within)).orderBy("doc_id").limit(sample).toArrow()
+    if len(within) < len(sizes):
+        got = got.where(F.col("doc_id").isin(within))
+    got = got.toArrow().sort_by("doc_id")  # at most `sample` rows and `features_limit` features
     y = np.where(got.column(1).to_numpy() > 0, 1.0, -1.0) if got.num_rows else np.zeros(0)
     size = DIMS + (1 << 15)
     prior = float(((y > 0).sum() + 1) / (len(y) + 2))

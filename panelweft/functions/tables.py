@@ -6,13 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; only a session on one machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "panelweft-checkpoints")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a temporary one where none is set): computed once, whatever reads it."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "panelweft-checkpoints")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a table of its own: computed once, whatever reads it."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from ..functions.tables import settled
 from . import fusion
 from .guards import exclude_window, in_validation
 from .joins import calendar_targets, fold_of
@@ -195,6 +196,51 @@ def placebo_labels(labels: DataFrame, permutations: int, seed: int = 11, block:
     return rows.select("perm", "j", "regime").join(numbered.select(F.col("i").alias("j"), "date"), "j").select("perm", "date", "regime")
 
 
+def _wide(steps: DataFrame) -> DataFrame:
+    """One row per cell of steps (fold, entity, origin, h, step, channel, y, yhat): path, its steps with y and the forecasts by channel name."""
+    keys = ["fold", "entity", "origin", "h"]
+    one = steps.groupBy(*keys, "step").agg(F.first("y").alias("y"), F.array_sort(F.collect_list(F.struct("channel", "yhat"))).alias("fs"))
+    one = one.select(*keys, F.struct("step", "y", F.transform("fs", lambda x: x["yhat"]).alias("f")).alias("x"))
+    return one.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("path"))
+
+
+def _path_loss(w: str) -> Column:
+    """Mean percentage error of the fusion, two decimals and not under 0, of a path by an array of weights."""
+    fused = lambda x: F.greatest(F.round(F.aggregate(F.zip_with(x["f"], w, lambda f, v: f * v), F.lit(0.0), lambda s, v: s + v), 2), F.lit(0.0))
+    terms = F.filter(F.transform("path", lambda x: F.abs(F.try_divide(x["y"] - fused(x), x["y"]))), lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v), F.size(terms)) * 100
+
+
+def regime_placebo(steps: DataFrame, losses: DataFrame, folds: DataFrame, labels: DataFrame, horizons: list[int], regimes: list[str], least_weeks: int = 13) -> DataFrame:
+    """(perm, h, mape): the adaptive backtest under every labelling (perm, date, regime): weights, fallback, modes and fusion anew for each.
+
+    Cells are one row each with their steps inside, so a labelling costs a row per cell; weight tables are a few rows per labelling.
+    """
+    val, test = fusion.validation(losses.drop("regime"), folds), fold_of(steps.drop("fold", "regime"), folds).where("fold IS NOT NULL")
+    labels = labels.select("perm", F.col("date").alias("origin"), "regime")
+    perms = labels.select("perm").distinct()
+    key = (F.col("perm") * 1000 + F.col("fold")).cast("int")  # a fold of its own for each labelling
+    fold_w = fusion.fold_weights(val)
+    own_w = fold_w.crossJoin(F.broadcast(perms)).withColumn("fold", key)
+    relabelled = val.join(labels, "origin").withColumn("fold", key)
+    own_folds = folds.select("fold").crossJoin(F.broadcast(perms)).withColumn("fold", key)
+    grid = fusion.with_fallback(fusion.regime_weights(relabelled, own_folds, regimes, horizons), own_w, relabelled, least_weeks)
+    by_name = lambda w: F.transform(F.array_sort(F.collect_list(F.struct("channel", "w"))), lambda x: x["w"]).alias(w)
+    flat = settled(fold_w.groupBy("fold").agg(by_name("wf")), "placebo-fold-weights")
+    cells = grid.groupBy("fold", "regime", "h").agg(by_name("wr")).select(F.floor(F.col("fold") / 1000).cast("int").alias("perm"), F.pmod(F.col("fold"), F.lit(1000)).alias("fold"), "regime", "h", "wr")
+    cells = settled(cells, "placebo-weights")
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        """A row per labelling and cell, with its loss under fold and under regime weights."""
+        rows = rows.join(F.broadcast(flat), "fold").withColumn("lf", _path_loss("wf")).drop("wf")
+        return rows.join(F.broadcast(labels), "origin").join(F.broadcast(cells), ["perm", "fold", "regime", "h"]).withColumn("lr", _path_loss("wr"))
+
+    tried = weighed(_wide(in_validation(steps.drop("fold", "regime"), folds))).groupBy("perm", "fold", "h").agg(F.avg("lf").alias("f"), F.avg("lr").alias("r"))
+    modes = tried.select("perm", "fold", "h", F.coalesce(F.round("r", 9) < F.round("f", 9), F.lit(False)).alias("by_regime"))
+    scored = weighed(_wide(test)).join(F.broadcast(modes), ["perm", "fold", "h"])
+    return scored.groupBy("perm", "h").agg(F.avg(F.when(F.col("by_regime"), F.col("lr")).otherwise(F.col("lf"))).alias("mape"))
+
+
 def placebo_share(losses: DataFrame) -> DataFrame:
     """(h, true_mape, placebo_mean, share_better): how often a permuted labelling does better than the true one. losses carry perm."""
     m = losses.groupBy("h", "perm").agg(F.avg("mape").alias("m"))

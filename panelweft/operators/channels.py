@@ -5,10 +5,12 @@ series (entity, date, y, widx) without nulls; origins (entity, origin, widx). A
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linalg import dot, gram, with_coefficients
+from ..functions.linalg import dot, with_coefficients
 from .joins import active_event
 from .windows import by_date, centred_average_at, pct
 
@@ -106,6 +108,32 @@ def trend_fit(df: DataFrame, damped: bool = False) -> DataFrame:
     return best.select("entity", "origin", *[f"x.{c}" for c in keep], F.col("x.s.l").alias("level"), F.col("x.s.b").alias("trend"), "x.alpha", "x.beta", "x.phi")
 
 
+def trend_states(series: DataFrame, damped: bool = False) -> DataFrame:
+    """(entity, origin, level, trend, alpha, beta, phi) at every date: what trend_fit finds on the rows up to it.
+
+    The recursion does not depend on where it ends, so one pass over an entity's rows serves all of its origins.
+    """
+    grid = np.array([(a, b, p) for a in ALPHAS for b in BETAS for p in (PHIS if damped else (1.0,))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        ys = pdf["y"].to_numpy()
+        a, b, p = grid.T
+        level, trend, error = np.full(len(grid), ys[0]), np.full(len(grid), ys[1] - ys[0] if len(ys) > 1 else 0.0), np.zeros(len(grid))
+        out = np.empty((len(ys), 5))
+        for t, y in enumerate(ys):
+            if t:
+                guess = level + p * trend
+                e = y - guess
+                level, trend, error = guess + a * e, p * trend + a * b * e, error + e * e
+            at = int(np.argmin(np.round(error, 9)))  # the first of equal ones has the least parameters
+            out[t] = level[at], trend[at] if t else 0.0, *grid[at]
+        return pd.DataFrame({"entity": pdf["entity"].to_numpy(), "origin": pdf["date"].to_numpy()} | {c: out[:, i] for i, c in enumerate(("level", "trend", "alpha", "beta", "phi"))})
+
+    kind = series.schema["entity"].dataType.simpleString()
+    return series.select("entity", "date", "y").groupBy("entity").applyInPandas(run, f"entity {kind}, origin date, level double, trend double, alpha double, beta double, phi double")
+
+
 def _damp(phi: Column, k: Column) -> Column:
     """phi + phi^2 + ... + phi^k."""
     return F.when(phi >= 1, k.cast("double")).otherwise(phi * (1 - F.pow(phi, k)) / (1 - phi))
@@ -113,13 +141,16 @@ def _damp(phi: Column, k: Column) -> Column:
 
 def holt(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = False, rows: int | None = None) -> DataFrame:
     """Linear trend (damped on request), not under 0."""
-    fit = trend_fit(histories(series, origins, rows), damped)
+    if rows is None:
+        fit = origins.join(trend_states(series, damped), ["entity", "origin"])
+    else:
+        fit = trend_fit(histories(series, origins, rows), damped)
     return long(fit, "holt_damped" if damped else "holt", F.col("level") + F.col("trend") * _damp(F.col("phi"), F.col("step")), steps, True)
 
 
-def adjusted_histories(series: DataFrame, origins: DataFrame, smooth: int = 3, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def adjusted_histories(series: DataFrame, origins: DataFrame, smooth: int = 3, rows: int | None = None, factors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(origins with ys, each of all values up to the origin, or the last `rows`, divided by its week's factor, and factors as known at the origin)."""
-    f = seasonal_factors(series, origins, smooth)
+    f = factors if factors is not None else seasonal_factors(series, origins, smooth)
     rows_ = origins.select("entity", "origin", F.col("widx").alias("last")).join(series, "entity").where("widx <= last")
     if rows is not None:
         rows_ = rows_.where(F.col("widx") > F.col("last") - rows)
@@ -134,9 +165,9 @@ def _reseason(df: DataFrame, f: DataFrame, channel: str) -> DataFrame:
     return df.select(F.lit(channel).alias("channel"), "entity", "origin", "step", F.greatest(F.col("yhat") * F.col("factor"), F.lit(0.0)).alias("yhat"))
 
 
-def adjusted_trend(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = True, smooth: int = 3) -> DataFrame:
+def adjusted_trend(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = True, smooth: int = 3, factors: DataFrame | None = None) -> DataFrame:
     """Factor-adjusted exponential smoothing: divide by the factors, fit, multiply back."""
-    h, f = adjusted_histories(series, origins, smooth)
+    h, f = adjusted_histories(series, origins, smooth, factors=factors)
     fit = trend_fit(h, damped)
     return _reseason(long(fit, "x", F.col("level") + F.col("trend") * _damp(F.col("phi"), F.col("step")), steps), f, "fa_ets_d" if damped else "fa_ets")
 
@@ -158,11 +189,41 @@ def adjusted_theta(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP,
     return _reseason(long(best, "x", F.col("level") + drift, steps), f, "fa_theta")
 
 
+def running_gram(rows: DataFrame, origins: DataFrame, xs: list[str], y: str, known: str) -> DataFrame:
+    """gram of the rows (entity, known, xs, y) known by each origin, from running sums that serve all origins of an entity."""
+    ok = rows
+    for c in [*xs, y]:
+        ok = ok.where(F.col(c).isNotNull())
+    names = [*xs, y]
+    # Less each entity's first values, which changes no centred sum and keeps the digits.
+    first = Window.partitionBy("entity").orderBy(known, "date")
+    ok = ok.select("entity", F.col(known).alias("_at"), *[F.first(c).over(first).alias(f"_o{i}") for i, c in enumerate(names)], *[(F.col(c) - F.first(c).over(first)).alias(f"_v{i}") for i, c in enumerate(names)])
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    per = ok.groupBy("entity", "_at").agg(
+        F.count("*").alias("_n"), *[F.first(f"_o{i}").alias(f"_o{i}") for i in range(k)], *[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(k)], *[F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"_q{i}_{j}") for i, j in pairs]
+    )
+    w = Window.partitionBy("entity").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ["_n", *[f"_s{i}" for i in range(k)], *[f"_q{i}_{j}" for i, j in pairs]]
+    run = per.select("entity", "_at", *[F.sum(c).over(w).alias(c) for c in sums], *[f"_o{i}" for i in range(k)])
+    from .joins import asof_join
+
+    at = asof_join(origins.select("entity", "origin"), run, "origin", "_at", [*sums, *[f"_o{i}" for i in range(k)]], ["entity"]).where("_n > 0")
+    n = F.col("_n")
+    centred = lambda i, j: F.col(f"_q{min(i, j)}_{max(i, j)}") - F.col(f"_s{i}") * F.col(f"_s{j}") / n
+    mean = lambda i: F.col(f"_s{i}") / n + F.col(f"_o{i}")
+    p = k - 1
+    return at.select(
+        "entity", "origin", n.alias("n"), F.array(*[mean(i) for i in range(p)]).alias("mean_x"), mean(p).alias("mean_y"),
+        F.array(*[centred(i, j) for i in range(p) for j in range(p)]).alias("sxx"), F.array(*[centred(i, p) for i in range(p)]).alias("sxy"), centred(p, p).alias("syy"),
+    )
+
+
 def exogenous_modifier(panel: DataFrame, origins: DataFrame, lags: dict[str, int], ridge: float = 1.0, least: int = 10, ahead: int = 0) -> DataFrame:
     """(entity, origin, modifier): ridge of the y change on the factors at calendar lags, fitted on rows up to the origin, predicted at it.
 
     With ahead = 0 the change is week on week; with ahead = h it is the change over the next h weeks, known by the origin.
-    Sums of products are made by Spark; only a (p + 1)-sided system per (entity, origin) reaches NumPy.
+    Spark adds up running sums of products once per entity; only a (p + 1)-sided system per (entity, origin) reaches NumPy.
     """
     xs = [f"x_{f}" for f in lags]
     rows = panel
@@ -173,8 +234,7 @@ def exogenous_modifier(panel: DataFrame, origins: DataFrame, lags: dict[str, int
         rows = rows.withColumn("z", pct(F.lead("y", ahead).over(by_date()), F.col("y"))).withColumn("_known", F.date_add("date", 7 * ahead))
     else:
         rows = rows.withColumn("z", pct(F.col("y"), F.lag("y").over(by_date()))).withColumn("_known", F.col("date"))
-    fit = origins.select("entity", "origin").join(rows, "entity").where(F.col("_known") <= F.col("origin"))
-    sums = gram(fit, ["entity", "origin"], xs, "z").where(F.col("n") >= least)
+    sums = running_gram(rows, origins, xs, "z", "_known").where(F.col("n") >= least)
     coefs = with_coefficients(sums, ridge)
     at = rows.select("entity", F.col("date").alias("origin"), F.array(*xs).alias("x0"), F.col("y").alias("y0"))
     known = coefs.join(at, ["entity", "origin"]).where(~F.exists("x0", lambda v: v.isNull()))
@@ -203,21 +263,33 @@ def mean_level(series: DataFrame, origins: DataFrame) -> DataFrame:
 def structural_level(series: DataFrame, origins: DataFrame, static: DataFrame, features: list[str], ridge: float = 1.0, leave_out: bool = False) -> DataFrame:
     """(entity, origin, level): mean level predicted from static features, standardised over entities; needs three entities.
 
-    With leave_out an entity is not among the rows that its own prediction is fitted on.
+    With leave_out an entity is not among the rows that its own prediction is fitted on: its part is taken off the sums of all.
     """
     rows = mean_level(series, origins).join(static.select("entity", *features), "entity")
-    if leave_out:
-        out = rows.select(F.col("entity").alias("target"), "origin")
-        fit = rows.join(out, "origin").where("entity <> target")
-    else:
-        fit = rows.withColumn("target", F.lit("all"))
-    w = Window.partitionBy("origin", "target")
-    scaled = fit.select("origin", "target", "level", *[F.coalesce(F.try_divide(F.col(f) - F.avg(f).over(w), F.stddev_pop(f).over(w)), F.lit(0.0)).alias(f) for f in features], *[F.avg(f).over(w).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).over(w).alias(f"s_{f}") for f in features])
-    scale = scaled.groupBy("origin", "target").agg(*[F.first(f"m_{f}").alias(f"m_{f}") for f in features], *[F.first(f"s_{f}").alias(f"s_{f}") for f in features])
-    coefs = with_coefficients(gram(scaled, ["origin", "target"], features, "level").where("n >= 3"), ridge).join(scale, ["origin", "target"])
-    asked = rows.withColumn("target", F.col("entity") if leave_out else F.lit("all")).drop("level")
-    at = F.array(*[F.coalesce(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")), F.lit(0.0)) for f in features])
-    return asked.join(coefs, ["origin", "target"]).select("entity", "origin", (F.col("intercept") + dot(F.col("coef"), at)).alias("level"))
+    for f in features:
+        rows = rows.where(F.col(f).isNotNull())
+    names = [*features, "level"]
+    k, p = len(names), len(features)
+    w = Window.partitionBy("origin")
+    # Less the mean over all entities, which changes no centred sum and keeps the digits.
+    mid = {c: F.avg(c).over(w) for c in names}
+    rows = rows.select("entity", "origin", *features, *[mid[c].alias(f"_o{i}") for i, c in enumerate(names)], *[(F.col(c) - mid[c]).alias(f"_v{i}") for i, c in enumerate(names)])
+    own = F.lit(1 if leave_out else 0)
+    less = lambda e: F.sum(e).over(w) - own * e
+    sums = rows.select("entity", "origin", *features, *[f"_o{i}" for i in range(k)], (F.count("*").over(w) - own).alias("n"), *[less(F.col(f"_v{i}")).alias(f"_s{i}") for i in range(k)], *[less(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"_q{i}_{j}") for i in range(k) for j in range(i, k)])
+    sums = sums.where("n >= 3")
+    n = F.col("n")
+    centred = lambda i, j: F.col(f"_q{min(i, j)}_{max(i, j)}") - F.col(f"_s{i}") * F.col(f"_s{j}") / n
+    mean = lambda i: F.col(f"_s{i}") / n + F.col(f"_o{i}")
+    sd = [F.sqrt(F.greatest(centred(i, i) / n, F.lit(0.0))) for i in range(p)]
+    flat = [s <= 1e-12 * (1 + F.abs(mean(i))) for i, s in enumerate(sd)]  # a feature that does not vary has no part
+    scaled = lambda i, e: F.when(flat[i], 0.0).otherwise(e / sd[i])
+    table = sums.select(
+        "entity", "origin", "n", F.array(*[F.lit(0.0) for _ in features]).alias("mean_x"), mean(p).alias("mean_y"),
+        F.array(*[F.when(flat[i] | flat[j], 0.0).otherwise(centred(i, j) / sd[i] / sd[j]) for i in range(p) for j in range(p)]).alias("sxx"), F.array(*[scaled(i, centred(i, p)) for i in range(p)]).alias("sxy"),
+        F.array(*[scaled(i, F.col(f) - mean(i)) for i, f in enumerate(features)]).alias("_x0"),
+    )
+    return with_coefficients(table, ridge).select("entity", "origin", (F.col("intercept") + dot(F.col("coef"), F.col("_x0"))).alias("level"))
 
 
 def reversion(series: DataFrame, origins: DataFrame, levels: DataFrame, horizons: list[int], rho: float = 0.3, channel: str = "reversion") -> DataFrame:
@@ -305,7 +377,7 @@ def with_spillover(forecasts: DataFrame, signals: DataFrame, h: int, strength: f
 
 def slope_disagreement(series: DataFrame, origins: DataFrame, rows: int = 13) -> DataFrame:
     """Per entity: origins, and those whose fitted trend and whose move over the next rows have other signs."""
-    fit = trend_fit(histories(series, origins))
+    fit = origins.join(trend_states(series), ["entity", "origin"])
     ahead = series.select("entity", F.col("date").alias("origin"), (F.lead("y", rows).over(by_date()) - F.col("y")).alias("move"))
     both = fit.join(ahead, ["entity", "origin"]).where("move IS NOT NULL")
     return both.groupBy("entity").agg(F.count("*").alias("n"), F.sum(F.when(F.signum("trend") * F.signum("move") < 0, 1).otherwise(0)).alias("n_disagree"))

@@ -5,8 +5,6 @@ Weight tables are long: (fold, [regime], h, channel, w). Weight and fold tables
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,16 +224,11 @@ def fixed_weights(steps: DataFrame, weights: dict[str, float]) -> DataFrame:
     return steps.join(F.broadcast(table), "channel")
 
 
-def final_system(val_losses: DataFrame, val_steps: DataFrame, test_steps: DataFrame, members: dict[int, list[str]], temperature: float = TEMPERATURE, reference: str = "naive") -> DataFrame:
-    """Losses of the assembled system: members of each horizon, fold weights of those members, fused on the test cells."""
-    parts = []
-    for h, channels in members.items():
-        # The reference channel is scored against but gets no weight unless it is a member.
-        own = val_losses.where((F.col("h") == h) & F.col("channel").isin([*channels, reference]))
-        skills = median_skill(own, ["fold"], reference).where(F.col("channel").isin(channels))
-        w = softmax(skills, ["fold"], temperature)
-        steps = test_steps.where((F.col("h") == h) & F.col("channel").isin(channels)).join(w.select("fold", "channel", "w"), ["fold", "channel"])
-        parts.append(fused_losses(steps, ["fold", "regime"]))
-    return reduce(DataFrame.unionByName, parts)
-
+def final_system(val_losses: DataFrame, test_steps: DataFrame, members: DataFrame, temperature: float = TEMPERATURE, reference: str = "naive") -> DataFrame:
+    """Losses of the assembled system: weights of each fold's and horizon's members (fold, h, channel), fused on the test cells.
 
+    Members are scored against the reference channel, which gets no weight unless it is a member.
+    """
+    skills = median_skill(val_losses, ["fold", "h"], reference).join(F.broadcast(members), ["fold", "h", "channel"], "left_semi")
+    w = softmax(skills, ["fold", "h"], temperature)
+    return fused_losses(test_steps.join(w.select("fold", "h", "channel", "w"), ["fold", "h", "channel"]), ["fold", "regime"])

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list[str], by: list[str] | None = None) -> DataFrame:
     """left with the values of the latest right row whose right_on is at or before on; null where there is none.
 
-    One union and one window by key: no inequality join, so the work is linear. Without `by` the right side holds for all left rows
-    and the left keys are matched once per distinct date.
+    One union and one window by key: no inequality join, so the work is linear. Without `by` the right side holds for all left rows and
+    the left keys are matched once per distinct date, within spans of time; each span hands its last value on to the next one.
     """
     by = by or []
     keys = left.select(*by, on).distinct()
     side = [F.col(c).alias(f"_r_{c}") for c in values]
     marks = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.struct(*side).alias("_value"))
     asks = keys.select(*by, F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_value"].dataType).alias("_value"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_at", "_side", F.col("_value")).rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(asks).withColumn("_value", F.last("_value", True).over(w)).where("_side = 1")
+    rows = marks.unionByName(asks)
+    order = [F.col("_at"), F.col("_side"), F.col("_value")]
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = rows.withColumn("_value", F.last("_value", True).over(w)).where("_side = 1")
+    else:
+        rows = rows.withColumn("_span", _span(rows, "_at"))
+        ends = rows.where("_side = 0").groupBy("_span").agg(F.max(F.struct("_at", "_value")).alias("_last"))
+        # A row per span of time: the last value of all spans before.
+        before = F.last("_last._value", True).over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+        carried = rows.select("_span").distinct().join(ends, "_span", "left").select("_span", before.alias("_before"))
+        w = Window.partitionBy("_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = rows.withColumn("_value", F.last("_value", True).over(w)).where("_side = 1").join(carried, "_span", "left")
+        found = found.withColumn("_value", F.coalesce("_value", "_before"))
     found = found.select(*by, F.col("_at").alias(on), *[F.col(f"_value._r_{c}").alias(c) for c in values])
     return left.join(found, [*by, on], "left")
 
 
+def _span(df: DataFrame, column: str) -> Column:
+    """The month of a date, the day of a time, the hundred thousands of a number."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "date":
+        return F.trunc(column, "month")
+    if kind.startswith("timestamp"):
+        return F.date_trunc("day", F.col(column))
+    return F.floor(F.col(column) / 100_000)
+
+
 def ffill_log(df: DataFrame, column: str = "y", by: str = "entity", order: str = "date") -> tuple[DataFrame, DataFrame]:
     """(filled, log): gaps take the last value of the same entity, leading gaps stay null; the log holds every filled row."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

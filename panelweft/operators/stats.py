@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from ..functions.linalg import f_tail, gram, solve, t_pvalue, with_coefficients
+from ..functions.linalg import dot, f_tail, gram, solve, t_pvalue, with_coefficients
+from ..functions.tables import settled
 from .windows import by_date, strip_common
 
 
@@ -54,20 +55,41 @@ def entity_dm(losses: DataFrame, a: str, b: str, q: float = 0.05) -> DataFrame:
     return flagged.groupBy("h").agg(F.count("*").alias("n_entities"), count(F.col("reject") & (F.col("mean") < 0)).alias("a_better"), count(F.col("reject") & (F.col("mean") > 0)).alias("b_better"))
 
 
+def ranked(df: DataFrame, by: list[str], p: str = "p_value", parts: int = 32) -> DataFrame:
+    """df with _r, the rank of p within its group (nulls last), and _m, the group's number of p values.
+
+    Without a group the rows are dealt over ranges of p, so that no task sees them all; only range counts meet.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        return df.withColumn("_r", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))).withColumn("_m", F.count(p).over(w))
+    splits = sorted({float(x) for x in df.where(F.col(p).isNotNull()).approxQuantile(p, [i / parts for i in range(1, parts)], 0.5 / parts)})
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in splits]), lambda x: x < F.col(p))) if splits else F.lit(0)
+    dealt = df.withColumn("_part", F.when(F.col(p).isNull(), F.lit(len(splits) + 1)).otherwise(part))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.count(p).alias("_k"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(every).alias("_m"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(p).asc_nulls_last()))
+    return dealt.withColumn("_i", inside).join(F.broadcast(counts), "_part").withColumn("_r", F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
+
+
 def benjamini_hochberg(df: DataFrame, by: list[str], q: float = 0.05, p: str = "p_value") -> DataFrame:
     """df with reject: the step-up procedure within each group."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))).withColumn("_m", F.count(p).over(w))
-    last = F.max(F.when(F.col(p) <= q * F.col("_r") / F.col("_m"), F.col("_r"))).over(w)
-    return ranked.withColumn("reject", F.coalesce(F.col("_r") <= last, F.lit(False)) & F.col(p).isNotNull()).drop("_r", "_m")
+    rows = ranked(df, by, p)
+    good = F.when(F.col(p) <= q * F.col("_r") / F.col("_m"), F.col("_r"))
+    if by:
+        rows = rows.withColumn("_last", F.max(good).over(Window.partitionBy(*by)))
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.max(good).alias("_last"))))
+    return rows.withColumn("reject", F.coalesce(F.col("_r") <= F.col("_last"), F.lit(False)) & F.col(p).isNotNull()).drop("_r", "_m", "_last")
 
 
 def holm(df: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
-    """df with p_holm: step-down adjusted p values within each group."""
+    """df with p_holm: step-down adjusted p values within each group (all rows one group, if by is empty: a few hypotheses)."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))).withColumn("_m", F.count(p).over(w))
     raised = F.least((F.col("_m") - F.col("_r") + 1) * F.col(p), F.lit(1.0))
-    return ranked.withColumn("_a", raised).withColumn("p_holm", F.max("_a").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_a")
+    return ranked(df, by, p).withColumn("_a", raised).withColumn("p_holm", F.max("_a").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_a")
 
 
 def block_bootstrap(weekly: DataFrame, by: list[str], value: str, replicates: int = 200, block: int = 13, seed: int = 5, level: float = 0.95, order: str = "origin") -> DataFrame:
@@ -97,7 +119,8 @@ def equivalence(ci: DataFrame, reference: DataFrame, by: list[str], margin: floa
 def model_confidence_set(weekly: DataFrame, alpha: float = 0.10, replicates: int = 200, block: int = 13, seed: int = 5) -> DataFrame:
     """(h, channel, p_value, member): the set of methods that none of the others beats, by the largest standardised excess loss.
 
-    Spark makes the replicate means of each method; the elimination over the few methods runs per horizon.
+    Excess losses are scaled by their bootstrap deviation. A method whose weekly losses equal those of another (within 1e-12) stands or
+    falls with it. Spark makes the replicate means of each method; the elimination over the few methods runs per horizon.
     """
     complete = weekly.withColumn("_n", F.count("*").over(Window.partitionBy("h", "origin"))).withColumn("_m", F.size(F.collect_set("channel").over(Window.partitionBy("h"))))
     complete = complete.where("_n = _m").select("h", "origin", "channel", "mape")
@@ -109,15 +132,18 @@ def model_confidence_set(weekly: DataFrame, alpha: float = 0.10, replicates: int
     plan = plan.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("k") < F.col("n")).withColumn("i", start + F.col("k"))
     means = plan.select("h", "rep", "i").join(rows.select("h", "channel", "i", "mape"), ["h", "i"]).groupBy("h", "channel", "rep").agg(F.avg("mape").alias("m"))
     plain = rows.groupBy("h", "channel").agg(F.avg("mape").alias("m")).withColumn("rep", F.lit(-1))
+    other = rows.select("h", "i", F.col("channel").alias("twin"), F.col("mape").alias("_o"))
+    apart = rows.join(other, ["h", "i"]).where("twin < channel").groupBy("h", "channel", "twin").agg(F.max(F.abs(F.col("mape") - F.col("_o"))).alias("d"))
+    twins = apart.where("d <= 1e-12").groupBy("h", "channel").agg(F.min("twin").alias("twin"))
 
     def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="channel", columns="rep", values="m").sort_index()
+        twin = dict(pdf[["channel", "twin"]].dropna().drop_duplicates().itertuples(index=False))
+        table = pdf[pdf["twin"].isna()].pivot(index="channel", columns="rep", values="m").sort_index()
         names, mean, boot = list(table.index), table[-1].to_numpy(), table.drop(columns=-1).to_numpy()
         alive, p, out = list(range(len(names))), 0.0, {}
         while len(alive) > 1:
             centre, cb = mean[alive] - mean[alive].mean(), boot[alive] - boot[alive].mean(0)
-            dev = cb - centre[:, None]
-            sd = np.sqrt((dev**2).mean(1))
+            dev, sd = cb - centre[:, None], cb.std(1, ddof=1)
             t = np.where(sd > 1e-12, centre / np.maximum(sd, 1e-12), 0.0)
             null = np.where(sd[:, None] > 1e-12, dev / np.maximum(sd, 1e-12)[:, None], 0.0).max(0)
             p = max(p, float((null >= t.max()).mean()))
@@ -126,9 +152,12 @@ def model_confidence_set(weekly: DataFrame, alpha: float = 0.10, replicates: int
             alive.remove(worst)
         for i in alive:
             out[i] = 1.0
-        return pd.DataFrame({"h": pdf["h"].iloc[0], "channel": names, "p_value": [out[i] for i in range(len(names))], "member": [out[i] >= alpha for i in range(len(names))]})
+        found = dict(zip(names, (out[i] for i in range(len(names))), strict=True))
+        found |= {c: found[k] for c, k in twin.items()}
+        return pd.DataFrame({"h": pdf["h"].iloc[0], "channel": list(found), "p_value": list(found.values()), "member": [v >= alpha for v in found.values()]})
 
-    return means.unionByName(plain.select(*means.columns)).groupBy("h").applyInPandas(eliminate, "h int, channel string, p_value double, member boolean")
+    every = means.unionByName(plain.select(*means.columns)).join(F.broadcast(twins), ["h", "channel"], "left")  # a row per method
+    return every.groupBy("h").applyInPandas(eliminate, "h int, channel string, p_value double, member boolean")
 
 
 def pair_bundle(losses: DataFrame, pairs: list[tuple[str, str]], replicates: int = 200) -> DataFrame:
@@ -198,13 +227,34 @@ def factor_scores(correlations: DataFrame, tests: DataFrame) -> DataFrame:
     return correlations.join(tests.select(F.col("source").alias("factor"), F.col("target").alias("entity"), "p_value", "best_lag"), ["entity", "factor"])
 
 
-def within(df: DataFrame, columns: list[str], effects: list[list[str]], rounds: int = 12) -> DataFrame:
-    """columns less the means of every effect, swept in turn until they settle (balanced panels need one round)."""
-    for _ in range(rounds if len(effects) > 1 else 1):
+def within(df: DataFrame, columns: list[str], effects: list[list[str]], tolerance: float = 1e-11, rounds: int = 200) -> DataFrame:
+    """columns less the means of every effect.
+
+    Several effects are swept in turn over the sums of their cells (one row for each combination of effects, not for each row of df),
+    until a round moves no mean by more than tolerance times the largest value.
+    """
+    others = [c for c in df.columns if c not in columns]
+    if len(effects) == 1:
+        w = Window.partitionBy(*effects[0])
+        return df.select(*others, *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in columns])
+    keys = list(dict.fromkeys(c for e in effects for c in e))
+    cells = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in columns])
+    cells = settled(cells.select("*", *[F.lit(0.0).alias(f"_o_{c}") for c in columns]), "cells-of-effects")
+    scale = cells.agg(*[F.max(F.abs(F.col(f"_s_{c}") / F.col("_n"))).alias(c) for c in columns]).first()
+    limit = tolerance * max([1e-300, *(abs(x) for x in scale if x is not None)])
+    for _ in range(rounds):
+        swept = cells.select("*", *[F.col(f"_o_{c}").alias(f"_b_{c}") for c in columns])
         for e in effects:
             w = Window.partitionBy(*e)
-            df = df.select(*[c for c in df.columns if c not in columns], *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in columns])
-    return df
+            left = lambda c, w=w: F.sum(F.col(f"_s_{c}") - F.col("_n") * F.col(f"_o_{c}")).over(w) / F.sum("_n").over(w)
+            swept = swept.withColumns({f"_o_{c}": F.col(f"_o_{c}") + left(c) for c in columns})
+        swept = settled(swept, "cells-of-effects")
+        moved = swept.agg(*[F.max(F.abs(F.col(f"_o_{c}") - F.col(f"_b_{c}"))).alias(c) for c in columns]).first()
+        cells = swept.drop(*[f"_b_{c}" for c in columns])
+        if max(x or 0.0 for x in moved) <= limit:
+            break
+    offsets = cells.select(*keys, *[f"_o_{c}" for c in columns])
+    return df.join(offsets, keys).select(*others, *[(F.col(c) - F.col(f"_o_{c}")).alias(c) for c in columns])
 
 
 def _sandwich(meat_groups: DataFrame, by: list[str], fit: DataFrame, p: int, factor: Column) -> DataFrame:
@@ -221,17 +271,17 @@ def _sandwich(meat_groups: DataFrame, by: list[str], fit: DataFrame, p: int, fac
     return fit.join(meat, by).withColumn("se", errors("sxx", "meat", factor))
 
 
-def panel_regression(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None, effects: list[list[str]] | None = None, cluster: str = "entity", rounds: int = 12) -> DataFrame:
+def panel_regression(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None, effects: list[list[str]] | None = None, cluster: str = "entity") -> DataFrame:
     """(by, term, coef, se, t, p_value, n): within regression with entity and quarter effects, errors clustered.
 
-    Effects are swept by window means; Spark sums the Gram matrix and each cluster's scores, NumPy inverts a p-sided matrix.
+    Effects are swept over sums of cells; Spark sums the Gram matrix and each cluster's scores, NumPy inverts a p-sided matrix.
     """
     by = by or []
     group = by or ["_all"]
     df = df.withColumn("_all", F.lit(1))
     effects = effects or [["entity"], ["period"]]
     rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *xs])).select(*dict.fromkeys([*group, cluster, "date", *[c for e in effects for c in e]]), y, *xs)
-    swept = within(rows, [y, *xs], [[*group, *e] for e in effects], rounds)
+    swept = within(rows, [y, *xs], [[*group, *e] for e in effects])
     fit = with_coefficients(gram(swept, group, xs, y))
     p = len(xs)
     resid = swept.join(F.broadcast(fit.select(*group, "coef")), group)
@@ -244,30 +294,45 @@ def panel_regression(df: DataFrame, y: str, xs: list[str], by: list[str] | None
     return out.withColumn("p_value", t_pvalue(F.col("t"), (F.col("n_groups") - 1).cast("double"))).select(*by, "term", "coef", "se", "t", "p_value", "n")
 
 
-def driscoll_kraay(df: DataFrame, y: str, xs: list[str], lag: int = 4, effects: list[list[str]] | None = None) -> DataFrame:
-    """(term, coef, se, t, n): the same fit with a Bartlett kernel over dates: per-date score sums and an equi-join per lag."""
+def kernel_fit(df: DataFrame, y: str, xs: list[str], lag: int = 4, effects: list[list[str]] | None = None) -> DataFrame:
+    """One row (n, coef, cov): the within fit and its Bartlett kernel covariance over dates, by per-date score sums and an equi-join per lag."""
     effects = effects or [["entity"]]
     rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *xs])).withColumn("_all", F.lit(1))
     swept = within(rows.select("_all", "date", *dict.fromkeys(c for e in effects for c in e), y, *xs), [y, *xs], effects)
     fit = with_coefficients(gram(swept, ["_all"], xs, y))
     e = F.col(y) - sum((F.get("coef", F.lit(i)) * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     per = swept.join(F.broadcast(fit.select("_all", "coef")), "_all").withColumn("_e", e).groupBy("_all", "date").agg(F.array(*[F.sum(F.col("_e") * F.col(x)) for x in xs]).alias("s"))
-    per = per.withColumn("i", F.row_number().over(Window.partitionBy("_all").orderBy("date")))
+    per = per.withColumn("i", F.row_number().over(Window.partitionBy("_all").orderBy("date")))  # a row per date
     left = per.select("_all", "i", "s", F.explode(F.sequence(F.lit(0), F.lit(lag))).alias("j")).withColumn("k", F.col("i") - F.col("j"))
     pairs = left.join(per.select("_all", F.col("i").alias("k"), F.col("s").alias("q")), ["_all", "k"])
     p = len(xs)
     w = F.when(F.col("j") == 0, 0.5).otherwise(1 - F.col("j") / F.lit(lag + 1.0))
-    cross = lambda a, i, b, j: F.get(a, F.lit(i)) * F.get(b, F.lit(j))
-    meat = pairs.groupBy("_all").agg(F.array(*[F.sum(w * (cross("s", i, "q", j) + cross("s", j, "q", i))) for i in range(p) for j in range(p)]).alias("meat"))
+    # Weighted products of the two score vectors, row by row, summed element by element; the transpose is added at the end.
+    products = F.flatten(F.transform("s", lambda u: F.transform("q", lambda v: u * v)))
+    long = pairs.select("_all", F.posexplode(F.transform(products, lambda v: v * w)).alias("at", "v")).groupBy("_all", "at").agg(F.sum("v").alias("v"))
+    meat = long.groupBy("_all").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m")).select("_all", F.transform("m", lambda x: x["v"]).alias("meat"))
 
     @F.pandas_udf("array<double>")
-    def errors(sxx: pd.Series, meat: pd.Series) -> pd.Series:
-        inv = [np.linalg.pinv(np.asarray(a, float).reshape(p, p)) for a in sxx]
-        return pd.Series([np.sqrt(np.maximum(np.diag(v @ np.asarray(m, float).reshape(p, p) @ v), 0)).tolist() for v, m in zip(inv, meat, strict=True)], dtype=object)
+    def covariance(sxx: pd.Series, meat: pd.Series) -> pd.Series:
+        out = []
+        for a, m in zip(sxx, meat, strict=True):
+            inv, half = np.linalg.pinv(np.asarray(a, float).reshape(p, p)), np.asarray(m, float).reshape(p, p)
+            out.append((inv @ (half + half.T) @ inv).ravel().tolist())
+        return pd.Series(out, dtype=object)
+
+    return fit.join(meat, "_all").select("n", "coef", covariance("sxx", "meat").alias("cov"))
 
-    out = fit.join(meat, "_all").withColumn("se", errors("sxx", "meat"))
-    terms = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.get("coef", F.lit(i)).alias("coef"), F.get("se", F.lit(i)).alias("se")) for i, x in enumerate(xs)])).alias("x")
-    return out.select("n", terms).select("x.*", "n").withColumn("t", F.try_divide("coef", "se")).select("term", "coef", "se", "t", "n")
+
+def _tested(df: DataFrame) -> DataFrame:
+    return df.withColumn("t", F.try_divide("coef", "se"))
+
+
+def driscoll_kraay(df: DataFrame, y: str, xs: list[str], lag: int = 4, effects: list[list[str]] | None = None) -> DataFrame:
+    """(term, coef, se, t, n): the same fit with kernel errors."""
+    p = len(xs)
+    se = lambda i: F.sqrt(F.greatest(F.get("cov", F.lit(i * p + i)), F.lit(0.0)))
+    terms = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.get("coef", F.lit(i)).alias("coef"), se(i).alias("se")) for i, x in enumerate(xs)])).alias("x")
+    return _tested(kernel_fit(df, y, xs, lag, effects).select("n", terms).select("x.*", "n")).select("term", "coef", "se", "t", "n")
 
 
 #: The six points of the Webb distribution, squared.
@@ -277,8 +342,9 @@ WEBB = (1.5, 1.0, 0.5)
 def wild_cluster(df: DataFrame, y: str, x: str, controls: list[str], replicates: int = 199, seed: int = 23, effects: list[list[str]] | None = None) -> DataFrame:
     """(term, t, p_value, n_replicates): restricted wild cluster bootstrap of one coefficient, six-point weights.
 
-    Each cluster reaches the replicates as a few sums (its part of the Gram matrix and of the restricted fit), so a replicate costs
-    clusters x p numbers, not rows; draws come from the integer generator as (replicate, cluster) rows.
+    A cluster enters as a few sums (its part of the Gram matrix and of the restricted fit). The design does not depend on the weights, so
+    a replicate is two sums over clusters, both combined before they are shuffled; draws come from the integer generator by (replicate,
+    crc32 of the cluster's name).
     """
     xs = [x, *controls]
     p = len(xs)
@@ -291,38 +357,47 @@ def wild_cluster(df: DataFrame, y: str, x: str, controls: list[str], replicates:
     per = swept.groupBy("entity").agg(
         F.array(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs]).alias("xx"), F.array(*[F.sum(F.col(a) * F.col("_f")) for a in xs]).alias("xf"), F.array(*[F.sum(F.col(a) * F.col("_u")) for a in xs]).alias("xu")
     )
-    per = per.withColumn("c", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("entity")))
+    total = per.select(F.lit(1).alias("_all"), F.posexplode("xx").alias("at", "v")).groupBy("_all", "at").agg(F.sum("v").alias("v"))
+    total = total.groupBy("_all").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("m")).select(F.transform("m", lambda x: x["v"]).alias("sxx"))  # p x p numbers
+
+    @F.pandas_udf("array<double>")
+    def inverse(sxx: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.pinv(np.asarray(a, float).reshape(p, p)).ravel().tolist() for a in sxx], dtype=object)
+
+    per = per.crossJoin(F.broadcast(total.select(inverse("sxx").alias("inv"))))
+    row0 = F.slice("inv", 1, p)
+    # What a cluster adds to the first coefficient's score: a + w u - z b.
+    per = per.select("entity", "xf", "xu", "inv", dot(row0, F.col("xf")).alias("a"), dot(row0, F.col("xu")).alias("u"), F.array(*[dot(row0, F.array(*[F.get("xx", F.lit(i * p + j)) for i in range(p)])) for j in range(p)]).alias("z"))
     reps = df.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("rep"))
-    k = F.pmod(draw(seed, F.col("rep"), F.col("c")), F.lit(6))
+    k = F.pmod(draw(seed, F.col("rep"), F.crc32("entity")), F.lit(6))
     size = F.sqrt(F.element_at(F.array(*[F.lit(v) for v in WEBB]), (F.pmod(k, F.lit(3)) + 1).cast("int")))
     weight = F.when(F.col("rep") == 0, 1.0).otherwise(F.when(k < 3, size).otherwise(-size))
     drawn = per.crossJoin(F.broadcast(reps)).withColumn("w", weight)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        xx = np.stack([np.asarray(v, float).reshape(p, p) for v in pdf["xx"]])
-        xy = np.stack([np.asarray(f, float) + w * np.asarray(u, float) for f, u, w in zip(pdf["xf"], pdf["xu"], pdf["w"], strict=True)])
-        inv = np.linalg.pinv(xx.sum(0))
-        b = inv @ xy.sum(0)
-        s = xy - xx @ b
-        v = (inv @ (s.T @ s) @ inv)[0, 0]
-        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "t": [float(b[0] / np.sqrt(v)) if v > 0 else 0.0]})
-
-    ts = drawn.select("rep", "xx", "xf", "xu", "w").groupBy("rep").applyInPandas(fit, "rep int, t double")
+    made = drawn.groupBy("rep").agg(F.first("inv").alias("inv"), *[F.sum(F.get("xf", F.lit(i)) + F.col("w") * F.get("xu", F.lit(i))).alias(f"_y{i}") for i in range(p)])
+    xy = F.array(*[F.col(f"_y{i}") for i in range(p)])
+    made = made.select("rep", F.array(*[dot(F.slice("inv", i * p + 1, p), xy) for i in range(p)]).alias("b"))  # a row per replicate
+    score = F.col("a") + F.col("w") * F.col("u") - dot(F.col("z"), F.col("b"))
+    ts = drawn.join(F.broadcast(made), "rep").groupBy("rep").agg(F.first(F.get("b", F.lit(0))).alias("b0"), F.sum(score * score).alias("v"))
+    ts = ts.select("rep", F.when(F.col("v") > 0, F.col("b0") / F.sqrt("v")).otherwise(0.0).alias("t"))
     true = ts.where("rep = 0").select(F.col("t").alias("t0"))
-    return ts.where("rep > 0").crossJoin(F.broadcast(true)).agg(F.first("t0").alias("t"), F.avg((F.abs("t") >= F.abs("t0")).cast("double")).alias("p_value"), F.count("*").alias("n_replicates")).select(F.lit(x).alias("term"), "t", "p_value", "n_replicates")
+    # Ties with the sample's own statistic count, within the last digits.
+    return ts.where("rep > 0").crossJoin(F.broadcast(true)).agg(F.first("t0").alias("t"), F.avg((F.abs("t") >= F.abs("t0") - 1e-12).cast("double")).alias("p_value"), F.count("*").alias("n_replicates")).select(F.lit(x).alias("term"), "t", "p_value", "n_replicates")
 
 
 def distributed_lag(df: DataFrame, y: str, x: str, max_lag: int = 26, lag: int = 4, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
-    """(term, coef, se, t, n) for lags 0..max_lag of x with kernel errors."""
+    """(first_lag, last_lag, coef, se, t, n): lags 0..max_lag of x with kernel errors, and sums over ranges of lags with the errors of the sums."""
     lagged = df.select("entity", "date", y, *[F.lag(x, k).over(by_date()).alias(f"{x}_{k}") for k in range(max_lag + 1)])
-    return driscoll_kraay(lagged, y, [f"{x}_{k}" for k in range(max_lag + 1)], lag)
-
-
-def lag_sums(terms: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
-    """(first_lag, last_lag, total): sums of coefficients over ranges of lags."""
-    table = terms.sparkSession.createDataFrame(ranges, "first_lag int, last_lag int")
-    lagged = terms.withColumn("k", F.regexp_extract("term", "_([0-9]+)$", 1).cast("int"))
-    return lagged.join(F.broadcast(table), F.col("k").between(F.col("first_lag"), F.col("last_lag"))).groupBy("first_lag", "last_lag").agg(F.sum("coef").alias("total"))
+    fit = kernel_fit(lagged, y, [f"{x}_{k}" for k in range(max_lag + 1)], lag)
+    p = max_lag + 1
+    spans = [(k, k) for k in range(p)] + list(ranges or [])
+    table = df.sparkSession.createDataFrame(spans, "first_lag int, last_lag int")
+    rows = fit.crossJoin(F.broadcast(table))
+    add = lambda s, v: s + v
+    width = F.col("last_lag") - F.col("first_lag") + 1
+    coef = F.aggregate(F.slice("coef", F.col("first_lag") + 1, width), F.lit(0.0), add)
+    within_span = F.flatten(F.transform(F.sequence("first_lag", "last_lag"), lambda i: F.slice("cov", i * p + F.col("first_lag") + 1, width)))
+    var = F.aggregate(within_span, F.lit(0.0), add)
+    return _tested(rows.select("first_lag", "last_lag", coef.alias("coef"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("se"), "n")).select("first_lag", "last_lag", "coef", "se", "t", "n")
 
 
 def lag_grid(df: DataFrame, y: str, features: list[str], lags: list[int], exclude: tuple[str, str] | None = None, q: float = 0.05) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def by_date() -> WindowSpec:
     return Window.partitionBy("entity").orderBy("date")
 
@@ -107,11 +108,14 @@ def lagged_move(df: DataFrame, lag: int, span: int = 3, out: str = "recent") ->
 
 
 def strip_common(df: DataFrame) -> DataFrame:
-    """own: an index from 1 of each entity's change beyond the week's mean change over entities; missing changes count 0."""
+    """own: an index from 1, the running product of 1 + each entity's change beyond the week's mean change over entities; missing changes count 0.
+
+    A factor of 0 or less is multiplied like any other: the index stays 0, or changes its sign.
+    """
     moved = weekly_change(df)
     own = F.coalesce(F.col("change") - F.avg("change").over(Window.partitionBy("date")), F.lit(0.0))
     w = by_date().rowsBetween(Window.unboundedPreceding, 0)
-    return moved.withColumn("_own", own).withColumn("own", F.exp(F.sum(F.log(1 + F.col("_own"))).over(w))).drop("_own")
+    return moved.withColumn("_own", own).withColumn("own", F.product(1 + F.col("_own")).over(w)).drop("_own")
 
 
 def historical_bound(df: DataFrame) -> DataFrame:

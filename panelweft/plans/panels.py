@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +85,22 @@ def forecasts(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFr
     return flat.select("channel", "entity", "origin", "h", "step", "yhat").unionByName(channels.historical_mean(s, o, HORIZONS, 0.317))
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    """cell_steps of the base channels, with the regime of the origin. The series, which all parts read, is written once."""
+def system_forecasts(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """(channel, entity, origin, h, step, yhat) of the fitted channels: Holt, seasonal, factor-adjusted smoothing undamped and damped, macro; and naive."""
+    o = origins(spark, d, s)
+    factors = settled(channels.seasonal_factors(s, o), "factors")
+    macro = aligned(spark, d).withColumn("qty", F.col("qty") / 1000)
+    made = [channels.naive(s, o), channels.holt(s, o), channels.seasonal(s, o, factors=factors), channels.anchored(channels.exogenous_modifier(macro, o, {"qty": 6}))]
+    made += [channels.adjusted_trend(s, o, damped=damped, factors=factors) for damped in (False, True)]
+    flat = reduce(DataFrame.unionByName, made)
+    return flat.crossJoin(F.broadcast(horizons(spark))).where("step <= h").select("channel", "entity", "origin", "h", "step", "yhat")
+
+
+def cells(spark: SparkSession, d: str, system: bool = False) -> DataFrame:
+    """cell_steps of the base (or the fitted) channels, with the regime of the origin. The series, which all parts read, is written once."""
     s = settled(series(spark, d), "series")
     actuals = joins.forward_actuals(s, origins(spark, d, s), horizons(spark))
-    steps = losses.cell_steps(actuals, forecasts(spark, d, s))
+    steps = losses.cell_steps(actuals, system_forecasts(spark, d, s) if system else forecasts(spark, d, s))
     return steps.join(regimes(spark, d), "origin")
 
 
@@ -179,7 +192,7 @@ raw_losses AS (SELECT entity, origin, h, channel, regime, 100 * avg(abs((y - yha
 losses AS (SELECT l.*, f.fold FROM raw_losses l LEFT JOIN folds f ON l.origin BETWEEN f.test_start AND f.test_end)""",
     "events": """
 ev AS (SELECT c_mktsegment AS entity, CAST(o_orderkey AS BIGINT) AS event, CAST(o_orderdate AS DATE) AS begin_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT) AS end_date,
-  (o_orderkey % 21 - 10) / 10.0 AS impact, (o_orderkey % 11) / 10.0 AS confidence FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 37 = 0),
+  (o_orderkey % 21 - 10) / 10.0 AS impact, (o_orderkey % 11) / 10.0 AS confidence FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
 evw AS (SELECT DISTINCT entity, event, CAST(w AS DATE) AS week, begin_date, end_date, CAST(impact AS DOUBLE) AS impact, CAST(confidence AS DOUBLE) AS confidence
   FROM ev, generate_series(TIMESTAMP '1994-12-26', TIMESTAMP '2003-01-06', INTERVAL 7 DAY) t(w) WHERE CAST(w AS DATE) BETWEEN begin_date AND end_date)""",
     "val": """
@@ -193,8 +206,8 @@ fw AS (SELECT fold, channel, skill, exp(skill / 0.05) / sum(exp(skill / 0.05)) O
 ORDER = list(SQL)
 
 
-def sql(body: str, upto: str = "series", *more: str) -> str:
-    """WITH the tables up to the named one (and more by name) and the body."""
+def sql(body: str, upto: str = "series", *more: str, **other: str) -> str:
+    """WITH the tables up to the named one (and more by name), or other text in their place, and the body."""
     names = ORDER[: ORDER.index(upto) + 1]
     names += [n for n in more if n not in names]
-    return "WITH " + ",".join(SQL[n] for n in names) + "\n" + body
+    return "WITH " + ",".join(other.get(n, SQL[n]) for n in names) + "\n" + body

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_sql
-from ..functions.tables import settled
+from ..functions.tables import new_path, settled
 from ..operators import backtest as bt
 from ..operators import channels as ch
 from ..operators import fusion as fu
@@ -173,6 +173,14 @@ def _revised(spark, d):
     return s, s.where("widx % 50 <> 0").withColumn("y", F.when(F.col("widx") % 7 == 0, F.col("y") * 1.01).otherwise(F.col("y")))
 
 
+@query(sql("SELECT channel, h, avg(mape) AS mape, '13' AS config_embargo_weeks, 'test' AS config_split FROM losses WHERE fold IS NOT NULL GROUP BY ALL", "losses"), "mape")
+def s14_result_table(spark, d):
+    """A result table that carries its configuration, written and read back."""
+    path = new_path(spark, "result")
+    ing.write_result(lo.headline(pa.cell_losses(spark, d).where("fold IS NOT NULL")), path, {"embargo_weeks": 13, "split": "test"})
+    return spark.read.parquet(path)
+
+
 @query(_REV, "old_value new_value")
 def s15_revision_diff(spark, d):
     """A vintage against its revision: rows gone and values changed."""
@@ -335,8 +343,8 @@ def c4_embargo(spark, d):
     return gu.embargo_violations(f).select("fold", F.col("end").alias("origin"), "gap_days")
 
 
-@query(sql("""SELECT entity, origin, h, step, channel FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.entity = c.entity AND x.origin = c.origin AND x.h = c.h
-  AND (x.origin BETWEEN DATE '1998-03-02' AND DATE '1998-07-06' OR x.target_date BETWEEN DATE '1998-03-02' AND DATE '1998-07-06'))""", "cells"))
+@query(sql(""", bad AS (SELECT DISTINCT entity, origin, h FROM cells WHERE origin BETWEEN DATE '1998-03-02' AND DATE '1998-07-06' OR target_date BETWEEN DATE '1998-03-02' AND DATE '1998-07-06')
+SELECT entity, origin, h, step, channel FROM cells ANTI JOIN bad USING (entity, origin, h)""", "cells"))
 def c5_exclude_window(spark, d):
     """Cells without an origin or target in the excluded window."""
     return gu.exclude_window(pa.cells(spark, d), "1998-03-02", "1998-07-06").select("entity", "origin", "h", "step", "channel")
@@ -433,7 +441,7 @@ def w2_centred_average(spark, d):
 
 
 @query(sql("""SELECT o.entity, o.origin, a.date, CASE WHEN count(*) >= 26 THEN avg(b.y) END AS cma FROM origins o JOIN series a ON a.entity = o.entity AND a.widx <= o.widx
-  JOIN series b ON b.entity = o.entity AND b.widx BETWEEN a.widx - 26 AND least(a.widx + 25, o.widx) WHERE o.widx % 8 = 0 GROUP BY ALL""", "origins"), "cma")
+  JOIN series b ON b.entity = o.entity AND b.widx BETWEEN a.widx - 26 AND least(a.widx + 25, o.widx) GROUP BY ALL""", "origins"), "cma")
 def w2_centred_average_at(spark, d):
     """The same, truncated at each of the origins."""
     s = pa.series(spark, d)
@@ -494,7 +502,7 @@ def w10_lagged_move(spark, d):
     return wi.lagged_move(pa.series(spark, d), 2).select("entity", "date", "recent")
 
 
-_OWN = """own AS (SELECT entity, date, widx, exp(sum(ln(1 + o)) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)) AS own FROM (SELECT entity, date, widx, coalesce(c - avg(c) OVER (PARTITION BY date), 0.0) AS o
+_OWN = """own AS (SELECT entity, date, widx, product(1 + o) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS own FROM (SELECT entity, date, widx, coalesce(c - avg(c) OVER (PARTITION BY date), 0.0) AS o
   FROM (SELECT entity, date, widx, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM small)))"""
 
 
@@ -510,6 +518,19 @@ def w12_historical_bound(spark, d):
     return wi.historical_bound(pa.series(spark, d))
 
 
+@query(sql("SELECT entity, count(*) AS n_weeks, coalesce(max(abs(c)), 1.0) AS bound FROM (SELECT entity, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM series) GROUP BY 1").replace("c_mktsegment AS entity", "CAST(c_custkey AS VARCHAR) AS entity"), "bound")
+def w12_historical_bound_customers(spark, d):
+    """The same over a panel of every customer, with the weeks that each has."""
+    s = _customers(spark, d)
+    return wi.historical_bound(s).join(s.groupBy("entity").agg(F.count("*").alias("n_weeks")), "entity").select("entity", "n_weeks", "bound")
+
+
+def _customers(spark, d):
+    """The weekly series of every customer."""
+    filled, _ = jo.ffill_log(pa.weekly(spark, d, "c_custkey"))
+    return wi.with_row_index(filled.where("y IS NOT NULL"))
+
+
 @query(sql("""SELECT entity, m AS mean, sd, sd / m AS cv, CAST(coalesce(sum(CASE WHEN s <> p THEN 1 ELSE 0 END), 0) AS BIGINT) AS reversals FROM (SELECT entity, m, sd, s, lag(s) OVER (PARTITION BY entity ORDER BY date) AS p FROM (
   SELECT r.*, sign(round(r.rm - lag(r.rm) OVER (PARTITION BY entity ORDER BY date), 9)) AS s FROM (SELECT entity, date, avg(y) OVER (PARTITION BY entity) AS m, stddev_samp(y) OVER (PARTITION BY entity) AS sd,
   CASE WHEN count(y) OVER w = 13 THEN avg(y) OVER w END AS rm FROM series WINDOW w AS (PARTITION BY entity ORDER BY date ROWS 12 PRECEDING)) r) WHERE s <> 0) GROUP BY entity, m, sd"""), "mean sd cv")
@@ -563,7 +584,7 @@ def f2_seasonal_naive(spark, d):
     return ch.seasonal_naive(s, pa.origins(spark, d, s))
 
 
-_FACTORS = """, chosen AS (SELECT * FROM origins WHERE widx % 8 = 0), cma AS (SELECT o.entity, o.origin, a.date, a.y, CASE WHEN count(*) >= 26 THEN avg(b.y) END AS c FROM chosen o JOIN series a ON a.entity = o.entity AND a.widx <= o.widx
+_FACTORS = """, chosen AS (SELECT * FROM origins), cma AS (SELECT o.entity, o.origin, a.date, a.y, CASE WHEN count(*) >= 26 THEN avg(b.y) END AS c FROM chosen o JOIN series a ON a.entity = o.entity AND a.widx <= o.widx
   JOIN series b ON b.entity = o.entity AND b.widx BETWEEN a.widx - 26 AND least(a.widx + 25, o.widx) GROUP BY ALL),
 med AS (SELECT entity, origin, weekofyear(date) AS week, CASE WHEN count(y / nullif(c, 0)) >= 2 THEN median(y / nullif(c, 0)) ELSE 1.0 END AS raw FROM cma GROUP BY ALL),
 fullw AS (SELECT o.entity, o.origin, o.widx, w.week, coalesce(m.raw, 1.0) AS raw FROM chosen o CROSS JOIN (SELECT CAST(unnest(range(1, 54)) AS INT) AS week) w LEFT JOIN med m ON m.entity = o.entity AND m.origin = o.origin AND m.week = w.week),
@@ -586,32 +607,57 @@ def f4_seasonal(spark, d):
     return ch.seasonal(s, pa.origins(spark, d, s))
 
 
+def _doubles(values) -> str:
+    return "unnest([" + ", ".join(map(str, values)) + "]::DOUBLE[])"
+
+
+def _trends(lists: str, damped: dict[str, bool], name: str = "") -> str:
+    """tfit, its name after `name` (channel, entity, origin, l, b, p): the best grid point of each list of values, by the recursion from the first value on."""
+    grids = " UNION ALL ".join(f"SELECT '{c}' AS channel, a, b, p FROM (SELECT {_doubles(ch.ALPHAS)} AS a), (SELECT {_doubles(ch.BETAS)} AS b), (SELECT {_doubles(ch.PHIS if d else (1.0,))} AS p)" for c, d in damped.items())
+    error = "(y - s.l - p * s.b)"
+    state = f"{{'l': s.l + p * s.b + a * {error}, 'b': p * s.b + a * b * {error}, 'e': s.e + {error} * {error}}}"
+    return f""", {name}tgrid AS ({grids}),
+{name}truns AS (SELECT channel, entity, origin, a, b, p, list_reduce(ys[2:], lambda s, y: {state}, {{'l': ys[1], 'b': coalesce(ys[2] - ys[1], 0.0), 'e': CAST(0 AS DOUBLE)}}) AS r FROM {lists}, {name}tgrid),
+{name}tfit AS (SELECT channel, entity, origin, x.l, x.b, x.p FROM (SELECT channel, entity, origin, arg_min({{'l': r.l, 'b': r.b, 'p': p}}, {{'e': round(r.e, 9), 'a': a, 'b': b, 'p': p}}) AS x FROM {name}truns GROUP BY ALL))"""
+
+
+_HIST = ", hist AS (SELECT o.entity, o.origin, h.ys FROM origins o JOIN (SELECT entity, date AS origin, list(y) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS ys FROM series) h USING (entity, origin))"
+_PATH = "t.l + t.b * CASE WHEN t.p >= 1 THEN step ELSE t.p * (1 - pow(t.p, step)) / (1 - t.p) END"
+#: Values divided by their week's factor as known at the origin, and the factor of a step's week.
+_ADJUSTED = """, adj AS (SELECT o.entity, o.origin, list(CASE WHEN f.factor > 0 THEN s.y / f.factor ELSE s.y END ORDER BY s.widx) AS ys FROM origins o JOIN series s ON s.entity = o.entity AND s.widx <= o.widx
+  JOIN factors f ON f.entity = o.entity AND f.origin = o.origin AND f.week = weekofyear(s.date) GROUP BY ALL)"""
+_STEP_FACTOR = "JOIN factors f ON f.entity = t.entity AND f.origin = t.origin AND f.week = (weekofyear(t.origin) - 1 + step) % 53 + 1"
+
+
 def _fitted(spark, d):
     """The series and all origins."""
     s = pa.series(spark, d)
     return s, pa.origins(spark, d, s)
 
 
-@query()
+@query(sql(_HIST + _trends("hist", {"holt": False}) + f" SELECT channel, entity, origin, step, greatest({_PATH}, 0.0) AS yhat FROM tfit t, st", "forecasts"), "yhat")
 def f5_holt(spark, d):
     """Linear trend by parameter grid."""
     return ch.holt(*_fitted(spark, d))
 
 
-@query()
+@query(sql(_HIST + _trends("hist", {"holt_damped": True}) + f" SELECT channel, entity, origin, step, greatest({_PATH}, 0.0) AS yhat FROM tfit t, st", "forecasts"), "yhat")
 def f6_holt_damped(spark, d):
     """Damped trend by parameter grid."""
     return ch.holt(*_fitted(spark, d), damped=True)
 
 
-@query()
+@query(sql(_FACTORS + _ADJUSTED + _trends("adj", {"fa_ets": False, "fa_ets_d": True}) + f" SELECT channel, t.entity, t.origin, step, greatest(({_PATH}) * f.factor, 0.0) AS yhat FROM tfit t CROSS JOIN st {_STEP_FACTOR}", "forecasts"), "yhat")
 def f7_adjusted_trend(spark, d):
     """Factor-adjusted smoothing, undamped and damped."""
     s, o = _fitted(spark, d)
     return ch.adjusted_trend(s, o, damped=False).unionByName(ch.adjusted_trend(s, o))
 
 
-@query()
+@query(sql(_FACTORS + _ADJUSTED + f""", aruns AS (SELECT entity, origin, a, len(ys) AS n, 12 * list_sum(list_transform(ys, lambda y, i: (i - (len(ys) + 1) / 2.0) * y)) / nullif(len(ys) * (CAST(len(ys) AS DOUBLE) * len(ys) - 1), 0) AS slope,
+  list_reduce(ys[2:], lambda s, y: {{'l': s.l + a * (y - s.l), 'e': s.e + (y - s.l) * (y - s.l)}}, {{'l': ys[1], 'e': CAST(0 AS DOUBLE)}}) AS r FROM adj, (SELECT {_doubles(ch.ALPHAS)} AS a)),
+afit AS (SELECT entity, origin, any_value(n) AS n, any_value(slope) AS slope, arg_min({{'l': r.l, 'a': a}}, {{'e': round(r.e, 9), 'a': a}}) AS x FROM aruns GROUP BY ALL)
+SELECT 'fa_theta' AS channel, t.entity, t.origin, step, greatest((t.x.l + coalesce(slope, 0.0) / 2 * (step - 1 + (1 - pow(1 - t.x.a, n)) / t.x.a)) * f.factor, 0.0) AS yhat FROM afit t CROSS JOIN st {_STEP_FACTOR}""", "forecasts"), "yhat")
 def f8_adjusted_theta(spark, d):
     """Factor-adjusted Theta."""
     return ch.adjusted_theta(*_fitted(spark, d))
@@ -715,10 +761,22 @@ def f18_publication_lagged(spark, d):
     return ch.publication_lagged(ch.naive, s, pa.origins(spark, d, s), 2)
 
 
-@query(sql("SELECT fold, h, CASE WHEN avg(mape) FILTER (channel = 'histmean') < avg(mape) FILTER (channel = 'naive') THEN 'histmean' ELSE 'naive' END AS channel FROM val GROUP BY 1, 2", "val"))
+#: The fitted channels in the place of the base ones: the tables behind them (cells, losses, val, skills) follow.
+_SYSTEM = """
+hs AS (SELECT CAST(unnest([4, 8, 13]) AS INT) AS h), st AS (SELECT CAST(unnest(range(1, 14)) AS INT) AS step)""" + _FACTORS + _ADJUSTED + _HIST + _trends("hist", {"holt": False}) + _trends("adj", {"fa_ets": False, "fa_ets_d": True}, "a") + _MOD.replace("fit AS", "mfit AS").replace(", z AS", ", mz AS").replace("JOIN z ON z.", "JOIN mz z ON z.") + f""",
+flat AS (SELECT 'naive' AS channel, entity, origin, step, y0 AS yhat FROM origins, st
+  UNION ALL SELECT channel, entity, origin, step, greatest({_PATH}, 0.0) FROM tfit t, st
+  UNION ALL SELECT channel, t.entity, t.origin, step, greatest(({_PATH}) * f.factor, 0.0) FROM atfit t CROSS JOIN st {_STEP_FACTOR}
+  UNION ALL SELECT 'seasonal', o.entity, o.origin, st.step, greatest(round(CASE WHEN a.factor > 0 THEN y0 * (b.factor / a.factor) ELSE y0 END, 2), 0.0) FROM origins o CROSS JOIN st
+    JOIN factors a ON a.entity = o.entity AND a.origin = o.origin AND a.week = weekofyear(o.origin) JOIN factors b ON b.entity = o.entity AND b.origin = o.origin AND b.week = (weekofyear(o.origin) - 1 + st.step) % 53 + 1
+  UNION ALL SELECT 'macro', f.entity, f.origin, step, greatest(round(z.y * (1 + f.mz + f.b * (z.x - f.mx)), 2), 0.0) FROM mfit f JOIN mz z ON z.entity = f.entity AND z.date = f.origin CROSS JOIN st WHERE z.x IS NOT NULL),
+forecasts AS (SELECT channel, entity, origin, h, step, yhat FROM flat, hs WHERE step <= h)"""
+
+
+@query(sql("SELECT fold, h, CASE WHEN avg(mape) FILTER (channel = 'fa_ets_d') < avg(mape) FILTER (channel = 'fa_ets') THEN 'fa_ets_d' ELSE 'fa_ets' END AS channel FROM val GROUP BY 1, 2", "val", forecasts=_SYSTEM))
 def f19_choose_damping(spark, d):
-    """Of two channels the one of less validation loss, per fold and horizon."""
-    return ch.choose_damping(fu.validation(pa.cell_losses(spark, d), pa.folds(spark)), "naive", "histmean")
+    """Undamped or damped smoothing, per fold and horizon, by validation loss."""
+    return ch.choose_damping(_base(spark, d, True)[2], "fa_ets", "fa_ets_d")
 
 
 @query(sql("SELECT 'blend' AS channel, entity, origin, step, avg(yhat) AS yhat FROM forecasts WHERE h = 8 GROUP BY ALL", "forecasts"), "yhat")
@@ -736,7 +794,8 @@ def f21_with_spillover(spark, d):
     return ch.with_spillover(f, signals, 8, 0.5).select("channel", "entity", "origin", "step", "yhat")
 
 
-@query()
+@query(sql(_HIST + _trends("hist", {"holt": False}) + """ SELECT entity, count(*) AS n, CAST(sum(CASE WHEN sign(b) * sign(move) < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_disagree
+  FROM tfit JOIN (SELECT entity, date AS origin, lead(y, 13) OVER (PARTITION BY entity ORDER BY date) - y AS move FROM series) USING (entity, origin) WHERE move IS NOT NULL GROUP BY 1""", "forecasts"))
 def f22_slope_disagreement(spark, d):
     """Origins whose fitted trend and realised move disagree."""
     return ch.slope_disagreement(*_fitted(spark, d))
@@ -881,9 +940,9 @@ def a23_headline_with_reserved(spark, d):
 # Weights and fusion
 
 
-def _base(spark, d):
+def _base(spark, d, system=False):
     """(steps, losses, validation losses, folds); steps and losses are written once, as much reads them."""
-    steps = settled(pa.cells(spark, d), "cells")
+    steps = settled(pa.cells(spark, d, system), "cells")
     losses = settled(pa.cell_losses(spark, d, steps), "losses")
     f = pa.folds(spark)
     return steps, losses, fu.validation(losses, f), f
@@ -1025,7 +1084,13 @@ def g15_report(spark, d):
     return fu.report(weights, fu.select_modes(_val_steps(steps, f), fold_w, grid), rules)
 
 
-@query()
+@query(sql(_ERR + f""", k AS (SELECT fold, h, channel, coalesce(median(s), -1) AS skill FROM sk GROUP BY ALL), tg AS (SELECT * FROM (SELECT {_doubles([0.02, 0.05, 0.2])} AS temperature), (SELECT {_doubles([0.0, 0.5])} AS shrinkage)),
+tw AS (SELECT fold, h, channel, temperature, shrinkage, (1 - shrinkage) * exp(skill / temperature) / sum(exp(skill / temperature)) OVER g + shrinkage / count(*) OVER g AS w FROM k, tg WINDOW g AS (PARTITION BY fold, h, temperature, shrinkage)),
+vs AS (SELECT f.fold, c.* FROM cells c JOIN folds f ON c.origin BETWEEN f.train_end - 728 AND f.train_end AND c.origin + 7 * c.h <= f.train_end),
+fz AS (SELECT fold, temperature, shrinkage, entity, origin, h, step, any_value(y) AS y, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM vs JOIN tw USING (fold, h, channel) GROUP BY ALL),
+lz AS (SELECT fold, temperature, shrinkage, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM fz GROUP BY ALL),
+mz AS (SELECT fold, h, temperature, shrinkage, round(avg(mape), 9) AS mape FROM lz GROUP BY ALL)
+SELECT fold, h, temperature, shrinkage, mape FROM (SELECT *, row_number() OVER (PARTITION BY fold, h ORDER BY mape, temperature, shrinkage) AS r FROM mz) WHERE r = 1""", "skills"), "temperature shrinkage mape")
 def g16_tuned_router(spark, d):
     """Temperature and shrinkage per fold and horizon, in one plan."""
     steps, _, val, f = _base(spark, d)
@@ -1081,12 +1146,30 @@ def g22_weight_changes(spark, d):
     return fu.weight_changes(fu.fold_weights(_base(spark, d)[2]))
 
 
-@query()
+_MEMBERS = """, chosen_ets AS (SELECT fold, h, CASE WHEN avg(mape) FILTER (channel = 'fa_ets_d') < avg(mape) FILTER (channel = 'fa_ets') THEN 'fa_ets_d' ELSE 'fa_ets' END AS ets FROM val GROUP BY 1, 2),
+members AS (SELECT fold, h, unnest(CASE WHEN h = 4 THEN ['holt', 'seasonal', 'macro'] ELSE [ets, 'seasonal', 'macro'] END) AS channel FROM chosen_ets),
+msk AS (SELECT v.fold, v.h, v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM val v JOIN members USING (fold, h, channel)
+  JOIN val n ON n.channel = 'fa_ets_d' AND n.fold = v.fold AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY ALL),
+mw AS (SELECT fold, h, channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY fold, h) AS w FROM msk),
+mf AS (SELECT f.fold, c.regime, c.entity, c.origin, c.h, c.step, any_value(c.y) AS y, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM cells c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end JOIN mw ON mw.fold = f.fold AND mw.h = c.h AND mw.channel = c.channel GROUP BY ALL),
+ml2 AS (SELECT fold, regime, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM mf GROUP BY ALL)"""
+
+
+@query(sql(_MEMBERS + " SELECT fold, entity, h, regime, avg(mape) AS mape, avg(rmse) AS rmse, count(*) AS n_origins FROM ml2 GROUP BY ALL", "val", forecasts=_SYSTEM), "mape rmse")
 def g23_final_system(spark, d):
-    """The assembled system: other members at four weeks than at eight and thirteen."""
-    steps, _, val, f = _base(spark, d)
-    members = {4: ["naive", "snaive"], 8: ["snaive", "histmean"], 13: ["snaive", "histmean"]}
-    return bt.results(fu.final_system(val, _val_steps(steps, f), _test_steps(steps, f), members))
+    """The assembled system: Holt, seasonal and macro at four weeks; the chosen smoothing, seasonal and macro at eight and thirteen."""
+    steps, _, val, f = _base(spark, d, True)
+    ets = ch.choose_damping(val, "fa_ets", "fa_ets_d").where("h > 4")
+    fixed = [(4, c) for c in ("holt", "seasonal", "macro")] + [(h, c) for h in (8, 13) for c in ("seasonal", "macro")]
+    members = f.select("fold").crossJoin(F.broadcast(spark.createDataFrame(fixed, "h int, channel string"))).unionByName(ets.select("fold", "h", "channel"))
+    return bt.results(fu.final_system(val, _test_steps(steps, f), members, reference="fa_ets_d"))
+
+
+@query(sql(_ADAPT + " SELECT fold, entity, h, regime, avg(mape) AS mape, avg(rmse) AS rmse, count(*) AS n_origins FROM tl GROUP BY ALL", "skills", forecasts=_SYSTEM), "mape rmse")
+def h3_system_backtest(spark, d):
+    """The adaptive backtest over the fitted channels."""
+    steps, losses, _, f = _base(spark, d, True)
+    return bt.results(bt.backtest(steps, losses, f, pa.HORIZONS, pa.REGIMES))
 
 
 @query(sql("SELECT entity, origin, h, step, greatest(round(0.5 * sum(yhat), 2), 0.0) AS yhat FROM cells WHERE channel IN ('naive', 'snaive') GROUP BY ALL", "cells"), "yhat")
@@ -1141,7 +1224,15 @@ def h6_contribution(spark, d):
     return bt.contribution(bt.ablation(w, pa.CHANNELS), w, losses.where("fold IS NOT NULL"))
 
 
-@query()
+@query(sql(_FUSED + f""", od AS (SELECT entity, h, origin, rep, row_number() OVER (PARTITION BY entity, h, rep ORDER BY origin) AS a, row_number() OVER (PARTITION BY entity, h, rep ORDER BY {draw_sql("17", "rep", "date_diff('day', DATE '1970-01-01', origin)", "h")}, origin) AS b
+  FROM (SELECT DISTINCT entity, h, origin FROM ts), (SELECT unnest(range(3)) AS rep)),
+mv AS (SELECT x.entity, x.h, x.rep, x.origin, z.origin AS other FROM od x JOIN od z ON z.entity = x.entity AND z.h = x.h AND z.rep = x.rep AND z.b = x.a),
+br AS (SELECT m.rep, g.shuffled, t.entity, t.origin, t.h, t.step, any_value(t.y) AS y, greatest(round(sum(t.w * CASE WHEN t.channel = g.shuffled THEN o.yhat ELSE t.yhat END), 2), 0.0) AS yhat FROM ts t JOIN mv m ON m.entity = t.entity AND m.h = t.h AND m.origin = t.origin
+  CROSS JOIN (SELECT unnest(['naive', 'snaive', 'histmean']) AS shuffled) g JOIN ts o ON o.entity = t.entity AND o.origin = m.other AND o.h = t.h AND o.step = t.step AND o.channel = t.channel GROUP BY ALL),
+bm AS (SELECT h, shuffled, rep, avg(mape) AS m FROM (SELECT shuffled, rep, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM br GROUP BY ALL) GROUP BY ALL),
+fb AS (SELECT entity, origin, h, step, any_value(y) AS y, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM ts GROUP BY ALL),
+fm AS (SELECT h, avg(mape) AS base FROM (SELECT entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM fb GROUP BY ALL) GROUP BY 1)
+SELECT h, shuffled AS channel, avg(m - base) AS mean_increase, stddev_pop(m - base) AS sd_increase FROM bm JOIN fm USING (h) GROUP BY ALL""", "skills"), "mean_increase sd_increase")
 def h7_permutation_importance(spark, d):
     """Loss increase when a channel is dealt to other origins."""
     return bt.permutation_importance(_weighted(spark, d)[0], pa.CHANNELS, 3)
@@ -1216,31 +1307,59 @@ def h16_gate_value(spark, d):
 
 @query()
 def h17_placebo(spark, d):
-    """Regime labels permuted in blocks, and how often that does better."""
+    """Regime labels permuted in blocks 200 times, the adaptive backtest anew for each, and how often that does better."""
     steps, losses, _, f = _base(spark, d)
-    labels = bt.placebo_labels(pa.regimes(spark, d).select(F.col("origin").alias("date"), "regime"), 3)
-    val = fu.validation(losses, f).drop("regime").join(labels.withColumnRenamed("date", "origin"), "origin")
-    skills = lo.with_reference(val.where("channel = 'snaive' OR channel = 'naive'").withColumn("entity", F.concat_ws("|", "entity", F.col("perm").cast("string"), F.col("fold").cast("string"))))
-    best = skills.where("channel = 'snaive'").groupBy("perm", "fold", "regime", "h").agg(F.avg(F.col("mape") - F.col("ref")).alias("gain"))
-    test = losses.where("fold IS NOT NULL").drop("regime").join(labels.withColumnRenamed("date", "origin"), "origin").join(best, ["perm", "fold", "regime", "h"])
-    pick = test.where("(gain < 0 AND channel = 'snaive') OR (gain >= 0 AND channel = 'naive')")
-    return bt.placebo_share(pick)
+    labels = bt.placebo_labels(pa.regimes(spark, d).select(F.col("origin").alias("date"), "regime"), 200)
+    return bt.placebo_share(bt.regime_placebo(steps, losses, f, settled(labels, "placebo-labels"), pa.HORIZONS, pa.REGIMES))
 
 
-@query()
+@query(sql(""", v AS (SELECT * FROM losses WHERE origin BETWEEN DATE '1999-01-04' - 728 AND DATE '1999-01-04' AND origin + 7 * h <= DATE '1999-01-04'),
+k AS (SELECT v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM v JOIN v n ON n.channel = 'naive' AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY 1),
+w AS (SELECT channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER () AS w FROM k),
+fz AS (SELECT entity, origin, h, step, any_value(y) AS y, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM cells JOIN w USING (channel) WHERE origin >= DATE '1999-01-04' + 98 GROUP BY ALL)
+SELECT h, avg(mape) AS mape, count(*) AS n FROM (SELECT entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM fz GROUP BY ALL) GROUP BY 1""", "losses"), "mape")
 def h18_single_split(spark, d):
     """One split only."""
     steps, losses, _, _ = _base(spark, d)
     return bt.single_split(steps, losses, "1999-01-04").groupBy("h").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
 
 
-@query()
+@query(sql(""", bad AS (SELECT DISTINCT entity, origin, h FROM cells WHERE origin BETWEEN DATE '1999-06-07' AND DATE '1999-10-04' OR target_date BETWEEN DATE '1999-06-07' AND DATE '1999-10-04'),
+v AS (SELECT f.fold, l.* EXCLUDE (fold) FROM losses l ANTI JOIN bad USING (entity, origin, h) JOIN folds f ON l.origin BETWEEN f.train_end - 728 AND f.train_end AND l.origin + 7 * l.h <= f.train_end),
+k AS (SELECT v.fold, v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM v JOIN v n ON n.channel = 'naive' AND n.fold = v.fold AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY 1, 2),
+w AS (SELECT fold, channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY fold) AS w FROM k),
+fz AS (SELECT f.fold, c.regime, c.entity, c.origin, c.h, c.step, any_value(c.y) AS y, greatest(round(sum(w.w * yhat), 2), 0.0) AS yhat FROM cells c ANTI JOIN bad USING (entity, origin, h) JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end JOIN w ON w.fold = f.fold AND w.channel = c.channel GROUP BY ALL),
+lz AS (SELECT fold, regime, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM fz GROUP BY ALL)
+SELECT fold, entity, h, regime, avg(mape) AS mape, avg(rmse) AS rmse, count(*) AS n_origins FROM lz GROUP BY ALL""", "losses"), "mape rmse")
 def h19_backtest_excluding(spark, d):
     """The backtest without cells that touch a window."""
     steps, losses, _, f = _base(spark, d)
     return bt.results(bt.backtest(steps, losses, f, pa.HORIZONS, pa.REGIMES, "fold", ("1999-06-07", "1999-10-04")))
 
 
+@query(sql(""", lf AS (SELECT lag, 'naive' AS channel, o.entity, o.origin, h, step, s.y AS yhat FROM (SELECT unnest([0, 2]) AS lag) JOIN origins o ON true JOIN series s ON s.entity = o.entity AND s.widx = o.widx - lag CROSS JOIN hs CROSS JOIN st WHERE step <= h
+  UNION ALL SELECT lag, 'snaive', o.entity, o.origin, h, step, s.y FROM (SELECT unnest([0, 2]) AS lag) JOIN origins o ON true CROSS JOIN hs CROSS JOIN st JOIN series s ON s.entity = o.entity AND s.widx = o.widx + step - 52 WHERE step <= h AND o.widx > lag),
+lc AS (SELECT lag, a.entity, a.origin, a.h, a.step, f.channel, a.y, f.yhat FROM act a JOIN lf f USING (entity, origin, h, step) JOIN regimes USING (origin) WHERE a.n = a.h),
+ll AS (SELECT lag, entity, origin, h, channel, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM lc GROUP BY ALL),
+v AS (SELECT * FROM ll WHERE origin BETWEEN DATE '2000-07-03' - 728 AND DATE '2000-07-03' AND origin + 7 * h <= DATE '2000-07-03'),
+k AS (SELECT v.lag, v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM v JOIN v n ON n.channel = 'naive' AND n.lag = v.lag AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY 1, 2),
+w AS (SELECT lag, channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY lag) AS w FROM k),
+fz AS (SELECT lag, entity, origin, h, step, any_value(y) AS y, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM lc JOIN w USING (lag, channel) WHERE origin >= DATE '2000-07-03' + 98 GROUP BY ALL)
+SELECT lag, h, avg(mape) AS mape, count(*) AS n FROM (SELECT lag, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM fz GROUP BY ALL) GROUP BY ALL""", "cells"), "mape")
+def h20_holdout(spark, d):
+    """A fixed training end and all origins after its embargo, with data on time and two weeks late."""
+    s = settled(pa.series(spark, d), "series")
+    o, r = pa.origins(spark, d, s), settled(pa.regimes(spark, d), "regimes")
+    actuals, hs = jo.forward_actuals(s, o, pa.horizons(spark)), F.broadcast(pa.horizons(spark))
+    out = None
+    for lag in (0, 2):
+        made = ch.publication_lagged(ch.naive, s, o, lag).unionByName(ch.publication_lagged(ch.seasonal_naive, s, o, lag))
+        steps, losses = bt.losses_with_regime(lo.cell_steps(actuals, made.crossJoin(hs).where("step <= h")), r)
+        part = bt.single_split(steps, losses, "2000-07-03").groupBy("h").agg(F.avg("mape").alias("mape"), F.count("*").alias("n")).withColumn("lag", F.lit(lag))
+        out = part if out is None else out.unionByName(part)
+    return out.select("lag", "h", "mape", "n")
+
+
 @query(sql("SELECT f.fold, s.entity, hs.h, c.channel, 100 * abs((t.y - c.yhat) / nullif(t.y, 0)) AS ape FROM folds f JOIN series s ON s.date = f.train_end CROSS JOIN hs JOIN series t ON t.entity = s.entity AND t.date = s.date + 7 * hs.h JOIN forecasts c ON c.entity = s.entity AND c.origin = s.date AND c.h = 13 AND c.step = hs.h AND c.channel = 'naive'", "forecasts"), "ape")
 def h21_single_origin(spark, d):
     """Forecasts made at each training end."""
@@ -1248,6 +1367,19 @@ def h21_single_origin(spark, d):
     return bt.single_origin(s, ch.naive(s, pa.origins(spark, d, s)), pa.folds(spark), pa.horizons(spark))
 
 
+@query(sql(f"SELECT h, CASE WHEN impact > 0 THEN 'up' ELSE 'down' END AS event, count(*) AS n_cells FROM (SELECT DISTINCT entity, origin, h FROM cells) JOIN {_LIVE} e USING (entity, origin) WHERE age <= 8 AND impact <> 0 AND y0 <> 0 GROUP BY ALL", "cells", "events"))
+def h22_event_provenance(spark, d):
+    """Cells in which the event channel departs from the naive one, by the kind of the live event."""
+    s = pa.series(spark, d)
+    o = pa.origins(spark, d, s)
+    weeks = pa.event_weeks(spark, d)
+    made = ch.event_scaled(s, o, weeks, bt.literal_grid(spark, scale=[0.05], window=[8])).select("channel", "entity", "origin", "step", "yhat")
+    actuals = jo.forward_actuals(s, o, pa.horizons(spark))
+    steps = lo.cell_steps(actuals, made.unionByName(ch.naive(s, o)).crossJoin(F.broadcast(pa.horizons(spark))).where("step <= h"))
+    live = jo.active_event(o.select("entity", F.col("origin").alias("week")), weeks, 8).where("live")
+    return bt.event_provenance(steps, live.select("entity", F.col("week").alias("origin"), F.when(F.col("impact") > 0, "up").otherwise("down").alias("event")))
+
+
 # Statistics
 
 
@@ -1342,15 +1474,14 @@ def t10_lag_correlation(spark, d):
 
 def _edges(spark, d):
     s = pa.series(spark, d)
-    shifted = s.withColumn("y", F.col("y") + 100)
-    return stt.spillover_graph(jo.ordered_pairs(s), shifted, 3, 0.5)
+    return stt.spillover_graph(jo.ordered_pairs(s), s)
 
 
 @query()
 def t11_granger(spark, d):
-    """Granger screen of all pairs of entities."""
+    """Granger screen of all pairs of entities, lags 1 to 8."""
     s = pa.series(spark, d)
-    return stt.granger(jo.ordered_pairs(s), s, 4)
+    return stt.granger(jo.ordered_pairs(s), s)
 
 
 @query()
@@ -1392,7 +1523,7 @@ def t14_panel_regression(spark, d):
 @query()
 def t14_panel_regression_two_way(spark, d):
     """Entity and quarter effects."""
-    return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"], ["period"]], rounds=4)
+    return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"], ["period"]])
 
 
 @query(sql(""", p AS (SELECT entity, date, z, x FROM (SELECT entity, date, (lead(y, 4) OVER (PARTITION BY entity ORDER BY date) - y) / nullif(y, 0) AS z, (qty / 1000 * ascii(entity)) % 7 AS x FROM aligned) WHERE z IS NOT NULL AND x IS NOT NULL),
@@ -1412,8 +1543,8 @@ def t16_wild_cluster(spark, d):
 
 @query()
 def t17_distributed_lag(spark, d):
-    """Sums of lag coefficients over ranges."""
-    return stt.lag_sums(stt.distributed_lag(_panel(spark, d), "z", "x", 8), [(0, 4), (5, 8)])
+    """Lags 0 to 26, and sums over two ranges of them with their errors."""
+    return stt.distributed_lag(_panel(spark, d), "z", "x", 26, ranges=[(0, 12), (13, 26)])
 
 
 @query()
@@ -1433,19 +1564,6 @@ def t19_serial_correlation(spark, d):
 # Graph, gate, boundary
 
 
-@query()
-def k1_package(spark, d):
-    """Edges with strength and inbound rank."""
-    s = pa.series(spark, d)
-    return gr.package(_edges(spark, d), s)[0]
-
-
-@query()
-def k2_edge_matrix(spark, d):
-    """Weights of the significant edges by target and source."""
-    return gr.edge_weights(_edges(spark, d))
-
-
 def _fixed_edges(spark, d):
     """Edges by rule, so that SQL can make them too: each entity to those whose name is longer or later."""
     pairs = jo.ordered_pairs(pa.table(spark, d, "customer").select(F.col("c_mktsegment").alias("entity")))
@@ -1461,6 +1579,21 @@ mv AS (SELECT o.entity, o.origin, t.source, 1 / t.p AS w, ml.m FROM origins o JO
 sg AS (SELECT entity, origin, count(*) AS n_neighbours, sum(w * m) / sum(w) AS trend, arg_max(m, {'a': round(abs(m), 12), 'b': source}) AS max_shock, arg_max(source, {'a': round(abs(m), 12), 'b': source}) AS shocked FROM mv GROUP BY ALL)"""
 
 
+_ALL_EDGES = """, ae AS (SELECT source, target, CAST((length(source) * 3 + length(target)) / 1000.0 AS DOUBLE) AS p_value, CAST(length(source) % 4 AS INT) AS best_lag, source < target AS significant FROM (SELECT DISTINCT c_mktsegment AS source FROM customer), (SELECT DISTINCT c_mktsegment AS target FROM customer) WHERE source <> target)"""
+
+
+@query(sql(_ALL_EDGES + """ SELECT *, significant AND rank <= 3 AS top FROM (SELECT *, CAST(greatest(best_lag, 1) AS INT) AS lag, -log10(greatest(p_value, 1e-12)) AS strength, CAST(row_number() OVER (PARTITION BY target ORDER BY CAST(significant AS INT) DESC, round(p_value, 12), source) AS INT) AS rank FROM ae)""", "weekly"), "p_value strength")
+def k1_package(spark, d):
+    """Edges with strength and inbound rank."""
+    return gr.package(_fixed_edges(spark, d), pa.series(spark, d))[0]
+
+
+@query(sql(_ALL_EDGES + " SELECT target, source, 1 / greatest(p_value, 1e-12) AS weight FROM ae WHERE significant", "weekly"), "weight")
+def k2_edge_matrix(spark, d):
+    """Weights of the significant edges by target and source."""
+    return gr.edge_weights(_fixed_edges(spark, d))
+
+
 @query(sql(_FE + " SELECT entity, origin, n_neighbours, trend, max_shock, shocked FROM sg", "origins"), "trend max_shock")
 def k3_spillover_signal(spark, d):
     """Weighted neighbour moves at each origin."""
@@ -1469,12 +1602,15 @@ def k3_spillover_signal(spark, d):
 
 
 
-@query(sql(_FE + """, e8 AS (SELECT entity, date, CASE WHEN n + 1 < 4 OR ape IS NULL THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE (ape - m) / sd END AS z FROM (SELECT entity, date, ape, count(ape) OVER w AS n, avg(ape) OVER w AS m, stddev_pop(ape) OVER w AS sd
+_GATE = _FE + """, e8 AS (SELECT entity, date, CASE WHEN n + 1 < 4 OR ape IS NULL THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE (ape - m) / sd END AS z FROM (SELECT entity, date, ape, count(ape) OVER w AS n, avg(ape) OVER w AS m, stddev_pop(ape) OVER w AS sd
   FROM (SELECT entity, date, abs((y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(y, 0)) AS ape FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING))),
 e9 AS (SELECT entity, date, CASE WHEN n < 12 THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE abs(mv) / sd END AS z FROM (SELECT entity, date, mv, count(mv) OVER w AS n, stddev_pop(mv) OVER w AS sd
-  FROM (SELECT entity, date, (y - lag(y, 4) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 4) OVER (PARTITION BY entity ORDER BY date), 0) AS mv FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)))
-SELECT o.entity, o.origin, CASE WHEN (o.entity, o.origin) IN (SELECT DISTINCT (entity, week) FROM evw) THEN 'event' WHEN a.z > 2.0 THEN 'own_error' WHEN b.z > 2.5 THEN 'neighbour_shock' ELSE 'none' END AS trigger FROM origins o
-  LEFT JOIN e8 a ON a.entity = o.entity AND a.date = o.origin LEFT JOIN sg ON sg.entity = o.entity AND sg.origin = o.origin LEFT JOIN e9 b ON b.entity = sg.shocked AND b.date = o.origin""", "origins", "events"))
+  FROM (SELECT entity, date, (y - lag(y, 4) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 4) OVER (PARTITION BY entity ORDER BY date), 0) AS mv FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))),
+gd AS (SELECT o.entity, o.origin, CASE WHEN (o.entity, o.origin) IN (SELECT DISTINCT (entity, week) FROM evw) THEN 'event' WHEN a.z > 2.0 THEN 'own_error' WHEN b.z > 2.5 THEN 'neighbour_shock' ELSE 'none' END AS trigger FROM origins o
+  LEFT JOIN e8 a ON a.entity = o.entity AND a.date = o.origin LEFT JOIN sg ON sg.entity = o.entity AND sg.origin = o.origin LEFT JOIN e9 b ON b.entity = sg.shocked AND b.date = o.origin)"""
+
+
+@query(sql(_GATE + " SELECT entity, origin, trigger FROM gd", "origins", "events"))
 def k4_gate(spark, d):
     """Gate decisions: event, own error, neighbour's shock, none."""
     return _gated(spark, d).select("entity", "origin", "trigger")
@@ -1488,7 +1624,7 @@ def _gated(spark, d):
     return gr.gate(gr.gate_inputs(s, o, wi.error_zscore(s), live, shocks))
 
 
-@query()
+@query(sql(_GATE + " SELECT coalesce(trigger, 'all') AS trigger, count(*) AS n, count(*) FILTER (trigger <> 'none') AS n_active, count(*) / CAST((SELECT count(*) FROM gd) AS DOUBLE) AS share FROM gd GROUP BY ROLLUP (trigger)", "origins", "events"), "share")
 def a17_gate_report(spark, d):
     """Gate decisions by trigger."""
     return lo.gate_report(_gated(spark, d))
@@ -1512,14 +1648,40 @@ def k5_boundary_check(spark, d):
     return gr.boundary_check(f, last, bounds)
 
 
-@query()
-def k6_enforce(spark, d):
-    """Paths clamped step by step, with the outcome."""
+def _problems(path: str) -> str:
+    """Kinds of problems along a path, each step against the one before."""
+    before = f"CASE WHEN i = 1 THEN y0 ELSE {path}[i - 1] END"
+    kind = f"CASE WHEN {path}[i] < 0 THEN 'floor' WHEN abs(({path}[i] - {before}) / nullif({before}, 0)) > bound + 1e-12 THEN 'jump' END"
+    return f"list_filter(list_transform(range(1, len({path}) + 1), lambda i: {kind}), lambda v: v IS NOT NULL)"
+
+
+def _within_bounds(path: str) -> str:
+    v = "greatest(least(greatest(y, s.prev - abs(s.prev) * bound), s.prev + abs(s.prev) * bound), 0.0)"
+    return f"list_reduce({path}, lambda s, y: {{'prev': {v}, 'out': list_append(s.out, {v})}}, {{'prev': y0, 'out': CAST([] AS DOUBLE[])}}).out"
+
+
+_ENFORCED = _BD + f""", e0 AS (SELECT f.entity, f.origin, list(f.yhat ORDER BY f.step) AS path, any_value(o.y0) AS y0, any_value(b.bound) AS bound FROM forecasts f JOIN origins o USING (entity, origin) JOIN bd b ON b.entity = f.entity WHERE f.h = 8 AND f.channel = 'snaive' GROUP BY ALL),
+e1 AS (SELECT *, {_problems("path")} AS violations FROM e0),
+e2 AS (SELECT *, len(violations) > 0 AS bad1, CASE WHEN len(violations) > 0 THEN {_within_bounds("path")} ELSE path END AS path1 FROM e1),
+e3 AS (SELECT *, len({_problems("path1")}) > 0 AS bad2, CASE WHEN len({_problems("path1")}) > 0 THEN {_within_bounds("path1")} ELSE path1 END AS path2 FROM e2),
+e4 AS (SELECT *, len({_problems("path2")}) > 0 AS fell_back FROM e3),
+enforced AS (SELECT entity, origin, violations, CAST(bad1 AS INT) + CAST(bad2 AS INT) AS attempts, len(violations) > 0 AND NOT fell_back AS corrected, fell_back, CASE WHEN fell_back THEN list_transform(path2, lambda v: y0) ELSE path2 END AS path FROM e4)"""
+
+
+def _enforced(spark, d):
     f, last, bounds, base = _bounded(spark, d)
     return gr.enforce(f, last, bounds, base)
 
 
-@query()
+@query(sql(_ENFORCED + " SELECT 'snaive' AS channel, entity, origin, CAST(i AS INT) AS step, path[i] AS yhat, len(violations) AS n_violations, attempts, corrected, fell_back FROM enforced, (SELECT unnest(range(1, 9)) AS i) WHERE i <= len(path)", "forecasts"), "yhat")
+def k6_enforce(spark, d):
+    """Paths clamped step by step, with the outcome."""
+    rows = _enforced(spark, d).select("*", F.posexplode("path").alias("k", "yhat"))
+    return rows.select("channel", "entity", "origin", (F.col("k") + 1).alias("step"), "yhat", F.size("violations").cast("bigint").alias("n_violations"), "attempts", "corrected", "fell_back")
+
+
+@query(sql(_ENFORCED + """ SELECT count(*) AS n, count(*) FILTER (len(violations) = 0) AS n_clean, count(*) FILTER (corrected) AS n_corrected, count(*) FILTER (fell_back) AS n_fell_back, avg(attempts) AS mean_attempts,
+  CAST(sum(len(list_filter(violations, lambda v: v = 'floor'))) AS BIGINT) AS n_floor, CAST(sum(len(list_filter(violations, lambda v: v = 'jump'))) AS BIGINT) AS n_jump FROM enforced""", "forecasts"), "mean_attempts")
 def a18_boundary_report(spark, d):
     """Outcomes of the bounds in one row."""
-    return lo.boundary_report(k6_enforce(spark, d))
+    return lo.boundary_report(_enforced(spark, d))

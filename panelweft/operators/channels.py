@@ -87,25 +87,39 @@ def histories(series: DataFrame, origins: DataFrame, rows: int | None = None) ->
 ALPHAS, BETAS, PHIS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.05, 0.1, 0.3, 0.5), (0.8, 0.9, 0.95)
 
 
-def trend_fit(df: DataFrame, damped: bool = False) -> DataFrame:
-    """df with level, trend, alpha, beta, phi: the grid point of least one-step squared error, least parameters on ties.
+def _recursion(ys: pd.Series, grid: np.ndarray, trended: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, trend, grid row) of the least one-step squared error for each list of values; all lists and grid rows step together.
 
-    Level starts at the first value and trend at the first difference.
+    Level starts at the first value and trend at the first difference, or at 0 and stays there.
     """
-    phis = PHIS if damped else (1.0,)
-    grid = df.sparkSession.createDataFrame([(a, b, p) for a in ALPHAS for b in BETAS for p in phis], "alpha double, beta double, phi double")
-    start = F.struct(F.get("ys", F.lit(0)).alias("l"), F.coalesce(F.get("ys", F.lit(1)) - F.get("ys", F.lit(0)), F.lit(0.0)).alias("b"), F.lit(0.0).alias("e"))
+    sizes = np.array([len(v) for v in ys])
+    table = np.full((len(ys), max(int(sizes.max(initial=0)), 2)), np.nan)
+    for row, v in zip(table, ys, strict=True):
+        row[: len(v)] = v
+    a, b, p = grid.T
+    level = np.repeat(table[:, :1], len(grid), 1)
+    first = np.where(sizes > 1, table[:, 1] - table[:, 0], 0.0) if trended else np.zeros(len(ys))
+    trend, error = np.repeat(first[:, None], len(grid), 1), np.zeros((len(ys), len(grid)))
+    for t in range(1, table.shape[1]):
+        on = (t < sizes)[:, None]
+        guess = level + p * trend
+        e = np.where(on, table[:, t][:, None] - guess, 0.0)
+        level, trend, error = np.where(on, guess + a * e, level), np.where(on, p * trend + a * b * e, trend), error + e * e
+    at = np.argmin(np.round(error, 9), 1)  # the first of equal ones has the least parameters
+    rows = np.arange(len(ys))
+    return level[rows, at], trend[rows, at], at
+
 
-    def step(s: Column, y: Column) -> Column:
-        guess = s["l"] + F.col("phi") * s["b"]
-        error = y - guess
-        return F.struct((guess + F.col("alpha") * error).alias("l"), (F.col("phi") * s["b"] + F.col("alpha") * F.col("beta") * error).alias("b"), (s["e"] + error * error).alias("e"))
+def trend_fit(df: DataFrame, damped: bool = False) -> DataFrame:
+    """df (with ys) with level, trend, alpha, beta, phi: the grid point of least one-step squared error, least parameters on ties."""
+    grid = np.array([(a, b, p) for a in ALPHAS for b in BETAS for p in (PHIS if damped else (1.0,))])
 
-    rest = F.slice("ys", 2, F.greatest(F.size("ys") - 1, F.lit(0)))
-    fitted = df.crossJoin(F.broadcast(grid)).withColumn("s", F.aggregate(rest, start, step))
-    keep = [c for c in df.columns if c not in ("entity", "origin")]
-    best = fitted.groupBy("entity", "origin").agg(F.min_by(F.struct("s", "alpha", "beta", "phi", *keep), F.struct(F.round("s.e", 9), "alpha", "beta", "phi")).alias("x"))
-    return best.select("entity", "origin", *[f"x.{c}" for c in keep], F.col("x.s.l").alias("level"), F.col("x.s.b").alias("trend"), "x.alpha", "x.beta", "x.phi")
+    @F.pandas_udf("struct<level:double,trend:double,alpha:double,beta:double,phi:double>")
+    def fit(ys: pd.Series) -> pd.DataFrame:
+        level, trend, at = _recursion(ys, grid)
+        return pd.DataFrame({"level": level, "trend": trend} | {c: grid[at, i] for i, c in enumerate(("alpha", "beta", "phi"))})
+
+    return df.where(F.size("ys") > 0).withColumn("_f", fit("ys")).select("*", "_f.*").drop("_f")
 
 
 def trend_states(series: DataFrame, damped: bool = False) -> DataFrame:
@@ -177,14 +191,16 @@ def adjusted_theta(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP,
     h, f = adjusted_histories(series, origins, smooth)
     n = F.size("ys")
     xs = F.sequence(F.lit(1), n)
-    mean_y = F.aggregate("ys", F.lit(0.0), lambda s, y: s + y) / n
     sxy = F.aggregate(F.zip_with("ys", xs, lambda y, x: (x - (n + 1) / 2.0) * y), F.lit(0.0), lambda s, v: s + v)
-    h = h.withColumn("slope", F.try_divide(sxy * 12, n * (n.cast("double") * n - 1))).withColumn("_m", mean_y)
-    grid = h.sparkSession.createDataFrame([(a,) for a in ALPHAS], "alpha double")
-    start = F.struct(F.get("ys", F.lit(0)).alias("l"), F.lit(0.0).alias("e"))
-    step = lambda s, y: F.struct((s["l"] + F.col("alpha") * (y - s["l"])).alias("l"), (s["e"] + (y - s["l"]) * (y - s["l"])).alias("e"))
-    fitted = h.crossJoin(F.broadcast(grid)).withColumn("s", F.aggregate(F.slice("ys", 2, F.greatest(n - 1, F.lit(0))), start, step))
-    best = fitted.groupBy("entity", "origin").agg(F.min_by(F.struct("s", "alpha", "slope", n.alias("n")), F.struct(F.round("s.e", 9), "alpha")).alias("x")).select("entity", "origin", F.col("x.s.l").alias("level"), "x.alpha", "x.slope", "x.n")
+    h = h.withColumn("slope", F.try_divide(sxy * 12, n * (n.cast("double") * n - 1)))
+    grid = np.array([(a, 0.0, 1.0) for a in ALPHAS])
+
+    @F.pandas_udf("struct<level:double,alpha:double>")
+    def fit(ys: pd.Series) -> pd.DataFrame:
+        level, _, at = _recursion(ys, grid, False)
+        return pd.DataFrame({"level": level, "alpha": grid[at, 0]})
+
+    best = h.where(n > 0).withColumn("_f", fit("ys")).select("entity", "origin", "_f.level", "_f.alpha", "slope", n.alias("n"))
     drift = F.coalesce("slope", F.lit(0.0)) / 2 * (F.col("step") - 1 + (1 - F.pow(1 - F.col("alpha"), "n")) / F.col("alpha"))
     return _reseason(long(best, "x", F.col("level") + drift, steps), f, "fa_theta")
 

@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("panelweft.llm")
 
 import corpus_pipeline  # noqa: E402
-from panelweft.llm import decontamination  # noqa: E402
+from panelweft.llm import bpe, decontamination  # noqa: E402
 
 
 def smallest_of_near_copies(rows, like=80, size=5):
@@ -98,7 +98,7 @@ def test_every_stage_on_awkward_rows_and_on_none(spark, sf):
             assert r["text"] == text[k]
 
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
-    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(ranks), special_tokens={})
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(ranks, P.PATTERN).ranks, special_tokens={})
     want = sorted((r[0] is None, r[0] or 0, plain.encode_ordinary(r[1] or "")) for r in rows)
     got = corpus_pipeline.encode(spark, docs, sf).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, list(r["ids"])) for r in got) == want

@@ -216,8 +216,8 @@ def regime_placebo(steps: DataFrame, losses: DataFrame, folds: DataFrame, labels
 
     Cells are one row each with their steps inside, so a labelling costs a row per cell; weight tables are a few rows per labelling.
     """
-    val, test = fusion.validation(losses.drop("regime"), folds), fold_of(steps.drop("fold", "regime"), folds).where("fold IS NOT NULL")
-    labels = labels.select("perm", F.col("date").alias("origin"), "regime")
+    val, test = fusion.validation(losses.drop("fold", "regime"), folds), fold_of(steps.drop("fold", "regime"), folds).where("fold IS NOT NULL")
+    labels = settled(labels.select("perm", F.col("date").alias("origin"), "regime"), "placebo-labels")
     perms = labels.select("perm").distinct()
     key = (F.col("perm") * 1000 + F.col("fold")).cast("int")  # a fold of its own for each labelling
     fold_w = fusion.fold_weights(val)

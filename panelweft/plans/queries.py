@@ -1307,10 +1307,10 @@ def h16_gate_value(spark, d):
 
 @query()
 def h17_placebo(spark, d):
-    """Regime labels permuted in blocks 200 times, the adaptive backtest anew for each, and how often that does better."""
+    """Regime labels permuted in blocks 50 times, the adaptive backtest anew for each, and how often that does better."""
     steps, losses, _, f = _base(spark, d)
-    labels = bt.placebo_labels(pa.regimes(spark, d).select(F.col("origin").alias("date"), "regime"), 200)
-    return bt.placebo_share(bt.regime_placebo(steps, losses, f, settled(labels, "placebo-labels"), pa.HORIZONS, pa.REGIMES))
+    labels = bt.placebo_labels(pa.regimes(spark, d).select(F.col("origin").alias("date"), "regime"), 50)
+    return bt.placebo_share(bt.regime_placebo(steps, losses, f, labels, pa.HORIZONS, pa.REGIMES))
 
 
 @query(sql(""", v AS (SELECT * FROM losses WHERE origin BETWEEN DATE '1999-01-04' - 728 AND DATE '1999-01-04' AND origin + 7 * h <= DATE '1999-01-04'),

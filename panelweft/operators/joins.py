@@ -6,13 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Right rows that a keyless as-of join sends to every task as one sorted array.
+FEW = 512
+
+
+def searched(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list[str]) -> DataFrame:
+    """The keyless as-of join with a right side of at most FEW rows: one sorted array, searched by each left row; nothing is shuffled."""
+    entry = F.struct(F.col(right_on).alias("at"), F.struct(*[F.col(c).alias(f"_r_{c}") for c in values]).alias("value"))
+    table = right.where(F.col(right_on).isNotNull()).agg(F.sort_array(F.collect_list(entry), asc=False).alias("_marks"))
+    latest = F.get(F.filter("_marks", lambda m: m["at"] <= F.col(on)), F.lit(0))["value"]
+    found = left.crossJoin(F.broadcast(table)).withColumn("_value", latest)  # one row
+    return found.select(*left.columns, *[F.col(f"_value._r_{c}").alias(c) for c in values])
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list[str], by: list[str] | None = None) -> DataFrame:
     """left with the values of the latest right row whose right_on is at or before on; null where there is none.
 
-    One union and one window by key: no inequality join, so the work is linear. Without `by` the right side holds for all left rows and
-    the left keys are matched once per distinct date, within spans of time; each span hands its last value on to the next one.
+    One union and one window by key: no inequality join, so the work is linear. Without `by` the right side holds for all left rows: if it
+    has at most FEW rows (counted, so let it be a written table) every task gets them; beyond, the left keys are matched once per distinct
+    date, within spans of time, and each span hands its last value on to the next one.
     """
     by = by or []
+    if not by and right.limit(FEW + 1).count() <= FEW:
+        return searched(left, right, on, right_on, values)
     keys = left.select(*by, on).distinct()
     side = [F.col(c).alias(f"_r_{c}") for c in values]
     marks = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.struct(*side).alias("_value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,20 +50,25 @@ def monthly(spark: SparkSession, d: str) -> DataFrame:
     return by.unpivot("obs_date", ["disc", "tax", "qty"], "series", "value").select("series", "obs_date", "value")
 
 
-def aligned(spark: SparkSession, d: str) -> DataFrame:
-    """series with the factors as they were known at each date."""
-    available = ingest.with_availability(monthly(spark, d), LAGS)
-    out = series(spark, d)
-    for name in LAGS:
+def with_factors(spark: SparkSession, d: str, rows: DataFrame, names: Iterable[str]) -> DataFrame:
+    """rows (date, ...) with the named factors as they were known at each date. The monthly table is written once."""
+    available = settled(ingest.with_availability(monthly(spark, d), LAGS), "factors")
+    for name in names:
         right = available.where(F.col("series") == name).select("available_date", F.col("value").alias(name))
-        out = joins.asof_join(out, right, "date", "available_date", [name])
-    return out
+        rows = joins.asof_join(rows, right, "date", "available_date", [name])
+    return rows
 
 
-def regimes(spark: SparkSession, d: str) -> DataFrame:
+def aligned(spark: SparkSession, d: str, names: Iterable[str] = LAGS) -> DataFrame:
+    """series with the named factors as they were known at each date; written, since most readers take it several times."""
+    return settled(with_factors(spark, d, series(spark, d), names), "aligned")
+
+
+def regimes(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFrame:
     """(origin, regime): direction of the discount over 13 weeks, in hundredths of a point."""
-    dates = aligned(spark, d).select("date", (F.col("disc") * 1000).alias("x")).distinct().withColumn("entity", F.lit("all"))
-    return windows.regime(dates, "x").select(F.col("date").alias("origin"), "regime")
+    dates = (s if s is not None else series(spark, d)).select("date").distinct()
+    known = with_factors(spark, d, dates, ["disc"]).select("date", (F.col("disc") * 1000).alias("x"), F.lit("all").alias("entity"))
+    return windows.regime(known, "x").select(F.col("date").alias("origin"), "regime")
 
 
 def folds(spark: SparkSession) -> DataFrame:
@@ -89,7 +95,7 @@ def system_forecasts(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     """(channel, entity, origin, h, step, yhat) of the fitted channels: Holt, seasonal, factor-adjusted smoothing undamped and damped, macro; and naive."""
     o = origins(spark, d, s)
     factors = settled(channels.seasonal_factors(s, o), "factors")
-    macro = aligned(spark, d).withColumn("qty", F.col("qty") / 1000)
+    macro = aligned(spark, d, ["qty"]).withColumn("qty", F.col("qty") / 1000)
     made = [channels.naive(s, o), channels.holt(s, o), channels.seasonal(s, o, factors=factors), channels.anchored(channels.exogenous_modifier(macro, o, {"qty": 6}))]
     made += [channels.adjusted_trend(s, o, damped=damped, factors=factors) for damped in (False, True)]
     flat = reduce(DataFrame.unionByName, made)
@@ -101,7 +107,7 @@ def cells(spark: SparkSession, d: str, system: bool = False) -> DataFrame:
     s = settled(series(spark, d), "series")
     actuals = joins.forward_actuals(s, origins(spark, d, s), horizons(spark))
     steps = losses.cell_steps(actuals, system_forecasts(spark, d, s) if system else forecasts(spark, d, s))
-    return steps.join(regimes(spark, d), "origin")
+    return steps.join(F.broadcast(settled(regimes(spark, d, s), "regimes")), "origin")  # a row per week
 
 
 def cell_losses(spark: SparkSession, d: str, steps: DataFrame | None = None) -> DataFrame:

@@ -470,7 +470,7 @@ def w5_regime(spark, d):
   CAST(sum(CASE WHEN abs(abs(m) - 0.25) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_near FROM (SELECT disc * 1000 - lag(disc * 1000, 13) OVER (PARTITION BY entity ORDER BY date) AS m FROM aligned), (SELECT CAST(unnest([0.1, 0.2, 0.3, 0.5]) AS DOUBLE) AS threshold) t GROUP BY 1""", "aligned"))
 def w6_threshold_sensitivity(spark, d):
     """Labels that other thresholds flip."""
-    a = pa.aligned(spark, d).withColumn("x", F.col("disc") * 1000)
+    a = pa.aligned(spark, d, ["disc"]).withColumn("x", F.col("disc") * 1000)
     return wi.threshold_sensitivity(a, [0.1, 0.2, 0.3, 0.5], 0.25, 0.05)
 
 
@@ -542,7 +542,7 @@ def w13_reversals(spark, d):
 @query(sql("SELECT entity, date, lag(qty, 6) OVER w - lag(qty, 10) OVER w AS dq FROM aligned WINDOW w AS (PARTITION BY entity ORDER BY date)", "aligned"), "dq")
 def w14_lagged_change(spark, d):
     """A four-row change of a factor, six rows before."""
-    return wi.lagged_change(pa.aligned(spark, d), "qty", 4, 6, "dq").select("entity", "date", "dq")
+    return wi.lagged_change(pa.aligned(spark, d, ["qty"]), "qty", 4, 6, "dq").select("entity", "date", "dq")
 
 
 @query(sql("SELECT o.entity, o.origin, sum(s.y) AS total, count(*) AS n, min(s.date) AS first_date FROM origins o JOIN series s ON s.entity = o.entity AND s.widx BETWEEN o.widx - 51 AND o.widx GROUP BY ALL HAVING count(*) = 52", "origins"), "total")
@@ -670,8 +670,8 @@ fit AS (SELECT o.entity, o.origin, count(*) AS n, avg(x) AS mx, avg(z) AS mz, co
 @query(sql(_MOD + "\nSELECT f.entity, f.origin, z.y AS y0, f.mz + f.b * (z.x - f.mx) AS modifier FROM fit f JOIN z ON z.entity = f.entity AND z.date = f.origin WHERE z.x IS NOT NULL", "aligned", "folds", "origins"), "y0 modifier")
 def f9_exogenous_modifier(spark, d):
     """Ridge of the weekly change on one lagged factor."""
-    a = pa.aligned(spark, d).withColumn("qty", F.col("qty") / 1000)
-    return ch.exogenous_modifier(a, pa.origins(spark, d), {"qty": 6})
+    a = pa.aligned(spark, d, ["qty"]).withColumn("qty", F.col("qty") / 1000)
+    return ch.exogenous_modifier(a, pa.origins(spark, d, a), {"qty": 6})
 
 
 @query()
@@ -745,8 +745,8 @@ fit AS (SELECT o.origin, r.step, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, av
 SELECT 'flow' AS channel, p.entity, f.origin, f.step, p.y * exp(mz + (s1z * s22 - s2z * s12) / (s11 * s22 - s12 * s12) * (x1 - m1) + (s2z * s11 - s1z * s12) / (s11 * s22 - s12 * s12) * (x2 - m2)) AS yhat FROM fit f JOIN p ON p.date = f.origin JOIN origins o ON o.origin = f.origin AND o.entity = p.entity""", "aligned", "folds", "origins"))
 def f17_flow_regression(spark, d):
     """Pooled direct regression on a log ratio and a share; four decimals."""
-    out = ch.flow_regression(pa.aligned(spark, d), pa.origins(spark, d), "y", "qty", "tax", 2)
-    return out
+    a = pa.aligned(spark, d, ["tax", "qty"])
+    return ch.flow_regression(a, pa.origins(spark, d, a), "y", "qty", "tax", 2)
 
 
 ORACLES["f17_flow_regression"] = "SELECT channel, entity, origin, step, round(yhat + 1.23e-06, 4) AS yhat FROM (" + ORACLES["f17_flow_regression"] + ")"
@@ -1389,12 +1389,12 @@ lr AS (SELECT a.h, any_value(a.n) AS n, any_value(a.m) AS mean, sum(CASE WHEN a.
 
 
 def _tested(spark, d):
-    return pa.cell_losses(spark, d).where("fold IS NOT NULL")
+    return settled(pa.cell_losses(spark, d).where("fold IS NOT NULL"), "tested-losses")
 
 
 def _weekly_d(spark, d):
     diffs = stt.paired_differences(_tested(spark, d), "snaive", "naive", ["h", "origin", "entity"])
-    return diffs.groupBy("h", "origin").agg(F.avg("d").alias("d"))
+    return settled(diffs.groupBy("h", "origin").agg(F.avg("d").alias("d")), "weekly-differences")
 
 
 @query(sql(_WD + _LRV + " SELECT h, mean, n, lrv FROM lr", "losses"), "mean lrv")
@@ -1468,7 +1468,7 @@ def t9_pair_bundle(spark, d):
 @query(sql(", z AS (SELECT entity, date, qty, (lead(y, 4) OVER w - y) / nullif(y, 0) AS z, lag(qty, 0) OVER w AS x0, lag(qty, 4) OVER w AS x4, lag(qty, 8) OVER w AS x8 FROM aligned WINDOW w AS (PARTITION BY entity ORDER BY date)), l AS (SELECT 0 AS lag, x0 AS x, z FROM z UNION ALL SELECT 4, x4, z FROM z UNION ALL SELECT 8, x8, z FROM z), c AS (SELECT CAST(lag AS INT) AS lag, corr(x, z) AS r, count(*) AS n FROM l WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY 1) SELECT *, row_number() OVER (ORDER BY round(abs(r), 9) DESC, lag) = 1 AS best FROM c", "aligned"), "r")
 def t10_lag_correlation(spark, d):
     """Correlation over lags, the best one marked."""
-    a = wi.forward_change(pa.aligned(spark, d), 4, "z")
+    a = wi.forward_change(pa.aligned(spark, d, ["qty"]), 4, "z")
     return stt.lag_correlation(a, "qty", [0, 4, 8])
 
 
@@ -1508,7 +1508,7 @@ def a16_factor_summary(spark, d):
 
 
 def _panel(spark, d):
-    a = wi.forward_change(pa.aligned(spark, d), 4, "z").withColumn("q", F.col("qty") / 1000).withColumn("x", F.col("q") * F.ascii("entity") % 7)
+    a = wi.forward_change(pa.aligned(spark, d, ["qty"]), 4, "z").withColumn("q", F.col("qty") / 1000).withColumn("x", F.col("q") * F.ascii("entity") % 7)
     return a.withColumn("period", F.concat_ws("-", F.year("date"), F.quarter("date")))
 
 

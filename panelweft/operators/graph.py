@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 
 
-def package(edges: DataFrame, entities: DataFrame, top_k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(edges with strength -log10 p and inbound rank, nodes with in-degree and isolated); all tests are kept, lags are at least 1."""
+def package(edges: DataFrame, entities: DataFrame, top_k: int = 3, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges with strength -log10 p and inbound rank, nodes with in-degree and isolated); all tests are kept, lags are at least 1.
+
+    With `by` (as_of) there is a graph, and so a rank and a node, for each value of it.
+    """
+    by = by or []
     strength = -F.log10(F.greatest("p_value", F.lit(1e-12)))
     kept = edges.withColumn("lag", F.greatest("best_lag", F.lit(1))).withColumn("strength", strength)
-    order = Window.partitionBy("target").orderBy(F.desc(F.col("significant").cast("int")), F.round("p_value", 12), "source")
+    order = Window.partitionBy(*by, "target").orderBy(F.desc(F.col("significant").cast("int")), F.round("p_value", 12), "source")
     ranked = kept.withColumn("rank", F.row_number().over(order)).withColumn("top", F.col("significant") & (F.col("rank") <= top_k))
-    degree = kept.where("significant").groupBy(F.col("target").alias("entity")).agg(F.count("*").alias("in_degree"))
-    nodes = entities.select("entity").distinct().join(degree, "entity", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
+    degree = kept.where("significant").groupBy(*by, F.col("target").alias("entity")).agg(F.count("*").alias("in_degree"))
+    nodes = entities.select("entity").distinct()
+    nodes = nodes.crossJoin(F.broadcast(edges.select(*by).distinct())) if by else nodes  # a row per graph
+    nodes = nodes.join(degree, [*by, "entity"], "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
     return ranked, nodes.withColumn("isolated", F.col("in_degree") == 0)
 
 
@@ -28,15 +34,16 @@ def edge_matrix(edges: DataFrame, sources: list[str]) -> DataFrame:
     return edge_weights(edges).groupBy("target").pivot("source", sources).agg(F.sum("weight")).na.fill(0.0)
 
 
-def spillover_signal(series: DataFrame, edges: DataFrame, targets: DataFrame, top_k: int = 3, span: int = 3) -> DataFrame:
+def spillover_signal(series: DataFrame, edges: DataFrame, targets: DataFrame, top_k: int = 3, span: int = 3, by: list[str] | None = None) -> DataFrame:
     """(entity, origin, n_neighbours, trend, max_shock, contributors): moves of the top neighbours at their lags, weighted by 1 / p.
 
-    targets (entity, origin). Moves are made once per lag and joined by (source, date).
+    targets (entity, origin), with `by` (as_of) also the graph that is known at the origin. Moves are joined by (source, row number).
     """
-    order = Window.partitionBy("target").orderBy(F.round("p_value", 12), "source")
+    by = by or []
+    order = Window.partitionBy(*by, "target").orderBy(F.round("p_value", 12), "source")
     top = edges.where("significant").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top_k)
-    top = top.select("target", "source", F.greatest("best_lag", F.lit(1)).alias("lag"), (1 / F.greatest("p_value", F.lit(1e-12))).alias("w"))
-    asked = targets.join(top, targets["entity"] == top["target"]).select("entity", "origin", "source", "lag", "w")
+    top = top.select(*by, F.col("target").alias("entity"), "source", F.greatest("best_lag", F.lit(1)).alias("lag"), (1 / F.greatest("p_value", F.lit(1e-12))).alias("w"))
+    asked = targets.join(top, ["entity", *by]).select("entity", "origin", "source", "lag", "w")
     rows = series.select(F.col("entity").alias("source"), "date", "widx", "y")
     now = rows.select("source", F.col("date").alias("origin"), F.col("widx").alias("n"))
     at = asked.join(now, ["source", "origin"]).withColumn("e", F.col("n") - F.col("lag")).withColumn("s", F.col("n") - F.col("lag") - span)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..operators import graph as gr
 from ..operators import guards as gu
 from ..operators import joins as jo
 from ..operators import losses as lo
+from ..operators import screens as sc
 from ..operators import stats as stt
 from ..operators import windows as wi
 from ..sources import ingest as ing
@@ -1490,15 +1492,34 @@ def t12_spillover_graph(spark, d):
     return _edges(spark, d)
 
 
+#: Dates at which graphs are estimated: every 13 weeks.
+GRAPH_DATES = [dt.date(1997, 6, 30) + dt.timedelta(weeks=13 * k) for k in range(17)]
+
+
+@query()
+def t11_granger_at(spark, d):
+    """The screen of all pairs, lags 1 to 8, from the two years up to each of seventeen dates."""
+    s = settled(pa.series(spark, d), "series")
+    return sc.granger_at(jo.ordered_pairs(s), s, GRAPH_DATES)
+
+
+@query()
+def t12_graph_at(spark, d):
+    """The graph of own movements, lags 1 to 8, as it was known at each date."""
+    s = settled(pa.series(spark, d), "series")
+    return sc.graph_at(jo.ordered_pairs(s), s, GRAPH_DATES)
+
+
 @query()
 def t13_factor_scores(spark, d):
-    """Factor correlations beside their Granger tests."""
+    """Factor correlations beside their Granger tests, lags 1 to 8, both from the two years up to one date."""
     a = pa.aligned(spark, d)
     corr = wi.factor_correlation(a, ["disc", "tax", "qty"], "2000-06-05", 4)
     long = a.unpivot(["date"], ["disc", "tax", "qty"], "entity", "y").where("y IS NOT NULL").distinct()
     s = a.select("date", "entity", "y").unionByName(long.select("date", "entity", "y"))
+    at = [dt.date(2000, 6, 5)]
     names = a.select("entity").distinct().crossJoin(F.broadcast(spark.createDataFrame([("disc",), ("tax",), ("qty",)], "source string"))).select("source", F.col("entity").alias("target"))
-    return stt.factor_scores(corr, stt.granger(names, s, 2))
+    return stt.factor_scores(corr, sc.granger_at(names, s, at))
 
 
 @query()
@@ -1564,6 +1585,73 @@ def t19_serial_correlation(spark, d):
 # Graph, gate, boundary
 
 
+#: The share of false edges that the graphs of one lag may hold, and the least probability: under it the finite sum loses digits.
+EDGE_RATE, LEAST_P = 0.05, 1e-6
+_SERIES_OF_T = """list_reduce(range(1, CAST(v / 2 AS BIGINT) + 1), lambda s, j: CASE WHEN v % 2 = 1
+  THEN {'t': CASE WHEN j = 1 THEN cos(th) ELSE s.t * (2 * j - 2) / (2 * j - 1) * cos(th) * cos(th) END, 's': s.s + CASE WHEN j = 1 THEN cos(th) ELSE s.t * (2 * j - 2) / (2 * j - 1) * cos(th) * cos(th) END}
+  ELSE {'t': CASE WHEN j = 1 THEN 1.0 ELSE s.t * (2 * j - 3) / (2 * j - 2) * cos(th) * cos(th) END, 's': s.s + CASE WHEN j = 1 THEN 1.0 ELSE s.t * (2 * j - 3) / (2 * j - 2) * cos(th) * cos(th) END} END,
+  {'t': CAST(0 AS DOUBLE), 's': CAST(0 AS DOUBLE)}).s"""
+#: Edges of one lag as of each date: the F test with one restriction is a t test, whose tail is a finite sum for whole degrees of freedom.
+_GRAPH = f""", gdt AS (SELECT CAST(DATE '1997-06-30' + CAST(91 * k AS INT) AS DATE) AS as_of FROM (SELECT unnest(range(17)) AS k)),
+gro AS (SELECT entity, date, coalesce(c - avg(c) OVER (PARTITION BY date), 0.0) AS g FROM (SELECT entity, date, (y - lag(y) OVER w) / nullif(lag(y) OVER w, 0) AS c FROM series WINDOW w AS (PARTITION BY entity ORDER BY date))),
+gix AS (SELECT as_of, entity, date, product(CASE WHEN n = 1 THEN 1.0 ELSE 1 + g END) OVER (PARTITION BY as_of, entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS v
+  FROM (SELECT as_of, entity, date, g, row_number() OVER (PARTITION BY as_of, entity ORDER BY date) AS n FROM gro JOIN gdt ON date BETWEEN as_of - 728 AND as_of)),
+gdf AS (SELECT as_of, entity, date, dv, lag(dv) OVER (PARTITION BY as_of, entity ORDER BY date) AS l FROM (SELECT as_of, entity, date, v - lag(v) OVER (PARTITION BY as_of, entity ORDER BY date) AS dv FROM gix)),
+gsm AS (SELECT t.as_of, s.entity AS source, t.entity AS target, count(*) AS n, var_pop(t.dv) * count(*) AS zz, var_pop(t.l) * count(*) AS aa, var_pop(s.l) * count(*) AS bb, covar_pop(t.dv, t.l) * count(*) AS za, covar_pop(t.dv, s.l) * count(*) AS zb, covar_pop(t.l, s.l) * count(*) AS ab
+  FROM gdf t JOIN gdf s ON s.as_of = t.as_of AND s.date = t.date AND s.entity <> t.entity WHERE t.l IS NOT NULL AND s.l IS NOT NULL GROUP BY ALL HAVING count(*) >= 60),
+gft AS (SELECT as_of, source, target, n, n - 3 AS v, greatest((r0 - r1) / greatest(r1 / (n - 3), 1e-300), 0.0) AS f FROM (SELECT *, zz - za * za / aa AS r0, zz - (za * za * bb - 2 * za * zb * ab + zb * zb * aa) / (aa * bb - ab * ab) AS r1 FROM gsm)),
+gpv AS (SELECT as_of, source, target, n, f, greatest({LEAST_P}, 1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (th + sin(th) * {_SERIES_OF_T}) ELSE sin(th) * {_SERIES_OF_T} END) AS p FROM (SELECT *, atan(sqrt(f / v)) AS th FROM gft)),
+gdg AS (SELECT *, coalesce(r <= max(CASE WHEN p <= {EDGE_RATE} * r / m THEN r END) OVER (PARTITION BY as_of), false) AS significant FROM (SELECT *, rank() OVER (PARTITION BY as_of ORDER BY p) + count(*) OVER (PARTITION BY as_of, p) - 1 AS r, count(*) OVER (PARTITION BY as_of) AS m FROM gpv))"""
+
+
+def _graph(spark, d, s):
+    """Edges of one lag as of each date: the tested form that SQL can repeat."""
+    edges = sc.graph_at(jo.ordered_pairs(s), s, GRAPH_DATES, 1, q=EDGE_RATE)
+    return settled(edges.withColumn("p_value", F.greatest("p_value", F.lit(LEAST_P))), "edges")
+
+
+@query(sql(_GRAPH + " SELECT as_of, source, target, CAST(1 AS INT) AS best_lag, f AS f_stat, p AS p_value, n AS n_obs, significant FROM gdg"), "f_stat p_value")
+def t12_graph_of_one_lag(spark, d):
+    """The graph of own movements at lag 1 as it was known at each date."""
+    return _graph(spark, d, settled(pa.series(spark, d), "series"))
+
+
+@query(sql(_GRAPH + """ SELECT as_of, source, target, p_value, strength, rank, significant AND rank <= 3 AS top FROM (SELECT as_of, source, target, p AS p_value, significant, -log10(greatest(p, 1e-12)) AS strength,
+  CAST(row_number() OVER (PARTITION BY as_of, target ORDER BY CAST(significant AS INT) DESC, round(p, 12), source) AS INT) AS rank FROM gdg)"""), "p_value strength")
+def k1_package_at(spark, d):
+    """Tested edges with strength and inbound rank, a graph for each date."""
+    s = settled(pa.series(spark, d), "series")
+    return gr.package(_graph(spark, d, s), s, by=["as_of"])[0].select("as_of", "source", "target", "p_value", "strength", "rank", "top")
+
+
+@query(sql(_GRAPH + """ SELECT n.as_of, n.entity, coalesce(k, 0) AS in_degree, k IS NULL AS isolated FROM (SELECT as_of, entity FROM (SELECT DISTINCT as_of FROM gdg), (SELECT DISTINCT entity FROM series)) n
+  LEFT JOIN (SELECT as_of, target, count(*) AS k FROM gdg WHERE significant GROUP BY ALL) g ON g.as_of = n.as_of AND g.target = n.entity"""))
+def k1_nodes_at(spark, d):
+    """Nodes of each date's graph with their in-degree."""
+    s = settled(pa.series(spark, d), "series")
+    return gr.package(_graph(spark, d, s), s, by=["as_of"])[1]
+
+
+_SIGNAL = _GRAPH + """, fe AS (SELECT as_of, source, target, greatest(p, 1e-12) AS p, 1 AS lag FROM gdg WHERE significant),
+te AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, target ORDER BY round(p, 12), source) AS r FROM fe) WHERE r <= 3),
+ml AS (SELECT entity, date, (lag(y, 1) OVER w - lag(y, 4) OVER w) / nullif(lag(y, 4) OVER w, 0) AS m FROM series WINDOW w AS (PARTITION BY entity ORDER BY date)),
+og AS (SELECT entity, origin, (SELECT max(as_of) FROM gdt WHERE as_of <= origin) AS as_of FROM origins),
+mv AS (SELECT o.entity, o.origin, t.source, 1 / t.p AS w, ml.m FROM og o JOIN te t ON t.target = o.entity AND t.as_of = o.as_of JOIN ml ON ml.entity = t.source AND ml.date = o.origin WHERE ml.m IS NOT NULL),
+sg AS (SELECT entity, origin, count(*) AS n_neighbours, sum(w * m) / sum(w) AS trend, arg_max(m, {'a': round(abs(m), 12), 'b': source}) AS max_shock, arg_max(source, {'a': round(abs(m), 12), 'b': source}) AS shocked FROM mv GROUP BY ALL)"""
+
+
+def _signal(spark, d, s, o):
+    """Neighbour moves on the edges that were known at each origin."""
+    return gr.spillover_signal(s, _graph(spark, d, s), sc.known_at(o.select("entity", "origin"), GRAPH_DATES), by=["as_of"])
+
+
+@query(sql(_SIGNAL + " SELECT entity, origin, n_neighbours, trend, max_shock, shocked FROM sg", "origins"), "trend max_shock")
+def k3_signal_at(spark, d):
+    """Weighted moves of the neighbours that were known at each origin."""
+    s = settled(pa.series(spark, d), "series")
+    return _signal(spark, d, s, pa.origins(spark, d, s)).drop("contributors")
+
+
 def _fixed_edges(spark, d):
     """Edges by rule, so that SQL can make them too: each entity to those whose name is longer or later."""
     pairs = jo.ordered_pairs(pa.table(spark, d, "customer").select(F.col("c_mktsegment").alias("entity")))
@@ -1602,12 +1690,13 @@ def k3_spillover_signal(spark, d):
 
 
 
-_GATE = _FE + """, e8 AS (SELECT entity, date, CASE WHEN n + 1 < 4 OR ape IS NULL THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE (ape - m) / sd END AS z FROM (SELECT entity, date, ape, count(ape) OVER w AS n, avg(ape) OVER w AS m, stddev_pop(ape) OVER w AS sd
+_DECIDED = """, e8 AS (SELECT entity, date, CASE WHEN n + 1 < 4 OR ape IS NULL THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE (ape - m) / sd END AS z FROM (SELECT entity, date, ape, count(ape) OVER w AS n, avg(ape) OVER w AS m, stddev_pop(ape) OVER w AS sd
   FROM (SELECT entity, date, abs((y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(y, 0)) AS ape FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING))),
 e9 AS (SELECT entity, date, CASE WHEN n < 12 THEN NULL WHEN sd < 1e-12 THEN 0.0 ELSE abs(mv) / sd END AS z FROM (SELECT entity, date, mv, count(mv) OVER w AS n, stddev_pop(mv) OVER w AS sd
   FROM (SELECT entity, date, (y - lag(y, 4) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 4) OVER (PARTITION BY entity ORDER BY date), 0) AS mv FROM series) WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))),
 gd AS (SELECT o.entity, o.origin, CASE WHEN (o.entity, o.origin) IN (SELECT DISTINCT (entity, week) FROM evw) THEN 'event' WHEN a.z > 2.0 THEN 'own_error' WHEN b.z > 2.5 THEN 'neighbour_shock' ELSE 'none' END AS trigger FROM origins o
   LEFT JOIN e8 a ON a.entity = o.entity AND a.date = o.origin LEFT JOIN sg ON sg.entity = o.entity AND sg.origin = o.origin LEFT JOIN e9 b ON b.entity = sg.shocked AND b.date = o.origin)"""
+_GATE = _FE + _DECIDED
 
 
 @query(sql(_GATE + " SELECT entity, origin, trigger FROM gd", "origins", "events"))
@@ -1616,11 +1705,12 @@ def k4_gate(spark, d):
     return _gated(spark, d).select("entity", "origin", "trigger")
 
 
-def _gated(spark, d):
-    s = pa.series(spark, d)
+def _gated(spark, d, tested=False):
+    s = settled(pa.series(spark, d), "series")
     o = pa.origins(spark, d, s)
     live = pa.event_weeks(spark, d).select("entity", F.col("week").alias("origin")).distinct().withColumn("event_live", F.lit(True))
-    shocks = gr.shock_z(gr.spillover_signal(s, _fixed_edges(spark, d), o), wi.move_zscore(s))
+    signal = _signal(spark, d, s, o) if tested else gr.spillover_signal(s, _fixed_edges(spark, d), o)
+    shocks = gr.shock_z(signal, wi.move_zscore(s))
     return gr.gate(gr.gate_inputs(s, o, wi.error_zscore(s), live, shocks))
 
 
@@ -1630,6 +1720,18 @@ def a17_gate_report(spark, d):
     return lo.gate_report(_gated(spark, d))
 
 
+@query(sql(_SIGNAL + _DECIDED + " SELECT entity, origin, trigger FROM gd", "origins", "events"))
+def k4_gate_at(spark, d):
+    """Gate decisions, the neighbours being those of the graph that was known at the origin."""
+    return _gated(spark, d, True).select("entity", "origin", "trigger")
+
+
+@query(sql(_SIGNAL + _DECIDED + " SELECT coalesce(trigger, 'all') AS trigger, count(*) AS n, count(*) FILTER (trigger <> 'none') AS n_active, count(*) / CAST((SELECT count(*) FROM gd) AS DOUBLE) AS share FROM gd GROUP BY ROLLUP (trigger)", "origins", "events"), "share")
+def a17_gate_report_at(spark, d):
+    """Those decisions by trigger."""
+    return lo.gate_report(_gated(spark, d, True))
+
+
 _BD = ", bd AS (SELECT entity, 0.4 * coalesce(max(abs(c)), 1.0) AS bound FROM (SELECT entity, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM series) GROUP BY 1)"
 
 

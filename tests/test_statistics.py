@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from panelweft.functions.draws import INCREMENT, MODULUS, MULTIPLIER
 from panelweft.functions.tables import settled
-from panelweft.operators import backtest, losses, stats, windows
+from panelweft.operators import backtest, joins, losses, screens, stats, windows
 from panelweft.plans import panels, queries
 
 
@@ -223,14 +223,97 @@ def test_own_index_keeps_sign_and_zero(spark):
     assert math.isclose(got["a", 10], -1.25) and math.isclose(got["b", 10], 3.25) and math.isclose(got["a", 17], -1.25)
 
 
+def window(frame, as_of, weeks=104):
+    return frame[(frame["date"] <= as_of) & (frame["date"] >= as_of - dt.timedelta(weeks=weeks))]
+
+
+def same_edges(got, want):
+    assert got.keys() == want.keys() and want
+    for k, (lag, f, p, n) in want.items():
+        if lag == 0:  # a series that does not move
+            assert (got[k]["f_stat"], got[k]["p_value"], got[k]["n_obs"]) == (0.0, 1.0, n)
+            continue
+        assert (got[k]["best_lag"], got[k]["n_obs"]) == (lag, n)
+        close(got[k]["f_stat"], f, 1e-5)
+        close(got[k]["p_value"], p, 1e-5)
+
+
+def test_screen_at_dates(spark, sf, series):
+    got = {}
+    for r in queries.QUERIES["t11_granger_at"](spark, sf).collect():
+        got.setdefault(r["as_of"], {})[r["source"], r["target"]] = r
+    assert sorted(got) == queries.GRAPH_DATES
+    for as_of in queries.GRAPH_DATES[::8]:
+        same_edges(got[as_of], screened(differenced(window(series, as_of)), 8))
+
+
+def own_index(frame):
+    change = frame.assign(c=frame.groupby("entity")["y"].pct_change(fill_method=None))
+    return change.assign(g=(change["c"] - change.groupby("date")["c"].transform("mean")).fillna(0.0))
+
+
+def test_graph_at_dates(spark, sf, series):
+    """Own movements make an index that starts anew in each window; significance is judged among the pairs of a date."""
+    got = {}
+    for r in queries.QUERIES["t12_graph_at"](spark, sf).collect():
+        got.setdefault(r["as_of"], {})[r["source"], r["target"]] = r
+    grown = own_index(series)
+    for as_of in queries.GRAPH_DATES[::8]:
+        part = window(grown, as_of).copy()
+        first = part.groupby("entity")["date"].transform("min") == part["date"]
+        part["y"] = (1 + part["g"].where(~first, 0.0)).groupby(part["entity"]).cumprod()
+        want = screened(differenced(part), 8)
+        same_edges(got[as_of], want)
+        keys = list(want)
+        assert {k for k, r in got[as_of].items() if r["significant"]} == {keys[i] for i in step_up([want[k][2] for k in keys])}
+
+
+def test_later_rows_change_nothing(spark, series):
+    """No edge, gate signal or factor test sees a row after its date."""
+    dates = queries.GRAPH_DATES[4:6]
+    later = series.assign(y=np.where(series["date"] > dates[0], series["y"] * 3 + 7, series["y"]))
+    found = []
+    for frame in (series, later):
+        df = spark.createDataFrame(frame[["entity", "date", "y"]])
+        edges = screens.graph_at(joins.ordered_pairs(df), df, dates, 3).collect()
+        found.append({(r["source"], r["target"]): tuple(r) for r in edges if r["as_of"] == dates[0]})
+    assert found[0] == found[1] and len(found[0]) == 20
+
+
+def test_screen_in_blocks_with_gaps_and_flat_series(spark):
+    rng = np.random.default_rng(2)
+    days = [dt.date(1999, 1, 4) + dt.timedelta(weeks=k) for k in range(120)]
+    rows = [(f"e{e}", d, None if rng.random() < 0.1 * (e % 3) else float(rng.normal())) for e in range(7) for d in days]
+    rows += [("flat", d, 1.0) for d in days] + [("short", d, float(rng.normal())) for d in days[-20:]]
+    df = spark.createDataFrame(rows, "entity string, date date, y double")
+    pairs = joins.ordered_pairs(df)
+    get = lambda block: {(r["source"], r["target"]): tuple(r) for r in screens.granger_at(pairs, df, [days[-1]], 2, block=block).collect()}
+    one, many = get(64), get(2)
+    assert one.keys() == many.keys() and not any("short" in k for k in one)
+    for k, a in one.items():
+        assert a[:4] == many[k][:4] and a[6] == many[k][6]
+        close(a[5], many[k][5])
+    frame = pd.DataFrame(rows, columns=["entity", "date", "y"]).dropna()
+    own = differenced(window(frame, days[-1]))
+    for (a, b), r in one.items():
+        if "flat" in (a, b):
+            continue
+        lag, _, p, n = plain_granger(own[a], own[b], 2)
+        assert (r[3], r[6]) == (lag, n)
+        close(r[5], p, 1e-5)
+    assert all(r[5] == 1.0 for k, r in one.items() if k[0] == "flat")
+    assert screens.granger_at(pairs.limit(0), df, [days[-1]], 2).collect() == []
+
+
 def test_factor_scores(spark, sf):
     a = panels.aligned(spark, sf)
     frame = a.toPandas().sort_values(["entity", "date"])
     corr = {(r["entity"], r["factor"]): r["corr"] for r in windows.factor_correlation(a, ["disc", "tax", "qty"], "2000-06-05", 4).collect()}
+    frame = window(frame, dt.date(2000, 6, 5))
     own = differenced(frame)
     factors = {f: frame[["date", f]].dropna().drop_duplicates("date").set_index("date")[f].sort_index().diff().dropna() for f in ("disc", "tax", "qty")}
     got = {(r["entity"], r["factor"]): r for r in queries.QUERIES["t13_factor_scores"](spark, sf).collect()}
-    want = {(e, f): plain_granger(factors[f], own[e], 2) for e in own for f in factors}
+    want = {(e, f): plain_granger(factors[f], own[e], 8) for e in own for f in factors}
     want = {k: v for k, v in want.items() if v and k in corr}
     assert got.keys() == want.keys() and want
     for k, (lag, _, p, _) in want.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,16 @@ def draw(*parts: Column | int) -> Column:
     return out
 
 
+def draws(*parts: np.ndarray | int) -> np.ndarray:
+    """The same over NumPy arrays."""
+    out = np.int64(1)
+    for p in parts:
+        out = (out * MULTIPLIER + INCREMENT + np.asarray(p, np.int64) % MODULUS) % MODULUS
+    for _ in range(3):
+        out = (out * MULTIPLIER + INCREMENT) % MODULUS
+    return out
+
+
 def draw_sql(*parts: str) -> str:
     """The same in SQL."""
     out = "CAST(1 AS BIGINT)"

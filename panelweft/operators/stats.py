@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draws
 from ..functions.linalg import dot, f_tail, gram, solve, t_pvalue, with_coefficients
 from ..functions.tables import settled
 from .windows import by_date, strip_common
@@ -92,23 +94,50 @@ def holm(df: DataFrame, by: list[str], p: str = "p_value") -> DataFrame:
     return ranked(df, by, p).withColumn("_a", raised).withColumn("p_holm", F.max("_a").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_a")
 
 
-def block_bootstrap(weekly: DataFrame, by: list[str], value: str, replicates: int = 200, block: int = 13, seed: int = 5, level: float = 0.95, order: str = "origin") -> DataFrame:
-    """(by, mean, low, high): percentile interval of the mean over moving blocks of whole weeks; block = 1 is the iid bootstrap.
+def replicate_means(weekly: DataFrame, by: list[str], value: str, replicates: int, block: int, seed: int = 5, order: str = "origin") -> DataFrame:
+    """(by, n, mean, boot): a group's weekly values, a null being none, and the means of its moving-block replicates as one array.
 
-    Draws are a column: (replicate, block) rows get a start from an integer generator and are joined to the weeks by row number.
+    A block's sum is a difference of prefix sums, so a replicate costs one lookup per block and no row; a group is one row with its weeks.
     """
-    w = Window.partitionBy(*by)
-    rows = weekly.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
-    groups = rows.groupBy(*by).agg(F.first("n").alias("n"))
-    reps = weekly.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    plan = groups.crossJoin(F.broadcast(reps)).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
-    start = F.pmod(draw(seed, F.col("rep"), F.col("b")), F.greatest(F.col("n") - block + 1, F.lit(1)))
-    plan = plan.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("k") < F.col("n"))
-    plan = plan.withColumn("i", start + F.col("k"))
-    means = plan.join(rows.select(*by, "i", F.col(value).alias("_v")), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("_v").alias("m"))
-    tail = (1 - level) / 2
-    ci = means.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(ci, by)
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = weekly.where(F.col(value).isNotNull()).select(*by, order, F.sum(value).over(w).alias("_s"))
+    sums = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("_s")))), lambda x: x["_s"])
+
+    @F.pandas_udf("array<double>")
+    def drawn(sums: pd.Series) -> pd.Series:
+        out = []
+        for values in sums:
+            total = np.r_[0.0, np.asarray(values, float)]
+            n = len(total) - 1
+            blocks = -(-n // block)
+            ends = np.full(blocks, block)
+            ends[-1] = n - (blocks - 1) * block
+            start = draws(seed, np.arange(replicates)[:, None], np.arange(blocks)[None, :]) % max(n - block + 1, 1)
+            out.append(((total[start + ends] - total[start]).sum(axis=1) / n).tolist())
+        return pd.Series(out, dtype=object)
+
+    groups = rows.groupBy(*by).agg(sums.alias("_s"))
+    return groups.select(*by, F.size("_s").alias("n"), (F.element_at("_s", -1) / F.size("_s")).alias("mean"), drawn("_s").alias("boot"))
+
+
+def block_bootstrap(weekly: DataFrame, by: list[str], value: str, replicates: int = 5000, block: int = 13, seed: int = 5, level: float = 0.95, order: str = "origin") -> DataFrame:
+    """(by, mean, low, high): percentile interval of the mean over moving blocks of whole weeks; block = 1 is the iid bootstrap."""
+    tail = 50 * (1 - level)
+
+    @F.pandas_udf("struct<low:double,high:double>")
+    def interval(boot: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([np.percentile(np.asarray(b, float), [tail, 100 - tail]) for b in boot], columns=["low", "high"])
+
+    rows = replicate_means(weekly, by, value, replicates, block, seed, order)
+    return rows.select(*by, "mean", interval("boot").alias("_i")).select(*by, "mean", "_i.low", "_i.high")
+
+
+def against_iid(weekly: DataFrame, by: list[str], value: str, replicates: int = 5000, block: int = 13, seed: int = 5) -> DataFrame:
+    """(by, low, high, iid_low, iid_high, width_ratio): what independent weeks would claim beside what blocks of weeks do."""
+    whole = block_bootstrap(weekly, by, value, replicates, block, seed)
+    single = block_bootstrap(weekly, by, value, replicates, 1, seed).select(*by, F.col("low").alias("iid_low"), F.col("high").alias("iid_high"))
+    ratio = F.try_divide(F.col("high") - F.col("low"), F.col("iid_high") - F.col("iid_low"))
+    return whole.drop("mean").join(single, by).withColumn("width_ratio", ratio)
 
 
 def equivalence(ci: DataFrame, reference: DataFrame, by: list[str], margin: float = 0.02) -> DataFrame:
@@ -116,30 +145,25 @@ def equivalence(ci: DataFrame, reference: DataFrame, by: list[str], margin: floa
     return ci.join(reference.select(*by, F.col("mape").alias("ref")), by).withColumn("equivalent", (F.col("low") > -margin * F.col("ref")) & (F.col("high") < margin * F.col("ref")))
 
 
-def model_confidence_set(weekly: DataFrame, alpha: float = 0.10, replicates: int = 200, block: int = 13, seed: int = 5) -> DataFrame:
+def model_confidence_set(weekly: DataFrame, alpha: float = 0.10, replicates: int = 5000, block: int = 13, seed: int = 5) -> DataFrame:
     """(h, channel, p_value, member): the set of methods that none of the others beats, by the largest standardised excess loss.
 
     Excess losses are scaled by their bootstrap deviation. A method whose weekly losses equal those of another (within 1e-12) stands or
-    falls with it. Spark makes the replicate means of each method; the elimination over the few methods runs per horizon.
+    falls with it. Spark makes the replicate means of each method as one array; the elimination over the few methods runs per horizon.
     """
     complete = weekly.withColumn("_n", F.count("*").over(Window.partitionBy("h", "origin"))).withColumn("_m", F.size(F.collect_set("channel").over(Window.partitionBy("h"))))
-    complete = complete.where("_n = _m").select("h", "origin", "channel", "mape")
+    complete = settled(complete.where("_n = _m").select("h", "origin", "channel", "mape"), "complete-weeks")
     w = Window.partitionBy("h", "channel")
-    rows = complete.withColumn("i", F.row_number().over(w.orderBy("origin")) - 1).withColumn("n", F.count("*").over(w))
-    reps = weekly.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    plan = rows.groupBy("h").agg(F.max("n").alias("n")).crossJoin(F.broadcast(reps)).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)))
-    start = F.pmod(draw(seed, F.col("rep"), F.col("b")), F.greatest(F.col("n") - block + 1, F.lit(1)))
-    plan = plan.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("k") < F.col("n")).withColumn("i", start + F.col("k"))
-    means = plan.select("h", "rep", "i").join(rows.select("h", "channel", "i", "mape"), ["h", "i"]).groupBy("h", "channel", "rep").agg(F.avg("mape").alias("m"))
-    plain = rows.groupBy("h", "channel").agg(F.avg("mape").alias("m")).withColumn("rep", F.lit(-1))
+    rows = complete.withColumn("i", F.row_number().over(w.orderBy("origin")) - 1)
+    means = replicate_means(complete, ["h", "channel"], "mape", replicates, block, seed)
     other = rows.select("h", "i", F.col("channel").alias("twin"), F.col("mape").alias("_o"))
     apart = rows.join(other, ["h", "i"]).where("twin < channel").groupBy("h", "channel", "twin").agg(F.max(F.abs(F.col("mape") - F.col("_o"))).alias("d"))
     twins = apart.where("d <= 1e-12").groupBy("h", "channel").agg(F.min("twin").alias("twin"))
 
     def eliminate(pdf: pd.DataFrame) -> pd.DataFrame:
         twin = dict(pdf[["channel", "twin"]].dropna().drop_duplicates().itertuples(index=False))
-        table = pdf[pdf["twin"].isna()].pivot(index="channel", columns="rep", values="m").sort_index()
-        names, mean, boot = list(table.index), table[-1].to_numpy(), table.drop(columns=-1).to_numpy()
+        table = pdf[pdf["twin"].isna()].sort_values("channel")
+        names, mean, boot = list(table["channel"]), table["mean"].to_numpy(), np.stack(table["boot"].to_list())
         alive, p, out = list(range(len(names))), 0.0, {}
         while len(alive) > 1:
             centre, cb = mean[alive] - mean[alive].mean(), boot[alive] - boot[alive].mean(0)
@@ -156,15 +180,15 @@ def model_confidence_set(weekly: DataFrame, alpha: float = 0.10, replicates: int
         found |= {c: found[k] for c, k in twin.items()}
         return pd.DataFrame({"h": pdf["h"].iloc[0], "channel": list(found), "p_value": list(found.values()), "member": [v >= alpha for v in found.values()]})
 
-    every = means.unionByName(plain.select(*means.columns)).join(F.broadcast(twins), ["h", "channel"], "left")  # a row per method
+    every = means.join(F.broadcast(twins), ["h", "channel"], "left")  # a row per method
     return every.groupBy("h").applyInPandas(eliminate, "h int, channel string, p_value double, member boolean")
 
 
-def pair_bundle(losses: DataFrame, pairs: list[tuple[str, str]], replicates: int = 200) -> DataFrame:
+def pair_bundle(losses: DataFrame, pairs: list[tuple[str, str]], replicates: int = 5000) -> DataFrame:
     """(h, a, b, mean, stat, p_value, low, high, a_better, b_better): all pairwise statistics; blocks of 13 weeks or half of them."""
     out = None
     for a, b in pairs:
-        weekly = paired_differences(losses, a, b, ["h", "origin", "entity"]).groupBy("h", "origin").agg(F.avg("d").alias("d"))
+        weekly = settled(paired_differences(losses, a, b, ["h", "origin", "entity"]).groupBy("h", "origin").agg(F.avg("d").alias("d")), "weekly-differences")
         row = diebold_mariano(weekly, ["h"]).join(block_bootstrap(weekly, ["h"], "d", replicates).select("h", "low", "high"), "h").join(entity_dm(losses, a, b).drop("n_entities"), "h")
         row = row.select("h", F.lit(a).alias("a"), F.lit(b).alias("b"), "mean", "stat", "p_value", "low", "high", "a_better", "b_better")
         out = row if out is None else out.unionByName(row)
@@ -339,12 +363,13 @@ def driscoll_kraay(df: DataFrame, y: str, xs: list[str], lag: int = 4, effects:
 WEBB = (1.5, 1.0, 0.5)
 
 
-def wild_cluster(df: DataFrame, y: str, x: str, controls: list[str], replicates: int = 199, seed: int = 23, effects: list[list[str]] | None = None) -> DataFrame:
+def wild_cluster(df: DataFrame, y: str, x: str, controls: list[str], replicates: int = 9999, seed: int = 23, effects: list[list[str]] | None = None) -> DataFrame:
     """(term, t, p_value, n_replicates): restricted wild cluster bootstrap of one coefficient, six-point weights.
 
     A cluster enters as a few sums (its part of the Gram matrix and of the restricted fit). The design does not depend on the weights, so
-    a replicate is two sums over clusters, both combined before they are shuffled; draws come from the integer generator by (replicate,
-    crc32 of the cluster's name).
+    a replicate is two sums over clusters. A cluster is one row with an array of weights; sums over all replicates are matrix products
+    within a task, and only a row per replicate and task is shuffled. Draws come from the integer generator by (replicate, crc32 of the
+    cluster's name).
     """
     xs = [x, *controls]
     p = len(xs)
@@ -368,20 +393,41 @@ def wild_cluster(df: DataFrame, y: str, x: str, controls: list[str], replicates:
     row0 = F.slice("inv", 1, p)
     # What a cluster adds to the first coefficient's score: a + w u - z b.
     per = per.select("entity", "xf", "xu", "inv", dot(row0, F.col("xf")).alias("a"), dot(row0, F.col("xu")).alias("u"), F.array(*[dot(row0, F.array(*[F.get("xx", F.lit(i * p + j)) for i in range(p)])) for j in range(p)]).alias("z"))
-    reps = df.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("rep"))
-    k = F.pmod(draw(seed, F.col("rep"), F.crc32("entity")), F.lit(6))
-    size = F.sqrt(F.element_at(F.array(*[F.lit(v) for v in WEBB]), (F.pmod(k, F.lit(3)) + 1).cast("int")))
-    weight = F.when(F.col("rep") == 0, 1.0).otherwise(F.when(k < 3, size).otherwise(-size))
-    drawn = per.crossJoin(F.broadcast(reps)).withColumn("w", weight)
-    made = drawn.groupBy("rep").agg(F.first("inv").alias("inv"), *[F.sum(F.get("xf", F.lit(i)) + F.col("w") * F.get("xu", F.lit(i))).alias(f"_y{i}") for i in range(p)])
-    xy = F.array(*[F.col(f"_y{i}") for i in range(p)])
-    made = made.select("rep", F.array(*[dot(F.slice("inv", i * p + 1, p), xy) for i in range(p)]).alias("b"))  # a row per replicate
-    score = F.col("a") + F.col("w") * F.col("u") - dot(F.col("z"), F.col("b"))
-    ts = drawn.join(F.broadcast(made), "rep").groupBy("rep").agg(F.first(F.get("b", F.lit(0))).alias("b0"), F.sum(score * score).alias("v"))
-    ts = ts.select("rep", F.when(F.col("v") > 0, F.col("b0") / F.sqrt("v")).otherwise(0.0).alias("t"))
-    true = ts.where("rep = 0").select(F.col("t").alias("t0"))
+    per = settled(per, "clusters")
+    inv = per.select("inv").first()
+
+    def weights(names: pd.Series) -> np.ndarray:
+        """A row of weights per cluster, a column per replicate; the first column is the sample itself."""
+        k = draws(seed, np.arange(replicates + 1)[None, :], np.array([zlib.crc32(e.encode()) for e in names], np.int64)[:, None]) % 6
+        w = np.sqrt(np.asarray(WEBB))[k % 3] * np.where(k < 3, 1.0, -1.0)
+        w[:, 0] = 1.0
+        return w
+
+    def summed(each, columns: int) -> np.ndarray:
+        """(replicates + 1) x columns: the sums over clusters of each(pdf, weights), added up within tasks first."""
+
+        def run(batches):
+            total = np.zeros((replicates + 1, columns))
+            for pdf in batches:
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    total += each(part, weights(part["entity"]))
+            yield pd.DataFrame({"rep": np.arange(replicates + 1)} | {f"v{i}": total[:, i] for i in range(columns)})
+
+        parts = per.select("entity", "xf", "xu", "a", "u", "z").mapInPandas(run, "rep int, " + ", ".join(f"v{i} double" for i in range(columns)))
+        found = parts.groupBy("rep").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(columns)]).toPandas().sort_values("rep")  # a row per replicate
+        return found[[f"v{i}" for i in range(columns)]].to_numpy()
+
+    if inv is None:
+        return df.sparkSession.createDataFrame([], "term string, t double, p_value double, n_replicates bigint")
+    stack = lambda part, c: np.stack(part[c].to_list())
+    xy = summed(lambda part, w: stack(part, "xf").sum(axis=0) + w.T @ stack(part, "xu"), p)
+    b = xy @ np.asarray(inv[0]).reshape(p, p).T
+    v = summed(lambda part, w: ((part["a"].to_numpy()[:, None] + w * part["u"].to_numpy()[:, None] - stack(part, "z") @ b.T) ** 2).sum(axis=0)[:, None], 1)[:, 0]
+    ts = np.where(v > 0, b[:, 0] / np.sqrt(np.where(v > 0, v, 1)), 0.0)
     # Ties with the sample's own statistic count, within the last digits.
-    return ts.where("rep > 0").crossJoin(F.broadcast(true)).agg(F.first("t0").alias("t"), F.avg((F.abs("t") >= F.abs("t0") - 1e-12).cast("double")).alias("p_value"), F.count("*").alias("n_replicates")).select(F.lit(x).alias("term"), "t", "p_value", "n_replicates")
+    share = float((np.abs(ts[1:]) >= abs(ts[0]) - 1e-12).mean()) if replicates else None
+    return df.sparkSession.createDataFrame([(x, float(ts[0]), share, replicates)], "term string, t double, p_value double, n_replicates bigint")
 
 
 def distributed_lag(df: DataFrame, y: str, x: str, max_lag: int = 26, lag: int = 4, ranges: list[tuple[int, int]] | None = None) -> DataFrame:

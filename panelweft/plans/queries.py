@@ -1438,33 +1438,44 @@ def t5_holm(spark, d):
 
 
 _BOOT = _WD + f""", r AS (SELECT h, d, row_number() OVER (PARTITION BY h ORDER BY origin) - 1 AS i, count(*) OVER (PARTITION BY h) AS n FROM wd),
-pl AS (SELECT g.h, rep, b, k, {draw_sql('5', 'rep', 'b')} % greatest(g.n - 13 + 1, 1) + k AS i FROM (SELECT h, any_value(n) AS n FROM r GROUP BY 1) g, (SELECT unnest(range(100)) AS rep), (SELECT unnest(range(40)) AS b), (SELECT unnest(range(13)) AS k) WHERE b <= ceil(g.n / 13.0) - 1 AND b * 13 + k < g.n),
+pl AS (SELECT g.h, rep, b, k, {draw_sql('5', 'rep', 'b')} % greatest(g.n - 13 + 1, 1) + k AS i FROM (SELECT h, any_value(n) AS n FROM r GROUP BY 1) g, (SELECT unnest(range(5000)) AS rep), (SELECT unnest(range(40)) AS b), (SELECT unnest(range(13)) AS k) WHERE b <= ceil(g.n / 13.0) - 1 AND b * 13 + k < g.n),
 ms AS (SELECT pl.h, rep, avg(r.d) AS m FROM pl JOIN r ON r.h = pl.h AND r.i = pl.i GROUP BY ALL)"""
 
 
 @query(sql(_BOOT + " SELECT h, mean, low, high FROM (SELECT h, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ms GROUP BY 1) JOIN (SELECT h, avg(d) AS mean FROM wd GROUP BY 1) USING (h)", "losses"), "mean low high")
 def t6_block_bootstrap(spark, d):
     """Moving-block intervals of the weekly difference."""
-    return stt.block_bootstrap(_weekly_d(spark, d), ["h"], "d", 100)
+    return stt.block_bootstrap(_weekly_d(spark, d), ["h"], "d")
+
+
+_IID = f""", ip AS (SELECT g.h, rep, {draw_sql('5', 'rep', 'b')} % g.n AS i FROM (SELECT h, any_value(n) AS n FROM r GROUP BY 1) g, (SELECT unnest(range(5000)) AS rep), (SELECT unnest(range(520)) AS b) WHERE b < g.n),
+im AS (SELECT ip.h, rep, avg(r.d) AS m FROM ip JOIN r ON r.h = ip.h AND r.i = ip.i GROUP BY ALL)"""
+
+
+@query(sql(_BOOT + _IID + """ SELECT h, low, high, iid_low, iid_high, (high - low) / nullif(iid_high - iid_low, 0) AS width_ratio FROM (SELECT h, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ms GROUP BY 1)
+  JOIN (SELECT h, quantile_cont(m, 0.025) AS iid_low, quantile_cont(m, 0.975) AS iid_high FROM im GROUP BY 1) USING (h)""", "losses"), "low high iid_low iid_high width_ratio")
+def t6_blocks_against_iid(spark, d):
+    """Block intervals beside those that independent weeks would give."""
+    return stt.against_iid(_weekly_d(spark, d), ["h"], "d")
 
 
 @query(sql(_BOOT + ", ci AS (SELECT h, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM ms GROUP BY 1), ref AS (SELECT h, avg(mape) AS ref FROM losses WHERE fold IS NOT NULL AND channel = 'naive' GROUP BY 1) SELECT h, low, high, low > -0.02 * ref AND high < 0.02 * ref AS equivalent FROM ci JOIN ref USING (h)", "losses"), "low high")
 def t7_equivalence(spark, d):
     """Whether the 90 % interval lies within two per cent of the reference."""
     ref = lo.headline(_tested(spark, d).where("channel = 'naive'"))
-    return stt.equivalence(stt.block_bootstrap(_weekly_d(spark, d), ["h"], "d", 100, level=0.9), ref, ["h"]).select("h", "low", "high", "equivalent")
+    return stt.equivalence(stt.block_bootstrap(_weekly_d(spark, d), ["h"], "d", level=0.9), ref, ["h"]).select("h", "low", "high", "equivalent")
 
 
 @query()
 def t8_model_confidence_set(spark, d):
     """Methods that none of the others beats."""
-    return stt.model_confidence_set(lo.weekly_means(_tested(spark, d)), replicates=100)
+    return stt.model_confidence_set(lo.weekly_means(_tested(spark, d)))
 
 
 @query()
 def t9_pair_bundle(spark, d):
-    """All statistics of two pairs."""
-    return stt.pair_bundle(_tested(spark, d), [("snaive", "naive"), ("histmean", "naive")], 50)
+    """All statistics of all pairs of channels."""
+    return stt.pair_bundle(_tested(spark, d), [("snaive", "naive"), ("histmean", "naive"), ("histmean", "snaive")])
 
 
 @query(sql(", z AS (SELECT entity, date, qty, (lead(y, 4) OVER w - y) / nullif(y, 0) AS z, lag(qty, 0) OVER w AS x0, lag(qty, 4) OVER w AS x4, lag(qty, 8) OVER w AS x8 FROM aligned WINDOW w AS (PARTITION BY entity ORDER BY date)), l AS (SELECT 0 AS lag, x0 AS x, z FROM z UNION ALL SELECT 4, x4, z FROM z UNION ALL SELECT 8, x8, z FROM z), c AS (SELECT CAST(lag AS INT) AS lag, corr(x, z) AS r, count(*) AS n FROM l WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY 1) SELECT *, row_number() OVER (ORDER BY round(abs(r), 9) DESC, lag) = 1 AS best FROM c", "aligned"), "r")
@@ -1559,7 +1570,7 @@ def t15_driscoll_kraay(spark, d):
 @query()
 def t16_wild_cluster(spark, d):
     """Restricted wild cluster bootstrap."""
-    return stt.wild_cluster(_panel(spark, d), "z", "x", ["q"], 99)
+    return stt.wild_cluster(_panel(spark, d), "z", "x", ["q"])
 
 
 @query()

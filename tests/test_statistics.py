@@ -102,16 +102,33 @@ def starts(seed, n, replicates, block):
         yield np.concatenate([draw(seed, rep, b) % max(n - block + 1, 1) + np.arange(block) for b in range(-(-n // block))])[:n]
 
 
+def test_intervals_of_short_and_gappy_series(spark):
+    """Fewer weeks than a block, a broken last block, nulls, ties, one week; blocks of one week are the iid bootstrap."""
+    rng = np.random.default_rng(11)
+    values = {1: [2.5], 2: rng.normal(size=5).tolist(), 3: rng.normal(size=13).tolist(), 4: [*rng.normal(size=29).tolist(), None, 1.0, 1.0], 5: [3.0] * 40}
+    rows = [(g, k, v) for g, vs in values.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g int, origin int, d double").repartition(3)
+    for block in (1, 13):
+        got = {r["g"]: r for r in stats.block_bootstrap(df, ["g"], "d", 60, block).collect()}
+        assert got.keys() == values.keys()
+        for g, vs in values.items():
+            v = np.array([x for x in vs if x is not None])
+            boot = [v[i].mean() for i in starts(5, len(v), 60, block)]
+            for key, want in (("mean", v.mean()), ("low", np.percentile(boot, 2.5)), ("high", np.percentile(boot, 97.5))):
+                close(got[g][key], float(want), 1e-9)
+    assert stats.block_bootstrap(df.limit(0), ["g"], "d", 60).collect() == []
+
+
 def test_bundle_of_pairs(spark, sf, tested):
-    got = {(r["h"], r["a"]): r for r in queries.QUERIES["t9_pair_bundle"](spark, sf).collect()}
-    assert len(got) == 6
-    for (h, a), r in got.items():
-        d = diffs(tested, a, "naive", ["h", "origin", "entity"]).loc[h].groupby(level=0).mean().sort_index().to_numpy()
+    got = {(r["h"], r["a"], r["b"]): r for r in queries.QUERIES["t9_pair_bundle"](spark, sf).collect()}
+    assert len(got) == 9
+    for (h, a, b), r in got.items():
+        d = diffs(tested, a, b, ["h", "origin", "entity"]).loc[h].groupby(level=0).mean().sort_index().to_numpy()
         mean, stat, p = dm(d, h)
-        boot = [d[i].mean() for i in starts(5, len(d), 50, 13)]
+        boot = [d[i].mean() for i in starts(5, len(d), 5000, 13)]
         for key, value in (("mean", mean), ("stat", stat), ("p_value", p), ("low", np.percentile(boot, 2.5)), ("high", np.percentile(boot, 97.5))):
             close(r[key], value)
-        assert (r["a_better"], r["b_better"]) == entity_counts(tested, a, "naive", h)[1:]
+        assert (r["a_better"], r["b_better"]) == entity_counts(tested, a, b, h)[1:]
 
 
 def plain_set(weekly, replicates, block=13, seed=5):
@@ -140,7 +157,7 @@ def test_confidence_set(spark, sf, tested):
     got = {(r["h"], r["channel"]): r for r in queries.QUERIES["t8_model_confidence_set"](spark, sf).collect()}
     for h in panels.HORIZONS:
         weekly = tested[tested.h == h].groupby(["origin", "channel"])["mape"].mean().unstack()
-        for c, p in plain_set(weekly, 100).items():
+        for c, p in plain_set(weekly, 5000).items():
             close(got[h, c]["p_value"], p)
             assert got[h, c]["member"] == (p >= 0.1)
 
@@ -376,21 +393,30 @@ def test_wild_cluster_bootstrap(spark, sf, panel):
     z = residual(frame["z"].to_numpy(), d)
     fit = x[:, 1:] @ np.linalg.lstsq(x[:, 1:], z, rcond=None)[0]
     inv, names = np.linalg.pinv(x.T @ x), frame["entity"].to_numpy()
-    ts = []
-    for rep in range(100):
-        w = np.ones(len(z))
-        if rep:
-            for e in set(names):
-                k = draw(23, rep, zlib.crc32(e.encode())) % 6
-                w[names == e] = (1 if k < 3 else -1) * math.sqrt(stats.WEBB[k % 3])
-        y = fit + w * (z - fit)
-        b = inv @ x.T @ y
-        s = pd.DataFrame(x * (y - x @ b)[:, None]).groupby(names).sum().to_numpy()
-        v = (inv @ s.T @ s @ inv)[0, 0]
-        ts.append(b[0] / math.sqrt(v) if v > 0 else 0.0)
+    k = np.stack([[draw(23, rep, zlib.crc32(e.encode())) % 6 for rep in range(10_000)] for e in sorted(set(names))])
+    w = np.sqrt(np.array(stats.WEBB))[k % 3] * np.where(k < 3, 1.0, -1.0)
+    w[:, 0] = 1.0
+    w = w[np.searchsorted(sorted(set(names)), names)]
+    y = fit[:, None] + w * (z - fit)[:, None]
+    b = inv @ x.T @ y
+    v = 0.0
+    for e in set(names):
+        on = names == e
+        v = v + (inv[:1] @ x[on].T @ (y[on] - x[on] @ b)) ** 2
+    ts = np.where(v[0] > 0, b[0] / np.sqrt(v[0]), 0.0)
     close(r["t"], ts[0])
-    assert r["n_replicates"] == 99
-    close(r["p_value"], np.mean([abs(t) >= abs(ts[0]) - 1e-9 for t in ts[1:]]), 0.011)
+    assert r["n_replicates"] == 9999
+    close(r["p_value"], np.mean(np.abs(ts[1:]) >= abs(ts[0]) - 1e-9), 0.0011)
+
+
+def test_wild_bootstrap_of_many_clusters(spark):
+    """A null effect among 300 clusters over several partitions is not rejected, a strong one is."""
+    rng = np.random.default_rng(8)
+    rows = [(f"c{e}", k, float(x), float(rng.normal() + rng.normal() * 0.3), float(x * 0.5 + rng.normal())) for e in range(300) for k, x in enumerate(rng.normal(size=6))]
+    df = spark.createDataFrame(rows, "entity string, date int, x double, flat double, steep double").repartition(7)
+    assert stats.wild_cluster(df, "flat", "x", [], 999).collect()[0]["p_value"] > 0.02
+    assert stats.wild_cluster(df, "steep", "x", [], 999).collect()[0]["p_value"] < 0.01
+    assert stats.wild_cluster(df.limit(0), "flat", "x", [], 99).collect() == []
 
 
 def test_distributed_lag_and_sums(spark, sf, panel):

@@ -5,6 +5,8 @@ series (entity, date, y, widx) without nulls; origins (entity, origin, widx). A
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import dot, with_coefficients
 from .joins import active_event
-from .windows import by_date, centred_average_at, pct
+from .windows import by_date, pct
 
 MAX_STEP = 13
 SLOTS = 53
@@ -42,22 +44,101 @@ def seasonal_naive(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP,
     return asked.join(past, ["entity", "at"]).select(F.lit("snaive").alias("channel"), "entity", "origin", "step", "yhat")
 
 
-def seasonal_factors(series: DataFrame, origins: DataFrame, smooth: int = 3) -> DataFrame:
-    """(entity, origin, week, factor): median ratio to the centred average per ISO week up to the origin (1 with fewer than two),
-    smoothed round the year, divided by their mean; all 1 with fewer than 53 rows."""
-    rows = centred_average_at(series, origins)
-    ratio = F.try_divide(F.col("y"), F.col("cma"))
-    by_week = rows.withColumn("week", F.weekofyear("date")).groupBy("entity", "origin", "week")
-    medians = by_week.agg(F.when(F.count(ratio) >= 2, F.median(ratio)).otherwise(1.0).alias("raw"))
-    weeks = F.explode(F.sequence(F.lit(1), F.lit(SLOTS))).alias("week")
-    full = origins.select("entity", "origin", F.col("widx").alias("n"), weeks).join(medians, ["entity", "origin", "week"], "left").withColumn("raw", F.coalesce("raw", F.lit(1.0)))
+def _raw_factors(ys: np.ndarray, slots: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """A row per asked place: the median ratio to the centred average of each week slot, as if the series ended there; 1 with fewer than two.
+
+    Only the averages of the last 25 rows depend on where the series ends. The ratios before them stay in one sorted list per slot.
+    """
+    total = np.r_[0.0, np.cumsum(ys)]
+    fixed: list[list[float]] = [[] for _ in range(SLOTS)]
+    settled_raw, out, done = np.ones(SLOTS), np.empty((len(asked), SLOTS)), 0
+
+    def ratio(t: int, end: int) -> float | None:
+        low, high = max(t - 26, 0), min(t + 25, end)
+        n = high - low + 1
+        mean = (total[high + 1] - total[low]) / n
+        return ys[t] / mean if n >= 26 and mean != 0 else None
+
+    def median(values: list[float]) -> float:
+        half = len(values) // 2
+        return 1.0 if len(values) < 2 else values[half] if len(values) % 2 else (values[half - 1] + values[half]) / 2
+
+    for row, end in enumerate(asked.tolist()):
+        while done <= end - 25:
+            if (r := ratio(done, end)) is not None:
+                insort(fixed[slots[done]], r)
+                settled_raw[slots[done]] = median(fixed[slots[done]])
+            done += 1
+        out[row] = settled_raw
+        open_: dict[int, list[float]] = {}
+        for t in range(done, end + 1):
+            if (r := ratio(t, end)) is not None:
+                insort(open_.setdefault(slots[t], fixed[slots[t]].copy()), r)
+        for k, values in open_.items():
+            out[row, k] = median(values)
+    return out
+
+
+def _smoothed_factors(raw: np.ndarray, rows: np.ndarray, smooth: int) -> np.ndarray:
+    """Means round the year, divided by their mean; all 1 with fewer than 53 rows."""
     half = smooth // 2
-    near = full.select("entity", "origin", "raw", F.explode(F.sequence(F.col("week") - half, F.col("week") + half)).alias("w"))
-    near = near.withColumn("week", F.pmod(F.col("w") - 1, F.lit(SLOTS)) + 1)
-    smoothed = near.groupBy("entity", "origin", "week").agg(F.avg("raw").alias("s"))
-    mean = F.avg("s").over(Window.partitionBy("entity", "origin"))
-    out = smoothed.withColumn("m", mean).join(origins.select("entity", "origin", F.col("widx").alias("n")), ["entity", "origin"])
-    return out.select("entity", "origin", "week", F.when((F.col("n") < 53) | (F.col("m") <= 0), 1.0).otherwise(F.col("s") / F.col("m")).alias("factor"))
+    s = sum(np.roll(raw, k, axis=1) for k in range(-half, half + 1)) / (2 * half + 1)
+    m = s.mean(axis=1, keepdims=True)
+    return np.where((rows[:, None] < SLOTS) | (m <= 0), 1.0, s / np.where(m > 0, m, 1.0))
+
+
+#: What can be fitted on a series divided by its factors: smoothing without and with damping, and Theta.
+ADJUSTED = ("fa_ets", "fa_ets_d", "fa_theta")
+
+
+def seasonal_states(series: DataFrame, origins: DataFrame, smooth: int = 3, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(entity, origin, y0, factors, fits): all that the seasonal channels need of each origin, in one pass over each entity's rows.
+
+    factors is an array of 53 week slots: median ratio to the centred average per ISO week up to the origin (1 with fewer than two),
+    smoothed round the year, divided by their mean; all 1 with fewer than 53 rows. fits maps each kind to (level, trend, alpha, phi, slope,
+    n) of the rows up to the origin divided by their week's factor (those of a factor of 0 or less stay). Rows move once, whatever the
+    number of origins: no row is made per origin and week. The fit of an origin is still a recursion over its rows, some 256 origins at a
+    time: keeping it linear in the factors would take 53 x 53 sums per grid point and week, more than that below thousands of weeks.
+    """
+    flat, damped = (np.array([(a, b, p) for a in ALPHAS for b in BETAS for p in ps]) for ps in ((1.0,), PHIS))
+    single = np.array([(a, 0.0, 1.0) for a in ALPHAS])
+
+    def fitted(kind: str, lists: list[np.ndarray]) -> list[tuple]:
+        grid = {"fa_ets": flat, "fa_ets_d": damped, "fa_theta": single}[kind]
+        level, trend, at = _recursion(lists, grid, kind != "fa_theta")
+        slopes = []
+        for v in lists:
+            n = len(v)
+            slopes.append(12 * float((np.arange(1, n + 1) - (n + 1) / 2) @ v) / (n * (n * n - 1)) if n > 1 else 0.0)
+        return [(float(x), float(t), float(grid[g, 0]), float(grid[g, 2]), q, len(v)) for x, t, g, q, v in zip(level, trend, at, slopes, lists, strict=True)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        ys, slots, asked = pdf["y"].to_numpy(float), pdf["slot"].to_numpy(), np.flatnonzero(pdf["asked"].to_numpy())
+        f = _smoothed_factors(_raw_factors(ys, slots, asked), asked + 1, smooth)
+        fits: list[dict] = [{} for _ in asked]
+        for at in range(0, len(asked) if kinds else 0, 256):
+            lists = [ys[: e + 1] / np.where((g := f[at + i, slots[: e + 1]]) > 0, g, 1.0) for i, e in enumerate(asked[at : at + 256].tolist())]
+            for kind in kinds:
+                for one, fit in zip(fits[at : at + 256], fitted(kind, lists), strict=True):
+                    one[kind] = fit
+        names = ("level", "trend", "alpha", "phi", "slope", "n")
+        return pd.DataFrame({
+            "entity": pdf["entity"].to_numpy()[asked], "origin": pdf["date"].to_numpy()[asked], "y0": ys[asked], "factors": list(f),
+            "fits": [{k: dict(zip(names, v, strict=True)) for k, v in one.items()} for one in fits],
+        })
+
+    marks = origins.select("entity", F.col("origin").alias("date"), F.lit(True).alias("asked"))
+    rows = series.join(marks, ["entity", "date"], "left").select("entity", "date", "y", (F.weekofyear("date") - 1).alias("slot"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    kind = series.schema["entity"].dataType.simpleString()
+    fit = "struct<level:double,trend:double,alpha:double,phi:double,slope:double,n:int>"
+    return rows.groupBy("entity").applyInPandas(run, f"entity {kind}, origin date, y0 double, factors array<double>, fits map<string,{fit}>")
+
+
+def seasonal_factors(series: DataFrame, origins: DataFrame, smooth: int = 3) -> DataFrame:
+    """(entity, origin, week, factor) of seasonal_states, a row per week slot."""
+    rows = seasonal_states(series, origins, smooth).select("entity", "origin", F.posexplode("factors").alias("week", "factor"))
+    return rows.withColumn("week", F.col("week") + 1)
 
 
 def slot(week: Column, step: Column) -> Column:
@@ -65,16 +146,18 @@ def slot(week: Column, step: Column) -> Column:
     return F.pmod(week - 1 + step, F.lit(SLOTS)) + 1
 
 
-def seasonal(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, smooth: int = 3, factors: DataFrame | None = None) -> DataFrame:
+def _factor(states_at: Column, step: Column | int) -> Column:
+    """The factor of the week slot `step` weeks after the origin."""
+    step = F.lit(step) if isinstance(step, int) else step
+    return F.get(states_at, slot(F.weekofyear("origin"), step) - 1)
+
+
+def seasonal(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, smooth: int = 3, states: DataFrame | None = None) -> DataFrame:
     """Seasonally adjusted naive: y0 * f(week + step) / f(week), two decimals, not under 0."""
-    f = factors if factors is not None else seasonal_factors(series, origins, smooth)
-    asked = last_value(series, origins).withColumn("w0", F.weekofyear("origin")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    asked = asked.withColumn("w1", slot(F.col("w0"), F.col("step")))
-    now = f.select("entity", "origin", F.col("week").alias("w0"), F.col("factor").alias("f0"))
-    then = f.select("entity", "origin", F.col("week").alias("w1"), F.col("factor").alias("f1"))
-    both = asked.join(now, ["entity", "origin", "w0"]).join(then, ["entity", "origin", "w1"])
-    value = F.when(F.col("f0") > 0, F.col("y0") * (F.col("f1") / F.col("f0"))).otherwise(F.col("y0"))
-    return both.select(F.lit("seasonal").alias("channel"), "entity", "origin", "step", F.greatest(F.round(value, 2), F.lit(0.0)).alias("yhat"))
+    rows = states if states is not None else seasonal_states(series, origins, smooth)
+    now, then = _factor(F.col("factors"), 0), _factor(F.col("factors"), F.col("step"))
+    value = F.when(now > 0, F.col("y0") * (then / now)).otherwise(F.col("y0"))
+    return long(rows, "seasonal", F.round(value, 2), steps, True)
 
 
 def histories(series: DataFrame, origins: DataFrame, rows: int | None = None) -> DataFrame:
@@ -87,7 +170,7 @@ def histories(series: DataFrame, origins: DataFrame, rows: int | None = None) ->
 ALPHAS, BETAS, PHIS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.05, 0.1, 0.3, 0.5), (0.8, 0.9, 0.95)
 
 
-def _recursion(ys: pd.Series, grid: np.ndarray, trended: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _recursion(ys: pd.Series | list[np.ndarray], grid: np.ndarray, trended: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(level, trend, grid row) of the least one-step squared error for each list of values; all lists and grid rows step together.
 
     Level starts at the first value and trend at the first difference, or at 0 and stays there.
@@ -174,35 +257,24 @@ def adjusted_histories(series: DataFrame, origins: DataFrame, smooth: int = 3, r
     return origins.join(lists.select("entity", "origin", F.transform("z", lambda x: x["v"]).alias("ys")), ["entity", "origin"]), f
 
 
-def _reseason(df: DataFrame, f: DataFrame, channel: str) -> DataFrame:
-    df = df.withColumn("week", slot(F.weekofyear("origin"), F.col("step"))).join(f, ["entity", "origin", "week"])
-    return df.select(F.lit(channel).alias("channel"), "entity", "origin", "step", F.greatest(F.col("yhat") * F.col("factor"), F.lit(0.0)).alias("yhat"))
+def _reseasoned(states: DataFrame, kind: str, value: Column, steps: int) -> DataFrame:
+    """The fitted path of a kind times the factor of each step's week; value may use the fit's fields and step."""
+    rows = states.select("entity", "origin", "factors", F.col("fits")[kind].alias("_fit")).where("_fit IS NOT NULL").select("entity", "origin", "factors", "_fit.*")
+    return long(rows, kind, value * _factor(F.col("factors"), F.col("step")), steps, True)
 
 
-def adjusted_trend(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = True, smooth: int = 3, factors: DataFrame | None = None) -> DataFrame:
+def adjusted_trend(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, damped: bool = True, smooth: int = 3, states: DataFrame | None = None) -> DataFrame:
     """Factor-adjusted exponential smoothing: divide by the factors, fit, multiply back."""
-    h, f = adjusted_histories(series, origins, smooth, factors=factors)
-    fit = trend_fit(h, damped)
-    return _reseason(long(fit, "x", F.col("level") + F.col("trend") * _damp(F.col("phi"), F.col("step")), steps), f, "fa_ets_d" if damped else "fa_ets")
+    kind = "fa_ets_d" if damped else "fa_ets"
+    states = states if states is not None else seasonal_states(series, origins, smooth, (kind,))
+    return _reseasoned(states, kind, F.col("level") + F.col("trend") * _damp(F.col("phi"), F.col("step")), steps)
 
 
-def adjusted_theta(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, smooth: int = 3) -> DataFrame:
+def adjusted_theta(series: DataFrame, origins: DataFrame, steps: int = MAX_STEP, smooth: int = 3, states: DataFrame | None = None) -> DataFrame:
     """Factor-adjusted Theta: simple smoothing with half the slope of the line as drift."""
-    h, f = adjusted_histories(series, origins, smooth)
-    n = F.size("ys")
-    xs = F.sequence(F.lit(1), n)
-    sxy = F.aggregate(F.zip_with("ys", xs, lambda y, x: (x - (n + 1) / 2.0) * y), F.lit(0.0), lambda s, v: s + v)
-    h = h.withColumn("slope", F.try_divide(sxy * 12, n * (n.cast("double") * n - 1)))
-    grid = np.array([(a, 0.0, 1.0) for a in ALPHAS])
-
-    @F.pandas_udf("struct<level:double,alpha:double>")
-    def fit(ys: pd.Series) -> pd.DataFrame:
-        level, _, at = _recursion(ys, grid, False)
-        return pd.DataFrame({"level": level, "alpha": grid[at, 0]})
-
-    best = h.where(n > 0).withColumn("_f", fit("ys")).select("entity", "origin", "_f.level", "_f.alpha", "slope", n.alias("n"))
-    drift = F.coalesce("slope", F.lit(0.0)) / 2 * (F.col("step") - 1 + (1 - F.pow(1 - F.col("alpha"), "n")) / F.col("alpha"))
-    return _reseason(long(best, "x", F.col("level") + drift, steps), f, "fa_theta")
+    states = states if states is not None else seasonal_states(series, origins, smooth, ("fa_theta",))
+    drift = F.col("slope") / 2 * (F.col("step") - 1 + (1 - F.pow(1 - F.col("alpha"), "n")) / F.col("alpha"))
+    return _reseasoned(states, "fa_theta", F.col("level") + drift, steps)
 
 
 def running_gram(rows: DataFrame, origins: DataFrame, xs: list[str], y: str, known: str) -> DataFrame:

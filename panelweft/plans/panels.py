@@ -94,10 +94,10 @@ def forecasts(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFr
 def system_forecasts(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     """(channel, entity, origin, h, step, yhat) of the fitted channels: Holt, seasonal, factor-adjusted smoothing undamped and damped, macro; and naive."""
     o = origins(spark, d, s)
-    factors = settled(channels.seasonal_factors(s, o), "factors")
+    states = settled(channels.seasonal_states(s, o, kinds=("fa_ets", "fa_ets_d")), "seasonal-states")
     macro = aligned(spark, d, ["qty"]).withColumn("qty", F.col("qty") / 1000)
-    made = [channels.naive(s, o), channels.holt(s, o), channels.seasonal(s, o, factors=factors), channels.anchored(channels.exogenous_modifier(macro, o, {"qty": 6}))]
-    made += [channels.adjusted_trend(s, o, damped=damped, factors=factors) for damped in (False, True)]
+    made = [channels.naive(s, o), channels.holt(s, o), channels.seasonal(s, o, states=states), channels.anchored(channels.exogenous_modifier(macro, o, {"qty": 6}))]
+    made += [channels.adjusted_trend(s, o, damped=damped, states=states) for damped in (False, True)]
     flat = reduce(DataFrame.unionByName, made)
     return flat.crossJoin(F.broadcast(horizons(spark))).where("step <= h").select("channel", "entity", "origin", "h", "step", "yhat")
 

@@ -649,11 +649,25 @@ def f6_holt_damped(spark, d):
     return ch.holt(*_fitted(spark, d), damped=True)
 
 
-@query(sql(_FACTORS + _ADJUSTED + _trends("adj", {"fa_ets": False, "fa_ets_d": True}) + f" SELECT channel, t.entity, t.origin, step, greatest(({_PATH}) * f.factor, 0.0) AS yhat FROM tfit t CROSS JOIN st {_STEP_FACTOR}", "forecasts"), "yhat")
+_F7 = sql(_FACTORS + _ADJUSTED + _trends("adj", {"fa_ets": False, "fa_ets_d": True}) + f" SELECT channel, t.entity, t.origin, step, greatest(({_PATH}) * f.factor, 0.0) AS yhat FROM tfit t CROSS JOIN st {_STEP_FACTOR}", "forecasts")
+
+
+@query(_F7, "yhat")
 def f7_adjusted_trend(spark, d):
     """Factor-adjusted smoothing, undamped and damped."""
     s, o = _fitted(spark, d)
-    return ch.adjusted_trend(s, o, damped=False).unionByName(ch.adjusted_trend(s, o))
+    states = settled(ch.seasonal_states(s, o, kinds=("fa_ets", "fa_ets_d")), "seasonal-states")
+    return ch.adjusted_trend(s, o, damped=False, states=states).unionByName(ch.adjusted_trend(s, o, states=states))
+
+
+@query(_F7.replace("c_mktsegment AS entity", "CAST(c_nationkey AS VARCHAR) AS entity"), "yhat")
+def f7_adjusted_trend_nations(spark, d):
+    """The same over the panel of the customers' nations."""
+    filled, _ = jo.ffill_log(pa.weekly(spark, d, "c_nationkey"))
+    s = settled(wi.with_row_index(filled.where("y IS NOT NULL")), "series")
+    o = pa.origins(spark, d, s)
+    states = settled(ch.seasonal_states(s, o, kinds=("fa_ets", "fa_ets_d")), "seasonal-states")
+    return ch.adjusted_trend(s, o, damped=False, states=states).unionByName(ch.adjusted_trend(s, o, states=states))
 
 
 @query(sql(_FACTORS + _ADJUSTED + f""", aruns AS (SELECT entity, origin, a, len(ys) AS n, 12 * list_sum(list_transform(ys, lambda y, i: (i - (len(ys) + 1) / 2.0) * y)) / nullif(len(ys) * (CAST(len(ys) AS DOUBLE) * len(ys) - 1), 0) AS slope,

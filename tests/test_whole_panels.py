@@ -24,18 +24,42 @@ def test_fits_read_every_row_up_to_the_origin(long_series):
     ys = [r["y"] for r in long_series.where("widx <= 340").orderBy("widx").collect()]
     assert channels.histories(long_series, o).collect()[0]["ys"] == ys
     assert channels.histories(long_series, o, 260).collect()[0]["ys"] == ys[-260:]
-    adjusted, f = channels.adjusted_histories(long_series, o)
-    factor = {r["week"]: r["factor"] for r in f.collect()}
+    state = channels.seasonal_states(long_series, o, kinds=channels.ADJUSTED).collect()[0]
     weeks = [r["date"].isocalendar()[1] for r in long_series.where("widx <= 340").orderBy("widx").collect()]
-    got = adjusted.collect()[0]["ys"]
-    assert len(got) == 340
-    assert all(math.isclose(g, y / factor[w], rel_tol=1e-12) for g, y, w in zip(got, ys, weeks, strict=True))
-
-
-@pytest.mark.parametrize("damped", [False, True])
-def test_holt_equals_the_plain_recursion_on_all_rows(long_series, damped):
-    o = long_series.where("widx = 340").selectExpr("entity", "date AS origin", "widx")
-    ys = [r["y"] for r in long_series.where("widx <= 340").orderBy("widx").collect()]
+    adjusted = [y / state["factors"][w - 1] for y, w in zip(ys, weeks, strict=True)]
+    for kind, damped in (("fa_ets", False), ("fa_ets_d", True)):
+        fit = state["fits"][kind]
+        _, a, _, p, level, trend = plain_trend(adjusted, damped)
+        assert (fit["n"], fit["alpha"], fit["phi"]) == (340, a, p)
+        assert math.isclose(fit["level"], level, rel_tol=1e-9) and math.isclose(fit["trend"], trend, rel_tol=1e-9)
+    assert math.isclose(state["fits"]["fa_theta"]["slope"], np.polyfit(np.arange(340), adjusted, 1)[0], rel_tol=1e-9)
+
+
+def plain_factors(ys, weeks, smooth=3):
+    """The factors at the end of ys, every average made anew."""
+    ratios = {}
+    for t, y in enumerate(ys):
+        near = ys[max(t - 26, 0) : t + 26]
+        if len(near) >= 26:
+            ratios.setdefault(weeks[t], []).append(y / (sum(near) / len(near)))
+    raw = [float(np.median(ratios[w])) if len(ratios.get(w, [])) >= 2 else 1.0 for w in range(1, 54)]
+    s = [np.mean([raw[(k + j) % 53] for j in range(-(smooth // 2), smooth // 2 + 1)]) for k in range(53)]
+    return [1.0] * 53 if len(ys) < 53 else [x / np.mean(s) for x in s]
+
+
+@pytest.mark.parametrize("smooth", [1, 3, 5])
+def test_factors_of_every_origin_equal_a_plain_version(long_series, smooth):
+    rows = long_series.orderBy("widx").collect()
+    ys, weeks = [r["y"] for r in rows], [r["date"].isocalendar()[1] for r in rows]
+    o = long_series.where("widx % 7 = 0 OR widx < 30").selectExpr("entity", "date AS origin", "widx")
+    got = {r["origin"]: r["factors"] for r in channels.seasonal_states(long_series, o, smooth).collect()}
+    assert len(got) == o.count()
+    for k, r in enumerate(rows):
+        if r["date"] in got:
+            assert np.allclose(got[r["date"]], plain_factors(ys[: k + 1], weeks[: k + 1], smooth), rtol=1e-9)
+
+
+def plain_trend(ys, damped):
     best = None
     for a in channels.ALPHAS:
         for b in channels.BETAS:
@@ -45,7 +69,14 @@ def test_holt_equals_the_plain_recursion_on_all_rows(long_series, damped):
                     e = y - level - p * trend
                     level, trend, error = level + p * trend + a * e, p * trend + a * b * e, error + e * e
                 best = min(best or (math.inf,), (round(error, 9), a, b, p, level, trend))
-    *_, p, level, trend = best
+    return best
+
+
+@pytest.mark.parametrize("damped", [False, True])
+def test_holt_equals_the_plain_recursion_on_all_rows(long_series, damped):
+    o = long_series.where("widx = 340").selectExpr("entity", "date AS origin", "widx")
+    ys = [r["y"] for r in long_series.where("widx <= 340").orderBy("widx").collect()]
+    *_, p, level, trend = plain_trend(ys, damped)
     for r in channels.holt(long_series, o, damped=damped).collect():
         want = level + trend * sum(p**k for k in range(1, r["step"] + 1))
         assert math.isclose(r["yhat"], max(want, 0.0), rel_tol=1e-9)
@@ -55,7 +86,7 @@ def cell(v):
     return format(v, ".5f") if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["w2_centred_average_at", "f3_seasonal_factors", "f4_seasonal", "s9_expand_active_weeks", "s10_attach_interpretation", "j7_active_event", "f15_event_flat", "f16_event_scaled"])
+@pytest.mark.parametrize("name", ["w2_centred_average_at", "f3_seasonal_factors", "f4_seasonal", "f7_adjusted_trend", "f8_adjusted_theta", "s9_expand_active_weeks", "s10_attach_interpretation", "j7_active_event", "f15_event_flat", "f16_event_scaled"])
 def test_queries_equal_their_sql_over_all_origins_and_events(spark, sf, name):
     sql = queries.ORACLES[name]
     for cut in ("WHERE o.widx % 8 = 0", "WHERE widx % 8 = 0", "AND o_orderkey % 37 = 0"):

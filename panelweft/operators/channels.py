@@ -91,15 +91,16 @@ def _smoothed_factors(raw: np.ndarray, rows: np.ndarray, smooth: int) -> np.ndar
 ADJUSTED = ("fa_ets", "fa_ets_d", "fa_theta")
 
 
-def seasonal_states(series: DataFrame, origins: DataFrame, smooth: int = 3, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """(entity, origin, y0, factors, fits): all that the seasonal channels need of each origin, in one pass over each entity's rows.
+def seasonal_states(series: DataFrame, origins: DataFrame, smooth: int | tuple[int, ...] = 3, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(entity, origin, smooth, y0, factors, fits): all that the seasonal channels need of each origin, in one pass over each entity's rows.
 
     factors is an array of 53 week slots: median ratio to the centred average per ISO week up to the origin (1 with fewer than two),
-    smoothed round the year, divided by their mean; all 1 with fewer than 53 rows. fits maps each kind to (level, trend, alpha, phi, slope,
-    n) of the rows up to the origin divided by their week's factor (those of a factor of 0 or less stay). Rows move once, whatever the
-    number of origins: no row is made per origin and week. The fit of an origin is still a recursion over its rows, some 256 origins at a
+    smoothed round the year over `smooth` weeks, divided by their mean; all 1 with fewer than 53 rows. Several values of smooth give a row
+    each, from the same medians. fits maps each kind to (level, trend, alpha, phi, slope, n) of the rows up to the origin divided by their
+    week's factor (those of a factor of 0 or less stay). Rows move once, whatever the number of origins: no row is made per origin and week. The fit of an origin is still a recursion over its rows, some 256 origins at a
     time: keeping it linear in the factors would take 53 x 53 sums per grid point and week, more than that below thousands of weeks.
     """
+    windows = (smooth,) if isinstance(smooth, int) else smooth
     flat, damped = (np.array([(a, b, p) for a in ALPHAS for b in BETAS for p in ps]) for ps in ((1.0,), PHIS))
     single = np.array([(a, 0.0, 1.0) for a in ALPHAS])
 
@@ -115,24 +116,24 @@ def seasonal_states(series: DataFrame, origins: DataFrame, smooth: int = 3, kind
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         ys, slots, asked = pdf["y"].to_numpy(float), pdf["slot"].to_numpy(), np.flatnonzero(pdf["asked"].to_numpy())
-        f = _smoothed_factors(_raw_factors(ys, slots, asked), asked + 1, smooth)
-        fits: list[dict] = [{} for _ in asked]
-        for at in range(0, len(asked) if kinds else 0, 256):
-            lists = [ys[: e + 1] / np.where((g := f[at + i, slots[: e + 1]]) > 0, g, 1.0) for i, e in enumerate(asked[at : at + 256].tolist())]
-            for kind in kinds:
-                for one, fit in zip(fits[at : at + 256], fitted(kind, lists), strict=True):
-                    one[kind] = fit
-        names = ("level", "trend", "alpha", "phi", "slope", "n")
-        return pd.DataFrame({
-            "entity": pdf["entity"].to_numpy()[asked], "origin": pdf["date"].to_numpy()[asked], "y0": ys[asked], "factors": list(f),
-            "fits": [{k: dict(zip(names, v, strict=True)) for k, v in one.items()} for one in fits],
-        })
+        raw, names = _raw_factors(ys, slots, asked), ("level", "trend", "alpha", "phi", "slope", "n")
+        parts = []
+        for window in windows:
+            f = _smoothed_factors(raw, asked + 1, window)
+            fits: list[dict] = [{} for _ in asked]
+            for at in range(0, len(asked) if kinds else 0, 256):
+                lists = [ys[: e + 1] / np.where((g := f[at + i, slots[: e + 1]]) > 0, g, 1.0) for i, e in enumerate(asked[at : at + 256].tolist())]
+                for kind in kinds:
+                    for one, fit in zip(fits[at : at + 256], fitted(kind, lists), strict=True):
+                        one[kind] = dict(zip(names, fit, strict=True))
+            parts.append(pd.DataFrame({"entity": pdf["entity"].to_numpy()[asked], "origin": pdf["date"].to_numpy()[asked], "smooth": window, "y0": ys[asked], "factors": list(f), "fits": fits}))
+        return pd.concat(parts)
 
     marks = origins.select("entity", F.col("origin").alias("date"), F.lit(True).alias("asked"))
     rows = series.join(marks, ["entity", "date"], "left").select("entity", "date", "y", (F.weekofyear("date") - 1).alias("slot"), F.coalesce("asked", F.lit(False)).alias("asked"))
     kind = series.schema["entity"].dataType.simpleString()
     fit = "struct<level:double,trend:double,alpha:double,phi:double,slope:double,n:int>"
-    return rows.groupBy("entity").applyInPandas(run, f"entity {kind}, origin date, y0 double, factors array<double>, fits map<string,{fit}>")
+    return rows.groupBy("entity").applyInPandas(run, f"entity {kind}, origin date, smooth int, y0 double, factors array<double>, fits map<string,{fit}>")
 
 
 def seasonal_factors(series: DataFrame, origins: DataFrame, smooth: int = 3) -> DataFrame:
@@ -146,6 +147,13 @@ def slot(week: Column, step: Column) -> Column:
     return F.pmod(week - 1 + step, F.lit(SLOTS)) + 1
 
 
+def seasonal_windows(series: DataFrame, origins: DataFrame, windows: tuple[int, ...], steps: int = MAX_STEP) -> DataFrame:
+    """seasonal at several smoothing windows in one pass: (channel, entity, origin, step, yhat, smooth)."""
+    states = seasonal_states(series, origins, windows).withColumn("entity", F.struct("entity", "smooth"))
+    rows = seasonal(series, origins, steps, states=states)
+    return rows.select("channel", F.col("entity.entity").alias("entity"), "origin", "step", "yhat", F.col("entity.smooth").alias("smooth"))
+
+
 def _factor(states_at: Column, step: Column | int) -> Column:
     """The factor of the week slot `step` weeks after the origin."""
     step = F.lit(step) if isinstance(step, int) else step

@@ -212,10 +212,25 @@ def weight_changes(weights: DataFrame) -> DataFrame:
     return weights.join(past, ["fold", "channel"]).select("fold", "channel", F.abs(F.col("w") - F.col("_past")).alias("change"))
 
 
-def config_changes(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
-    """Cells whose weights differ between two configurations: (keys, moved)."""
-    both = a.select(*keys, "channel", F.col("w").alias("_a")).join(b.select(*keys, "channel", F.col("w").alias("_b")), [*keys, "channel"], "full")
-    return both.groupBy(*keys).agg(F.max(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))).alias("moved")).where(F.col("moved") > tolerance)
+def in_use(fold_w: DataFrame, grid: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """(fold, regime, h, channel, w, source, mode): the weights that a run uses for each cell of the grid.
+
+    With modes (fold, h, mode) the regime's weights where the mode says so, and where they came from; without, the fold's everywhere.
+    """
+    rows = grid.select("fold", "regime", "h", "channel", F.col("w").alias("_r"), "source").join(fold_w.select("fold", "channel", F.col("w").alias("_f")), ["fold", "channel"])
+    rows = rows.join(modes.select("fold", "h", "mode"), ["fold", "h"], "left") if modes is not None else rows.withColumn("mode", F.lit("fold"))
+    own = F.coalesce(F.col("mode") == "regime", F.lit(False))
+    return rows.select("fold", "regime", "h", "channel", F.when(own, F.col("_r")).otherwise(F.col("_f")).alias("w"), F.when(own, F.col("source")).otherwise("fold").alias("source"), "mode")
+
+
+def config_audit(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Two runs' weights in use, cell by cell: (keys, largest_move, moved, source_flipped, mode_flipped); a cell or channel of one run only counts as weight 0."""
+    side = lambda df, n: df.select(*keys, "channel", *[F.col(c).alias(f"{c}_{n}") for c in ("w", "source", "mode")])
+    both = side(a, "a").join(side(b, "b"), [*keys, "channel"], "full")
+    move = F.max(F.abs(F.coalesce("w_a", F.lit(0.0)) - F.coalesce("w_b", F.lit(0.0))))
+    flipped = lambda c: F.max(~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")))
+    rows = both.groupBy(*keys).agg(move.alias("largest_move"), flipped("source").alias("source_flipped"), flipped("mode").alias("mode_flipped"))
+    return rows.select(*keys, "largest_move", (F.col("largest_move") > tolerance).alias("moved"), "source_flipped", "mode_flipped")
 
 
 def fixed_weights(steps: DataFrame, weights: dict[str, float]) -> DataFrame:

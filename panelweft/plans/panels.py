@@ -41,6 +41,13 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return windows.with_row_index(filled.where("y IS NOT NULL"))
 
 
+def two_cuts(s: DataFrame, rows: int = 3) -> DataFrame:
+    """The series raw and smoothed (mean of the last `rows` rows, so no later row), the cut being part of each entity's name: whatever is made of them keeps them apart."""
+    w = Window.partitionBy("entity").orderBy("date").rowsBetween(1 - rows, 0)
+    smooth = s.withColumn("y", F.avg("y").over(w)).withColumn("entity", F.concat(F.lit("smooth:"), "entity"))
+    return s.withColumn("entity", F.concat(F.lit("raw:"), "entity")).unionByName(smooth)
+
+
 def monthly(spark: SparkSession, d: str) -> DataFrame:
     """(series, obs_date, value): monthly means of line discounts and taxes, and quantities."""
     month = F.to_date(F.date_trunc("month", "l_shipdate"))
@@ -102,9 +109,9 @@ def system_forecasts(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
     return flat.crossJoin(F.broadcast(horizons(spark))).where("step <= h").select("channel", "entity", "origin", "h", "step", "yhat")
 
 
-def cells(spark: SparkSession, d: str, system: bool = False) -> DataFrame:
+def cells(spark: SparkSession, d: str, system: bool = False, s: DataFrame | None = None) -> DataFrame:
     """cell_steps of the base (or the fitted) channels, with the regime of the origin. The series, which all parts read, is written once."""
-    s = settled(series(spark, d), "series")
+    s = settled(s if s is not None else series(spark, d), "series")
     actuals = joins.forward_actuals(s, origins(spark, d, s), horizons(spark))
     steps = losses.cell_steps(actuals, system_forecasts(spark, d, s) if system else forecasts(spark, d, s))
     return steps.join(F.broadcast(settled(regimes(spark, d, s), "regimes")), "origin")  # a row per week

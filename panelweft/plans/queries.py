@@ -21,6 +21,7 @@ from ..operators import screens as sc
 from ..operators import stats as stt
 from ..operators import windows as wi
 from ..sources import ingest as ing
+from ..sources import store as sto
 from . import panels as pa
 from .panels import sql
 
@@ -157,6 +158,22 @@ def s12_missing_cells(spark, d):
     return ing.missing_cells(store, need, ["entity", "origin", "channel"])
 
 
+@query(sql("""SELECT channel, k AS fill, count(*) AS n_rows, count(DISTINCT (entity, origin)) AS n_cells, count(*) FILTER (yhat IS NULL) AS n_null, sum(yhat) AS total
+  FROM (SELECT c.channel, o.entity, o.origin, st.step, f.yhat, CASE WHEN o.origin < DATE '1998-01-05' AND c.channel = 'naive' THEN 1 ELSE 2 END AS k FROM origins o CROSS JOIN (SELECT unnest(['naive', 'snaive']) AS channel) c CROSS JOIN st
+  LEFT JOIN forecasts f ON f.channel = c.channel AND f.entity = o.entity AND f.origin = o.origin AND f.h = 13 AND f.step = st.step) GROUP BY ALL""", "forecasts"), "total")
+def s12_fill_store(spark, d):
+    """A store filled in part, then wholly, then again: rows and cells by channel and by the fill that made them; cells without a forecast are held as nulls."""
+    s = settled(pa.series(spark, d), "series")
+    o = pa.origins(spark, d, s)
+    made = ch.naive(s, o).unionByName(ch.seasonal_naive(s, o))
+    keys = ["channel", "entity", "origin", "step"]
+    need = o.select("entity", "origin", F.explode(F.array(F.lit("naive"), F.lit("snaive"))).alias("channel")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(13))))
+    path, shape = new_path(spark, "forecast-store"), "channel string, entity string, origin date, step int, yhat double, fill int"
+    for k, part in ((1, need.where("channel = 'naive' AND origin < DATE '1998-01-05'")), (2, need), (3, need)):
+        out = sto.fill(path, part, keys, shape, lambda missing, k=k: missing.join(made, keys, "left").withColumn("fill", F.lit(k)))
+    return out.groupBy("channel", "fill").agg(F.count("*").alias("n_rows"), F.count_distinct("entity", "origin").alias("n_cells"), F.count(F.when(F.col("yhat").isNull(), 1)).alias("n_null"), F.sum("yhat").alias("total"))
+
+
 @query(sql("SELECT channel, entity, origin, h, step, yhat FROM forecasts WHERE h = 4 AND channel = 'naive'", "forecasts"), "yhat")
 def s13_read_cells(spark, d):
     """Strict lookup of stored forecasts."""
@@ -183,6 +200,16 @@ def s14_result_table(spark, d):
     return spark.read.parquet(path)
 
 
+@query(sql("SELECT channel, h, avg(mape) AS mape, '13' AS embargo_weeks, 'test' AS split FROM losses WHERE fold IS NOT NULL GROUP BY ALL", "losses"), "mape")
+def s14_result_csv(spark, d):
+    """A result table as CSV behind a line of configuration, which the reader of rows skips and the reader of configurations finds."""
+    path = new_path(spark, "result-csv")
+    table = lo.headline(pa.cell_losses(spark, d).where("fold IS NOT NULL")).select("channel", "h", "mape")
+    sto.write_csv(table, path, {"embargo_weeks": 13, "split": "test"})
+    config = sto.read_config(spark, path).groupBy().pivot("name", ["embargo_weeks", "split"]).agg(F.first("value"))
+    return ing.read_csv(spark, path, "channel string, h int, mape double").crossJoin(F.broadcast(config))  # one row
+
+
 @query(_REV, "old_value new_value")
 def s15_revision_diff(spark, d):
     """A vintage against its revision: rows gone and values changed."""
@@ -1162,6 +1189,17 @@ def g22_weight_changes(spark, d):
     return fu.weight_changes(fu.fold_weights(_base(spark, d)[2]))
 
 
+@query(sql(_MODES + """ SELECT g.fold, g.regime, g.h, max(d) AS largest_move, max(d) > 1e-9 AS moved, max(m.mode = 'regime' AND coalesce(k.weeks, 0) >= 13) AS source_flipped, max(m.mode = 'regime') AS mode_flipped
+  FROM (SELECT gf.*, abs(gf.w - fw.w) AS dw FROM gf JOIN fw ON fw.fold = gf.fold AND fw.channel = gf.channel) g JOIN modes m ON m.fold = g.fold AND m.h = g.h LEFT JOIN wk2 k ON k.fold = g.fold AND k.regime = g.regime AND k.h = g.h,
+  LATERAL (SELECT CASE WHEN m.mode = 'regime' THEN g.dw ELSE 0.0 END AS d) GROUP BY ALL""", "skills"), "largest_move")
+def g22_config_audit(spark, d):
+    """Fold against adaptive routing, cell by cell: how far weights move, whose source and whose mode flips."""
+    steps, _, _, f, fold_w, grid = _router(spark, d)
+    grid = settled(grid, "grid")
+    modes = fu.select_modes(_val_steps(steps, f), fold_w, grid)
+    return fu.config_audit(fu.in_use(fold_w, grid), fu.in_use(fold_w, grid, modes), ["fold", "regime", "h"])
+
+
 _MEMBERS = """, chosen_ets AS (SELECT fold, h, CASE WHEN avg(mape) FILTER (channel = 'fa_ets_d') < avg(mape) FILTER (channel = 'fa_ets') THEN 'fa_ets_d' ELSE 'fa_ets' END AS ets FROM val GROUP BY 1, 2),
 members AS (SELECT fold, h, unnest(CASE WHEN h = 4 THEN ['holt', 'seasonal', 'macro'] ELSE [ets, 'seasonal', 'macro'] END) AS channel FROM chosen_ets),
 msk AS (SELECT v.fold, v.h, v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM val v JOIN members USING (fold, h, channel)
@@ -1291,6 +1329,55 @@ def h12_select_param(spark, d):
     return bt.select_param(bt.sweep(_scored(spark, d), pa.folds(spark), "scale"), "scale")
 
 
+WINDOWS = (1, 3, 5, 7)
+#: Factors of every smoothing window, the seasonal forecasts with them, and the window of least validation loss in each fold.
+_NESTED = _FACTORS[: _FACTORS.index("smo AS")] + f"""sm AS (SELECT CAST(unnest({list(WINDOWS)}) AS INT) AS smooth),
+smo AS (SELECT sm.smooth, a.entity, a.origin, a.widx, a.week, avg(b.raw) AS s FROM sm JOIN fullw a ON true JOIN fullw b ON b.entity = a.entity AND b.origin = a.origin AND least((a.week - b.week + 53) % 53, (b.week - a.week + 53) % 53) <= sm.smooth // 2 GROUP BY ALL),
+factors AS (SELECT smooth, entity, origin, week, CASE WHEN widx < 53 THEN 1.0 ELSE s / avg(s) OVER (PARTITION BY smooth, entity, origin) END AS factor FROM smo),
+sfc AS (SELECT a.smooth, o.entity, o.origin, st.step, greatest(round(CASE WHEN a.factor > 0 THEN y0 * (b.factor / a.factor) ELSE y0 END, 2), 0.0) AS yhat FROM origins o CROSS JOIN st
+  JOIN factors a ON a.entity = o.entity AND a.origin = o.origin AND a.week = weekofyear(o.origin) JOIN factors b ON b.smooth = a.smooth AND b.entity = o.entity AND b.origin = o.origin AND b.week = (weekofyear(o.origin) - 1 + st.step) % 53 + 1),
+scl AS (SELECT f.smooth, a.entity, a.origin, a.h, a.step, a.y, f.yhat FROM act a JOIN sfc f USING (entity, origin, step) WHERE a.n = a.h),
+sls AS (SELECT smooth, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM scl GROUP BY ALL),
+svl AS (SELECT f.fold, s.* FROM sls s JOIN folds f ON s.origin BETWEEN f.train_end - 728 AND f.train_end AND s.origin + 7 * s.h <= f.train_end),
+nst AS (SELECT fold, smooth, mape FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mape, smooth) AS r FROM (SELECT fold, smooth, round(avg(mape), 9) AS mape FROM svl GROUP BY ALL)) WHERE r = 1)"""
+
+
+def _seasonal_steps(spark, d):
+    """(base steps, steps of the seasonal channel with the smoothing window as a column)."""
+    base = settled(pa.cells(spark, d), "cells")
+    s = settled(pa.series(spark, d), "series")
+    o = pa.origins(spark, d, s)
+    made = ch.seasonal_windows(s, o, WINDOWS).withColumn("entity", F.struct("entity", "smooth")).drop("smooth")
+    actuals = jo.forward_actuals(s, o, pa.horizons(spark)).crossJoin(F.broadcast(spark.createDataFrame([(w,) for w in WINDOWS], "smooth int")))
+    steps = lo.cell_steps(actuals.withColumn("entity", F.struct("entity", "smooth")).drop("smooth"), made.crossJoin(F.broadcast(pa.horizons(spark))).where("step <= h"))
+    return base, settled(steps.withColumn("smooth", F.col("entity.smooth")).withColumn("entity", F.col("entity.entity")), "seasonal-cells")
+
+
+@query(sql(_NESTED + " SELECT fold, smooth, mape FROM nst", "cells"), "mape")
+def h12_smoothing_window(spark, d):
+    """The smoothing window of the seasonal factors, chosen in each fold on its validation window."""
+    return bt.select_param(bt.sweep(_seasonal_steps(spark, d)[1], pa.folds(spark), "smooth"), "smooth")
+
+
+@query(sql(_NESTED + """, own AS (SELECT v.fold, v.channel, v.entity, v.origin, v.h, v.mape FROM val v UNION ALL SELECT s.fold, 'seasonal', s.entity, s.origin, s.h, s.mape FROM svl s JOIN nst USING (fold, smooth)),
+k AS (SELECT v.fold, v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM own v JOIN own n ON n.channel = 'naive' AND n.fold = v.fold AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY 1, 2),
+w AS (SELECT fold, channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY fold) AS w FROM k),
+tst AS (SELECT f.fold, c.channel, c.entity, c.origin, c.h, c.step, c.y, c.yhat FROM cells c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end UNION ALL SELECT f.fold, 'seasonal', c.entity, c.origin, c.h, c.step, c.y, c.yhat FROM scl c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end JOIN nst ON nst.fold = f.fold AND nst.smooth = c.smooth),
+fz AS (SELECT fold, entity, origin, h, step, any_value(y) AS y, greatest(round(sum(w * yhat), 2), 0.0) AS yhat FROM tst JOIN w USING (fold, channel) GROUP BY ALL)
+SELECT fold, any_value(smooth) AS smooth, h, avg(mape) AS mape, count(*) AS n FROM (SELECT fold, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM fz GROUP BY ALL) JOIN nst USING (fold) GROUP BY fold, h""".replace("any_value(smooth) AS smooth, h, avg(mape)", "any_value(smooth) AS smooth, h, avg(l.mape)").replace("GROUP BY ALL) JOIN nst USING (fold)", "GROUP BY ALL) l JOIN nst USING (fold)"), "losses", "val"), "mape")
+def h12_nested_system(spark, d):
+    """The fused system whose seasonal channel has the window chosen in each fold: validation losses, weights and test cells all follow it."""
+    base, tried = _seasonal_steps(spark, d)
+    f = pa.folds(spark)
+    chosen = settled(bt.select_param(bt.sweep(tried, f, "smooth"), "smooth").select("fold", "smooth"), "chosen")
+    every = base.withColumn("smooth", F.lit(None).cast("int")).unionByName(tried, allowMissingColumns=True)
+    losses = settled(every.groupBy("channel", "smooth", "entity", "origin", "h").agg((F.avg(F.abs(F.try_divide(F.col("y") - F.col("yhat"), F.col("y")))) * 100).alias("mape")), "losses")
+    keep = lambda rows: rows.join(F.broadcast(chosen.withColumnRenamed("smooth", "_own")), "fold").where("smooth IS NULL OR smooth = _own").drop("_own", "smooth")
+    weights = fu.fold_weights(keep(fu.validation(losses, f)))
+    fused = fu.fused_losses(fu.weigh(keep(_test_steps(every, f)), "fold", weights), ["fold"])
+    return fused.groupBy("fold", "h").agg(F.avg("mape").alias("mape"), F.count("*").alias("n")).join(chosen, "fold").select("fold", "smooth", "h", "mape", "n")
+
+
 @query(sql("SELECT variant, channel, avg(yhat) AS yhat, count(*) AS n FROM (SELECT 'base' AS variant, channel, yhat FROM cells UNION ALL SELECT 'swapped', channel, yhat FROM cells WHERE channel <> 'naive' UNION ALL SELECT 'swapped', 'naive', yhat FROM cells WHERE channel = 'histmean') GROUP BY ALL", "cells"), "yhat")
 def h13_variants(spark, d):
     """Cells with one channel standing in for another."""
@@ -1305,6 +1392,29 @@ def h14_same_cells(spark, d):
     return bt.same_cells(losses, losses.where(F.dayofmonth("origin") > 9)).groupBy("cut", "h", "channel").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
 
 
+_CUTS = {"series": pa.SQL["series"].replace("series AS (", "one_series AS (") + """,
+series AS (SELECT 'raw:' || entity AS entity, date, y, widx FROM one_series UNION ALL SELECT 'smooth:' || entity, date, avg(y) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), widx FROM one_series)"""}
+
+
+@query(sql(""", c AS (SELECT split_part(entity, ':', 1) AS cut, split_part(entity, ':', 2) AS e, origin, h, channel, mape, fold FROM losses),
+vv AS (SELECT split_part(entity, ':', 1) AS cut, * FROM val), k AS (SELECT v.cut, v.fold, v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM vv v JOIN vv n ON n.channel = 'naive' AND n.fold = v.fold AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY 1, 2, 3),
+w AS (SELECT cut, fold, channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY cut, fold) AS w FROM k),
+fz AS (SELECT w.cut, f.fold, c.entity, c.origin, c.h, c.step, any_value(c.y) AS y, greatest(round(sum(w.w * yhat), 2), 0.0) AS yhat FROM cells c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end JOIN w ON w.cut = split_part(c.entity, ':', 1) AND w.fold = f.fold AND w.channel = c.channel GROUP BY ALL),
+a AS (SELECT cut, e, origin, h, channel, mape FROM c WHERE fold IS NOT NULL UNION ALL SELECT cut, split_part(entity, ':', 2), origin, h, 'fused', 100 * avg(abs((y - yhat) / nullif(y, 0))) FROM fz GROUP BY cut, entity, origin, h)
+SELECT cut, h, channel, avg(mape) AS mape, count(*) AS n FROM a WHERE (e, origin, h, channel) IN (SELECT (e, origin, h, channel) FROM a WHERE cut = 'raw') AND (e, origin, h, channel) IN (SELECT (e, origin, h, channel) FROM a WHERE cut = 'smooth') GROUP BY ALL""", "losses", "val", **_CUTS), "mape")
+def h14_raw_and_smoothed(spark, d):
+    """Raw against smoothed series on the cells that both have: channels, weights and fusion made anew from each."""
+    steps = settled(pa.cells(spark, d, s=pa.two_cuts(pa.series(spark, d))), "cells")
+    f, parts = pa.folds(spark), []
+    for cut in ("raw", "smooth"):
+        own = steps.where(F.col("entity").startswith(f"{cut}:")).withColumn("entity", F.substring_index("entity", ":", -1))
+        losses = settled(pa.cell_losses(spark, d, own), "losses")
+        fused = bt.backtest(own, losses, f, pa.HORIZONS, pa.REGIMES, "fold").withColumn("channel", F.lit("fused"))
+        cols = ["entity", "origin", "h", "channel", "mape"]
+        parts.append(settled(losses.where("fold IS NOT NULL").select(*cols).unionByName(fused.select(*cols)), "losses"))
+    return bt.same_cells(*parts).groupBy("cut", "h", "channel").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
+
+
 @query(sql(_GRID + ", z AS (SELECT fold, regime, h FROM grid GROUP BY ALL HAVING max(n) = 0) SELECT fold, regime, h, channel AS mode, count(*) AS n_cells, avg(mape) AS mape FROM losses JOIN z USING (fold, regime, h) GROUP BY ALL", "skills"), "mape")
 def h15_zero_support(spark, d):
     """Test cells whose regime had no validation data."""

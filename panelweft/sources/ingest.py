@@ -108,19 +108,6 @@ def missing_cells(store: DataFrame, required: DataFrame, keys: list[str]) -> Dat
     return required.select(*keys).distinct().join(store.select(*keys), keys, "left_anti")
 
 
-def fill_missing(store_path: str, required: DataFrame, keys: list[str], compute) -> DataFrame:
-    """Append what compute(missing keys) returns to the parquet store, partitioned by channel; the whole store afterwards."""
-    spark = required.sparkSession
-    try:
-        missing = missing_cells(spark.read.parquet(store_path), required, keys)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        missing = required.select(*keys).distinct()
-    compute(missing).write.mode("append").partitionBy("channel").parquet(store_path)
-    return spark.read.parquet(store_path)
-
-
 def read_cells(store: DataFrame, required: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
     """Stored rows of the required keys; with `strict` a key that is not stored is an error."""
     if strict and (gone := missing_cells(store, required, keys).take(1)):

@@ -251,11 +251,62 @@ def factor_scores(correlations: DataFrame, tests: DataFrame) -> DataFrame:
     return correlations.join(tests.select(F.col("source").alias("factor"), F.col("target").alias("entity"), "p_value", "best_lag"), ["entity", "factor"])
 
 
+#: Levels of the smaller of two effects up to which both are taken out by one solve.
+LEVELS = 200
+
+
+def _solved_offsets(cells: DataFrame, columns: list[str], large: list[str], small: list[str], common: list[str]) -> DataFrame:
+    """cells with _o_ offsets of two effects, exactly: the large effect is eliminated, which leaves a small system per common group.
+
+    Each task adds up its part of that system over the levels of the large effect; one solve per group, by least norm, gives the small
+    effect's offsets, and the large effect's follow from its own sums.
+    """
+    own = [c for c in small if c not in common]
+    levels = cells.select(*common, *own).distinct().withColumn("_t", F.row_number().over(Window.partitionBy(*common).orderBy(*own)) - 1)
+    placed = cells.join(F.broadcast(levels), [*common, *own])  # at most LEVELS rows a group
+    sums = [f"_s_{c}" for c in columns]
+    rows = placed.groupBy(*large).agg(F.collect_list(F.struct("_t", F.col("_n").cast("double").alias("n"), *sums)).alias("_x"))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    head = "".join(f"{c} {kinds[c]}, " for c in common)
+    width = len(columns)
+
+    def parts(batches):
+        found: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, xs in zip(pdf[common].itertuples(index=False, name=None), pdf["_x"], strict=True):
+                table = np.array([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in xs], float)
+                t, n, s = table[:, 0].astype(int), table[:, 1], table[:, 2:]
+                m = found.get(key)
+                if m is None:
+                    m = found[key] = np.zeros((LEVELS, LEVELS + width))
+                m[t, t] += n
+                m[np.ix_(t, t)] -= np.outer(n, n) / n.sum()
+                m[t, LEVELS:] += s - n[:, None] * s.sum(axis=0) / n.sum()
+        for key, m in found.items():
+            yield pd.DataFrame([(*key, m.ravel().tolist())], columns=[*common, "m"])
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.sum([np.asarray(v) for v in pdf["m"]], axis=0).reshape(LEVELS, LEVELS + width)
+        used = int(np.flatnonzero(np.diag(m) != 0).max(initial=0)) + 1
+        g = np.linalg.lstsq(m[:used, :used], m[:used, LEVELS:], rcond=1e-12)[0]
+        out = pd.DataFrame({"_t": np.arange(used)} | {f"_g_{c}": g[:, i] for i, c in enumerate(columns)})
+        for c in common[::-1]:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    made = rows.select(*common, "_x").mapInPandas(parts, f"{head}m array<double>")
+    offsets = made.groupBy(*common).applyInPandas(solved, f"{head}_t int, " + ", ".join(f"_g_{c} double" for c in columns))
+    both = placed.join(offsets, [*common, "_t"])
+    w = Window.partitionBy(*large)
+    rest = {f"_o_{c}": F.col(f"_g_{c}") + F.sum(F.col(f"_s_{c}") - F.col("_n") * F.col(f"_g_{c}")).over(w) / F.sum("_n").over(w) for c in columns}
+    return both.withColumns(rest).select(*cells.columns)
+
+
 def within(df: DataFrame, columns: list[str], effects: list[list[str]], tolerance: float = 1e-11, rounds: int = 200) -> DataFrame:
-    """columns less the means of every effect.
+    """columns less the means of every effect, from the sums of their cells (one row for each combination of effects, not for each row of df).
 
-    Several effects are swept in turn over the sums of their cells (one row for each combination of effects, not for each row of df),
-    until a round moves no mean by more than tolerance times the largest value.
+    Of two effects, the one with at most LEVELS levels (within what both share) is solved for at once. More or larger effects are swept
+    in turn until a round moves no mean by more than tolerance times the largest value.
     """
     others = [c for c in df.columns if c not in columns]
     if len(effects) == 1:
@@ -264,6 +315,13 @@ def within(df: DataFrame, columns: list[str], effects: list[list[str]], toleranc
     keys = list(dict.fromkeys(c for e in effects for c in e))
     cells = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in columns])
     cells = settled(cells.select("*", *[F.lit(0.0).alias(f"_o_{c}") for c in columns]), "cells-of-effects")
+    if len(effects) == 2 and (common := [c for c in effects[0] if c in effects[1]]):
+        most = lambda e: cells.select(*e).distinct().groupBy(*common).count().agg(F.max("count")).first()[0] or 0
+        sizes = [most(e) for e in effects]
+        if min(sizes) <= LEVELS:
+            large, small = effects if sizes[1] <= sizes[0] else effects[::-1]
+            offsets = _solved_offsets(cells, columns, large, small, common).select(*keys, *[f"_o_{c}" for c in columns])
+            return df.join(offsets, keys).select(*others, *[(F.col(c) - F.col(f"_o_{c}")).alias(c) for c in columns])
     scale = cells.agg(*[F.max(F.abs(F.col(f"_s_{c}") / F.col("_n"))).alias(c) for c in columns]).first()
     limit = tolerance * max([1e-300, *(abs(x) for x in scale if x is not None)])
     for _ in range(rounds):
@@ -295,22 +353,33 @@ def _sandwich(meat_groups: DataFrame, by: list[str], fit: DataFrame, p: int, fac
     return fit.join(meat, by).withColumn("se", errors("sxx", "meat", factor))
 
 
-def panel_regression(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None, effects: list[list[str]] | None = None, cluster: str = "entity") -> DataFrame:
-    """(by, term, coef, se, t, p_value, n): within regression with entity and quarter effects, errors clustered.
-
-    Effects are swept over sums of cells; Spark sums the Gram matrix and each cluster's scores, NumPy inverts a p-sided matrix.
-    """
-    by = by or []
+def _within_fit(df: DataFrame, y: str, xs: list[str], by: list[str], effects: list[list[str]] | None, cluster: str) -> tuple[list[str], DataFrame, DataFrame, DataFrame]:
+    """(group, rows without effects, fit per group, those rows with their residual _e)."""
     group = by or ["_all"]
     df = df.withColumn("_all", F.lit(1))
     effects = effects or [["entity"], ["period"]]
     rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in [y, *xs])).select(*dict.fromkeys([*group, cluster, "date", *[c for e in effects for c in e]]), y, *xs)
     swept = within(rows, [y, *xs], [[*group, *e] for e in effects])
     fit = with_coefficients(gram(swept, group, xs, y))
-    p = len(xs)
-    resid = swept.join(F.broadcast(fit.select(*group, "coef")), group)
     e = F.col(y) - sum((F.get("coef", F.lit(i)) * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
-    scores = resid.withColumn("_e", e).groupBy(*group, cluster).agg(F.array(*[F.sum(F.col("_e") * F.col(x)) for x in xs]).alias("s"))
+    return group, swept, fit, swept.join(F.broadcast(fit.select(*group, "coef")), group).withColumn("_e", e)
+
+
+def panel_residuals(df: DataFrame, y: str, xs: list[str], effects: list[list[str]] | None = None) -> DataFrame:
+    """(entity, date, e): what the within regression leaves of y."""
+    *_, resid = _within_fit(df, y, xs, [], effects, "entity")
+    return settled(resid.select("entity", "date", F.col("_e").alias("e")), "residuals")
+
+
+def panel_regression(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None, effects: list[list[str]] | None = None, cluster: str = "entity") -> DataFrame:
+    """(by, term, coef, se, t, p_value, n): within regression with entity and quarter effects, errors clustered.
+
+    Effects are taken out by the sums of their cells; Spark sums the Gram matrix and each cluster's scores, NumPy inverts a p-sided matrix.
+    """
+    by = by or []
+    group, swept, fit, resid = _within_fit(df, y, xs, by, effects, cluster)
+    p = len(xs)
+    scores = resid.groupBy(*group, cluster).agg(F.array(*[F.sum(F.col("_e") * F.col(x)) for x in xs]).alias("s"))
     g, n = F.col("n_groups"), F.col("n")
     out = _sandwich(scores, group, fit, p, F.when(g > 1, g / (g - 1) * (n - 1) / (n - p)).otherwise(1.0))
     terms = F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.get("coef", F.lit(i)).alias("coef"), F.get("se", F.lit(i)).alias("se")) for i, x in enumerate(xs)])).alias("x")

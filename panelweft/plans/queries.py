@@ -1676,10 +1676,17 @@ def t14_panel_regression(spark, d):
     return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"]]).select("term", "coef", "se", "n")
 
 
-@query()
+#: The two-way fit by sweeps in turn, sixty of them, over rows.
+_TWO_WAY = """, p AS (SELECT entity, date, year(date) * 10 + quarter(date) AS period, z, x FROM (SELECT entity, date, (lead(y, 4) OVER (PARTITION BY entity ORDER BY date) - y) / nullif(y, 0) AS z, (qty / 1000 * ascii(entity)) % 7 AS x FROM aligned) WHERE z IS NOT NULL AND x IS NOT NULL),
+sw AS (WITH RECURSIVE r(k, entity, date, period, z, x) AS (SELECT 0, entity, date, period, z, x FROM p UNION ALL
+  SELECT k + 1, entity, date, period, z - avg(z) OVER (PARTITION BY period), x - avg(x) OVER (PARTITION BY period) FROM (SELECT k, entity, date, period, z - avg(z) OVER (PARTITION BY entity) AS z, x - avg(x) OVER (PARTITION BY entity) AS x FROM r) WHERE k < 60) SELECT * FROM r WHERE k = 60),
+b AS (SELECT sum(x * z) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM sw), e AS (SELECT entity, date, x, z - b * x AS e FROM sw, b)"""
+
+
+@query(sql(_TWO_WAY + " SELECT 'x' AS term, b AS coef, sqrt((SELECT sum(s * s) * (count(*) / (count(*) - 1.0)) FROM (SELECT sum(e * x) AS s FROM e GROUP BY entity)) * ((n - 1.0) / (n - 1))) / sxx AS se, n FROM b", "aligned"), "coef se")
 def t14_panel_regression_two_way(spark, d):
-    """Entity and quarter effects."""
-    return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"], ["period"]])
+    """Entity and quarter effects, errors clustered by entity."""
+    return stt.panel_regression(_panel(spark, d), "z", ["x"], effects=[["entity"], ["period"]]).select("term", "coef", "se", "n")
 
 
 @query(sql(""", p AS (SELECT entity, date, z, x FROM (SELECT entity, date, (lead(y, 4) OVER (PARTITION BY entity ORDER BY date) - y) / nullif(y, 0) AS z, (qty / 1000 * ascii(entity)) % 7 AS x FROM aligned) WHERE z IS NOT NULL AND x IS NOT NULL),
@@ -1705,16 +1712,22 @@ def t17_distributed_lag(spark, d):
 
 @query()
 def t18_lag_grid(spark, d):
-    """A regression per feature and lag, with and without a window."""
-    return stt.lag_grid(_panel(spark, d), "z", ["x", "q"], [4, 8, 12], ("1999-01-04", "1999-06-28"))
+    """A regression per feature and lag from 4 to 26 weeks, on all weeks and without a window."""
+    p, out = settled(_panel(spark, d), "panel"), []
+    for name, window in (("all", None), ("without", ("1999-01-04", "1999-06-28"))):
+        out.append(stt.lag_grid(p, "z", ["x", "q"], list(range(4, 27)), window).withColumn("weeks", F.lit(name)))
+    return out[0].unionByName(out[1])
 
 
-@query()
+@query(sql(_TWO_WAY + """, l AS (SELECT entity, e, lag(e) OVER (PARTITION BY entity ORDER BY date) AS past FROM e), q AS (SELECT * FROM l WHERE past IS NOT NULL),
+c AS (SELECT entity, e - avg(e) OVER () AS e, past - avg(past) OVER () AS past FROM q), f AS (SELECT sum(past * e) / sum(past * past) AS r, sum(past * past) AS pp, count(*) AS n FROM c),
+s AS (SELECT entity, sum((e - r * past) * past) AS s FROM c, f GROUP BY 1), o AS (SELECT entity, corr(e, past) AS rho FROM q GROUP BY 1)
+SELECT 'past' AS term, r AS coef, sqrt((SELECT sum(s * s) * (count(*) / (count(*) - 1.0)) FROM s) * ((n - 1.0) / (n - 1))) / pp AS se, n, (SELECT avg(rho) FROM o) AS mean_rho, (SELECT avg(rho) / (stddev_samp(rho) / sqrt(count(rho))) FROM o) AS t_rho FROM f""", "aligned"), "coef se mean_rho t_rho")
 def t19_serial_correlation(spark, d):
-    """Own lag of the residuals, pooled and by entity."""
-    p = wi.weekly_change(_panel(spark, d), "y", "e").select("entity", "date", "e")
-    pooled, own = stt.serial_correlation(p)
-    return pooled.crossJoin(F.broadcast(own.select("mean_rho", F.col("t").alias("t_rho"))))
+    """Own lag of the residuals of the two-way fit, pooled and by entity."""
+    e = stt.panel_residuals(_panel(spark, d), "z", ["x"], [["entity"], ["period"]])
+    pooled, own = stt.serial_correlation(e)
+    return pooled.select("term", "coef", "se", "n").crossJoin(F.broadcast(own.select("mean_rho", F.col("t").alias("t_rho"))))
 
 
 # Graph, gate, boundary

@@ -370,10 +370,25 @@ def test_two_way_effects(spark, sf, panel):
     b, se, n, g = clustered(panel, "z", ["x"], ["entity", "period"])
     close(r["coef"], b[0])
     close(r["se"], se[0])
-    close(r["p_value"], t_tail(b[0] / se[0], g - 1), 1e-5)
+    full = stats.panel_regression(queries._panel(spark, sf), "z", ["x"], effects=[["entity"], ["period"]]).collect()[0]
+    close(full["p_value"], t_tail(b[0] / se[0], g - 1), 1e-5)
     assert r["n"] == n
 
 
+@pytest.mark.parametrize("levels", [200, 3])
+def test_solved_and_swept_effects_leave_the_same(spark, monkeypatch, levels):
+    """Solved at once, or swept when both effects have too many levels; groups of their own, disconnected parts, single rows."""
+    monkeypatch.setattr(stats, "LEVELS", levels)
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 300), "entity": rng.integers(0, 30, 300).astype(str), "period": rng.integers(0, 8, 300), "date": "2000-01-03", "z": rng.normal(size=300) * 5 + 100})
+    frame.loc[frame["entity"] >= "5", "period"] += 100  # two parts that share no period
+    frame["z"] += frame["period"] * 0.3
+    got = stats.within(spark.createDataFrame(frame.reset_index(names="i")).repartition(5), ["z"], [["g", "entity"], ["g", "period"]]).toPandas().set_index("i")["z"]
+    for _, part in frame.groupby("g"):
+        want = residual(part["z"].to_numpy(), dummies(part, ["entity", "period"]))
+        assert np.allclose(got.loc[part.index].to_numpy(), want, atol=1e-6)
+
+
 def test_effects_of_an_unbalanced_panel(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"entity": rng.integers(0, 9, 400).astype(str), "period": (rng.integers(0, 12, 400) ** 2 // 9).astype(str), "date": "2000-01-03", "x": rng.normal(size=400)})
@@ -446,16 +461,22 @@ def test_distributed_lag_and_sums(spark, sf, panel):
 
 
 def test_lag_grid(spark, sf, panel):
-    frame = panel[~panel["date"].astype(str).between("1999-01-04", "1999-06-28")].copy()
+    rows = {(r["weeks"], r["feature"], r["lag"]): r for r in queries.QUERIES["t18_lag_grid"](spark, sf).collect()}
+    assert len(rows) == 2 * 2 * 23
+    inside = panel["date"].astype(str).between("1999-01-04", "1999-06-28")
+    for weeks, frame in (("all", panel.copy()), ("without", panel[~inside].copy())):
+        same_grid(frame, {k[1:]: r for k, r in rows.items() if k[0] == weeks})
+
+
+def same_grid(frame, got):
     want = {}
     for f in ("x", "q"):
-        for k in (4, 8, 12):
+        for k in range(4, 27):
             frame["v"] = frame.groupby("entity")[f].shift(k)
             b, se, n, g = clustered(frame, "z", ["v"], ["entity"])
             want[f, k] = (b[0], se[0], t_tail(b[0] / se[0], g - 1), n)
     keys = list(want)
     rejected = {keys[i] for i in step_up([want[k][2] for k in keys])}
-    got = {(r["feature"], r["lag"]): r for r in queries.QUERIES["t18_lag_grid"](spark, sf).collect()}
     assert got.keys() == want.keys()
     for k, (b, se, p, n) in want.items():
         close(got[k]["coef"], b)
@@ -465,10 +486,13 @@ def test_lag_grid(spark, sf, panel):
         assert got[k]["stable_sign"] == (len({np.sign(want[j][0]) for j in keys if j[0] == k[0]}) == 1)
 
 
-def test_serial_correlation(spark, sf, series):
-    frame = series.assign(e=series.groupby("entity")["y"].pct_change(fill_method=None))
+def test_serial_correlation(spark, sf, panel):
+    frame = panel.dropna(subset=["z", "x"]).copy()
+    d = dummies(frame, ["entity", "period"])
+    x, z = residual(frame["x"].to_numpy(), d), residual(frame["z"].to_numpy(), d)
+    frame["e"] = z - x * (x @ z) / (x @ x)
     frame["past"] = frame.groupby("entity")["e"].shift(1)
-    frame = frame.dropna(subset=["e", "past"]).assign(one="1")
+    frame = frame.dropna(subset=["past"])
     b, se, n, _ = clustered(frame, "e", ["past"], [])
     rho = frame.groupby("entity")[["e", "past"]].apply(lambda g: g["e"].corr(g["past"]))
     r = queries.QUERIES["t19_serial_correlation"](spark, sf).collect()[0]

@@ -1,9 +1,11 @@
 """License scan: exact phrases and a fuzzy search for short notices.
 
-Exact phrases are found as consecutive words. The fuzzy search splits every notice into one seed more than its edits
-(pigeonhole: some seed stands unedited), finds the seeds of all notices with one automaton, and lets the regex library's
-bounded-error matching verify the edits in the window around each seed and report the span of the best match there. A notice may
-have one edit in TOLERANCE characters, and at most MOST.
+Exact phrases are found as consecutive words. The fuzzy search splits every notice into AGREE seeds more than its edits (pigeonhole:
+so many of them stand unedited), finds the seeds of all notices with one automaton, and looks where AGREE different ones agree on the
+notice's start, as far as its edits can shift them. There the least number of edits of any match is counted by one column of bits a
+character; if the notice may have so many, the regex library's bounded-error matching, with that number as its bound, verifies the edits
+and reports the span. A notice may have one edit in TOLERANCE characters. A window of the same characters is verified once, so text that
+repeats itself costs no more than its different windows.
 
 Defined cases: null or empty text has no words, no labels and score 0; overlapping places of phrases count each; of overlapping
 matches of one notice the one of fewest edits stays, then the leftmost, then the shortest; the score is 1 with an exact phrase, else
@@ -52,8 +54,10 @@ NOTICES = {
     "boost software license": "boost~",
     "all rights reserved": "copyright~",
 }
-#: Characters of a notice for each edit that it may have, and the most edits, as the cost of verifying triples with each.
-TOLERANCE, MOST = 9, 4
+#: Characters of a notice for each edit that it may have, and different seeds that have to agree on where it starts.
+TOLERANCE, AGREE = 9, 2
+#: Verified windows that a task remembers at a time.
+REMEMBERED = 20_000
 _SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
@@ -63,42 +67,95 @@ _SQL = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_wo
 
 
 def seeds(notice: str, edits: int) -> list[tuple[str, int]]:
-    """edits + 1 pieces of the notice and where each starts."""
-    cuts = [round(i * len(notice) / (edits + 1)) for i in range(edits + 2)]
-    return [(notice[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    """edits + AGREE pieces of the notice and where each starts."""
+    n = edits + AGREE
+    cuts = [round(i * len(notice) / n) for i in range(n + 1)]
+    return [(notice[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
 
 def edits_of(notice: str) -> int:
-    return min(len(notice) // TOLERANCE, MOST)
+    return len(notice) // TOLERANCE
+
+
+def agreed(hits: list[tuple[int, int]], edits: int) -> list[int]:
+    """Of (start that a seed implies, seed) in order: the starts with AGREE different seeds between them and 2 * edits later."""
+    out, counts, distinct, end = [], {}, 0, 0
+    for start, seed in hits:
+        while end < len(hits) and hits[end][0] <= start + 2 * edits:
+            counts[hits[end][1]] = counts.get(hits[end][1], 0) + 1
+            distinct += counts[hits[end][1]] == 1
+            end += 1
+        if distinct >= AGREE and (not out or out[-1] != start):
+            out.append(start)
+        counts[seed] -= 1
+        distinct -= counts[seed] == 0
+    return out
+
+
+def least_edits(notice: str, window: str) -> int:
+    """The edit distance of the notice to the substring of the window that is nearest to it."""
+    m = len(notice)
+    every, top = (1 << m) - 1, 1 << (m - 1)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        masks[c] = masks.get(c, 0) | 1 << i
+    up, down, score, best = every, 0, m, m
+    for c in window:
+        same = masks.get(c, 0)
+        level = (((same & up) + up) ^ up) | same
+        rises, falls = down | (every & ~(level | up)), up & level
+        score += bool(rises & top) - bool(falls & top)
+        best = min(best, score)
+        rises, falls = rises << 1, falls << 1
+        up, down = (falls | ~(same | down | rises)) & every, rises & (same | down) & every
+    return best
 
 
 class Searcher:
     """All verified notices of a lower-cased text: (notice, start, end, edits), spans in code points, end exclusive."""
 
     def __init__(self, notices: list[str]):
-        self.notices = [(n, edits_of(n), regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={edits_of(n)}}}")) for n in notices]
+        self.notices = [(n, edits_of(n)) for n in notices]
+        self.patterns: dict[tuple[int, int], regex.Pattern] = {}
+        self.known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         places: dict[str, list] = {}
-        for k, (notice, edits, _) in enumerate(self.notices):
-            for seed, at in seeds(notice, edits):
-                places.setdefault(seed, []).append((k, at))
+        for k, (notice, edits) in enumerate(self.notices):
+            for j, (seed, at) in enumerate(seeds(notice, edits)):
+                places.setdefault(seed, []).append((k, j, at))
         self.automaton = ahocorasick.Automaton()
         for seed, where in places.items():
             self.automaton.add_word(seed, (len(seed), where))
         self.automaton.make_automaton()
 
+    def best(self, k: int, window: str) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best match of notice k in a window."""
+        key = k, window
+        if key not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            notice, edits = self.notices[k]
+            self.known[key] = None
+            if (n := least_edits(notice, window)) <= edits:
+                if (k, n) not in self.patterns:
+                    self.patterns[k, n] = regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={n}}}")
+                if m := self.patterns[k, n].search(window):
+                    self.known[key] = (sum(m.fuzzy_counts), m.start(), m.end())
+        return self.known[key]
+
     def __call__(self, text: str) -> list[tuple[str, int, int, int]]:
-        windows: dict[int, set[int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
-            for k, at in where:
+            for k, j, at in where:
                 # Where the notice starts, if nothing before the seed is edited.
-                windows.setdefault(k, set()).add(end + 1 - size - at)
+                hits.setdefault(k, []).append((end + 1 - size - at, j))
         found = []
-        for k, starts in windows.items():
-            notice, edits, pattern = self.notices[k]
+        for k, starts in hits.items():
+            notice, edits = self.notices[k]
             matches = set()
-            for at in starts:
-                if m := pattern.search(text, max(0, at - edits), max(0, at) + len(notice) + 2 * edits):
-                    matches.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            for at in agreed(sorted(starts), edits):
+                low = max(0, at - edits)
+                if m := self.best(k, text[low : max(0, at + len(notice) + 2 * edits)]):
+                    matches.add((m[0], low + m[1], low + m[2]))
             taken: list[tuple[int, int]] = []
             for n, a, b in sorted(matches):
                 i = bisect.bisect(taken, (a, b))

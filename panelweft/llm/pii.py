@@ -2,8 +2,10 @@
 
 Base spans are the matches of four patterns. Each matched value is a protected entity. The words around it are the terms that
 may reveal it: over all documents, a term's disclosure of an entity is their normalised pointwise mutual information, from
-the number of documents that hold the term, the entity, and both. Terms over the first threshold are generalised, over the second
-removed, wherever they stand in any document, with or without the entity.
+the number of documents that hold the term, the entity, and both; one document is enough, so a value that stands once is protected
+like any other. Terms over the first threshold are generalised, over the second removed: in every document that holds personal data,
+and, where at least WIDE documents show the term next to the entity, in all other documents too, with or without the entity. (A single
+meeting may be chance, and would have clean texts lose words that tell nothing.)
 
 Defined cases: null is empty and has no spans, and stays null when sanitised; of overlapping spans all are reported, and the sanitised
 text replaces their union by the label of the first; equal rows count once for each row and get equal results; rows of null or repeated
@@ -29,8 +31,9 @@ PATTERNS = {
 #: Kinds that the method adds.
 GENERAL, REMOVED = "general", "removed"
 KINDS = [*PATTERNS, GENERAL, REMOVED]
-#: Words on either side of an entity, documents that must show a term next to it, and the two disclosure thresholds.
-NEAR, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.8, 0.95
+#: Words on either side of an entity, documents that must show a term next to it before documents without personal data lose it, and
+#: the two disclosure thresholds.
+NEAR, WIDE, GENERALISE, REMOVE = 5, 3, 0.8, 0.95
 #: Parts into which the documents of one term are dealt.
 SALTS = 16
 _WORD = r"[\p{L}\p{N}]++"
@@ -121,9 +124,12 @@ def holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(salted, ["term", "_salt"]).drop("_salt").distinct()
 
 
-def disclosure(docs: DataFrame, context: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, strength): normalised pointwise mutual information over all documents, of pairs with enough support and at least `least`."""
-    pairs = context.groupBy("entity", "term").agg(F.count("*").alias("beside")).where(F.col("beside") >= support).drop("beside")
+def disclosure(docs: DataFrame, protected: DataFrame, context: DataFrame, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, beside, strength): normalised pointwise mutual information over all documents, of pairs with at least `least`.
+
+    protected holds the documents with personal data (_key, _text, _base), context the pairs of near; beside counts the documents of a pair.
+    """
+    pairs = context.groupBy("entity", "term").agg(F.count("*").alias("beside"))
     own = context.select("_key", "entity").distinct()
     entities = own.groupBy("entity").agg(F.count("*").alias("n_entity"))
     # Summed in each task before it is shuffled, then joined to the terms of interest.
@@ -139,20 +145,23 @@ def disclosure(docs: DataFrame, context: DataFrame, support: int = SUPPORT, leas
     pairs = terms.join(pairs, "term").join(entities, "entity").crossJoin(F.broadcast(total))
     pairs = written(pairs.where(strength(F.least("n_term", "n_entity")) >= least - 1e-9), "pii-pairs")
     # Documents that hold an entity and a term, wherever they stand in it.
-    protected = base(docs).where(F.size("_base") > 0).select("_key", "_text")
     both = holding(protected, pairs.select("term").distinct()).join(own, "_key").groupBy("entity", "term").agg(F.count("*").alias("both"))
-    found = both.join(pairs, ["entity", "term"]).select("entity", "term", strength(F.col("both")).alias("strength"))
+    found = both.join(pairs, ["entity", "term"]).select("entity", "term", "beside", strength(F.col("both")).alias("strength"))
     return found.where(F.col("strength") >= least)
 
 
-def spans(docs: DataFrame, width: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def spans(docs: DataFrame, width: int = NEAR, wide: int = WIDE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with _text, _base and _spans (base spans and those of the method, by start and kind)."""
-    context = written(near(base(docs), width), "pii-context")
-    strong = disclosure(docs, context, support, generalise)
-    strong = written(strong.groupBy("term").agg(F.max("strength").alias("strength")), "pii-strong")
-    terms = holding(keyed(docs), strong)
-    words = F.transform(F.array_sort(F.collect_list(F.struct("term", "strength"))), lambda x: x)
-    terms = written(terms.groupBy("_key").agg(words.alias("_terms")), "pii-terms")
+    protected = written(base(docs.select("doc_id", "text")).where(F.size("_base") > 0).select("_key", "_text", "_base"), "pii-protected")
+    context = written(near(protected, width), "pii-context")
+    strong = disclosure(docs, protected, context, generalise).groupBy("term")
+    strong = written(strong.agg(F.max("strength").alias("strength"), F.max(F.when(F.col("beside") >= wide, F.col("strength"))).alias("everywhere")), "pii-strong")
+    # What all documents lose, and what those with personal data lose besides.
+    every = holding(keyed(docs.select("doc_id", "text")), strong.where("everywhere IS NOT NULL").select("term", F.col("everywhere").alias("strength")))
+    terms = every.unionByName(holding(protected, strong.select("term", "strength")))
+    words = F.array_sort(F.collect_list(F.struct("term", "strength")))
+    terms = terms.groupBy("_key", "term").agg(F.max("strength").alias("strength")).groupBy("_key").agg(words.alias("_terms"))
+    terms = written(terms, "pii-terms")
     rows = base(docs)
     rows = rows.join(terms.withColumnRenamed("_key", "_own"), F.col("_key") == F.col("_own"), "left")
 

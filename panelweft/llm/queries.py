@@ -38,7 +38,9 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)]
+    kinds = F.transform("_base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, -1)).cast("bigint") - F.size(F.array_remove(kinds, k)) for k in range(len(pii.PATTERNS))]
+    counts = [n.cast("bigint").alias(f"n_{kind}") for n, kind in zip(counts, pii.PATTERNS, strict=True)]
     return rows.select("doc_id", *counts, F.sha2(pii.listed(F.col("_base")), 256).alias("base_sha256"), pii.listed(F.col("_spans")).alias("spans"))
 
 

@@ -1,5 +1,6 @@
 """Terms that reveal personal data, over all documents, against a plain version."""
 
+import hashlib
 import math
 import re
 
@@ -9,6 +10,7 @@ import pytest
 pytest.importorskip("panelweft.llm")
 
 from panelweft.llm import pii  # noqa: E402
+from panelweft.llm.queries import QUERIES  # noqa: E402
 
 MAIL = re.compile(r"[a-z]+@[a-z]+\.[a-z]+")
 
@@ -66,3 +68,17 @@ def test_strong_terms_are_hidden_in_every_document(spark):
     got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["_spans"] if s["kind"] > 3] for r in pii.spans(docs).collect()}
     assert got == plain(rows)
     assert got[11] and got[10] and len(got[30]) == 2 and len(got[31]) == 2 and not got[12] and not got[100]
+
+
+def test_counts_of_the_query(spark):
+    """Each kind's count is that of its spans, whatever the order that they stand in."""
+    data = "/root/testdata/sf0.01"
+    some = 0
+    for r in QUERIES["op4_pii"](spark, data).collect():
+        kinds = [s.split(":")[0] for s in r["spans"].split(",") if s]
+        base = [s for s in r["spans"].split(",") if s and s.split(":")[0] in pii.PATTERNS]
+        assert tuple(kinds.count(k) for k in pii.PATTERNS) == (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"])
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert base or not kinds  # no document without personal data loses a word on this table
+        some += bool(base)
+    assert some > 30

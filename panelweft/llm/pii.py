@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import marked, written
 
 #: Kinds in order and their patterns. Possessive forms of the patterns as documented: they match the same places
 #: without backtracking, and a search starts at the front of a run of characters or where the last match ended.
@@ -162,8 +162,10 @@ def spans(docs: DataFrame, width: int = NEAR, wide: int = WIDE, generalise: floa
     words = F.array_sort(F.collect_list(F.struct("term", "strength")))
     terms = terms.groupBy("_key", "term").agg(F.max("strength").alias("strength")).groupBy("_key").agg(words.alias("_terms"))
     terms = written(terms, "pii-terms")
-    rows = base(docs)
-    rows = rows.join(terms.withColumnRenamed("_key", "_own"), F.col("_key") == F.col("_own"), "left")
+    # Only documents that may have terms are moved.
+    rows = marked(keyed(docs), "_key", terms.select("_key"))
+    alone = base(rows.where("NOT _maybe").drop("_maybe")).withColumn("_terms", F.lit(None).cast(terms.schema["_terms"].dataType))
+    rows = base(rows.where("_maybe").drop("_maybe")).join(terms.withColumnRenamed("_key", "_own"), F.col("_key") == F.col("_own"), "left").drop("_own").unionByName(alone)
 
     def chosen(low: float, high: float) -> Column:
         return F.transform(F.filter("_terms", lambda x: (x["strength"] >= low) & (x["strength"] < high)), lambda x: x["term"])
@@ -174,7 +176,7 @@ def spans(docs: DataFrame, width: int = NEAR, wide: int = WIDE, generalise: floa
         words = chosen(low, high)
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
         out = F.concat(out, F.when(F.size(words) > 0, places(F.col("_text"), pattern, KINDS.index(kind))).otherwise(none))
-    return rows.withColumn("_spans", F.array_sort(out)).drop("_key", "_own", "_terms")
+    return rows.withColumn("_spans", F.array_sort(out)).drop("_key", "_terms")
 
 
 def listed(spans: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions.tables import settled
 from . import fusion
 from .guards import exclude_window, in_validation
 from .joins import calendar_targets, fold_of
-from .losses import cell_losses, regime_results
+from .losses import cell_losses, median_skill, regime_results
 
 Channel = Callable[[DataFrame, DataFrame, int], DataFrame]
 
@@ -126,6 +126,29 @@ def sweep(steps: DataFrame, folds: DataFrame, param: str, only: DataFrame | None
     return placed.groupBy(param, "fold").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
 
 
+def cap_sweep(actuals: DataFrame, last: DataFrame, levels: DataFrame, folds: DataFrame, caps: list[float]) -> DataFrame:
+    """(rho, fold, mape, n): validation loss of the reversion to each fold's levels (fold, entity, level) under every cap of its strength.
+
+    last (entity, origin, y0). A cell is one row with its path inside, so a candidate costs a row per cell and no shuffle of steps.
+    """
+    path = actuals.groupBy("entity", "origin", "h").agg(F.array_sort(F.collect_list(F.struct("step", "y"))).alias("path"))
+    rows = in_validation(path.join(last.select("entity", "origin", "y0"), ["entity", "origin"]), folds).join(F.broadcast(levels), ["fold", "entity"])  # folds x entities
+    rows = rows.withColumn("rho", F.explode(F.array(*[F.lit(float(c)) for c in caps])))
+    moved = lambda x: F.greatest(F.round(F.col("y0") + F.col("rho") * F.pow(x["step"] / F.col("h"), 2) * (F.col("level") - F.col("y0")), 2), F.lit(0.0))
+    terms = F.filter(F.transform("path", lambda x: F.abs(F.try_divide(x["y"] - moved(x), x["y"]))), lambda v: v.isNotNull())
+    scored = rows.withColumn("mape", F.try_divide(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v), F.size(terms)) * 100)
+    return scored.groupBy("rho", "fold").agg(F.avg("mape").alias("mape"), F.count("*").alias("n"))
+
+
+def noisy_runs(forecasts: DataFrame, base: DataFrame, runs: int, seed: int = 23, spread: float = 0.5) -> DataFrame:
+    """(run, channel, entity, origin, step, yhat): forecasts whose distance from the base (entity, origin, step, yhat) is drawn anew in each run, by origin, within the spread."""
+    numbers = forecasts.sparkSession.range(1, runs + 1).select(F.col("id").cast("int").alias("run"))
+    rows = forecasts.join(base.select("entity", "origin", "step", F.col("yhat").alias("_base")), ["entity", "origin", "step"]).crossJoin(F.broadcast(numbers))
+    day = F.datediff("origin", F.lit("1970-01-01").cast("date"))
+    share = 1 + spread * (draw(seed, F.col("run"), day) % 2001 - 1000) / 1000
+    return rows.select("run", "channel", "entity", "origin", "step", (F.col("_base") + (F.col("yhat") - F.col("_base")) * share).alias("yhat"))
+
+
 def consistency(scores: DataFrame, param: str, current: float, dead_band: float = 0.01, least_n: int = 30, least_folds: int = 5) -> DataFrame:
     """(param, better, worse, neutral, mean_change, approved): directions per fold against the current value; the one value that improves in
     enough folds and most on average is approved."""
@@ -256,6 +279,62 @@ def single_split(steps: DataFrame, losses: DataFrame, train_end: str, embargo_we
     return backtest(steps, losses, fold, [], [], "fold")
 
 
+def single_split_systems(steps: DataFrame, losses: DataFrame, train_end: str, blended: list[str], embargo_weeks: int = 13) -> DataFrame:
+    """(system, entity, origin, h, mape, rmse) of one split: each channel, the equal-weight blend of some, and the fusion by validation skill, on the same cells."""
+    start = F.date_add(F.lit(train_end).cast("date"), 7 * (embargo_weeks + 1))
+    fused = single_split(steps, losses, train_end, embargo_weeks).select(F.lit("fusion").alias("system"), "entity", "origin", "h", "mape", "rmse")
+    test = steps.where(F.col("origin") >= start)
+    members = test.where(F.col("channel").isin(blended)).withColumn("w", F.lit(1.0 / len(blended)))
+    blend = fusion.fused_losses(members, []).select(F.lit("blend").alias("system"), "entity", "origin", "h", "mape", "rmse")
+    solo = losses.where(F.col("origin") >= start).select(F.col("channel").alias("system"), "entity", "origin", "h", "mape", "rmse")
+    cells = fused.select("entity", "origin", "h").intersect(blend.select("entity", "origin", "h"))
+    return fused.unionByName(blend).unionByName(solo).join(cells, ["entity", "origin", "h"], "left_semi")
+
+
+def holdout_table(folds: DataFrame, reserved: str, cap: str, embargo_weeks: int = 13) -> DataFrame:
+    """(part, fold, train_start, train_end, test_start, test_end): `pseudo` goes on from the last fold's training end up to the reserved window;
+    `holdout` trains up to the embargo before that window and tests inside it, up to the cap."""
+    first, last_day = F.lit(reserved).cast("date"), F.lit(cap).cast("date")
+    last = folds.agg(F.max(F.struct("fold", "train_start", "train_end", "test_start")).alias("x")).select("x.*")
+    pseudo = last.select(F.lit("pseudo").alias("part"), (F.col("fold") + 1).alias("fold"), "train_start", "train_end", "test_start", F.date_sub(first, 1).alias("test_end"))
+    final = last.select(F.lit("holdout").alias("part"), (F.col("fold") + 2).alias("fold"), "train_start", F.date_sub(first, 7 * (embargo_weeks + 1)).alias("train_end"), first.alias("test_start"), last_day.alias("test_end"))
+    return pseudo.unionByName(final)
+
+
+def scorable(series: DataFrame, reserved: str, cap: str, disclosed: str | None = None) -> DataFrame:
+    """The rows that may be targets: none past the cap, and none of the reserved window unless its use is disclosed, in words.
+
+    Actuals made of these rows have no cell that reaches further, so there is nothing to leave out of a score later.
+    """
+    rows = series.where(F.col("date") <= F.lit(cap).cast("date"))
+    if disclosed is None:
+        return rows.where(F.col("date") < F.lit(reserved).cast("date"))
+    if not disclosed.strip():
+        raise ValueError("the reserved window opens only for a stated reason")
+    return rows
+
+
+def holdout(steps: DataFrame, fold: DataFrame, members: DataFrame, reference: str, external: str | None = None, temperature: float = fusion.TEMPERATURE) -> DataFrame:
+    """(system, entity, origin, h, mape) on the test cells of one fold: every channel, the fusion of the members (fold, h, channel), and that with the external channel.
+
+    Weights are validation skills against the reference. The external channel has a weight like a member; where it lacks a cell the others share it.
+    """
+    losses = settled(cell_losses(steps), "losses")
+    own = members.select("fold", "h", "channel")
+    if external:
+        own = own.unionByName(members.select("fold", "h", F.lit(external).alias("channel")).distinct())
+    skills = median_skill(fusion.validation(losses, fold), ["fold", "h"], reference).join(F.broadcast(own), ["fold", "h", "channel"], "left_semi")
+    test = fold_of(steps, fold).where("fold IS NOT NULL")
+    weighted = test.join(F.broadcast(fusion.softmax(skills, ["fold", "h"], temperature).select("fold", "h", "channel", "w")), ["fold", "h", "channel"])
+    keys = ["entity", "origin", "h", "step"]
+    y = weighted.groupBy(*keys).agg(F.first("y").alias("y"))
+    parts = [fold_of(losses, fold).where("fold IS NOT NULL").select(F.col("channel").alias("system"), "entity", "origin", "h", "mape")]
+    for name, gone in [("system", [external] if external else [])] + ([("system with external", [])] if external else []):
+        fused = fusion.fuse_present(weighted, gone, keys).join(y, keys).withColumn("channel", F.lit(name))
+        parts.append(cell_losses(fused).select(F.col("channel").alias("system"), "entity", "origin", "h", "mape"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def single_origin(series: DataFrame, forecasts: DataFrame, folds: DataFrame, horizons: DataFrame) -> DataFrame:
     """(fold, entity, h, channel, ape): forecasts made at train_end against the value exactly h weeks later."""
     origins = series.join(F.broadcast(folds.select("fold", F.col("train_end").alias("origin"))), F.col("date") == F.col("origin")).select("fold", "entity", "origin")

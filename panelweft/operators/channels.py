@@ -6,6 +6,7 @@ series (entity, date, y, widx) without nulls; origins (entity, origin, widx). A
 from __future__ import annotations
 
 from bisect import insort
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -454,6 +455,12 @@ def publication_lagged(channel, series: DataFrame, origins: DataFrame, lag: int,
     return back.select("channel", "entity", F.col("asked").alias("origin"), (F.col("step") - lag).alias("step"), "yhat")
 
 
+def information_origins(series: DataFrame, origins: DataFrame, lags: Iterable[int]) -> DataFrame:
+    """(entity, origin, widx): the rows that forecasts at the origins start from when data are so many rows late."""
+    late = F.explode(F.array(*[F.col("widx") - lag for lag in lags]))
+    return origins.select("entity", late.alias("widx")).distinct().join(series.select("entity", "widx", F.col("date").alias("origin")), ["entity", "widx"]).select("entity", "origin", "widx")
+
+
 def choose_damping(losses: DataFrame, undamped: str, damped: str) -> DataFrame:
     """(fold, h, channel): the damped one only where its validation loss is less."""
     best = losses.groupBy("fold", "h").agg(F.avg(F.when(F.col("channel") == undamped, F.col("mape"))).alias("u"), F.avg(F.when(F.col("channel") == damped, F.col("mape"))).alias("d"))

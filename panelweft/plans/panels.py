@@ -98,14 +98,18 @@ def forecasts(spark: SparkSession, d: str, s: DataFrame | None = None) -> DataFr
     return flat.select("channel", "entity", "origin", "h", "step", "yhat").unionByName(channels.historical_mean(s, o, HORIZONS, 0.317))
 
 
-def system_forecasts(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
-    """(channel, entity, origin, h, step, yhat) of the fitted channels: Holt, seasonal, factor-adjusted smoothing undamped and damped, macro; and naive."""
-    o = origins(spark, d, s)
+def system_paths(spark: SparkSession, d: str, s: DataFrame, o: DataFrame, steps: int = channels.MAX_STEP) -> DataFrame:
+    """(channel, entity, origin, step, yhat) of the fitted channels: Holt, seasonal, factor-adjusted smoothing undamped and damped, macro; and naive."""
     states = settled(channels.seasonal_states(s, o, kinds=("fa_ets", "fa_ets_d")), "seasonal-states")
     macro = aligned(spark, d, ["qty"]).withColumn("qty", F.col("qty") / 1000)
-    made = [channels.naive(s, o), channels.holt(s, o), channels.seasonal(s, o, states=states), channels.anchored(channels.exogenous_modifier(macro, o, {"qty": 6}))]
-    made += [channels.adjusted_trend(s, o, damped=damped, states=states) for damped in (False, True)]
-    flat = reduce(DataFrame.unionByName, made)
+    made = [channels.naive(s, o, steps), channels.holt(s, o, steps), channels.seasonal(s, o, steps, states=states), channels.anchored(channels.exogenous_modifier(macro, o, {"qty": 6}), steps)]
+    made += [channels.adjusted_trend(s, o, steps, damped=damped, states=states) for damped in (False, True)]
+    return reduce(DataFrame.unionByName, made)
+
+
+def system_forecasts(spark: SparkSession, d: str, s: DataFrame) -> DataFrame:
+    """(channel, entity, origin, h, step, yhat) of system_paths at the origins of the folds."""
+    flat = system_paths(spark, d, s, origins(spark, d, s))
     return flat.crossJoin(F.broadcast(horizons(spark))).where("step <= h").select("channel", "entity", "origin", "h", "step", "yhat")
 
 
@@ -143,9 +147,17 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def event_weeks(spark: SparkSession, d: str) -> DataFrame:
+def major_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events that are the dearest order of their entity's quarter."""
+    price = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("event"), F.col("o_totalprice").cast("double").alias("price"))
+    quarter = F.date_trunc("quarter", "begin_date")
+    top = events(spark, d).join(price, "event").groupBy("entity", quarter.alias("quarter")).agg(F.max(F.struct("price", "event", "begin_date", "end_date", "impact", "confidence")).alias("x"))
+    return top.select("entity", "x.event", "x.begin_date", "x.end_date", "x.impact", "x.confidence")
+
+
+def event_weeks(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:
     """The events on every active Monday."""
-    e = events(spark, d)
+    e = e if e is not None else events(spark, d)
     return ingest.expand_active_weeks(e).join(e.dropDuplicates(["entity", "event"]), ["entity", "event"])
 
 

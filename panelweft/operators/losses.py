@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import correlation
+
 
 def ape(y: str = "y", f: str = "yhat") -> Column:
     return F.abs(F.try_divide(F.col(y) - F.col(f), F.col(y)))
@@ -190,7 +192,7 @@ def skill_by_flag(losses: DataFrame, confidence: DataFrame, channel: str, refere
     cells = with_reference(losses, reference).where(F.col("channel") == channel).join(confidence, ["entity", "origin"], "left")
     skill = F.when(F.col("ref") > 0, 1 - F.col("mape") / F.col("ref"))
     live = F.coalesce("confidence", F.lit(0.0)) > 0
-    return cells.groupBy("h").agg(F.avg(F.when(live, skill)).alias("skill_active"), F.avg(F.when(~live, skill)).alias("skill_quiet"), F.corr(F.coalesce("confidence", F.lit(0.0)), skill).alias("corr"), F.sum(live.cast("int")).alias("n_active"))
+    return cells.groupBy("h").agg(F.avg(F.when(live, skill)).alias("skill_active"), F.avg(F.when(~live, skill)).alias("skill_quiet"), correlation(F.coalesce("confidence", F.lit(0.0)), skill).alias("corr"), F.sum(live.cast("int")).alias("n_active"))
 
 
 def router_effect(losses: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draws
 from ..functions.linalg import dot, f_tail, gram, solve, t_pvalue, with_coefficients
 from ..functions.tables import settled
-from .windows import by_date, strip_common
+from .windows import by_date, correlation, strip_common
 
 
 def long_run_variance(df: DataFrame, by: list[str], x: str, lag: Column | int, order: str = "origin") -> DataFrame:
@@ -200,11 +200,23 @@ def lag_correlation(df: DataFrame, feature: str, lags: list[int], target: str =
     lagged = df.withColumns({f"_x{k}": F.lag(feature, k).over(by_date()) for k in lags})
     cols = [F.struct(F.lit(k).alias("lag"), F.col(f"_x{k}").alias("x")) for k in lags]
     long = lagged.select(target, F.explode(F.array(*cols)).alias("s")).select(target, "s.*").where(f"x IS NOT NULL AND {target} IS NOT NULL")
-    out = long.groupBy("lag").agg(F.corr("x", target).alias("r"), F.count("*").alias("n"))
+    out = long.groupBy("lag").agg(correlation("x", target).alias("r"), F.count("*").alias("n"))
     top = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round(F.abs("r"), 9).desc_nulls_last(), "lag"))
     return out.withColumn("best", top == 1)
 
 
+def change_correlation(cells: DataFrame, by: list[str], predicted: str = "predicted", realised: str = "realised") -> DataFrame:
+    """(by, n, r, t, p): Pearson correlation of predicted and realised changes per group, with the two-sided probability of Student's t.
+
+    r is null where a side does not vary or fewer than three rows have both; p is 0 where the correlation is exact.
+    """
+    ok = cells.where(F.col(predicted).isNotNull() & F.col(realised).isNotNull())
+    out = ok.groupBy(*by).agg(F.count("*").alias("n"), correlation(predicted, realised).alias("r"))
+    out = out.withColumn("r", F.when(F.col("n") >= 3, F.col("r"))).withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2.0), F.sqrt(1 - F.col("r") * F.col("r"))))
+    p = F.when(F.abs("r") == 1, 0.0).otherwise(t_pvalue("t", (F.col("n") - 2).cast("double")))
+    return out.withColumn("p", F.when(F.col("r").isNotNull(), p))
+
+
 def granger(pairs: DataFrame, series: DataFrame, max_lag: int = 8, least: int = 60) -> DataFrame:
     """(source, target, best_lag, f_stat, p_value, n_obs): does the source's past help predict the target, beyond its own?
 
@@ -531,7 +543,7 @@ def serial_correlation(residuals: DataFrame, e: str = "e") -> tuple[DataFrame, D
     """(pooled, by entity): slope of the residual on its own past with clustered errors; lag-1 autocorrelations and their one-sample t."""
     rows = residuals.withColumn("past", F.lag(e).over(by_date())).where(f"past IS NOT NULL AND {e} IS NOT NULL")
     pooled = panel_regression(rows, e, ["past"], effects=[["_all"]])
-    own = rows.groupBy("entity").agg(F.corr(e, "past").alias("rho"), F.count("*").alias("n"))
+    own = rows.groupBy("entity").agg(correlation(e, "past").alias("rho"), F.count("*").alias("n"))
     test = own.agg(F.avg("rho").alias("mean_rho"), F.stddev_samp("rho").alias("sd"), F.count("rho").alias("n")).select("mean_rho", (F.col("mean_rho") / (F.col("sd") / F.sqrt("n"))).alias("t"), "n")
     return pooled, test.withColumn("p_value", t_pvalue(F.col("t"), (F.col("n") - 1).cast("double")))
 

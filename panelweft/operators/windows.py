@@ -74,6 +74,14 @@ def threshold_sensitivity(df: DataFrame, thresholds: list[float], base: float, n
     )
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation over the rows that have both; null where a side does not vary, which F.corr fails on."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def factor_correlation(df: DataFrame, factors: list[str], as_of: str, h: int, window: int = 52, lookback: int = 104, least: int = 10) -> DataFrame:
     """(entity, factor, corr, n): correlation of each factor with the h-row change ahead, over the last `window` pairs known at as_of; 0 when weak."""
     recent = df.where((F.col("date") <= as_of) & (F.col("date") > F.date_sub(F.lit(as_of).cast("date"), 7 * lookback)))
@@ -81,7 +89,7 @@ def factor_correlation(df: DataFrame, factors: list[str], as_of: str, h: int, wi
     long = ahead.unpivot(["entity", "date", "z"], factors, "factor", "x").where("x IS NOT NULL AND z IS NOT NULL")
     last = long.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "factor").orderBy(F.desc("date")))).where(F.col("_r") <= window)
     flat = (F.count("*") < least) | (F.stddev_pop("x") < 1e-12) | (F.stddev_pop("z") < 1e-12)
-    return last.groupBy("entity", "factor").agg(F.when(flat, 0.0).otherwise(F.corr("x", "z")).alias("corr"), F.count("*").alias("n"))
+    return last.groupBy("entity", "factor").agg(F.when(flat, 0.0).otherwise(correlation("x", "z")).alias("corr"), F.count("*").alias("n"))
 
 
 def error_zscore(df: DataFrame, weeks: int = 12, least: int = 4) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import fusion as fu
 from ..operators import guards as gu
 from ..operators import joins as jo
 from ..operators import losses as lo
+from ..operators import stats as stt
 from ..sources import ingest as ing
 from . import panels as pa
 from . import queries as q
@@ -284,3 +285,36 @@ def f21_with_spillover_at(spark, d):
     s = settled(pa.series(spark, d), "series")
     signal = q._signal(spark, d, s, pa.origins(spark, d, s)).select("entity", "origin", "trend")
     return ch.with_spillover(pa.forecasts(spark, d, s).where("h = 8").drop("h"), signal, 8, 0.5).select("channel", "entity", "origin", "step", "yhat")
+
+
+# Changes and modifiers
+
+
+@query(sql(f""", pr AS (SELECT c.channel, c.h, (c.yhat - o.y0) / nullif(o.y0, 0) AS predicted, (c.y - o.y0) / nullif(o.y0, 0) AS realised FROM cells c JOIN origins o USING (entity, origin) WHERE c.step = c.h AND c.channel <> 'naive'),
+cr AS (SELECT channel, h, count(*) AS n, corr(predicted, realised) AS r FROM pr WHERE predicted IS NOT NULL AND realised IS NOT NULL GROUP BY ALL),
+th AS (SELECT channel, h, n, r, r * sqrt(n - 2) / sqrt(1 - r * r) AS t, n - 2 AS v, atan(abs(r) / sqrt(1 - r * r)) AS th FROM cr)
+SELECT channel, h, n, r, t, greatest({q.LEAST_P}, 1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (th + sin(th) * {q._SERIES_OF_T}) ELSE sin(th) * {q._SERIES_OF_T} END) AS p FROM th""", "cells"), "r t p")
+def t10_predicted_change(spark, d):
+    """Whether each channel's predicted change over a horizon goes with the realised one, with the probability of so large a correlation by chance (under a millionth as a millionth)."""
+    s = settled(pa.series(spark, d), "series")
+    y0 = ch.last_value(s, pa.origins(spark, d, s)).select("entity", "origin", "y0")
+    ends = pa.cells(spark, d, s=s).where("step = h AND channel <> 'naive'").join(y0, ["entity", "origin"])
+    change = lambda c: F.try_divide(F.col(c) - F.col("y0"), F.col("y0"))
+    out = stt.change_correlation(ends.withColumns({"predicted": change("yhat"), "realised": change("y")}), ["channel", "h"])
+    return out.withColumn("p", F.greatest("p", F.lit(q.LEAST_P)))
+
+
+_AT = "FROM fit f JOIN z ON z.entity = f.entity AND z.date = f.origin"
+
+
+@query(sql(q._MOD + f" SELECT 'macro' AS channel, f.entity, f.origin, step, greatest(round(z.y * pow(1 + f.mz + f.b * (z.x - f.mx), step), 2), 0.0) AS yhat {_AT} CROSS JOIN st WHERE z.x IS NOT NULL", "aligned", "folds", "origins", "forecasts"), "yhat")
+def f10_compounded(spark, d):
+    """The modifier compounded over the steps."""
+    return ch.anchored(q.f9_exogenous_modifier(spark, d), compound=True)
+
+
+@query(sql(q._MOD + f" SELECT 'snaive_macro' AS channel, n.entity, n.origin, n.step, n.yhat * (1 + f.mz + f.b * (z.x - f.mx)) AS yhat {_AT} JOIN forecasts n ON n.channel = 'snaive' AND n.h = 13 AND n.entity = f.entity AND n.origin = f.origin WHERE z.x IS NOT NULL", "aligned", "folds", "origins", "forecasts"), "yhat")
+def f10_applied(spark, d):
+    """The modifier on top of the seasonal naive channel."""
+    s = pa.series(spark, d)
+    return ch.applied_to(q.f9_exogenous_modifier(spark, d), ch.seasonal_naive(s, pa.origins(spark, d, s)), "snaive_macro")

@@ -1279,7 +1279,7 @@ def h6_contribution(spark, d):
 
 
 @query(sql(_FUSED + f""", od AS (SELECT entity, h, origin, rep, row_number() OVER (PARTITION BY entity, h, rep ORDER BY origin) AS a, row_number() OVER (PARTITION BY entity, h, rep ORDER BY {draw_sql("17", "rep", "date_diff('day', DATE '1970-01-01', origin)", "h")}, origin) AS b
-  FROM (SELECT DISTINCT entity, h, origin FROM ts), (SELECT unnest(range(3)) AS rep)),
+  FROM (SELECT DISTINCT entity, h, origin FROM ts), (SELECT unnest(range(10)) AS rep)),
 mv AS (SELECT x.entity, x.h, x.rep, x.origin, z.origin AS other FROM od x JOIN od z ON z.entity = x.entity AND z.h = x.h AND z.rep = x.rep AND z.b = x.a),
 br AS (SELECT m.rep, g.shuffled, t.entity, t.origin, t.h, t.step, any_value(t.y) AS y, greatest(round(sum(t.w * CASE WHEN t.channel = g.shuffled THEN o.yhat ELSE t.yhat END), 2), 0.0) AS yhat FROM ts t JOIN mv m ON m.entity = t.entity AND m.h = t.h AND m.origin = t.origin
   CROSS JOIN (SELECT unnest(['naive', 'snaive', 'histmean']) AS shuffled) g JOIN ts o ON o.entity = t.entity AND o.origin = m.other AND o.h = t.h AND o.step = t.step AND o.channel = t.channel GROUP BY ALL),
@@ -1289,7 +1289,7 @@ fm AS (SELECT h, avg(mape) AS base FROM (SELECT entity, origin, h, 100 * avg(abs
 SELECT h, shuffled AS channel, avg(m - base) AS mean_increase, stddev_pop(m - base) AS sd_increase FROM bm JOIN fm USING (h) GROUP BY ALL""", "skills"), "mean_increase sd_increase")
 def h7_permutation_importance(spark, d):
     """Loss increase when a channel is dealt to other origins."""
-    return bt.permutation_importance(_weighted(spark, d)[0], pa.CHANNELS, 3)
+    return bt.permutation_importance(_weighted(spark, d)[0], pa.CHANNELS, 10)
 
 
 _SWEEP = f""", sc AS (SELECT scale, c.entity, c.origin, c.h, 100 * avg(abs((c.y - e.y0 * CASE WHEN age <= 8 THEN 1 + impact * scale ELSE 1 END) / nullif(c.y, 0))) AS mape FROM cells c JOIN {_LIVE} e USING (entity, origin), (SELECT CAST(unnest([0.0, 0.05, 0.1, 0.2]) AS DOUBLE) AS scale) WHERE c.channel = 'naive' GROUP BY ALL),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from panelweft.functions.draws import draws
-from panelweft.operators import backtest, channels, joins, losses
+from panelweft.operators import backtest, channels, joins, losses, stats, windows
 
 START = dt.date(2000, 1, 3)
 RESERVED, CAP = "2000-08-07", "2000-10-02"
@@ -156,3 +156,28 @@ def test_one_split_scores_all_systems_on_the_same_cells(spark):
         by.setdefault(r["system"], {})[r["origin"]] = r["mape"]
     assert set(by) == {"naive", "m", "x", "blend", "fusion"} and min(by["blend"]) == week(23)
     assert all(np.isclose(v, 3.0) for d, v in by["blend"].items() if d != week(39)) and all(np.isclose(v, 1.0) for v in by["m"].values())
+
+
+def test_change_correlation_and_its_probability(spark):
+    """Student's t of 3 and 8 degrees by their closed tails; groups without variation, of two rows and of exact correlation."""
+    rng = np.random.default_rng(5)
+    rows = [("g", float(x), float(x + e)) for x, e in zip(rng.normal(size=10), rng.normal(size=10), strict=True)]
+    rows += [("flat", 1.0, float(k)) for k in range(5)] + [("two", float(k), float(k)) for k in range(2)] + [("exact", float(k), -2.0 * k) for k in range(4)] + [("g", None, 1.0)]
+    got = {r["k"]: r for r in stats.change_correlation(spark.createDataFrame(rows, "k string, predicted double, realised double"), ["k"]).collect()}
+    a = np.array([r[1:] for r in rows if r[0] == "g" and r[1] is not None])
+    r = np.corrcoef(a.T)[0, 1]
+    th = np.arctan(abs(r) / np.sqrt(1 - r * r))
+    c2 = np.cos(th) ** 2
+    tail = 1 - np.sin(th) * (1 + c2 / 2 + 3 / 8 * c2**2 + 15 / 48 * c2**3)
+    assert got["g"]["n"] == 10 and np.isclose(got["g"]["r"], r) and np.isclose(got["g"]["p"], tail)
+    assert got["flat"]["r"] is None and got["flat"]["p"] is None and got["two"]["p"] is None
+    assert np.isclose(got["exact"]["r"], -1) and got["exact"]["p"] < 1e-6
+
+
+def test_factors_that_do_not_vary_have_no_correlation(spark):
+    rows = [("a", week(k), 10.0 + k % 5, 3.0, float(k % 7)) for k in range(60)]
+    df = spark.createDataFrame(rows, "entity string, date date, y double, flat double, moving double")
+    got = {r["factor"]: r["corr"] for r in windows.factor_correlation(df, ["flat", "moving"], str(week(59)), 2).collect()}
+    assert got["flat"] == 0.0 and got["moving"] is not None
+    z = df.withColumn("z", windows.pct(df["y"], df["moving"]))
+    assert [r["r"] for r in stats.lag_correlation(z, "flat", [0, 1]).collect()] == [None, None]

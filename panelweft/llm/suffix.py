@@ -5,7 +5,9 @@ length - Q + 1 q-grams; the suffix at its leftmost q-gram of least hash stands f
 equal suffixes, about one suffix in 80 bytes. The suffixes fall into buckets by their q-gram. A bucket of one is done. A
 bucket of more is refined: each suffix stands for the strings that start up to length - Q bytes before it, cut into a few
 ranges of offsets, and each range gets two bucket identifiers, of the bytes that all strings of the range share and of the
-bytes that they cover together. Each width divides the one before, so that a range never passes the strings that hold its suffix's
+bytes that they cover together. Neither is made of bytes: the bucket that the range was in is refined by the buckets of the
+q-grams at the offsets beyond it, and the new identifier is the bucket that the next round refines. Buckets are named by hashes, which are
+the same in every text, so a suffix finds the bucket of a later one in its own text, without a join. Each width divides the one before, so that a range never passes the strings that hold its suffix's
 q-gram: two suffixes of one text then never name the same place. A single identifier of the first kind ends the range (none of its strings repeats), a repeated
 one of the second kind marks it (all repeat), and only what is left is refined again, down to single offsets, beside one
 range of each marked identifier of the same bucket.
@@ -20,13 +22,12 @@ stay whole; an empty table has no rows; other columns play no part. One text is
 from __future__ import annotations
 
 import hashlib
-import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ from .common import folder, mix, only, powers, prefix_sums, spread, steps, writt
 LENGTH, Q, RANGES = 200, 41, (160, 32, 8, 1)
 #: Bits of a place in a text, which Spark holds to 2 GB.
 _PLACE = 31
+#: Odd multipliers of the two lanes of an identifier, and open ranges that are refined at a time.
+_LANES = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F]], np.uint64)
+_BLOCK = 20_000
 _SUFFIX = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int16()), ("high", pa.int16()), ("shared", pa.int64())])
 _RANGE = pa.schema([("row", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("shared", pa.int64()), ("covered", pa.binary())])
 _OUT = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -68,8 +72,9 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int
     return at, starts[firsts], starts[lasts], grams[at].view(np.int64)
 
 
-def _identifier(raw: bytes, a: int, b: int) -> bytes:
-    return xxhash.xxh3_128_digest(raw[a:b])
+def _folded(lanes: np.ndarray, pointers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Both lanes of each identifier with one more pointer taken in, where wanted."""
+    return np.where(wanted, mix((lanes ^ (lanes >> np.uint64(29))) * _LANES + pointers), lanes)
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -100,33 +105,59 @@ def _first_buckets(docs: DataFrame, length: int, q: int) -> DataFrame:
     return docs.mapInArrow(run, "row bigint, at int, low smallint, high smallint, shared bigint")
 
 
-def _ranges(texts: DataFrame, open_: DataFrame, size: int, length: int) -> DataFrame:
-    """The open ranges cut into ranges of `size` offsets, with the two identifiers of each (single offsets have one)."""
-    wanted = open_.groupBy("row").agg(F.collect_list(F.struct("at", "low", "high")).alias("open"))
+def _ranges(texts: DataFrame, open_: DataFrame, size: int, before: int, length: int, q: int) -> DataFrame:
+    """The open ranges, `before` offsets wide, cut into ranges of `size`: the two identifiers of each (row, at, low, high, shared, covered).
+
+    An identifier is the bucket that the range comes from, refined by the q-gram buckets at the offsets beyond what that one stands for.
+    """
+    wanted = open_.groupBy("row").agg(F.collect_list(F.struct("at", "low", "high", "shared")).alias("open"))
+
+    def refined(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, part: pa.StructArray) -> list:
+        at, low, high = (part.field(c).to_numpy().astype(np.int64) for c in ("at", "low", "high"))
+        pieces = high // size - low // size + 1
+        item = np.repeat(np.arange(len(at)), pieces)
+        k = np.arange(len(item)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + (low // size)[item]
+        near, far = k * size, k * size + size - 1  # offsets of the full range, the same in every text
+        wide_near = near // before * before
+        wide_far = wide_near + before - 1
+        here = (start[text] + at)[item]
+        lanes = mix(part.field("shared").to_numpy().view(np.uint64)[item] + (k + 1).astype(np.uint64) * _LANES)
+
+        def point(lanes: np.ndarray, first: np.ndarray, bytes_: np.ndarray, step: int, of: np.ndarray) -> np.ndarray:
+            """The buckets of the q-grams that cover bytes_ bytes from `first` on (backwards from it, if step < 0)."""
+            for j in range(-(-int(bytes_[of].max(initial=0)) // q)):
+                more = of & (bytes_ > j * q)
+                place = np.where(more, first + step * j * q, 0)
+                lanes = _folded(lanes, mix((sums[place + q] - sums[place]) * down[place]), more)
+            return lanes
+
+        # What all strings of the range share lies inside each text that holds one of them, and holds what the wider range shared.
+        every = np.ones(len(item), bool)
+        lanes = point(lanes, here - near, near - wide_near, 1, every)
+        lanes = point(lanes, here - far + length - q, wide_far - far, -1, every)
+        shared = lanes[0]
+        # What they cover together may pass the ends of the text: then nothing repeats it.
+        inside = (here - far >= start[text][item]) & (here - near + length <= end[text][item])
+        lanes = point(lanes, here - far, far - near, 1, inside)
+        lanes = point(lanes, here - near + length - q, far - near, -1, inside)
+        covered = pa.Array.from_buffers(pa.binary(16), len(item), [None, pa.py_buffer(np.ascontiguousarray(lanes.T))]).cast(pa.binary())
+        covered = pc.if_else(pa.array(inside), covered, pa.scalar(None, pa.binary()))
+        return [item, at[item], np.maximum(near, low[item]), np.minimum(far, high[item]), shared.view(np.int64), covered]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts_ = batch.column(0).to_pylist(), batch.column(1)
-            out: list[tuple] = []
-            for i, row in enumerate(ids):
-                raw = (texts_[i].as_py() or "").encode()
-                for x in batch.column(2)[i].as_py():
-                    at = x["at"]
-                    for k in range(x["low"] // size, x["high"] // size + 1):
-                        near, far = k * size, k * size + size - 1  # offsets of the full range, the same in every text
-                        lo, hi = max(near, x["low"]), min(far, x["high"])
-                        # Shared by all strings of the range, and so inside each text that holds one of them.
-                        a, b = at - near, at - far + length
-                        shared = xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) if size > 1 else None
-                        a, b = at - far, at - near + length
-                        # A range that passes the ends of its text gets an identifier of its own, which nothing repeats.
-                        covered = _identifier(raw, a, b) if a >= 0 and b <= len(raw) else struct.pack(">cqqq", b"-", row, at, k)
-                        out.append((row, at, lo, hi, shared, covered))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _RANGE, strict=True)], schema=_RANGE)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _RANGE, strict=True)], schema=_RANGE)
+            rows = np.asarray(batch.column(0))
+            for a, b, data, offsets in steps(batch.column(1)):
+                lists = batch.column(2).slice(a, b - a)
+                flat = lists.flatten()
+                text = np.repeat(np.arange(b - a), pc.list_value_length(lists).to_numpy())
+                sums = prefix_sums(data)
+                _, down = powers(len(data) + 1)
+                for i in range(0, len(flat), _BLOCK):
+                    own = text[i : i + _BLOCK]
+                    out = refined(sums, down, offsets[:-1], offsets[1:], own, flat.slice(i, _BLOCK))
+                    out[0] = rows[a + own[out[0]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if f.name != "covered" else x for x, f in zip(out, _RANGE, strict=True)], schema=_RANGE)
 
     return texts.join(wanted, "row").select("row", "text", "open").mapInArrow(run, "row bigint, at int, low int, high int, shared bigint, covered binary")
 
@@ -146,7 +177,8 @@ def refine(docs: DataFrame, length: int = LENGTH, q: int = Q, ranges: tuple[int,
     state = first.join(_repeated(first.select("shared"), "shared"), "shared")  # a bucket of one is done
     marked = []
     for level, size in enumerate(ranges):
-        state = written(_ranges(texts.select("row", "text"), state.select("row", "at", "low", "high"), size, length), f"suffix-ranges-{size}")
+        wide = ranges[max(level - 1, 0)]
+        state = written(_ranges(texts.select("row", "text"), state.select("row", "at", "low", "high", "shared"), size, wide, length, q), f"suffix-ranges-{size}")
         if level and size > 1:
             state = written(state.join(_repeated(state, "shared"), "shared"), f"suffix-open-{size}")
         twice = _repeated(state, "covered").withColumn("twice", F.lit(True))

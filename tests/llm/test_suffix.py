@@ -101,3 +101,14 @@ def test_real_rows(spark, sf):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix.removed(df).count() == 0
+
+
+def test_texts_of_megabytes(spark):
+    draw = np.random.default_rng(23)
+    long = "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz "), 3_000_000))
+    texts = [long[:2_500_000] + long[1000:1500], "short " + long[2_400_000:2_400_450] + " end", "ab" * 1_200_000, long[2_600_000:2_600_199]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.removed(df).collect()}
+    want = hashed([t.encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == want
+    assert [w[1] for w in want] == [1450, 450, 2_400_000, 0]

@@ -264,6 +264,16 @@ def regime_placebo(steps: DataFrame, losses: DataFrame, folds: DataFrame, labels
     return scored.groupBy("perm", "h").agg(F.avg(F.when(F.col("by_regime"), F.col("lr")).otherwise(F.col("lf"))).alias("mape"))
 
 
+def by_period(rows: DataFrame, split: str, before: str, after: str) -> DataFrame:
+    """rows whose regime is that of a period: `before` for origins before the date `split`, else `after`."""
+    return rows.withColumn("regime", F.when(F.col("origin") < F.lit(split).cast("date"), before).otherwise(after))
+
+
+def by_horizon(fused: DataFrame) -> DataFrame:
+    """(h, mape, n_cells): mean loss of the fused test cells."""
+    return fused.groupBy("h").agg(F.avg("mape").alias("mape"), F.count("*").alias("n_cells"))
+
+
 def placebo_share(losses: DataFrame) -> DataFrame:
     """(h, true_mape, placebo_mean, share_better): how often a permuted labelling does better than the true one. losses carry perm."""
     m = losses.groupBy("h", "perm").agg(F.avg("mape").alias("m"))

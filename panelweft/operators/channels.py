@@ -469,10 +469,10 @@ def choose_damping(losses: DataFrame, undamped: str, damped: str) -> DataFrame:
 
 def blend(forecasts: DataFrame, channel: str = "blend") -> DataFrame:
     """Mean of the channels."""
-    return forecasts.groupBy("entity", "origin", "step").agg(F.avg("yhat").alias("yhat")).select(F.lit(channel).alias("channel"), "entity", "origin", "step", "yhat")
+    return forecasts.groupBy("entity", "origin", "h", "step").agg(F.avg("yhat").alias("yhat")).select(F.lit(channel).alias("channel"), "entity", "origin", "h", "step", "yhat")
 
 
-def with_spillover(forecasts: DataFrame, signals: DataFrame, h: int, strength: float = 0.0) -> DataFrame:
+def with_spillover(forecasts: DataFrame, signals: DataFrame, h: int | Column, strength: float = 0.0) -> DataFrame:
     """yhat (1 + strength * trend * step / h); 0 leaves it."""
     joined = forecasts.join(signals.select("entity", "origin", "trend"), ["entity", "origin"], "left")
     return joined.withColumn("yhat", F.col("yhat") * (1 + strength * F.coalesce("trend", F.lit(0.0)) * F.col("step") / h)).drop("trend")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .guards import in_validation
-from .losses import median_skill
+from .losses import median_skill, recency_skill
 
 TEMPERATURE = 0.05
 
@@ -78,6 +78,12 @@ def horizon_weights(val: DataFrame, temperature: float = TEMPERATURE, reference:
     return softmax(median_skill(val, ["fold", "h"], reference), ["fold", "h"], temperature)
 
 
+def recency_weights(val: DataFrame, folds: DataFrame, temperature: float = TEMPERATURE, half_life: float = 26.0, reference: str = "naive") -> DataFrame:
+    """(fold, h, channel, skill, w) from each fold's median skill, cells weighted by their age at its training end."""
+    aged = val.join(F.broadcast(folds.select("fold", "train_end")), "fold")
+    return softmax(recency_skill(aged, ["fold", "h"], F.col("train_end"), half_life, reference), ["fold", "h"], temperature)
+
+
 def with_fallback(grid: DataFrame, fold_w: DataFrame, val: DataFrame, least_weeks: int = 13) -> DataFrame:
     """The grid with fold weights where a (fold, regime, h) has fewer than least_weeks distinct weeks; source says which."""
     weeks = val.groupBy("fold", "regime", "h").agg(F.count_distinct("origin").alias("weeks"))

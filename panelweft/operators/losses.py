@@ -98,8 +98,8 @@ def pooled_skill(losses: DataFrame, by: list[str], reference: str = "naive", col
     return cells.groupBy(*by, "channel").agg((1 - F.try_divide(F.avg(column), F.avg("ref"))).alias("skill"))
 
 
-def recency_skill(losses: DataFrame, by: list[str], end: str, half_life: float = 26.0, reference: str = "naive") -> DataFrame:
-    """Weighted median of the cells' skill, weight 0.5 ^ (age in weeks / half life): the first cell at half of the weight."""
+def recency_skill(losses: DataFrame, by: list[str], end: str | Column, half_life: float = 26.0, reference: str = "naive") -> DataFrame:
+    """Weighted median of the cells' skill, weight 0.5 ^ (age in weeks at `end` / half life): the first cell at half of the weight."""
     cells = with_reference(losses, reference).where("ref > 0 AND mape IS NOT NULL")
     age = F.datediff(F.lit(end).cast("date"), "origin") / 7
     cells = cells.select(*by, "channel", "entity", "origin", "h", F.round(1 - F.col("mape") / F.col("ref"), 9).alias("s"), F.pow(F.lit(0.5), age / half_life).alias("w"))

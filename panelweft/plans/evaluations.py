@@ -279,12 +279,12 @@ def h16_gate_value_at(spark, d):
     return bt.gate_value(settled(fused.unionByName(naive), "losses"), settled(q._gated(spark, d, True), "decisions"), "fused", "naive").withColumnRenamed("full", "full_path")
 
 
-@query(sql(q._SIGNAL + " SELECT channel, f.entity, f.origin, step, yhat * (1 + 0.5 * coalesce(trend, 0.0) * step / 8) AS yhat FROM forecasts f LEFT JOIN sg USING (entity, origin) WHERE h = 8", "forecasts"), "yhat")
+@query(sql(q._SIGNAL + " SELECT channel, f.entity, f.origin, f.h, step, yhat * (1 + 0.5 * coalesce(trend, 0.0) * step / f.h) AS yhat FROM forecasts f LEFT JOIN sg USING (entity, origin)", "forecasts"), "yhat")
 def f21_with_spillover_at(spark, d):
     """The base channels tilted by the moves of the neighbours that were known at each origin."""
     s = settled(pa.series(spark, d), "series")
     signal = q._signal(spark, d, s, pa.origins(spark, d, s)).select("entity", "origin", "trend")
-    return ch.with_spillover(pa.forecasts(spark, d, s).where("h = 8").drop("h"), signal, 8, 0.5).select("channel", "entity", "origin", "step", "yhat")
+    return ch.with_spillover(pa.forecasts(spark, d, s), signal, F.col("h"), 0.5).select("channel", "entity", "origin", "h", "step", "yhat")
 
 
 # Changes and modifiers

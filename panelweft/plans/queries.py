@@ -86,10 +86,10 @@ def s4_availability(spark, d):
     return ing.with_availability(pa.monthly(spark, d), pa.LAGS)
 
 
-@query("SELECT CAST(t.d AS DATE) AS date, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN CAST(t.d AS DATE) AND CAST(t.d AS DATE) + 6) AS n_orders FROM generate_series(TIMESTAMP '1995-01-07', TIMESTAMP '1996-12-28', INTERVAL 7 DAY) t(d)")
+@query("SELECT CAST(t.d AS DATE) AS date, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN CAST(t.d AS DATE) AND CAST(t.d AS DATE) + 6) AS n_orders FROM generate_series(TIMESTAMP '1994-12-31', TIMESTAMP '2001-12-29', INTERVAL 7 DAY) t(d)")
 def s5_week_grid(spark, d):
-    """A Saturday grid, and the orders of each of its weeks."""
-    grid = ing.week_grid(spark, "1995-01-02", "1996-12-31", "Sat")
+    """A Saturday grid over all orders' dates, and the orders of each of its weeks."""
+    grid = ing.week_grid(spark, "1994-12-31", "2001-12-31", "Sat")
     o = pa.table(spark, d, "orders").select(F.date_sub(F.next_day(F.to_date("o_orderdate"), "Sat"), 7).alias("date")).groupBy("date").agg(F.count("*").alias("n"))
     return grid.join(o, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
@@ -174,12 +174,12 @@ def s12_fill_store(spark, d):
     return out.groupBy("channel", "fill").agg(F.count("*").alias("n_rows"), F.count_distinct("entity", "origin").alias("n_cells"), F.count(F.when(F.col("yhat").isNull(), 1)).alias("n_null"), F.sum("yhat").alias("total"))
 
 
-@query(sql("SELECT channel, entity, origin, h, step, yhat FROM forecasts WHERE h = 4 AND channel = 'naive'", "forecasts"), "yhat")
+@query(sql("SELECT channel, entity, origin, h, step, yhat FROM forecasts", "forecasts"), "yhat")
 def s13_read_cells(spark, d):
     """Strict lookup of stored forecasts."""
     f = pa.forecasts(spark, d)
     keys = ["channel", "entity", "origin", "h"]
-    return ing.read_cells(f, f.where("h = 4 AND channel = 'naive'").select(*keys), keys).select("channel", "entity", "origin", "h", "step", "yhat")
+    return ing.read_cells(f, f.select(*keys), keys).select("channel", "entity", "origin", "h", "step", "yhat")
 
 
 _REV = sql("""SELECT entity, date, CASE WHEN b.y2 IS NULL AND NOT b.has THEN 'removed' ELSE 'changed' END AS change, CASE WHEN NOT b.has THEN '' ELSE 'y' END AS "column",
@@ -350,15 +350,15 @@ def c2_scoring_guard(spark, d):
 
 
 @query(sql(""", bad AS (SELECT * REPLACE (CASE WHEN channel = 'snaive' AND widx % 40 = 0 AND step = 2 THEN NULL WHEN channel = 'histmean' AND widx % 40 = 1 AND step = 1 THEN -1.0 ELSE yhat END AS yhat)
-  FROM forecasts JOIN (SELECT entity, origin, widx FROM origins) USING (entity, origin) WHERE h = 4 AND NOT (channel = 'naive' AND widx % 40 = 2) AND NOT (channel = 'naive' AND widx % 40 = 3 AND step = 4))
+  FROM forecasts JOIN (SELECT entity, origin, widx FROM origins) USING (entity, origin) WHERE NOT (channel = 'naive' AND widx % 40 = 2) AND NOT (channel = 'naive' AND widx % 40 = 3 AND step = 4))
 SELECT entity, origin, h, channel, 'missing' AS problem FROM bad WHERE yhat IS NULL UNION ALL SELECT entity, origin, h, channel, 'negative' FROM bad WHERE yhat < 0
-UNION ALL SELECT entity, origin, h, channel, 'length' FROM bad GROUP BY ALL HAVING count(*) <> 4
-UNION ALL SELECT entity, origin, 4, 'naive', 'absent' FROM origins WHERE widx % 40 = 2""", "forecasts"))
+UNION ALL SELECT entity, origin, h, channel, 'length' FROM bad GROUP BY ALL HAVING count(*) <> h
+UNION ALL SELECT entity, origin, h, 'naive', 'absent' FROM origins, hs WHERE widx % 40 = 2""", "forecasts"))
 def c3_contract_violations(spark, d):
     """Forecasts with planted faults against the contract."""
     s = pa.series(spark, d)
     o = pa.origins(spark, d, s)
-    f = pa.forecasts(spark, d, s).where("h = 4").join(o, ["entity", "origin"]).where("NOT (channel = 'naive' AND widx % 40 = 2) AND NOT (channel = 'naive' AND widx % 40 = 3 AND step = 4)")
+    f = pa.forecasts(spark, d, s).join(o, ["entity", "origin"]).where("NOT (channel = 'naive' AND widx % 40 = 2) AND NOT (channel = 'naive' AND widx % 40 = 3 AND step = 4)")
     bad = F.when((F.col("channel") == "snaive") & (F.col("widx") % 40 == 0) & (F.col("step") == 2), None).when((F.col("channel") == "histmean") & (F.col("widx") % 40 == 1) & (F.col("step") == 1), -1.0).otherwise(F.col("yhat"))
     return gu.contract_violations(f.withColumn("yhat", bad), pa.CHANNELS)
 
@@ -380,11 +380,11 @@ def c5_exclude_window(spark, d):
 
 
 @query(sql("""SELECT c.entity, c.origin, c.h, max(CASE WHEN s.widx % 29 = 0 THEN 1 ELSE 0 END) = 1 AS touched FROM cells c JOIN series s ON s.entity = c.entity AND (s.date = c.target_date OR s.date = c.origin)
-  WHERE c.channel = 'naive' GROUP BY ALL""", "cells"))
+  GROUP BY ALL""", "cells"))
 def c6_touches_filled(spark, d):
     """Cells with an imputed target or origin; every 29th row counts as imputed."""
     log = pa.series(spark, d).where("widx % 29 = 0")
-    return gu.touches_filled(pa.cells(spark, d).where("channel = 'naive'"), log, True)
+    return gu.touches_filled(pa.cells(spark, d), log, True)
 
 
 @query(sql("SELECT entity, origin, h, channel, fold, mape FROM val", "val"), "mape")
@@ -822,19 +822,18 @@ def f19_choose_damping(spark, d):
     return ch.choose_damping(_base(spark, d, True)[2], "fa_ets", "fa_ets_d")
 
 
-@query(sql("SELECT 'blend' AS channel, entity, origin, step, avg(yhat) AS yhat FROM forecasts WHERE h = 8 GROUP BY ALL", "forecasts"), "yhat")
+@query(sql("SELECT 'blend' AS channel, entity, origin, h, step, avg(yhat) AS yhat FROM forecasts GROUP BY ALL", "forecasts"), "yhat")
 def f20_blend(spark, d):
     """Equal-weight blend."""
-    return ch.blend(pa.forecasts(spark, d).where("h = 8"))
+    return ch.blend(pa.forecasts(spark, d))
 
 
-@query(sql("SELECT channel, f.entity, f.origin, step, yhat * (1 + 0.5 * coalesce(t, 0.0) * step / 8) AS yhat FROM forecasts f LEFT JOIN (SELECT entity, date AS origin, (y - lag(y, 3) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 3) OVER (PARTITION BY entity ORDER BY date), 0) AS t FROM series) USING (entity, origin) WHERE h = 8 AND channel = 'snaive'", "forecasts"), "yhat")
+@query(sql("SELECT channel, f.entity, f.origin, f.h, step, yhat * (1 + 0.5 * coalesce(t, 0.0) * step / f.h) AS yhat FROM forecasts f LEFT JOIN (SELECT entity, date AS origin, (y - lag(y, 3) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y, 3) OVER (PARTITION BY entity ORDER BY date), 0) AS t FROM series) USING (entity, origin)", "forecasts"), "yhat")
 def f21_with_spillover(spark, d):
     """A forecast tilted by a trend signal."""
     s = pa.series(spark, d)
     signals = wi.lagged_move(s, 0).select("entity", F.col("date").alias("origin"), F.col("recent").alias("trend"))
-    f = pa.forecasts(spark, d, s).where("h = 8 AND channel = 'snaive'").drop("h")
-    return ch.with_spillover(f, signals, 8, 0.5).select("channel", "entity", "origin", "step", "yhat")
+    return ch.with_spillover(pa.forecasts(spark, d, s), signals, F.col("h"), 0.5).select("channel", "entity", "origin", "h", "step", "yhat")
 
 
 @query(sql(_HIST + _trends("hist", {"holt": False}) + """ SELECT entity, count(*) AS n, CAST(sum(CASE WHEN sign(b) * sign(move) < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_disagree
@@ -1439,6 +1438,36 @@ def h17_placebo(spark, d):
     return bt.placebo_share(bt.regime_placebo(steps, losses, f, labels, pa.HORIZONS, pa.REGIMES))
 
 
+_PERIOD = """
+rx AS (SELECT DISTINCT origin FROM origins), regimes AS (SELECT origin, CASE WHEN origin < DATE '1998-01-05' THEN 'stable' ELSE 'hiking' END AS regime FROM rx)"""
+
+
+@query("WITH " + ",".join(pa.SQL[n] for n in ("weekly", "series", "folds", "origins")) + "," + _PERIOD + "," + ",".join(pa.SQL[n] for n in ("forecasts", "cells", "losses", "val", "skills")) + _ADAPT + " SELECT h, avg(mape) AS mape, count(*) AS n_cells FROM tl GROUP BY ALL", "mape")
+def h17_period_labels(spark, d):
+    """The adaptive backtest where a date, not the regime, parts the origins: what labels of two periods reach beside the placebo's."""
+    steps, losses, _, f = _base(spark, d)
+    steps, losses = (bt.by_period(x, "1998-01-05", "stable", "hiking") for x in (steps, losses))
+    return bt.by_horizon(bt.backtest(steps, losses, f, pa.HORIZONS, pa.REGIMES))
+
+
+@query(sql(""", rw AS (SELECT v.fold, v.h, v.channel, v.entity, v.origin, round(1 - v.mape / n.mape, 9) AS s, pow(0.5, (f.train_end - v.origin) / 7 / 26.0) AS w FROM val v
+  JOIN val n ON n.channel = 'naive' AND n.fold = v.fold AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h JOIN folds f ON f.fold = v.fold WHERE n.mape > 0 AND v.mape IS NOT NULL),
+ks AS (SELECT 'recency' AS weights, fold, h, channel, min(s) AS skill FROM (SELECT *, sum(w) OVER (PARTITION BY fold, h, channel ORDER BY s, entity, origin ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY fold, h, channel) AS p FROM rw)
+  WHERE p >= 0.5 - 1e-12 GROUP BY ALL UNION ALL SELECT 'horizon', fold, h, channel, coalesce(median(s), -1) FROM sk GROUP BY fold, h, channel),
+kw AS (SELECT *, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER (PARTITION BY weights, fold, h) AS w FROM ks),
+kf AS (SELECT weights, f.fold, c.entity, c.origin, c.h, c.step, any_value(c.y) AS y, greatest(round(sum(k.w * yhat), 2), 0.0) AS yhat FROM cells c JOIN folds f ON c.origin BETWEEN f.test_start AND f.test_end
+  JOIN kw k ON k.fold = f.fold AND k.h = c.h AND k.channel = c.channel GROUP BY ALL),
+kl AS (SELECT weights, fold, entity, origin, h, 100 * avg(abs((y - yhat) / nullif(y, 0))) AS mape FROM kf GROUP BY ALL)
+SELECT weights, h, avg(mape) AS mape, count(*) AS n_cells FROM kl GROUP BY ALL""", "skills"), "mape")
+def h17_weights_without_labels(spark, d):
+    """The backtest without regime labels: weights by horizon alone, and by recency-weighted skill."""
+    steps, _, val, f = _base(spark, d)
+    test, fold_w = _test_steps(steps.drop("fold"), f), fu.fold_weights(val)
+    own = {"horizon": fu.horizon_weights(val), "recency": fu.recency_weights(val, f)}
+    parts = [bt.by_horizon(fu.fused_losses(fu.weigh(test, "horizon", fold_w, by_h=w), ["fold", "regime"])).withColumn("weights", F.lit(name)) for name, w in own.items()]
+    return parts[0].unionByName(parts[1]).select("weights", "h", "mape", "n_cells")
+
+
 @query(sql(""", v AS (SELECT * FROM losses WHERE origin BETWEEN DATE '1999-01-04' - 728 AND DATE '1999-01-04' AND origin + 7 * h <= DATE '1999-01-04'),
 k AS (SELECT v.channel, coalesce(median(CASE WHEN n.mape > 0 THEN 1 - v.mape / n.mape END), -1) AS skill FROM v JOIN v n ON n.channel = 'naive' AND n.entity = v.entity AND n.origin = v.origin AND n.h = v.h GROUP BY 1),
 w AS (SELECT channel, exp(skill / 0.05) / sum(exp(skill / 0.05)) OVER () AS w FROM k),

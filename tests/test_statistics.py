@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from panelweft.functions.draws import INCREMENT, MODULUS, MULTIPLIER
 from panelweft.functions.tables import settled
-from panelweft.operators import backtest, joins, losses, screens, stats, windows
+from panelweft.operators import backtest, channels, fusion, joins, losses, screens, stats, windows
 from panelweft.plans import panels, queries
+from pyspark.sql import functions as F
 
 
 def draw(*parts):
@@ -555,6 +556,42 @@ def test_placebo_reruns_the_backtest(spark):
     assert len(set(got.values())) == 4
 
 
+def test_weights_without_labels(spark):
+    rng = np.random.default_rng(12)
+    weeks = [dt.date(1996, 1, 1) + dt.timedelta(weeks=k) for k in range(110)]
+    rows = [(e, o, h, c, float(rng.integers(1, 30)) if rng.random() > 0.05 else None) for e in "ab" for o in weeks for h in (2, 4) for c in ("naive", "x", "z")]
+    cells = spark.createDataFrame(rows, "entity string, origin date, h int, channel string, mape double")
+    ends = [(1, weeks[60]), (2, weeks[100])]
+    f = spark.createDataFrame(ends, "fold int, train_end date")
+    val = settled(fusion.validation(cells, f), "val")
+    got = {(r["fold"], r["h"], r["channel"]): (r["skill"], r["w"]) for r in fusion.recency_weights(val, f).collect()}
+    naive = {(e, o, h): m for e, o, h, c, m in rows if c == "naive"}
+    for fold, end in ends:
+        for h in (2, 4):
+            skills = {}
+            for c in ("naive", "x", "z"):
+                own = [(e, o, m) for e, o, k, channel, m in rows if k == h and channel == c and 0 <= (end - o).days <= 728 and o + dt.timedelta(weeks=h) <= end]
+                points = sorted((round(1 - m / naive[e, o, h], 9), e, o) for e, o, m in own if m is not None and (naive[e, o, h] or 0) > 0)
+                weights = np.array([0.5 ** ((end - o).days / 7 / 26) for _, _, o in points])
+                skills[c] = points[int(np.searchsorted(np.cumsum(weights) / weights.sum(), 0.5 - 1e-12))][0]
+            total = sum(math.exp(v / 0.05) for v in skills.values())
+            for c, v in skills.items():
+                close(got[fold, h, c][0], v, 1e-9)
+                close(got[fold, h, c][1], math.exp(v / 0.05) / total, 1e-9)
+    days = backtest.by_period(spark.createDataFrame([(weeks[0],), (weeks[1],)], "origin date"), str(weeks[1]), "stable", "hiking").orderBy("origin").collect()
+    assert [r["regime"] for r in days] == ["stable", "hiking"]
+
+
+def test_blend_keeps_horizons_apart(spark):
+    day = dt.date(1996, 1, 1)
+    rows = [("a", "x", day, 4, 1, 2.0), ("b", "x", day, 4, 1, 4.0), ("a", "x", day, 8, 1, 10.0)]
+    df = spark.createDataFrame(rows, "channel string, entity string, origin date, h int, step int, yhat double")
+    assert {r["h"]: r["yhat"] for r in channels.blend(df).collect()} == {4: 3.0, 8: 10.0}
+    signals = spark.createDataFrame([("x", day, 0.5)], "entity string, origin date, trend double")
+    tilted = channels.with_spillover(df, signals, F.col("h"), 1.0)
+    assert {(r["channel"], r["h"]): r["yhat"] for r in tilted.collect()} == {("a", 4): 2.25, ("b", 4): 4.5, ("a", 8): 10.625}
+
+
 def test_ranks_without_a_group(spark):
     rng = np.random.default_rng(1)
     p = [float(x) for x in rng.choice(np.linspace(0, 0.2, 60), 500)] + [None] * 5

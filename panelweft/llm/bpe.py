@@ -5,7 +5,9 @@ the longest match at each position the encoder backtracks to shorter ones until
 until merging their bytes alone would give the same two tokens. Compatibility is memoised, a position that cannot be
 continued is never tried again, and so a piece costs linear time and gives exactly the tokens of the merges.
 
-Defined cases: null and empty texts have no tokens; a text may be of any length; special tokens are ordinary text.
+Defined cases: null and empty texts have no tokens; a text may be of any length; special tokens are ordinary text; of two matches at one
+place the longer is tried first, so there are no ties; rows of equal or null doc_id are each encoded and keep their doc_id; an
+empty table has no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ shingles, so its necessary prefix is one token, the rarest. Documents that hold
 length and positional bounds drop what cannot fit, and the words of the item-sized document window are compared.
 
 Defined cases: null or wordless text has no words and no hits; a null or wordless item has no window; items of equal text all
-count; a null item_id adds hits but is not listed; repeated rows each get a row; an empty table gives clean documents.
+count; a null item_id adds hits but is not listed; repeated rows each get a row; an empty table gives clean documents; shingles of equal
+rarity are ordered by hash; a text may be of any length (one task reads it whole); other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

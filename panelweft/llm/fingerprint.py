@@ -8,7 +8,8 @@ there can be, averaged over the filters of the shorter chain.
 
 Defined cases: null is empty; an empty text has the empty fingerprint; a text under WIDTH bytes is one feature; equal
 fingerprints are 1 alike, an empty and another one 0; null doc_ids come after all others, repeated doc_ids are ordered by text;
-the only document is its own next one; an empty table has no rows.
+the only document is its own next one; an empty table has no rows; a text may be of any length (one task reads it whole, and its chain
+has as many filters as its features need); other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ rest, so no link between two components is missed and no group meets in one task
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are their own component; rows without
 doc_id link with nothing and have no component; rows of equal doc_id are sets of their own; ties go to the smallest doc_id; an empty
-table has no rows; other columns, whatever their names, play no part.
+table has no rows; a text may be of any length (one task makes its set); other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

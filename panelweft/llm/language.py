@@ -9,7 +9,8 @@ dealt. A model holds a number for each of DIMS features and each bit, and a few
 
 Defined cases: null text or text without a letter is `und` with score 0 and not ambiguous; without any learning row every document
 is `und`; one language wins alone with score 1; rows of null doc_id are neither held out nor learned from; repeated rows are scored
-alike and each learned from; of languages at equal loss the first by name wins; other columns play no part; texts may be of any length.
+alike and each learned from; of languages at equal loss the first by name wins; other columns play no part; texts may be of any
+length; an empty table has no rows.
 """
 
 from __future__ import annotations

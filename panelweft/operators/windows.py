@@ -131,6 +131,20 @@ def historical_bound(df: DataFrame) -> DataFrame:
     return weekly_change(df).groupBy("entity").agg(F.coalesce(F.max(F.abs("change")), F.lit(1.0)).alias("bound"))
 
 
+def historical_bound_filled(seen: DataFrame, last: str) -> DataFrame:
+    """(entity, n_weeks, bound): rows and historical_bound of the weekly series that filling the gaps of seen (entity, date, y; y not null), up to the week of `last`, would give.
+
+    A filled row repeats the value before it, so all changes of a gap are that of the value against itself: no row is made for a week without a value.
+    """
+    end = F.lit(last).cast("date")
+    ahead = F.coalesce(F.lead("date").over(by_date()), F.date_add(end, 7))
+    still = F.when(F.datediff(ahead, "date") > 7, F.abs(pct(F.col("y"), F.col("y"))))
+    moved = F.abs(pct(F.col("y"), F.lag("y").over(by_date())))
+    n_weeks = (F.floor(F.datediff(end, F.min("date")) / 7) + 1).cast("bigint")
+    rows = seen.select("entity", "date", F.greatest(moved, still).alias("_c"))
+    return rows.groupBy("entity").agg(n_weeks.alias("n_weeks"), F.coalesce(F.max("_c"), F.lit(1.0)).alias("bound"))
+
+
 def reversals(df: DataFrame, window: int = 13) -> DataFrame:
     """Per entity: sign changes of the rolling mean's moves (zero moves skipped), mean, deviation and their ratio."""
     w = by_date().rowsBetween(-(window - 1), 0)

@@ -24,15 +24,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def weekly(spark: SparkSession, d: str, key: str = "c_mktsegment") -> DataFrame:
-    """Orders per week and customer group, on the full grid of weeks; null where there is none."""
+def counts(spark: SparkSession, d: str, key: str = "c_mktsegment") -> DataFrame:
+    """(entity, date, y): orders per week and customer group, where there are any; entity is the key as it is stored."""
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     week = F.to_date(F.date_trunc("week", "o_orderdate"))
-    counts = joined.groupBy(F.col(key).cast("string").alias("entity"), week.alias("date")).agg(F.count("*").cast("double").alias("y"))
-    entities = customer.select(F.col(key).cast("string").alias("entity")).distinct()
+    return joined.groupBy(F.col(key).alias("entity"), week.alias("date")).agg(F.count("*").cast("double").alias("y"))
+
+
+def weekly(spark: SparkSession, d: str, key: str = "c_mktsegment") -> DataFrame:
+    """Orders per week and customer group, on the full grid of weeks; null where there is none."""
+    found = counts(spark, d, key).withColumn("entity", F.col("entity").cast("string"))
+    entities = table(spark, d, "customer").select(F.col(key).cast("string").alias("entity")).distinct()
     grid = entities.crossJoin(F.broadcast(ingest.week_grid(spark, FIRST, LAST)))
-    return grid.join(counts, ["entity", "date"], "left")
+    return grid.join(found, ["entity", "date"], "left")
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:

@@ -550,14 +550,8 @@ def w12_historical_bound(spark, d):
 @query(sql("SELECT entity, count(*) AS n_weeks, coalesce(max(abs(c)), 1.0) AS bound FROM (SELECT entity, (y - lag(y) OVER (PARTITION BY entity ORDER BY date)) / nullif(lag(y) OVER (PARTITION BY entity ORDER BY date), 0) AS c FROM series) GROUP BY 1").replace("c_mktsegment AS entity", "CAST(c_custkey AS VARCHAR) AS entity"), "bound")
 def w12_historical_bound_customers(spark, d):
     """The same over a panel of every customer, with the weeks that each has."""
-    s = _customers(spark, d)
-    return wi.historical_bound(s).join(s.groupBy("entity").agg(F.count("*").alias("n_weeks")), "entity").select("entity", "n_weeks", "bound")
-
-
-def _customers(spark, d):
-    """The weekly series of every customer."""
-    filled, _ = jo.ffill_log(pa.weekly(spark, d, "c_custkey"))
-    return wi.with_row_index(filled.where("y IS NOT NULL"))
+    seen = pa.counts(spark, d, "c_custkey").where(F.col("date").between(pa.FIRST, pa.LAST))
+    return wi.historical_bound_filled(seen, pa.LAST).select(F.col("entity").cast("string").alias("entity"), "n_weeks", "bound")
 
 
 @query(sql("""SELECT entity, m AS mean, sd, sd / m AS cv, CAST(coalesce(sum(CASE WHEN s <> p THEN 1 ELSE 0 END), 0) AS BIGINT) AS reversals FROM (SELECT entity, m, sd, s, lag(s) OVER (PARTITION BY entity ORDER BY date) AS p FROM (

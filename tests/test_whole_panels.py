@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from panelweft.operators import channels
+from panelweft.operators import channels, joins, windows
 from panelweft.plans import panels, queries
 
 
@@ -117,3 +117,16 @@ def test_slope_disagreement_counts_every_origin(spark, sf):
     for r in panels.origins(spark, sf, s).collect():
         want[r["entity"]] = want.get(r["entity"], 0) + (r["widx"] + 13 <= last[r["entity"]])
     assert {r["entity"]: r["n"] for r in queries.QUERIES["f22_slope_disagreement"](spark, sf).collect()} == want
+
+
+def test_bounds_of_filled_series_need_no_row_for_a_week_without_a_value(spark, sf):
+    week = lambda k: dt.date(1995, 1, 2) + dt.timedelta(weeks=k)
+    seen = {"gaps": {0: 4.0, 1: 6.0, 5: 3.0}, "dense": {k: 2.0 + k for k in range(10)}, "late": {9: 5.0}, "early": {0: 5.0}, "zero": {2: 0.0, 4: 3.0}, "none after": {3: 0.0}}
+    rows = spark.createDataFrame([(e, week(k), y) for e, ys in seen.items() for k, y in ys.items()], "entity string, date date, y double")
+    grid = spark.createDataFrame([(e, week(k)) for e in seen for k in range(10)], "entity string, date date").join(rows, ["entity", "date"], "left")
+    filled = joins.ffill_log(grid)[0].where("y IS NOT NULL")
+    n = {r["entity"]: r["count"] for r in filled.groupBy("entity").count().collect()}
+    want = {(r["entity"], n[r["entity"]], r["bound"]) for r in windows.historical_bound(filled).collect()}
+    assert {tuple(r) for r in windows.historical_bound_filled(rows, str(week(9))).collect()} == want and len(want) == len(seen)
+    plan = queries.QUERIES["w12_historical_bound_customers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -6,7 +6,7 @@ rows get unit length, and a linear hinge-loss model is fitted by dual coordinate
 quarter of the sample that the descent does not see, turns margins into scores.
 
 The model is fitted on a bounded sample of the labelled rows: at most SAMPLE, by the hash of doc_id, and of those as many, in the same
-order, as have FEATURES features together. Every row is scored on its whole text.
+order, as have FEATURES features together. One task fits it, and only the model reaches the driver. Every row is scored on its whole text.
 
 Defined cases: null text is empty; of several labels of one doc_id the largest holds; of several texts the least;
 null labels and labels of null doc_id are skipped; with labels of one class only, or none, every score is the smoothed share of label
@@ -22,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, only, steps, word_hashes, word_spans, written
+from .common import LOWER, SOLID, only, steps, table_of, word_hashes, word_spans, written
 from .language import held_out
 
-#: Most labelled rows, and most features of all of them, that the model is fitted on (4 bytes each pass through the driver).
+#: Most labelled rows, and most features of all of them, that the model is fitted on (4 bytes each, in one task).
 SAMPLE, FEATURES = 4000, 25_000_000
+#: Rows of the sample that Spark hands over at a time, so that the executor does not hold the sample a second time.
+_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 64
 #: Feature hash size; passes of the descent; hinge cost; share of the ratios.
 DIMS, PASSES, COST, BETA = 1 << 16, 12, 1.0, 0.5
 THRESHOLD = 0.7
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("features", pa.list_(pa.int32()))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+_MODEL = pa.schema([("prior", pa.float64()), ("ratios", pa.binary()), ("w", pa.binary()), ("slope", pa.float64()), ("offset", pa.float64())])
 
 _KIND = np.full(256, 1, np.uint8)  # 1 letter, 2 capital, 4 digit, 8 symbol
 _KIND[:128] = 8
@@ -76,19 +79,19 @@ def _rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 def _descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, passes: int, cost: float) -> np.ndarray:
     """Weights of the hinge-loss model on the scaled unit rows; each class has the same total cost."""
-    scaled = [ratios[r] for r in rows]
-    scaled = [x / max(np.sqrt((x * x).sum()), 1e-9) for x in scaled]
+    lengths = [max(np.sqrt((x * x).sum()), 1e-9) for x in (ratios[r] for r in rows)]
     share = np.array([(y > 0).mean(), (y < 0).mean()])
     cap = np.where(y > 0, cost * 0.5 / share[0], cost * 0.5 / share[1])
     alpha, w, bias = np.zeros(len(rows)), np.zeros(len(ratios)), 0.0
     draw = np.random.default_rng(7)
     for _ in range(passes):
         for i in draw.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ scaled[i] + bias) - 1
+            scaled = ratios[rows[i]] / lengths[i]  # made again each time: all rows together would be twice the features
+            gradient = y[i] * (w[rows[i]] @ scaled + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), cap[i])
             if new != alpha[i]:
                 change = (new - alpha[i]) * y[i]
-                w[rows[i]] += change * scaled[i]
+                w[rows[i]] += change * scaled
                 bias += change
                 alpha[i] = new
     return np.append(w, bias)
@@ -110,6 +113,38 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(t[0]), float(t[1])
 
 
+def _learn(batches: Iterator[pa.RecordBatch], passes: int, cost: float, beta: float) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (doc_id, y, features) as one row; ratios, w and the curve are null where there is only one class."""
+    rows = []
+    for batch in batches:
+        lists = batch.column(2)
+        values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True)
+    rows.sort(key=lambda r: r[0])
+    y = np.array([1.0 if r[1] > 0 else -1.0 for r in rows])
+    x = [r[2] for r in rows]
+    prior = float(((y > 0).sum() + 1) / (len(y) + 2))
+    if not (y > 0).any() or not (y < 0).any():
+        yield table_of({"prior": [prior], "ratios": [None], "w": [None], "slope": [None], "offset": [None]}, _MODEL)
+        return
+    size = DIMS + (1 << 15)
+    apart = np.arange(len(y)) % 4 == 3
+    if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
+        apart = np.zeros(len(y), bool)
+    learn = np.flatnonzero(~apart)
+    counts = {s: np.ones(size, np.int64) for s in (1.0, -1.0)}
+    for i in learn:
+        counts[y[i]][x[i]] += 1  # a row's features are distinct
+    ratios = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+    w = _descent([x[i] for i in learn], y[learn], ratios, passes, cost)
+    w[:-1] = (1 - beta) * np.abs(w[:-1]).mean() + beta * w[:-1] if beta < 1 else w[:-1]
+    curve_rows = np.flatnonzero(apart) if apart.any() else learn
+    slope, offset = _curve(np.array([_margin(x[i], ratios, w) for i in curve_rows]), y[curve_rows])
+    del rows, x, batch, lists, values
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    yield table_of({"prior": [prior], "ratios": [ratios.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()], "slope": [slope], "offset": [offset]}, _MODEL)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_limit: int = FEATURES, passes: int = PASSES, cost: float = COST, beta: float = BETA) -> dict:
     """The model from labels (doc_id, quality) of rows outside the held-out quarter."""
     known = only(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
@@ -129,28 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_limit
     within = [r[0] for r, total in zip(sizes, np.cumsum([r[1] for r in sizes]), strict=True) if total <= features_limit]
     if len(within) < len(sizes):
         got = got.where(F.col("doc_id").isin(within))
-    got = got.toArrow().sort_by("doc_id")  # at most `sample` rows and `features_limit` features
-    y = np.where(got.column(1).to_numpy() > 0, 1.0, -1.0) if got.num_rows else np.zeros(0)
-    size = DIMS + (1 << 15)
-    prior = float(((y > 0).sum() + 1) / (len(y) + 2))
-    if not (y > 0).any() or not (y < 0).any():
-        return {"prior": prior}
-    lists = got.column(2).combine_chunks()
-    values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    x = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    apart = np.arange(len(y)) % 4 == 3
-    if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
-        apart = np.zeros(len(y), bool)
-    learn = np.flatnonzero(~apart)
-    counts = {s: np.ones(size, np.int64) for s in (1.0, -1.0)}
-    for i in learn:
-        counts[y[i]][x[i]] += 1  # a row's features are distinct
-    ratios = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
-    w = _descent([x[i] for i in learn], y[learn], ratios, passes, cost)
-    w[:-1] = (1 - beta) * np.abs(w[:-1]).mean() + beta * w[:-1] if beta < 1 else w[:-1]
-    curve_rows = np.flatnonzero(apart) if apart.any() else learn
-    slope, offset = _curve(np.array([_margin(x[i], ratios, w) for i in curve_rows]), y[curve_rows])
-    return {"prior": prior, "ratios": ratios.astype(np.float32), "w": w.astype(np.float32), "curve": (slope, offset)}
+    got = got.coalesce(1).mapInArrow(lambda batches: _learn(batches, passes, cost, beta), "prior double, ratios binary, w binary, slope double, offset double")
+    spark = docs.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH)
+    try:
+        model = next(iter(got.collect()), None)  # two numbers of four bytes for each feature hash
+    finally:
+        spark.conf.set(_BATCH, before)
+    if model is None:  # Spark knows that there are no rows, and runs no task
+        return {"prior": 0.5}
+    if model["w"] is None:
+        return {"prior": model["prior"]}
+    return {"prior": model["prior"], "ratios": np.frombuffer(model["ratios"], np.float32), "w": np.frombuffer(model["w"], np.float32), "curve": (model["slope"], model["offset"])}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

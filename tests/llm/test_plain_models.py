@@ -264,3 +264,21 @@ def test_quality_sample_is_bounded_in_rows_and_features(spark):
     assert quality.fit(d, lab, features_limit=0)["prior"] == 0.5
     assert "w" not in quality.fit(d, lab, features_limit=0)
     assert "w" in quality.fit(d, lab, sample=12)
+
+
+def test_quality_sends_the_model_alone_to_the_driver(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(k, bytes(draw.integers(32, 127, 30_000).astype(np.uint8)).decode(), k % 2) for k in range(60)]  # some 2 MB of features
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, quality int")
+    sent, collect = [], type(d).collect
+
+    def counted(df):
+        got = collect(df)
+        sent.append(sum(len(x) if isinstance(x, bytearray | bytes) else 8 for r in got for x in r))
+        return got
+
+    monkeypatch.setattr(type(d), "collect", counted)
+    monkeypatch.setattr(type(d), "toArrow", lambda df: pytest.fail("rows of the sample went to the driver"))
+    assert "w" in quality.fit(d, lab)
+    assert max(sent) <= 2 * 4 * (quality.DIMS + (1 << 15) + 1) + 100

@@ -1,10 +1,12 @@
 """Hard-negative mining by a secondary sort: pair scores as (anchor, descending score, id) keys, read once by a streaming iterator.
 
-Anchors are a stated query set, held in blocks of at most BLOCK rows; every row meets every block, once for the positives and once for
-the negatives. Within a task a pair of (chunk of rows, block of anchors) is one matrix product, and only pairs that can still count leave
-it: a chunk's first rows of an anchor's own label, then a chunk's first rows of each window. No row beyond these can be among the first of
-all rows, so nothing is lost, and what is shuffled is a few rows an anchor and chunk, whatever the number of close rows. The keys go
-through repartitionAndSortWithinPartitions; the iterator keeps the open windows and the ids of the last score, never an anchor's rows.
+Anchors are a stated query set, packed in blocks of at most BLOCK rows; every row meets every anchor, once for the positives and once for
+the negatives. A task is a cell of (part of the rows, group of blocks): it holds the group's anchors, the part's chunks stream past, and a
+tile of anchors meets a run of rows in one matrix product. Of each anchor it keeps the first rows so far of its own label, then the first
+of each window, and these alone leave it when the part is through. No row beyond these can be among the first of all rows, so nothing is
+lost, and what is shuffled is a few rows an anchor and part, whatever the number of close rows. Rows are copied to each group and blocks to
+each part; neither goes through the driver, whatever the threshold for broadcasts. The keys go through
+repartitionAndSortWithinPartitions; the iterator keeps the open windows and the ids of the last score, never an anchor's rows.
 
 Defined cases: rows with a null id, label or vector, or a null or non-finite component, take no part. A pair of vectors of different
 lengths has no score; vectors of length 0 score 0 with each other. Scores are exact integers; beyond 64 bits they are held at the bounds.
@@ -25,18 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, written
-from .vectors import finite, joined, matrices, real
+from .vectors import finite, joined, leaders, matrices, real
 
-#: Rows of a chunk, and anchors of a block (a chunk of anchors); a number in a chunk has 13 bits.
+#: Rows of a chunk, and anchors of a block (a chunk of anchors); a number in a chunk has 13 bits, and one of a piece's blocks 12.
 CHUNK, BLOCK = 4096, 1024
-_BITS = 13
+_BITS, _PIECE = 13, 12
+#: Anchors, and bytes of their packed vectors, that a task holds.
+HELD, HELD_BYTES = 1 << 16, 16 << 20
+#: Anchors and rows of one product; an anchor's first products are of fewer rows, until scores are known that others must reach.
+TILE, ROWS, FIRST = 512, 1024, 16
 #: Scores lie between -_MOST and _MOST, ids from _LEAST on.
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
-_PACKED = "chunk long, width int, wide boolean, ids binary, labels binary, data binary"
+_PACKED = "chunk long, width int, kind string, ids binary, labels binary, data binary"
+_WINDOWS = "number long, places binary, least binary, most binary"
 
 
 def _packer(scale: float, limit: int):
-    """Arrow rows to chunks: scaled whole components, as float32 where that holds them exactly."""
+    """Arrow rows to chunks: scaled whole components, in the shortest type that holds them exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -50,53 +57,106 @@ def _packer(scale: float, limit: int):
                 rows, x = rows[order], x[order]
                 for at in range(0, len(rows), limit):
                     part, block = rows[at : at + limit], x[at : at + limit]
-                    wide = bool(block.size and np.abs(block).max() >= 1 << 24)
-                    data = (block if wide else block.astype(np.float32)).tobytes()
-                    for column, value in zip(out, (number, x.shape[1], wide, ids[part].tobytes(), labels[part].tobytes(), data), strict=True):
+                    most = np.abs(block).max() if block.size else 0
+                    kind = "int16" if most < 1 << 15 else "float32" if most < 1 << 24 else "float64"
+                    for column, value in zip(out, (number, x.shape[1], kind, ids[part].tobytes(), labels[part].tobytes(), block.astype(kind).tobytes()), strict=True):
                         column.append(value)
                     number += 1
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            names = ("chunk", "width", "wide", "ids", "labels", "data")
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+            names = ("chunk", "width", "kind", "ids", "labels", "data")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(names))
 
     return run
 
 
-def _unpacked(width: int, wide: bool, ids: bytes, labels: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(width: int, kind: str, ids: bytes, labels: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, labels = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64)
-    return ids, labels, np.frombuffer(data, np.float64 if wide else np.float32).reshape(len(ids), width)
+    x = np.frombuffer(data, kind).reshape(len(ids), width)
+    return ids, labels, x.astype(np.float32) if kind == "int16" else x
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-number rows as int64: in the narrowest arithmetic that cannot round, held at the 64-bit bounds."""
+def _lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.linalg.norm(x.astype(np.float64), axis=1)
+
+
+def products(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of whole-number rows: in the narrowest arithmetic that cannot round, held at the 64-bit bounds.
+
+    No partial sum, in any order, is larger than `most`, the product of the greatest lengths.
+    """
     if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.linalg.norm(a.astype(np.float64), axis=1).max()) * float(np.linalg.norm(b.astype(np.float64), axis=1).max())
-    # No partial sum, in any order, is larger than the product of the norms.
+        return np.zeros((len(a), len(b)), np.float32)
     if most < (1 << 23):
-        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
+        return a.astype(np.float32, copy=False) @ b.astype(np.float32, copy=False).T
     if most < float(1 << 52):
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+        return a.astype(np.float64, copy=False) @ b.astype(np.float64, copy=False).T
     whole = lambda m: np.array([[int(v) for v in row] for row in m.tolist()], object)
     return np.clip(whole(a) @ whole(b).T, -_MOST, _MOST).astype(np.int64)
 
 
-def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the first k by descending score, then id; one of those that share both."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-        order = near[np.lexsort((ids[near], -scores[near]))]
-        kept = _distinct(order, scores, ids)
-        if len(kept) >= k:
-            return kept[:k]
-    return _distinct(np.lexsort((ids, -scores)), scores, ids)[:k]
-
-
-def _distinct(order: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    new = np.ones(len(order), bool)
-    new[1:] = (scores[order][1:] != scores[order][:-1]) | (ids[order][1:] != ids[order][:-1])
-    return order[new]
+class _Tile:
+    """Anchors of one width, each with as many windows (least to most score, both included), and the first k rows so far of each window."""
+
+    def __init__(self, own: np.ndarray, labels: np.ndarray, codes: np.ndarray, x: np.ndarray, lengths: np.ndarray, least: np.ndarray, most: np.ndarray, k: int):
+        self.own, self.labels, self.codes, self.x, self.length, self.k = own, labels, codes, x, float(lengths.max()), k
+        self.windows, self.least, self.most = least.shape[1], least.ravel(), most.ravel()
+        # Entries as (window, score, id); the last of a full window is what a further one must come before.
+        self.kept, self.new, self.waiting, self.seen = [np.zeros(0, np.int64)] * 3, [], 0, 0
+        self.last_score, self.last_id = np.full(self.least.shape, _LEAST), np.full(self.least.shape, _MOST)
+        self.low = self._lowest()
+
+    def _lowest(self) -> np.ndarray:
+        reach = np.where(self.least > self.most, _MOST, np.maximum(self.least, self.last_score))
+        return reach.reshape(-1, self.windows).min(axis=1)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, lengths: np.ndarray, other: bool) -> None:
+        at = 0
+        while at < len(ids):
+            step = min(ROWS, max(FIRST, self.seen))
+            rows = slice(at, at + step)
+            scores = products(self.x, x[rows], self.length * float(lengths[rows].max()))
+            # A bound that this type rounds is beyond all of the scores, and stays so.
+            low = self.low.astype(scores.dtype)
+            near = np.flatnonzero(scores.max(axis=1) >= low)
+            if len(near):
+                found = np.flatnonzero((scores := scores[near]) >= low[near, None])
+                a, r = np.divmod(found, scores.shape[1])
+                s, a, i = scores.ravel()[found].astype(np.int64), near[a], ids[rows][r]
+                fit = (i != self.own[a]) & ((labels[rows][r] != self.labels[a]) == other)
+                self._add(a[fit], s[fit], i[fit])
+            at, self.seen = at + step, self.seen + step
+            if self.waiting and (step < ROWS or self.waiting >= max(4096, len(self.kept[0]))):
+                self.settle()
+
+    def _add(self, a: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        for n in range(self.windows):
+            w = a * self.windows + n
+            last = self.last_score[w]
+            fit = np.flatnonzero((s >= self.least[w]) & (s <= self.most[w]) & ((s > last) | ((s == last) & (i < self.last_id[w]))))
+            if len(fit):
+                self.new.append([w[fit], s[fit], i[fit]])
+                self.waiting += len(fit)
+
+    def settle(self) -> None:
+        w, s, i = (np.concatenate(c) for c in zip(self.kept, *self.new, strict=True))
+        order = leaders(w, s, i, self.k)
+        self.kept, self.new, self.waiting = [w[order], s[order], i[order]], [], 0
+        w, s, i = self.kept
+        full = np.arange(len(w)) - np.searchsorted(w, w) == self.k - 1
+        self.last_score[w[full]], self.last_id[w[full]] = s[full], i[full]
+        self.low = self._lowest()
+
+    def keys(self, other: bool) -> Iterator[tuple[bytes, int]]:
+        self.settle()
+        w, s, i = self.kept
+        a = w // self.windows
+        order = np.lexsort((i, s, a))
+        a, s, i = a[order], s[order], i[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (i[1:] != i[:-1])
+        for code, score, vec_id, own in zip(self.codes[a[new]].tolist(), s[new].tolist(), i[new].tolist(), self.own[a[new]].tolist(), strict=True):
+            yield _key(code, score, vec_id, other), own
 
 
 def _key(anchor: int, score: int, vec_id: int, other: bool) -> bytes:
@@ -113,63 +173,90 @@ def _part(n: int):
     return lambda key: ((int.from_bytes(key[:8], "big") * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32) % n
 
 
-def _met(chunks: DataFrame, blocks: DataFrame, salts: int) -> DataFrame:
-    """Every chunk beside every block of its width. Blocks are copied to each salt, so rows are moved once, however many blocks there are."""
-    rows = chunks.select(F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("salt"), "width", F.struct("width", "wide", "ids", "labels", "data").alias("rows"))
-    kept = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "width", F.struct(*[c for c in blocks.columns if c != "width"]).alias("anchors"))
-    return rows.repartition(salts, "salt").join(kept.repartition(salts, "salt"), ["salt", "width"]).select("width", "rows", "anchors")
-
-
-def _positives(k: int):
-    """The first k rows of each anchor's own label in each chunk, as keys."""
-
-    def run(pairs):
-        for width, rows, block in pairs:
-            ids, labels, x = _unpacked(*rows)
-            own, kinds, a = _unpacked(width, block["wide"], block["ids"], block["labels"], block["data"])
-            base = block["number"] << _BITS
-            for kind in np.unique(kinds).tolist():
-                here, there = np.flatnonzero(kinds == kind), np.flatnonzero(labels == kind)
-                if not len(there):
-                    continue
-                scores, near = products(a[here], x[there]), ids[there]
-                for n, s in zip(here.tolist(), scores, strict=True):
-                    other = near != own[n]
-                    s, i = (s, near) if other.all() else (s[other], near[other])
-                    for p in _first(s, i, k).tolist():
-                        yield _key(base + n, int(s[p]), int(i[p]), False), int(own[n])
+def _met(chunks: DataFrame, blocks: DataFrame, parts: int, groups: int) -> DataFrame:
+    """The cells: each part of the chunks behind each group of the blocks, a cell in a partition of its own."""
+    columns = ["number", "width", "kind", "ids", "labels", "data", "places", "least", "most"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = chunks.select("*", each(groups).alias("group")).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
+    kept = blocks.select("*", each(parts).alias("part")).withColumn("group", F.pmod(F.shiftright("number", _PIECE), F.lit(groups)))
+    for name, kind in (("number", "bigint"), ("places", "binary"), ("least", "binary"), ("most", "binary")):
+        rows = rows.withColumn(name, F.lit(None).cast(kind))
+        kept = kept if name in kept.columns else kept.withColumn(name, F.lit(None).cast(kind))
+    cell = (F.col("part") * groups + F.col("group")).cast("int").alias("cell")
+    both = kept.select(cell, *columns).unionByName(rows.select(cell, *columns))
+    return both.repartitionById(parts * groups, "cell").sortWithinPartitions("cell", F.col("number").isNull())
+
+
+def _windows(low: int, high: int):
+    """(number, positives) to the distinct windows of a block's anchors: places in the block, least and most scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lambda n: min(max(n, _LEAST), _MOST)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for number, positives in zip(batch.column("number").to_pylist(), batch.column("positives").to_pylist(), strict=True):
+                found = sorted({(p["anchor"] - (number << _BITS), held(-(-low * p["score"] // 100)), held(high * p["score"] // 100)) for p in positives if p["score"] >= 0})
+                for column, value in zip(out, (number, *(np.array([f[n] for f in found], np.int64).tobytes() for n in range(3))), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["number", "places", "least", "most"])
 
     return run
 
 
-def _negatives(k: int, low: int, high: int):
-    """The first k rows of other labels of each window of each anchor in each chunk, as keys."""
+def _held(blocks: list, k: int, other: bool) -> dict[int, list[_Tile]]:
+    """The tiles of a group's anchors by width: for positives in the order of labels, for negatives those with windows; then by length."""
+    out: dict[int, list[_Tile]] = {}
+    for width in sorted({b["width"] for b in blocks}):
+        parts: list[list] = [[], [], [], [], [], []]
+        for b in blocks:
+            if b["width"] != width:
+                continue
+            own, labels, x = _unpacked(width, b["kind"], b["ids"], b["labels"], b["data"])
+            if other:
+                places, least, most = (np.frombuffer(b[c], np.int64) for c in ("places", "least", "most"))
+            else:
+                places, least, most = np.arange(len(own)), np.full(len(own), _LEAST), np.full(len(own), _MOST)
+            with_window, first = np.unique(places, return_index=True)
+            bounds = np.tile(np.array([_MOST, _LEAST]), (len(with_window), int(np.diff([*first, len(places)]).max(initial=1)), 1))
+            row = np.searchsorted(with_window, places)
+            bounds[row, np.arange(len(places)) - first[row]] = np.stack([least, most], axis=1)
+            for part, values in zip(parts, (own[with_window], labels[with_window], (b["number"] << _BITS) + with_window, x[with_window], _lengths(x[with_window]), bounds), strict=True):
+                part.append(values)
+        most = max(b.shape[1] for b in parts[-1])
+        parts[-1] = [np.concatenate([b, np.tile(np.array([_MOST, _LEAST]), (len(b), most - b.shape[1], 1))], axis=1) for b in parts[-1]]
+        own, labels, codes, x, lengths, bounds = (np.concatenate(p) for p in parts)
+        order = np.lexsort((lengths,) if other else (lengths, labels))
+        at = [order[n : n + TILE] for n in range(0, len(order), TILE)]
+        out[width] = [_Tile(own[t], labels[t], codes[t], x[t], lengths[t], bounds[t, :, 0], bounds[t, :, 1], k) for t in at]
+    return out
+
+
+def _close(k: int, other: bool):
+    """The first k rows of each window of each anchor in each cell, as keys: of the anchor's own label (its one window is all scores), or of others."""
 
-    def run(pairs):
-        for width, rows, block in pairs:
-            ids, labels, x = _unpacked(*rows)
-            own, kinds, a = _unpacked(width, block["wide"], block["ids"], block["labels"], block["data"])
-            base, windows = block["number"] << _BITS, {}
-            for anchor, score in block["positives"]:
-                if score >= 0:
-                    windows.setdefault(anchor - base, set()).add((-(-low * score // 100), high * score // 100))
-            with_window = np.array(sorted(windows), np.int64)
-            if not len(with_window):
+    def run(stream):
+        cell, blocks, tiles = None, [], {}
+        for row in stream:
+            if row["cell"] != cell:
+                yield from (key for of_width in tiles.values() for tile in of_width for key in tile.keys(other))
+                cell, blocks, tiles = row["cell"], [], {}
+            if row["number"] is not None:
+                blocks.append(row)
+                continue
+            if blocks:
+                blocks, tiles = [], _held(blocks, k, other)
+            if row["width"] not in tiles:
                 continue
-            for n, s in zip(with_window.tolist(), products(a[with_window], x), strict=True):
-                bounds = windows[n]
-                near = np.flatnonzero((s >= min(b[0] for b in bounds)) & (s <= max(b[1] for b in bounds)) & (labels != kinds[n]) & (ids != own[n]))
-                if not len(near):
-                    continue
-                sn, i = s[near], ids[near]
-                order = _distinct(np.lexsort((i, -sn)), sn, i)
-                down = -sn[order]
-                kept: set[int] = set()
-                for least, most in bounds:
-                    at = int(np.searchsorted(down, -most, "left"))
-                    kept.update(order[at : min(at + k, int(np.searchsorted(down, -least, "right")))].tolist())
-                for p in sorted(kept):
-                    yield _key(base + n, int(sn[p]), int(i[p]), True), int(own[n])
+            ids, labels, x = _unpacked(*(row[c] for c in ("width", "kind", "ids", "labels", "data")))
+            if not other:
+                order = np.argsort(labels, kind="stable")
+                ids, labels, x = ids[order], labels[order], x[order]
+            lengths = _lengths(x)
+            for tile in tiles[row["width"]]:
+                # Positives: only the rows from a tile's first label to its last.
+                some = slice(None) if other else slice(*np.searchsorted(labels, [tile.labels[0], tile.labels[-1] + 1]))
+                tile.meet(ids[some], labels[some], x[some], lengths[some], other)
+        yield from (key for of_width in tiles.values() for tile in of_width for key in tile.keys(other))
 
     return run
 
@@ -241,16 +328,24 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     chunks = written(rows.select("vec_id", "label", "vector").mapInArrow(_packer(scale, CHUNK), _PACKED), "negative-rows")
     asked = written(rows.where("anchor").select("vec_id", "label", "vector").distinct(), "negative-anchors")
     # Blocks are numbered by bounded pieces of the written anchors.
-    pieces = asked.repartition(max(1, -(-asked.count() // BLOCK))).mapInArrow(_packer(scale, BLOCK), _PACKED)
-    blocks = written(pieces.withColumnRenamed("chunk", "number"), "negative-blocks").withColumn("number", (F.shiftright("number", 32) * 4096 + F.col("number") % 4096))
-
-    salts = spread(spark)
-    found = _met(chunks, blocks, salts).rdd.mapPartitions(_positives(positives))
+    anchors = asked.count()
+    n_pieces = max(1, -(-anchors // BLOCK))
+    pieces = asked.repartition(n_pieces).mapInArrow(_packer(scale, BLOCK), _PACKED)
+    number = F.shiftright("number", 32) * (1 << _PIECE) + F.col("number") % (1 << _PIECE)
+    blocks = written(pieces.withColumnRenamed("chunk", "number"), "negative-blocks").withColumn("number", number)
+
+    # More groups copy the rows more often, more parts the anchors (with what is found for them, some five times a row's bytes).
+    salts, size = spread(spark), blocks.agg(F.sum(F.length("data"))).first()[0] or 0
+    n_rows = (chunks.agg(F.sum(F.length("ids"))).first()[0] or 0) // 8
+    groups = min(n_pieces, max(1, -(-anchors // HELD), -(-size // HELD_BYTES), round((5 * salts * anchors / max(1, n_rows)) ** 0.5)))
+    parts = -(-salts // groups)
+    found = _met(chunks, blocks, parts, groups).rdd.mapPartitions(_close(positives, False))
     found = found.repartitionAndSortWithinPartitions(salts, _part(salts)).mapPartitions(_leading(positives), preservesPartitioning=True)
     best = written(spark.createDataFrame(found, "anchor long, own long, score long, vec_id long", verifySchema=False), "negative-positives")
 
     of_block = best.groupBy(F.shiftright("anchor", _BITS).alias("number")).agg(F.collect_list(F.struct("anchor", "score")).alias("positives"))
-    close = _met(chunks, blocks.join(of_block, "number"), salts).rdd.mapPartitions(_negatives(negatives, low, high))
+    of_block = of_block.mapInArrow(_windows(low, high), _WINDOWS).hint("merge")
+    close = _met(chunks, blocks.join(of_block, "number"), parts, groups).rdd.mapPartitions(_close(negatives, True))
     opened = best.rdd.map(lambda r: (_key(r[0], r[2], r[3], False), r[1]))
     keys = opened.union(close).repartitionAndSortWithinPartitions(salts, _part(salts))
     result = keys.mapPartitions(lambda stream: windows(stream, negatives, low, high))

@@ -81,6 +81,59 @@ def test_blocks_and_chunks_do_not_matter(spark, monkeypatch):
     assert sorted(set(map(tuple, got.collect()))) == plain_negatives(rows, 10)
 
 
+def test_anchors_do_not_pass_through_the_driver(spark):
+    """A copy of the blocks for each part of the rows is many times what Spark takes their size for: it may not be broadcast."""
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(0, 0.2, 64).tolist(), i % 3) for i in range(200)]
+    limits = {"spark.sql.maxBroadcastTableSize": "65536", "spark.sql.shuffle.partitions": "24"}
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        got = negatives.mine(frame(spark, rows), F.col("vec_id") % 4 == 0)
+        assert sorted(set(map(tuple, got.collect()))) == plain_negatives(rows, 4)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("held", [1, 4, 1000])
+def test_groups_of_blocks_do_not_matter(spark, monkeypatch, held):
+    rows = awkward(7, 90, 4, 2)
+    for name, value in (("CHUNK", 7), ("BLOCK", 3), ("HELD", held)):
+        monkeypatch.setattr(negatives, name, value)
+    got = negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0)
+    assert sorted(set(map(tuple, got.collect()))) == plain_negatives(rows, 10)
+
+
+@pytest.mark.parametrize(("seed", "size"), [(1, 3), (2, 50), (3, 5e4), (4, 5e8)])
+def test_running_windows_equal_sorted_ones(seed, size):
+    """Many runs of rows, ties, repeated ids; in single and double precision, and beyond it."""
+    draw, k = np.random.default_rng(seed), 3
+    whole = lambda n: np.floor(draw.random((n, 2)) * size)
+    own, a, least = np.arange(6), whole(6), np.array([[0, 1], [0, 9], [5, 0], [0, 0], [0, 0], [0, 0]]) * int(size) * int(size) // 9
+    most = least + int(size * size) // 2
+    most[3, 1] = -1  # no window
+    tile = negatives._Tile(own, own % 2, own + 100, a, negatives._lengths(a), least, most, k)
+    want = {n: set() for n in range(6)}
+    seen = []
+    for _ in range(4):
+        n = 700 if size < 1e6 else 60
+        ids, labels, x = draw.integers(0, n, n), draw.integers(0, 2, n), whole(n)
+        seen += list(zip(ids.tolist(), labels.tolist(), x.tolist(), strict=True))
+        tile.meet(ids, labels, x, negatives._lengths(x), True)
+    for n in range(6):
+        pairs = sorted({(-sum(int(p) * int(q) for p, q in zip(a[n], x, strict=True)), i) for i, c, x in seen if i != n and c != n % 2})
+        for low, high in zip(least[n].tolist(), most[n].tolist(), strict=True):
+            want[n] |= {(-s, i) for s, i in [p for p in pairs if low <= -p[0] <= high][:k]}
+    got = {n: set() for n in range(6)}
+    for key, anchor in tile.keys(True):
+        code, score, vec_id, other = negatives._read(key)
+        assert code == anchor + 100 and other
+        got[anchor].add((score, vec_id))
+    assert got == want
+
+
 def test_a_positive_after_negatives_of_its_score(spark):
     """The window takes the first negatives of its own score, though their ids come before the positive's."""
     rows = [(0, [1.0], 0), (50, [0.5], 0)] + [(i, [0.5], 1) for i in range(1, 9)] + [(60, [0.45], 1), (61, [0.3], 1)]

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,6 +187,13 @@ def _met(chunks: DataFrame, blocks: DataFrame, parts: int, groups: int) -> DataF
     return both.repartitionById(parts * groups, "cell").sortWithinPartitions("cell", F.col("number").isNull())
 
 
+def _cleaned(rdd: RDD) -> None:
+    """Removes the shuffle files of an RDD whose rows are written: the next cells need the disk."""
+    inner = rdd._jrdd.rdd()
+    inner.dependencies()  # Spark cleans known dependencies only
+    inner.cleanShuffleDependencies(True)
+
+
 def _windows(low: int, high: int):
     """(number, positives) to the distinct windows of a block's anchors: places in the block, least and most scores."""
 
@@ -342,6 +349,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     found = _met(chunks, blocks, parts, groups).rdd.mapPartitions(_close(positives, False))
     found = found.repartitionAndSortWithinPartitions(salts, _part(salts)).mapPartitions(_leading(positives), preservesPartitioning=True)
     best = written(spark.createDataFrame(found, "anchor long, own long, score long, vec_id long", verifySchema=False), "negative-positives")
+    _cleaned(found)
 
     of_block = best.groupBy(F.shiftright("anchor", _BITS).alias("number")).agg(F.collect_list(F.struct("anchor", "score")).alias("positives"))
     of_block = of_block.mapInArrow(_windows(low, high), _WINDOWS).hint("merge")
